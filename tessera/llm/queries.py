@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe
+from tessera.llm import bpe, chunking, secrets, sharding, urls, warc
 from tessera.llm.common import table
 
 
@@ -18,5 +19,33 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op9_bpe,)}
+
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a uniform shuffle over 24 shards."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return sharding.shuffle(docs, 24).select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content-defined fingerprints of every document and of its edited text."""
+    return chunking.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from the archives of all pages."""
+    return warc.roundtrip(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document and of what is encoded in it."""
+    return secrets.secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_shards, op5_chunks, op7_warc, op8_secrets, op9_bpe, op10_urls)}
 ORACLES: dict[str, str] = {}
