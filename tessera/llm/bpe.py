@@ -12,6 +12,7 @@ import base64
 import hashlib
 import heapq
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,9 @@ _EDGE = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0           
 
 #: Places that leave the index of pairs together, at least.
 AT_ONCE = 20_000
+#: Characters encoded at a time, and entries each of a worker's two memories starts afresh beyond; both bound memory alone.
+PORTION = 8_000_000
+REMEMBERED = 300_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -180,9 +184,9 @@ class Codec:
         a piece, so a text without runs of white space is cut there, and what stands
         between such spaces is encoded once.
         """
-        if len(self.chunks) > common.CACHE_ENTRIES:
+        if len(self.chunks) > REMEMBERED:
             self.chunks.clear()
-        if len(self.pieces) > common.CACHE_ENTRIES:
+        if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
         parts: list[list[str] | None] = []
         new: dict[str, list[str]] = {}
@@ -210,6 +214,19 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def portions(texts: list[str]) -> Iterator[list[str]]:
+    """texts in lists of about PORTION characters each."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= PORTION:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
@@ -248,7 +265,7 @@ def _coded(docs: DataFrame, ranks_path: str, pattern: str, text: str, with_ids:
     def run(batches):
         c = codec(data.value, pattern)
         for rb in batches:
-            ids = c.encode(common.texts(rb, "__text"))
+            ids = [x for part in portions(common.texts(rb, "__text")) for x in c.encode(part)]
             cols = [rb.column(f"{i}") for i in range(len(keep))]
             cols += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids])]
             if with_ids:
