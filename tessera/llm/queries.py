@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chunking, secrets, sharding, urls, warc
+from tessera.llm import bpe, chunking, secrets, sharding, toxicity, urls, warc
 from tessera.llm.common import table
 
 
@@ -27,6 +27,12 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle(docs, 24).select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside fold 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+
+
 def op5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content-defined fingerprints of every document and of its edited text."""
     return chunking.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -47,5 +53,5 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_shards, op5_chunks, op7_warc, op8_secrets, op9_bpe, op10_urls)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_shards, op4_toxicity, op5_chunks, op7_warc, op8_secrets, op9_bpe, op10_urls)}
 ORACLES: dict[str, str] = {}
