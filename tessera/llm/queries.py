@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chunking, secrets, sharding, toxicity, urls, warc
+from tessera.llm import bpe, chunking, decontamination, secrets, sharding, toxicity, urls, warc
 from tessera.llm.common import table
 
 
@@ -20,6 +20,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op1_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's overlaps with benchmark items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in a uniform shuffle over 24 shards."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -53,5 +59,5 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_shards, op4_toxicity, op5_chunks, op7_warc, op8_secrets, op9_bpe, op10_urls)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_contamination, op3_shards, op4_toxicity, op5_chunks, op7_warc, op8_secrets, op9_bpe, op10_urls)}
 ORACLES: dict[str, str] = {}
