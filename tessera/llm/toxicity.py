@@ -32,6 +32,8 @@ SAMPLE, SAMPLE_CHARS = 4_000, 65_536
 WINDOW, BASE_BYTES, TOXIC_BYTES = 64, 8_192, 8_192
 #: A toxic word's least share of toxic documents in contexts, and how much likelier it must be than in ordinary ones.
 LEAST_CONTEXTS, LEAST_RATIO = 0.01, 8.0
+#: Windows of ordinary text that the ordinary dictionary is trained on at most; then so many rounds add bytes of words that look toxic without being it.
+TRAINING_WINDOWS, HARD_ROUNDS, HARD_BYTES = 200_000, 4, 24_000
 #: Thresholds in bytes whose passing windows are counted.
 THRESHOLDS = (3, 4, 5, 6, 8)
 _STRIP = b".,;:!?\"'()[]{}<>*-_"
@@ -63,7 +65,7 @@ def cut_windows(text: str, size: int = WINDOW) -> list[bytes]:
 
 
 def _parameters() -> zstandard.ZstdCompressionParameters:
-    return zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=15, hash_log=14, chain_log=14, search_log=4, min_match=5, target_length=0, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=17, hash_log=16, chain_log=16, search_log=6, min_match=5, target_length=0, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 class Distance:
@@ -99,11 +101,34 @@ def toxic_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
         for a, b in zip([b"", *ws], ws, strict=False):
             before[b].add(a)
     seen = Counter(w.strip(_STRIP) for t in ordinary for w in common.words(t))
-    least = max(3, LEAST_CONTEXTS * len(toxic))
+    least = max(5, LEAST_CONTEXTS * len(toxic))
     shares = {w: len(c) for w, c in before.items() if w and len(c) >= least and len(c) / len(toxic) >= LEAST_RATIO * (seen[w] + 0.5) / len(ordinary)}
     return sorted(shares, key=lambda w: (shares[w], w))
 
 
+def hard_words(base: bytes, extra: bytes, windows: list[bytes]) -> bytes:
+    """Words of the ordinary windows that the toxic dictionary shortens most, as long as they add up to HARD_BYTES.
+
+    Of a window the words count whose beginnings or ends stand in a toxic word: they
+    are why it looks toxic, and once both dictionaries have them it doesn't.
+    """
+    d = Distance(base, base + extra).differences(windows)
+    pieces = {extra[i : i + 5] for i in range(max(0, len(extra) - 4))}
+    had = set(base.split())
+    hard: Counter[bytes] = Counter()
+    for i in np.flatnonzero(d >= 2).tolist():
+        for w in windows[i].split():
+            if w not in had and any(w[k : k + 5] in pieces for k in range(len(w) - 4)):
+                hard[w] += int(d[i])
+    out, size = [], 0
+    for w, _ in hard.most_common():
+        size += len(w) + 1
+        if size > HARD_BYTES:
+            break
+        out.append(b" " + w)
+    return b"".join([*reversed(out), b" "]) if out else b""
+
+
 def _dictionary(size: int, samples: list[bytes]) -> bytes:
     """A trained dictionary; what samples there are where they are too few to train on."""
     try:
@@ -119,8 +144,11 @@ def train(rows: list[tuple[str, int]]) -> Model | None:
         parts[zlib.crc32(text.encode("utf-8", "surrogatepass")[::-1]) % 3 == 0, label].append(text)
     if not all(parts[False, x] for x in (0, 1)):
         return None
-    base = _dictionary(BASE_BYTES, [w for t in parts[False, 0] for w in cut_windows(t)][:200_000])
+    ordinary = [w for t in parts[False, 0] for w in cut_windows(t)][:TRAINING_WINDOWS]
+    base = _dictionary(BASE_BYTES, ordinary)
     extra = b"".join(b" " + w + b" " for w in toxic_words(parts[False, 1], parts[False, 0]))[-TOXIC_BYTES:]
+    for _ in range(HARD_ROUNDS):
+        base = hard_words(base, extra, ordinary) + base
     distance = Distance(base, base + extra)
     held = [(t, y) for y in (0, 1) for t in (parts[True, y] or parts[False, y])]
     x = np.array([distance.features(t) for t, _ in held])
