@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chunking, decontamination, secrets, sharding, toxicity, urls, warc
+from tessera.llm import bpe, chunking, decontamination, ppm, secrets, sharding, toxicity, urls, warc
 from tessera.llm.common import table
 
 
@@ -44,6 +44,11 @@ def op5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document by partial matching, and by a unigram model of words."""
+    return ppm.scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is read back from the archives of all pages."""
     return warc.roundtrip(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -59,5 +64,5 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_contamination, op3_shards, op4_toxicity, op5_chunks, op7_warc, op8_secrets, op9_bpe, op10_urls)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_contamination, op3_shards, op4_toxicity, op5_chunks, op6_ppm, op7_warc, op8_secrets, op9_bpe, op10_urls)}
 ORACLES: dict[str, str] = {}
