@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-#: Bytes of context at most; with the byte that follows a key has five bytes.
-ORDER = 4
+#: Bytes of context at most; with the byte that follows a key has six bytes.
+ORDER = 5
 #: Entries of each order's counts that the broadcast trie keeps at most: the bound of its size. Where there are more, the rarest go, all of a count together, as low-count nodes say least.
 NODES = 1 << 21
 #: Words whose counts are broadcast at most; the counts of the others are joined.
@@ -34,7 +34,7 @@ _U = np.uint64
 
 
 def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The five-byte key that ends at each byte and at each text's end mark (a zero byte), and each text's number of keys."""
+    """The six-byte key that ends at each byte and at each text's end mark (a zero byte), and each text's number of keys."""
     pad = b"\x00" * ORDER
     data = np.frombuffer(b"".join([x for t in texts for x in (pad, t, b"\x00")]), np.uint8).astype(_U)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
@@ -76,7 +76,7 @@ class Sums:
 
 
 def count(docs: DataFrame) -> DataFrame:
-    """Counts over the texts of docs: rows (kind, key, n), kind 0 for five-byte keys and 1 for words."""
+    """Counts over the texts of docs: rows (kind, key, n), kind 0 for six-byte keys and 1 for words."""
 
     def run(batches):
         grams, vocabulary = Sums(), Sums()
@@ -252,7 +252,7 @@ def orders_of(keys: np.ndarray, counts: np.ndarray) -> list[Order]:
 
 
 def train(counts: DataFrame, nodes: int = NODES) -> list[Order]:
-    """The orders of a trie from counts of five-byte keys, each of nodes entries at most."""
+    """The orders of a trie from counts of six-byte keys, each of nodes entries at most."""
     orders: list[Order] = []
     for k in range(ORDER, -1, -1):
         if k < ORDER:
