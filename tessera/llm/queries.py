@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chunking, decontamination, ppm, secrets, sharding, toxicity, urls, warc
+from tessera.llm import bpe, chunking, decontamination, jaccard, ppm, secrets, sharding, toxicity, urls, warc
 from tessera.llm.common import table
 
 
@@ -26,6 +26,11 @@ def op1_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component under links between similar shingle sets."""
+    return jaccard.joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in a uniform shuffle over 24 shards."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,5 +69,5 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_contamination, op3_shards, op4_toxicity, op5_chunks, op6_ppm, op7_warc, op8_secrets, op9_bpe, op10_urls)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_contamination, op2_jaccard, op3_shards, op4_toxicity, op5_chunks, op6_ppm, op7_warc, op8_secrets, op9_bpe, op10_urls)}
 ORACLES: dict[str, str] = {}
