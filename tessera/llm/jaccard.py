@@ -52,6 +52,17 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(common.windows(common.word_hashes(common.words(text)), SHINGLE))
 
 
+def packed(s: np.ndarray) -> bytes:
+    """The upper 48 bits of a set's hashes, six bytes each, in order."""
+    return np.unique(s >> _U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(_U).reshape(-1)
+
+
 def class_of(s: np.ndarray) -> tuple[int, int]:
     """Two independent 64-bit numbers of a set: its class, and a check on that."""
     d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
@@ -72,7 +83,7 @@ _SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64
 
 def _sketch(batches):
     """A row for each document, then the counts of shingle buckets over the task's different sets."""
-    table, seen = np.zeros(1 << BUCKET_BITS, np.int64), set()
+    table, seen, waiting = np.zeros(1 << BUCKET_BITS, np.int64), set(), []
     for rb in batches:
         cols: dict[str, list] = {f.name: [] for f in _SKETCH}
         for doc_id, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
@@ -84,7 +95,10 @@ def _sketch(batches):
             cols["check"].append(check)
             if cid not in seen:
                 seen.add(cid)
-                np.add.at(table, (s >> _U(64 - BUCKET_BITS)).astype(np.int64), 1)
+                waiting.append(s >> _U(64 - BUCKET_BITS))
+        if waiting:
+            table += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=len(table))
+            waiting.clear()
         n = len(cols["n"])
         cols["bucket"], cols["cnt"] = [None] * n, [None] * n
         yield common.batch(_SKETCH, cols)
@@ -218,10 +232,13 @@ def candidates(docs: DataFrame, table: np.ndarray, sets: int, postings: int, red
 
     def post(batches):
         held: list[tuple] = []
+        often: list[tuple] = []
         size = 0
 
         def of(cid, n, h, cnt, central):
             nonlocal size
+            for x in h[cnt >= hot].view(np.int64).tolist():
+                often.append((cid % slices, x, cid, central))
             pos = np.flatnonzero(cnt < hot)
             held.append((h[pos], np.full(len(pos), cid), np.full(len(pos), n, np.uint32), (n - pos).astype(np.uint32), np.full(len(pos), central, np.uint8)))
             size += len(pos)
@@ -241,9 +258,15 @@ def candidates(docs: DataFrame, table: np.ndarray, sets: int, postings: int, red
                         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x[at].tobytes()], pa.binary()) for x in (low, cid, n, rest, central))], schema=_POSTED)
             held.clear()
             size = 0
+            if often:
+                # of a hot shingle each set goes its own way, not the shingle's
+                k, x, cid, central = zip(*often, strict=True)
+                rows = [np.array(v, np.int64).tobytes() for v in (x, cid, central)]
+                yield pa.RecordBatch.from_arrays([pa.array([k[0]], pa.int32()), pa.array([rows[0]], pa.binary()), pa.array([rows[1]], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([rows[2]], pa.binary())], schema=_POSTED)
+                often.clear()
 
         for _ in each(batches, of):
-            if size >= HELD:
+            if size >= HELD or len(often) >= 100_000:
                 yield from flush()
         yield from flush()
 
@@ -252,33 +275,26 @@ def candidates(docs: DataFrame, table: np.ndarray, sets: int, postings: int, red
         for rb in batches:
             cols = [rb.column(i).to_pylist() for i in range(6)]
             for k, *blobs in zip(*cols, strict=True):
+                if blobs[2] is None:
+                    x, cid, central = (np.frombuffer(b, np.int64) for b in (blobs[0], blobs[1], blobs[4]))
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(cid), pa.array([None] * len(x), pa.bool_()), pa.array(central)], names=["a", "b", "star", "central"])
+                    continue
                 by.setdefault(k, []).append([np.frombuffer(b, t) for b, t in zip(blobs, (np.uint32, np.int64, np.uint32, np.uint32, np.uint8), strict=True)])
         for k in list(by):
             a, b, star = _pairs_of(*map(np.concatenate, zip(*by.pop(k), strict=True)))
             a, b, star = _distinct(a, b, star)
             for i in range(0, len(a), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (a, b, star)], names=["a", "b", "star"])
+                part = [pa.array(x[i : i + 100_000]) for x in (a, b, star)]
+                yield pa.RecordBatch.from_arrays([*part, pa.nulls(len(part[0]), pa.int64())], names=["a", "b", "star", "central"])
 
     src = docs.select("text")
-    found = common.by_arrow(common.by_arrow(src, post, "slice int, h binary, cid binary, n binary, rest binary, central binary").repartition(slices, "slice"), reduce, "a long, b long, star boolean")
-    if (table >= hot).any():
-
-        def post_hot(batches):
-            rows: list[tuple] = []
-
-            def of(cid, n, h, cnt, central):
-                rows.extend((x, cid, central) for x in h[cnt >= hot].view(np.int64).tolist())
-
-            for _ in each(batches, of):
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["h", "cid", "central"])
-                    rows.clear()
-
-        hot_rows = common.cut(common.by_arrow(src, post_hot, "h long, cid long, central long").distinct())
-        # as many shingles as have a hot count at most: postings / hot
-        pivots = hot_rows.groupBy("h").agg(F.max_by("cid", F.struct("central", F.xxhash64("cid"), "cid")).alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("h", "a")
-        stars = hot_rows.join(F.broadcast(pivots), "h").where("a != cid").select("a", F.col("cid").alias("b"), F.lit(True).alias("star"))
-        found = found.unionByName(stars)
+    rows = common.cut(common.by_arrow(common.by_arrow(src, post, "slice int, h binary, cid binary, n binary, rest binary, central binary").repartition(slices, "slice"), reduce, "a long, b long, star boolean, central long"))
+    found = rows.where("star IS NOT NULL").select("a", "b", "star")
+    hot_rows = rows.where("star IS NULL").select(F.col("a").alias("h"), F.col("b").alias("cid"), "central").distinct()
+    # as many shingles as have a hot count, at most as all postings by it
+    pivots = hot_rows.groupBy("h").agg(F.max_by("cid", F.struct("central", F.xxhash64("cid"), "cid")).alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("h", "a")
+    stars = hot_rows.join(F.broadcast(pivots), "h").where("a != cid").select("a", F.col("cid").alias("b"), F.lit(True).alias("star"))
+    found = found.unionByName(stars)
     return found.groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
@@ -337,11 +353,11 @@ def links(docs: DataFrame, pairs: DataFrame, stands: DataFrame) -> DataFrame:
                 k = int(_own(np.array([cid]), np.array([-(2**63) if doc_id is None else doc_id]))[0]) >> (64 - FILTER_BITS)
                 if bits[k >> 3] >> (k & 7) & 1:
                     cids.append(cid)
-                    sets.append(s.tobytes())
+                    sets.append(packed(s))
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "s"])
 
-    # what the filter lets by wrongly, and repeated rows, go; a class comes once
-    made = common.by_arrow(docs.select("doc_id", "text"), make, "cid long, s binary").join(taking.hint("merge"), "cid", "left_semi").groupBy("cid").agg(F.min("s").alias("s"))
+    # what the filter lets by wrongly meets no pair, and a repeated row makes a link twice
+    made = common.by_arrow(docs.select("doc_id", "text"), make, "cid long, s binary")
     path = common.fresh_path(spark, "sets")
     made.write.parquet(path)
     sets = spark.read.parquet(path)
@@ -351,11 +367,11 @@ def links(docs: DataFrame, pairs: DataFrame, stands: DataFrame) -> DataFrame:
         for rb in batches:
             rows: list[tuple] = []
             for a, b, star, sb, sa in zip(*(rb.column(c).to_pylist() for c in ("a", "b", "star", "sb", "sa")), strict=True):
-                p, u = np.frombuffer(sa, _U), np.frombuffer(sb, _U)
+                p, u = unpacked(sa), unpacked(sb)
                 add, lack = _less(u, p), _less(p, u)
                 linked = 4 * len(lack) + 3 * len(add) <= len(p)
                 if star:
-                    rows.append((a, b, linked, len(p), add.tobytes(), lack.tobytes()))
+                    rows.append((a, b, linked, len(p), packed(add << _U(16)), np.searchsorted(p, lack).astype(np.uint32).tobytes()))
                 elif linked:
                     rows.append((a, b, True, 0, None, None))
             if rows:
@@ -398,15 +414,15 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def derived(rows: list[tuple]) -> list[tuple[int, int]]:
-    """Links between sets out of a pivot's reach and its other sets, from rows (outside, set, pivot's size, add, lack); a spanning forest of them."""
+    """Links between sets out of a pivot's reach and its other sets, from rows (outside, set, pivot's size, added shingles, places in the pivot that lack); a spanning forest of them."""
     outs, anys = [r for r in rows if r[0]], [r for r in rows if not r[0]]
     if not outs or not anys:
         return []
     size = rows[0][2]
     parts, owner, cost, total = [], [], [], []
     for k, (_, _, _, add, lack) in enumerate([*outs, *anys]):
-        a, r = np.frombuffer(add, _U), np.frombuffer(lack, _U)
-        parts += (a, ~r)
+        a, r = unpacked(add), np.frombuffer(lack, np.uint32)
+        parts += (a, r + _U(1 << 60))
         owner.append(np.full(len(a) + len(r), k))
         cost.append(4 * len(r) + 3 * len(a))
         total.append(len(a) + len(r))
