@@ -1,0 +1,205 @@
+"""One query for each operator over the derived graph, and SQL for the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import predicates as P
+from tessera.operators import aggregates as A
+from tessera.operators import analytics as N
+from tessera.operators import joins as J
+from tessera.operators import lookup as L
+from tessera.operators import resolve, search
+from tessera.operators import traverse as T
+from tessera.plans.fixpoint import first_of
+from tessera.plans.fixtures import WITH
+from tessera.plans.graph import PropertyGraph
+from tessera.plans.schema import CALL_KINDS
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of a graph as a query; sql goes on after the graph's tables."""
+
+    def put(f: Callable[[PropertyGraph], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(PropertyGraph.derived(spark, sf_dir))
+        if sql:
+            ORACLES[name] = f"{WITH} {sql}"
+        return f
+
+    return put
+
+
+def many(*rows: tuple[str, Callable[[PropertyGraph], DataFrame], str | None]) -> None:
+    for name, f, sql in rows:
+        query(name, sql)(f)
+
+
+COLS = ("id", "kind", "name", "qualified_name", "file_path", "start_line", "is_exported", "docstring")
+SLIM = ("id", "kind", "name", "file_path")
+ALL, FEW = ", ".join(COLS), ", ".join(SLIM)
+
+
+def slim(df: DataFrame) -> DataFrame:
+    return df.select(*SLIM)
+
+
+def sql_list(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+CALLS_SQL = sql_list(CALL_KINDS)
+DEPS_SQL = "('calls', 'references', 'extends', 'implements', 'instantiates')"
+
+# scans and lookups
+many(
+    ("s1_all_nodes", lambda g: g.nodes.select(*COLS), f"SELECT {ALL} FROM nodes"),
+    ("s2_all_edges", lambda g: g.edges.select("source", "target", "kind", "line"), "SELECT source, target, kind, line FROM edges"),
+    ("s3_all_files", lambda g: g.nodes.select(F.col("file_path").alias("path")).distinct(), "SELECT DISTINCT file_path AS path FROM nodes"),
+    ("s4_node", lambda g: L.by_id(g.nodes, "part:3").select(*COLS), f"SELECT {ALL} FROM nodes WHERE id = 'part:3'"),
+    ("s5_nodes_by_ids", lambda g: L.by_ids(g.nodes, ["part:3", "order:201", "none"]).select(*COLS), f"SELECT {ALL} FROM nodes WHERE id IN ('part:3', 'order:201', 'none')"),
+    ("s6_file", lambda g: A.symbols_per_file(L.in_file(g.nodes, "geo/r1/N1.java")), "SELECT file_path, count(*) AS n FROM nodes WHERE file_path = 'geo/r1/N1.java' GROUP BY file_path"),
+    ("s7_exists", lambda g: L.existing(g.nodes, g.edges.select(F.concat("target", F.lit("0")).alias("id")).distinct()), "SELECT DISTINCT concat(e.target, '0') AS id, n.id IS NOT NULL AS found FROM edges e LEFT JOIN nodes n ON n.id = concat(e.target, '0')"),
+    ("s8_page", lambda g: slim(L.page(g.nodes, 20, 15)), f"SELECT {FEW} FROM nodes ORDER BY id LIMIT 15 OFFSET 20"),
+    ("s10_source_files", lambda g: g.nodes.select("file_path", P.is_source(F.col("file_path")).alias("is_source")).distinct(), "SELECT DISTINCT file_path, regexp_matches(lower(file_path), '\\.(java|js|jsx|ts|tsx|mjs)$') AS is_source FROM nodes"),
+    ("s11_kept_files", lambda g: g.nodes.select("file_path", P.is_kept(F.concat(F.lit("target/"), "file_path"), True).alias("compatible"), P.is_kept(F.concat(F.lit("targets/"), "file_path")).alias("kept")).distinct(), "SELECT DISTINCT file_path, false AS compatible, true AS kept FROM nodes"),
+    ("s13_lines", lambda g: g.nodes.where("kind = 'function'").select("id", F.posexplode(F.split("docstring", "\n"))).select("id", (F.col("pos") + 1).alias("line"), F.col("col").alias("text")), "SELECT id, CAST(generate_subscripts(string_split(docstring, chr(10)), 1) AS INT) AS line, unnest(string_split(docstring, chr(10))) AS text FROM nodes WHERE kind = 'function'"),
+    ("s14_hashes", lambda g: g.nodes.where("docstring IS NOT NULL").select("id", F.sha2("docstring", 256).alias("hash")), "SELECT id, sha256(docstring) AS hash FROM nodes WHERE docstring IS NOT NULL"),
+    ("f1_by_name", lambda g: slim(L.by_name(g.nodes, "red plate")), f"SELECT {FEW} FROM nodes WHERE name = 'red plate'"),
+    ("f2_by_qualified_name", lambda g: slim(L.by_qualified_name(g.nodes, "ASIA.NATION_2")), f"SELECT {FEW} FROM nodes WHERE qualified_name = 'ASIA.NATION_2'"),
+    ("f3_by_lower_name", lambda g: slim(L.by_lower_name(g.nodes, "NATION_2")), f"SELECT {FEW} FROM nodes WHERE lower(name) = 'nation_2'"),
+    ("f4_by_kind", lambda g: slim(L.by_kind(g.nodes, "interface")), f"SELECT {FEW} FROM nodes WHERE kind = 'interface'"),
+    ("f5_in_file", lambda g: slim(L.in_file(g.nodes, "sales/orders/2-HIGH.java")), f"SELECT {FEW} FROM nodes WHERE file_path = 'sales/orders/2-HIGH.java'"),
+    ("f6_search", lambda g: slim(L.search(g.nodes, "NATION_1")), f"SELECT {FEW} FROM nodes WHERE contains(lower(name), 'nation_1') OR contains(lower(qualified_name), 'nation_1') OR contains(lower(docstring), 'nation_1')"),
+    ("f7_search_kinds", lambda g: slim(L.search(g.nodes, "ring", ("class", "interface"), 25)), f"SELECT {FEW} FROM nodes WHERE (contains(lower(name), 'ring') OR contains(lower(qualified_name), 'ring') OR contains(lower(docstring), 'ring')) AND kind IN ('class', 'interface') ORDER BY id LIMIT 25"),
+    ("f8_name_substring", lambda g: slim(L.name_substring(g.nodes, "plate", 30, ("class",), True)), f"SELECT {FEW} FROM nodes WHERE contains(lower(name), 'plate') AND NOT starts_with(lower(name), 'plate') AND kind = 'class' ORDER BY id LIMIT 30"),
+    ("f9_edges_by_source", lambda g: L.outgoing(g.edges, "order:201"), "SELECT * FROM edges WHERE source = 'order:201'"),
+    ("f10_edges_by_target", lambda g: L.incoming(g.edges, "part:3"), "SELECT * FROM edges WHERE target = 'part:3'"),
+    ("f11_outgoing", lambda g: L.outgoing(g.edges, "part:3", ("implements", "calls")), "SELECT * FROM edges WHERE source = 'part:3' AND kind IN ('implements', 'calls')"),
+    ("f12_incoming", lambda g: L.incoming(g.edges, "supplier:1", ("references",)), "SELECT * FROM edges WHERE target = 'supplier:1' AND kind = 'references'"),
+    ("f13_glob", lambda g: slim(L.by_glob(g.nodes, "nation_?.customer*7")), f"SELECT {FEW} FROM nodes WHERE regexp_full_match(lower(qualified_name), 'nation_.\\.customer.*7')"),
+    ("f14_exported", lambda g: slim(L.exported(g.nodes, "sales/orders/2-HIGH.java")), f"SELECT {FEW} FROM nodes WHERE file_path = 'sales/orders/2-HIGH.java' AND is_exported"),
+    ("f15_config_leaf", lambda g: g.nodes.select("id", P.is_config_leaf(F.when(F.col("kind") == "interface", "field").otherwise("class"), F.concat(F.lit("${"), "name"), F.col("qualified_name")).alias("leaf")), "SELECT id, kind = 'interface' AS leaf FROM nodes"),
+    ("f16_low_value", lambda g: g.nodes.select("file_path", P.is_low_value(F.col("file_path")).alias("low")).distinct(), "SELECT DISTINCT file_path, regexp_matches(lower(file_path), '/(tests|spec|__tests__|test|specs|icons|i18n)/') AS low FROM nodes"),
+    ("f17_generated", lambda g: g.nodes.select("file_path", P.is_generated(F.regexp_replace("file_path", "catalog", "generated")).alias("made")).distinct(), "SELECT DISTINCT file_path, contains(lower(replace(file_path, 'catalog', 'generated')), '/generated/') AS made FROM nodes"),
+    ("f18_test_files", lambda g: g.nodes.select("file_path", P.is_test(F.col("file_path")).alias("test")).distinct(), "SELECT DISTINCT file_path, regexp_matches(lower(file_path), '/(tests|test|__tests__|spec|specs|testlib|testing)/|^(test|tests|spec|specs)/|(^|/)(integration|samples?|examples?|fixtures?|benchmarks?|demos?)/') AS test FROM nodes"),
+    ("f19_plain_test_files", lambda g: g.nodes.select("file_path", P.is_plain_test(F.col("file_path")).alias("test")).distinct(), "SELECT DISTINCT file_path, regexp_matches(lower(file_path), '/tests/|/spec/|/__tests__/|/test/|_test\\.|_spec\\.') AS test FROM nodes"),
+    ("f20_callable", lambda g: slim(g.nodes.where(L.is_callable(F.col("kind")))), f"SELECT {FEW} FROM nodes WHERE kind IN ('method', 'function', 'component', 'constructor')"),
+    ("f22_resolve_symbol", lambda g: L.resolve_symbol(g.nodes, "RED PLATE").select("id", "level"), "SELECT id, level FROM (SELECT id, level, min(level) OVER () AS best FROM (SELECT id, CASE WHEN qualified_name = 'RED PLATE' THEN 0 WHEN name = 'RED PLATE' THEN 1 WHEN lower(name) = 'red plate' THEN 2 END AS level FROM nodes) WHERE level IS NOT NULL) WHERE level = best"),
+    ("f23_pick_by_file", lambda g: slim(L.pick_by_file(L.by_name(g.nodes, "red plate"), "src/test")), f"SELECT {FEW} FROM nodes WHERE name = 'red plate' ORDER BY contains(file_path, 'src/test') DESC, id LIMIT 1"),
+    ("f24_without_noisy", lambda g: A.by_kind(L.without_kinds(g.edges, ("imports", "exports", "references"))), "SELECT kind, count(*) AS n FROM edges WHERE kind NOT IN ('imports', 'exports', 'references') GROUP BY kind"),
+    ("f26_path_prefix", lambda g: A.symbols_per_file(g.nodes.where(F.col("file_path").startswith("sales/n1"))), "SELECT file_path, count(*) AS n FROM nodes WHERE starts_with(file_path, 'sales/n1') GROUP BY file_path"),
+    ("p2_view_rows", lambda g: L.view_row(g.nodes), "SELECT id, kind, name, qualified_name, file_path, start_line FROM nodes WHERE kind NOT IN ('import', 'export')"),
+)
+
+# joins
+many(
+    ("j1_endpoints", lambda g: J.with_endpoints(g.edges.where("kind = 'extends'"), g.nodes, "name", "file_path").select("source", "target", "source_name", "target_name"), "SELECT e.source, e.target, a.name AS source_name, b.name AS target_name FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target WHERE e.kind = 'extends'"),
+    ("j2_children", lambda g: slim(J.children(g.nodes, g.edges, "nation:2")), f"SELECT {', '.join('n.' + c for c in SLIM)} FROM nodes n JOIN edges e ON e.target = n.id WHERE e.source = 'nation:2' AND e.kind = 'contains'"),
+    ("j3_usages", lambda g: J.usages(g.nodes, g.edges, "supplier:1").select("id", "edge_kind", "line"), "SELECT n.id, e.kind AS edge_kind, e.line FROM edges e JOIN nodes n ON n.id = e.source WHERE e.target = 'supplier:1' AND e.kind <> 'contains'"),
+    ("j4_references", lambda g: J.references(g.nodes, g.edges, "part:3", "outgoing").select("id", "edge_kind", F.lit("out").alias("way")).union(J.references(g.nodes, g.edges, "part:3", "incoming").select("id", "edge_kind", F.lit("in"))), "SELECT e.target AS id, e.kind AS edge_kind, 'out' AS way FROM edges e JOIN nodes n ON n.id = e.target WHERE e.source = 'part:3' AND e.kind <> 'contains' UNION ALL SELECT e.source, e.kind, 'in' FROM edges e JOIN nodes n ON n.id = e.source WHERE e.target = 'part:3' AND e.kind <> 'contains'"),
+    ("j5_dependency_files", lambda g: J.file_dependencies(g.nodes, g.edges, ("calls", "references", "extends", "implements")), "SELECT DISTINCT a.file_path AS from_file, b.file_path AS to_file FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target WHERE e.kind IN ('calls', 'references', 'extends', 'implements') AND a.file_path <> b.file_path"),
+    ("j6_file_dependencies", lambda g: J.file_dependencies(g.nodes, g.edges).where("from_file = 'sales/orders/2-HIGH.java'"), f"SELECT DISTINCT a.file_path AS from_file, b.file_path AS to_file FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target WHERE e.kind IN {DEPS_SQL} AND a.file_path = 'sales/orders/2-HIGH.java' AND b.file_path <> a.file_path"),
+    ("j7_file_dependents", lambda g: J.file_dependents(g.nodes, g.edges, "supply/n3/Supplier.java"), "SELECT DISTINCT a.file_path AS path FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target WHERE e.kind <> 'contains' AND b.file_path = 'supply/n3/Supplier.java' AND a.file_path <> b.file_path"),
+    ("j8_sound_edges", lambda g: A.by_kind(J.sound_edges(g.edges.unionByName(g.edges.limit(1).select(F.lit("none").alias("source"), "target", "kind", "line")), g.nodes)), "SELECT kind, count(*) AS n FROM edges GROUP BY kind"),
+    ("j9_vanished", lambda g: J.vanished(g.nodes.select(F.col("file_path").alias("path")).distinct(), g.nodes.where("kind <> 'class'").select(F.col("file_path").alias("path"))), "SELECT DISTINCT file_path AS path FROM nodes WHERE file_path NOT IN (SELECT file_path FROM nodes WHERE kind <> 'class')"),
+    ("j15_induced", lambda g: J.induced(g.edges, g.nodes.where("kind = 'class' AND is_exported")).select("source", "target", "kind"), "SELECT source, target, e.kind FROM edges e WHERE source IN (SELECT id FROM nodes WHERE kind = 'class' AND is_exported) AND target IN (SELECT id FROM nodes WHERE kind = 'class' AND is_exported)"),
+)
+
+# aggregates
+many(
+    ("a1_node_count", lambda g: g.nodes.agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM nodes"),
+    ("a2_edge_count", lambda g: g.edges.agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM edges"),
+    ("a4_nodes_by_kind", lambda g: A.by_kind(g.nodes), "SELECT kind, count(*) AS n FROM nodes GROUP BY kind"),
+    ("a5_edges_by_kind", lambda g: A.by_kind(g.edges), "SELECT kind, count(*) AS n FROM edges GROUP BY kind"),
+    ("a6_symbols_per_file", lambda g: A.symbols_per_file(g.nodes), "SELECT file_path, count(*) AS n FROM nodes GROUP BY file_path"),
+    ("a7_files_by_directory", lambda g: A.files_by_directory(g.nodes), "SELECT dir, count(*) AS n, string_agg(file_path, ',' ORDER BY file_path) AS files FROM (SELECT DISTINCT file_path, regexp_extract(file_path, '^(.*)/', 1) AS dir FROM nodes) GROUP BY dir"),
+    ("a9_metrics", lambda g: A.metrics(g.nodes, g.edges), "SELECT n.id, coalesce(i.d, 0) AS in_degree, coalesce(o.d, 0) AS out_degree, CAST(coalesce(o.c, 0) AS BIGINT) AS call_count, CAST(coalesce(i.c, 0) AS BIGINT) AS caller_count, CAST(coalesce(o.k, 0) AS BIGINT) AS child_count, coalesce(i.u, 0) = 0 AS is_dead_code FROM nodes n LEFT JOIN (SELECT source, count(*) AS d, sum((kind IN ('calls', 'instantiates'))::INT) AS c, sum((kind = 'contains')::INT) AS k FROM edges GROUP BY source) o ON o.source = n.id LEFT JOIN (SELECT target, count(*) AS d, sum((kind IN ('calls', 'instantiates'))::INT) AS c, sum((kind <> 'contains')::INT) AS u FROM edges GROUP BY target) i ON i.target = n.id"),
+    ("a10_dead_code", lambda g: slim(A.dead_code(g.nodes, g.edges)), f"SELECT {FEW} FROM nodes n WHERE kind IN ('method', 'function', 'class') AND NOT is_exported AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target = n.id AND e.kind <> 'contains')"),
+    ("a11_top_by_degree", lambda g: A.top_by_degree(g.nodes, g.edges, 20).select("id", "degree"), "SELECT n.id, coalesce(d.degree, 0) AS degree FROM nodes n LEFT JOIN (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges WHERE target <> source) GROUP BY id) d ON d.id = n.id ORDER BY degree DESC, n.id LIMIT 20"),
+    ("a12_node_sizes", lambda g: A.degrees(g.edges).select("id", A.node_size(F.col("degree")).alias("size")), "SELECT id, least(greatest(5 + 3 * count(*), 5), 40) AS size FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges WHERE target <> source) GROUP BY id"),
+    ("a13_kinds", lambda g: g.nodes.select("kind").distinct(), "SELECT DISTINCT kind FROM nodes"),
+    ("a14_siblings", lambda g: A.polymorphic_siblings(g.edges), "SELECT DISTINCT source AS id FROM edges WHERE kind IN ('extends', 'implements') AND target IN (SELECT target FROM edges WHERE kind IN ('extends', 'implements') GROUP BY target HAVING count(DISTINCT source) >= 3)"),
+    ("a14_supertypes", lambda g: A.supertypes(g.edges), "SELECT target AS id, count(DISTINCT source) AS n FROM edges WHERE kind IN ('extends', 'implements') GROUP BY target HAVING count(DISTINCT source) >= 3"),
+    ("a20_blast_radius", lambda g: A.blast_radius(g.nodes, g.edges, g.nodes.where("id IN ('part:3', 'supplier:1', 'order:201', 'doc:7')")), f"""
+     , c AS (SELECT DISTINCT e.target, n.id, n.file_path FROM edges e JOIN nodes n ON n.id = e.source WHERE e.kind IN ({CALLS_SQL}) AND e.target IN ('part:3', 'supplier:1', 'order:201', 'doc:7')),
+     f AS (SELECT DISTINCT target, file_path, regexp_matches(lower(file_path), '/tests/|/spec/|/__tests__/|/test/|_test\\.|_spec\\.') AS test FROM c),
+     r AS (SELECT *, row_number() OVER (PARTITION BY target, test ORDER BY file_path) AS k FROM f),
+     l AS (SELECT target, coalesce(string_agg(file_path, ',' ORDER BY file_path) FILTER (WHERE NOT test), '') AS files, coalesce(string_agg(file_path, ',' ORDER BY file_path) FILTER (WHERE test), '') AS tests FROM r WHERE k <= 4 GROUP BY target)
+     SELECT l.target AS id, (SELECT count(*) FROM c WHERE c.target = l.target) AS callers, files, tests, tests = '' AS untested FROM l"""),
+    ("a21_kinds_by_file", lambda g: g.nodes.groupBy("file_path").pivot("kind", ["class", "function", "interface", "method", "module"]).count().na.fill(0), "SELECT file_path, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS \"{k}\"" for k in ("class", "function", "interface", "method", "module")) + " FROM nodes GROUP BY file_path"),
+    ("a22_relations_by_kind", lambda g: A.relations_by_kind(g.edges, g.nodes, 5), "SELECT kind, CAST(rank AS INT) AS rank, source_name, target_name, total - 5 AS more FROM (SELECT e.kind, a.name AS source_name, b.name AS target_name, row_number() OVER (PARTITION BY e.kind ORDER BY a.name, b.name, e.source, e.target) AS rank, count(*) OVER (PARTITION BY e.kind) AS total FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target) WHERE rank <= 5"),
+)
+
+# traversals
+REACH = """, r AS (SELECT '{start}' AS id, 0 AS level UNION SELECT {to}, level + 1 FROM r JOIN edges e ON {at} = r.id WHERE level < {depth} AND e.kind IN ({kinds}))
+SELECT id, CAST(min(level) AS INT) AS level FROM r GROUP BY id"""
+BOTH = "(SELECT source AS at, target AS go, kind FROM edges UNION ALL SELECT target, source, kind FROM edges)"
+EVERY = "'contains', 'calls', 'imports', 'extends', 'implements', 'references', 'instantiates'"
+many(
+    ("g1_bfs", lambda g: T.bfs(g, "nation:2", 2, 100_000).select("id", "level"), REACH.format(start="nation:2", to="e.target", at="e.source", depth=2, kinds=EVERY)),
+    ("g1_bfs_both", lambda g: T.bfs(g, "doc:7", 3, 100_000, "both").select("id", "level"), f", r AS (SELECT 'doc:7' AS id, 0 AS level UNION SELECT e.go, level + 1 FROM r JOIN {BOTH} e ON e.at = r.id WHERE level < 3) SELECT id, CAST(min(level) AS INT) AS level FROM r GROUP BY id"),
+    ("g1_bfs_tree", lambda g: T.bfs(g, "order:201", 1, 100_000), "SELECT 'order:201' AS id, 0 AS level, NULL AS parent, NULL AS kind UNION ALL SELECT id, 1, 'order:201', kind FROM (SELECT target AS id, kind, row_number() OVER (PARTITION BY target ORDER BY CASE kind WHEN 'contains' THEN 0 WHEN 'calls' THEN 1 ELSE 2 END, kind) AS k FROM edges WHERE source = 'order:201') WHERE k = 1"),
+    ("g1_bfs_kinds", lambda g: T.bfs(g, "module:2", None, 100_000, "outgoing", ("contains",), ("module", "class")).select("id", "level"), ", r AS (SELECT 'module:2' AS id, 0 AS level UNION SELECT e.target, level + 1 FROM r JOIN edges e ON e.source = r.id JOIN nodes n ON n.id = e.target WHERE e.kind = 'contains' AND n.kind IN ('module', 'class')) SELECT id, CAST(min(level) AS INT) AS level FROM r GROUP BY id"),
+    ("g3_callers", lambda g: T.callers(g, "part:3").select("id", "kind", "line", "level"), f"SELECT source AS id, kind, line, 1 AS level FROM edges WHERE target = 'part:3' AND kind IN ({CALLS_SQL})"),
+    ("g3_callers_deep", lambda g: T.callers(g, "doc:7", 3).select("id", "kind", "line", "level"), f", r AS (SELECT 'doc:7' AS id, 0 AS level UNION SELECT e.source, level + 1 FROM r JOIN edges e ON e.target = r.id WHERE level < 2 AND e.kind IN ({CALLS_SQL})), m AS (SELECT id, min(level) AS level FROM r GROUP BY id) SELECT e.source AS id, e.kind, e.line, CAST(m.level + 1 AS INT) AS level FROM edges e JOIN m ON e.target = m.id WHERE e.kind IN ({CALLS_SQL})"),
+    ("g4_callees", lambda g: T.callees(g, "order:201").select("id", "kind", "line", "level"), f"SELECT target AS id, kind, line, 1 AS level FROM edges WHERE source = 'order:201' AND kind IN ({CALLS_SQL})"),
+    ("g5_call_graph", lambda g: T.call_graph(g, "doc:7", 2).select("id", "level"), f", r AS (SELECT 'doc:7' AS id, 0 AS level UNION SELECT e.go, level + 1 FROM r JOIN {BOTH} e ON e.at = r.id WHERE level < 2 AND e.kind IN ({CALLS_SQL})) SELECT id, CAST(min(level) AS INT) AS level FROM r GROUP BY id"),
+    ("g6_impact_1", lambda g: T.impact(g, "nation:2", 1), """, r AS (SELECT 'nation:2' AS id, 0 AS level UNION SELECT e.source, level + 1 FROM r JOIN edges e ON e.target = r.id WHERE level < 1 AND e.kind <> 'contains'),
+     h AS (SELECT id, min(level) AS level FROM r GROUP BY id),
+     c AS (SELECT h.id, h.level FROM h WHERE h.level < 1 UNION SELECT e.target, c.level FROM c JOIN nodes n ON n.id = c.id JOIN edges e ON e.source = c.id AND e.kind = 'contains' WHERE n.kind IN ('class', 'interface', 'struct', 'enum', 'module', 'file'))
+     SELECT id, CAST(min(level) AS INT) AS level FROM (SELECT * FROM h UNION ALL SELECT * FROM c) GROUP BY id"""),
+    ("g6_impact_2", lambda g: T.impact(g, "part:3", 2), """, r AS (SELECT 'part:3' AS id, 0 AS level UNION SELECT e.source, level + 1 FROM r JOIN edges e ON e.target = r.id WHERE level < 2 AND e.kind <> 'contains'),
+     h AS (SELECT id, min(level) AS level FROM r GROUP BY id),
+     c AS (SELECT h.id, h.level FROM h WHERE h.level < 2 UNION SELECT e.target, c.level FROM c JOIN nodes n ON n.id = c.id JOIN edges e ON e.source = c.id AND e.kind = 'contains' WHERE n.kind IN ('class', 'interface', 'struct', 'enum', 'module', 'file'))
+     SELECT id, CAST(min(level) AS INT) AS level FROM (SELECT * FROM h UNION ALL SELECT * FROM c) GROUP BY id"""),
+    ("g7_type_ancestors", lambda g: T.type_ancestors(g, "part:201").select("id"), ", r AS (SELECT 'part:201' AS id UNION SELECT e.target FROM r JOIN edges e ON e.source = r.id WHERE e.kind IN ('extends', 'implements')) SELECT id FROM r WHERE id <> 'part:201'"),
+    ("g8_type_descendants", lambda g: T.type_descendants(g, "part:3").select("id"), ", r AS (SELECT 'part:3' AS id UNION SELECT e.source FROM r JOIN edges e ON e.target = r.id WHERE e.kind IN ('extends', 'implements')) SELECT id FROM r WHERE id <> 'part:3'"),
+    ("g8b_type_hierarchy", lambda g: T.type_hierarchy(g, "part:3")[1], ", u AS (SELECT 'part:3' AS id UNION SELECT e.target FROM u JOIN edges e ON e.source = u.id WHERE e.kind IN ('extends', 'implements')), d AS (SELECT 'part:3' AS id UNION SELECT e.source FROM d JOIN edges e ON e.target = d.id WHERE e.kind IN ('extends', 'implements')) SELECT source, target, kind FROM edges WHERE kind IN ('extends', 'implements') AND source IN (SELECT id FROM u UNION SELECT id FROM d)"),
+    ("g9_ancestors", lambda g: T.ancestors(g, "order:201"), ", r AS (SELECT 'order:201' AS id, 0 AS level UNION ALL SELECT (SELECT min(source) FROM edges e WHERE e.target = r.id AND e.kind = 'contains'), level + 1 FROM r WHERE EXISTS (SELECT 1 FROM edges e WHERE e.target = r.id AND e.kind = 'contains')) SELECT id, CAST(level AS INT) AS level FROM r WHERE level > 0"),
+    ("g12_distance", lambda g: T.distance(g, "module:2", "part:0"), ", r AS (SELECT 'module:2' AS id, 0 AS level UNION SELECT e.target, level + 1 FROM r JOIN edges e ON e.source = r.id WHERE level < 6) SELECT CAST(min(level) AS INT) AS hops FROM r WHERE id = 'part:0'"),
+    ("g13_cyclic_files", lambda g: N.cyclic_files(J.file_dependencies(g.nodes, g.edges)).select("file"), f", d AS (SELECT DISTINCT a.file_path AS s, b.file_path AS t FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target WHERE e.kind IN {DEPS_SQL} AND a.file_path <> b.file_path), r AS (SELECT s, t FROM d UNION SELECT r.s, d.t FROM r JOIN d ON d.s = r.t) SELECT DISTINCT s AS file FROM r WHERE s = t"),
+    ("g15_context", lambda g: T.context(g, "customer:85"), ", r AS (SELECT 'customer:85' AS id, 0 AS level UNION ALL SELECT e.source, level + 1 FROM r JOIN edges e ON e.target = r.id AND e.kind = 'contains') SELECT CASE WHEN level = 0 THEN 'focal' ELSE 'ancestor' END AS role, id, NULL AS edge_kind FROM r UNION ALL SELECT 'child', target, NULL FROM edges WHERE source = 'customer:85' AND kind = 'contains' UNION ALL SELECT 'incoming', source, kind FROM edges WHERE target = 'customer:85' AND kind <> 'contains' UNION ALL SELECT 'outgoing', target, kind FROM edges WHERE source = 'customer:85' AND kind <> 'contains'"),
+    ("g16_view", lambda g: T.view(g, g.nodes.where("id = 'nation:2'"), 1, 250)[0].select("id", "level", "degree", "size"), f""", e1 AS (SELECT * FROM {BOTH} WHERE kind NOT IN ('imports', 'exports', 'references')),
+     n1 AS (SELECT 'nation:2' AS id, 0 AS level UNION SELECT e1.go, 1 FROM e1 WHERE e1.at = 'nation:2' AND e1.go <> 'nation:2'),
+     n2 AS (SELECT * FROM n1 ORDER BY level, id LIMIT 250),
+     d AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges WHERE kind NOT IN ('imports', 'exports', 'references') AND source IN (SELECT id FROM n2) AND target IN (SELECT id FROM n2) UNION ALL SELECT target FROM edges WHERE kind NOT IN ('imports', 'exports', 'references') AND source IN (SELECT id FROM n2) AND target IN (SELECT id FROM n2)) GROUP BY id)
+     SELECT n2.id, CAST(level AS INT) AS level, coalesce(degree, 0) AS degree, least(greatest(5 + 3 * coalesce(degree, 0), 5), 40) AS size FROM n2 LEFT JOIN d ON d.id = n2.id"""),
+    ("g17_random_walk", lambda g: N.random_walk(g.edges.where("kind = 'extends'"), g.nodes.where("id LIKE 'part:%'"), g.nodes.where("id IN ('part:3', 'part:7')"), 3).select("id", F.round("score", 9).alias("score")).where("score > 0"), """
+     , b AS (SELECT source AS a, target AS t FROM edges WHERE kind = 'extends' UNION ALL SELECT target, source FROM edges WHERE kind = 'extends'), w AS (SELECT a, t, count(*) / sum(count(*)) OVER (PARTITION BY a) AS p FROM b WHERE a <> t GROUP BY a, t),
+     s0 AS (SELECT id, CASE WHEN id IN ('part:3', 'part:7') THEN 0.5::DOUBLE ELSE 0 END AS s FROM nodes WHERE id LIKE 'part:%'),
+     s1 AS (SELECT s0.id, 0.75 * coalesce(sum(w.p * x.s), 0) + 0.25 * any_value(s0.s) AS s FROM s0 LEFT JOIN w ON w.t = s0.id LEFT JOIN s0 x ON x.id = w.a GROUP BY s0.id),
+     s2 AS (SELECT s0.id, 0.75 * coalesce(sum(w.p * x.s), 0) + 0.25 * any_value(s0.s) AS s FROM s0 LEFT JOIN w ON w.t = s0.id LEFT JOIN s1 x ON x.id = w.a GROUP BY s0.id),
+     s3 AS (SELECT s0.id, 0.75 * coalesce(sum(w.p * x.s), 0) + 0.25 * any_value(s0.s) AS s FROM s0 LEFT JOIN w ON w.t = s0.id LEFT JOIN s2 x ON x.id = w.a GROUP BY s0.id)
+     SELECT id, round(s, 9) AS score FROM s3 WHERE round(s, 9) > 0"""),
+    ("g18_proximity", lambda g: g.nodes.where("kind = 'class'").select("id", N.proximity(F.lit("sales/n1/BUILDING.java"), F.col("file_path"), F.col("is_exported")).alias("near")), "SELECT id, CAST((CASE WHEN file_path = 'sales/n1/BUILDING.java' THEN 100 ELSE 0 END) + (CASE WHEN regexp_extract(file_path, '^(.*)/', 1) = 'sales/n1' THEN 30 ELSE 0 END) + least(10 * (CASE WHEN NOT starts_with(file_path, 'sales/') THEN 0 WHEN starts_with(file_path, 'sales/n1/') THEN 2 ELSE 1 END), 80) + (CASE WHEN is_exported THEN 10 ELSE 0 END) AS INT) AS near FROM nodes WHERE kind = 'class'"),
+    ("g19_glue", lambda g: slim(T.glue(g, g.nodes.where("id IN ('order:201', 'order:202')"), g.nodes.where("id IN ('order:201', 'order:202', 'part:3', 'part:11', 'supplier:1', 'supplier:9')"))), f", m AS (SELECT unnest(['order:201', 'order:202', 'part:3', 'part:11', 'supplier:1', 'supplier:9']) AS id), x AS (SELECT source AS id FROM edges WHERE target IN ('order:201', 'order:202') AND kind IN ({CALLS_SQL}) UNION SELECT target FROM edges WHERE source IN ('order:201', 'order:202') AND kind IN ({CALLS_SQL})) SELECT {FEW} FROM nodes WHERE id IN (SELECT id FROM x) AND id NOT IN (SELECT id FROM m) AND file_path IN (SELECT file_path FROM nodes WHERE id IN (SELECT id FROM m)) ORDER BY id LIMIT 60"),
+    ("d_path_steps", lambda g: g.nodes.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(T.path(g, "order:201", "part:0") or [])], "step int, id string, kind string").select("step"), None),
+)
+
+# search and resolution
+many(
+    ("r6_exact", lambda g: search.exact_hits(g.nodes, ["red plate", "ASIA.NATION_2", "order201"], 1000), "SELECT x.id, score + CASE WHEN n > 1 THEN (n - 1) * 20.0 ELSE 0 END AS score FROM (SELECT id, lower(name) AS low, file_path, CASE WHEN qualified_name IN ('red plate', 'ASIA.NATION_2', 'order201') THEN 80.0::DOUBLE WHEN name IN ('red plate', 'ASIA.NATION_2', 'order201') THEN 70.0 END AS score FROM nodes) x JOIN (SELECT file_path, count(DISTINCT lower(name)) AS n FROM nodes WHERE qualified_name IN ('red plate', 'ASIA.NATION_2', 'order201') OR name IN ('red plate', 'ASIA.NATION_2', 'order201') GROUP BY file_path) y ON y.file_path = x.file_path WHERE score IS NOT NULL ORDER BY score DESC, x.id LIMIT 2000"),
+    ("r7_prefix", lambda g: search.prefix_hits(g.nodes, ["customer"], 100).select("id", F.round("score", 6).alias("score")), "SELECT id, round(15.0 + greatest(0.0, 10.0 - (length(name) - 8) / 3.0), 6)::DOUBLE AS score FROM nodes WHERE kind IN ('class', 'interface', 'struct', 'enum') AND starts_with(name, 'Customer') ORDER BY score DESC, id LIMIT 300"),
+    ("r8_terms", lambda g: search.term_hits(g.nodes, ["nation", "supplier"], 200), "SELECT id, 10.0::DOUBLE + 5.0 * (n - 1) AS score FROM (SELECT id, (contains(lower(name), 'nation') OR contains(lower(qualified_name), 'nation') OR coalesce(contains(lower(docstring), 'nation'), false))::INT + (contains(lower(name), 'supplier') OR contains(lower(qualified_name), 'supplier') OR coalesce(contains(lower(docstring), 'supplier'), false))::INT AS n FROM nodes) WHERE n > 0 ORDER BY score DESC, id LIMIT 600"),
+    ("r9_test_penalty", lambda g: g.nodes.select("id", F.round(F.when(P.is_test(F.col("file_path")), 0.3 * F.length("name")).otherwise(F.length("name").cast("double")), 6).alias("score")), "SELECT id, round(CASE WHEN contains(file_path, '/test/') THEN 0.3 * length(name) ELSE length(name) END, 6)::DOUBLE AS score FROM nodes"),
+    ("r12_compound", lambda g: search.compound_hits(g.nodes, ["red", "ring", "small"], "red ring small", 400).select("id", F.round("score", 6).alias("score")), "SELECT id, round(10.0 + 20.0 * (n - 1) + (CASE WHEN contains(file_path, '/test/') THEN -15 ELSE 0 END) + (CASE WHEN contains(lower(file_path), 'small') THEN (CASE WHEN contains(lower(regexp_extract(file_path, '[^/]*$')), 'small') THEN 10 ELSE 5 END) ELSE 0 END) + greatest(0.0, 6.0 - length(name) / 8.0), 6)::DOUBLE AS score FROM (SELECT *, contains(lower(name), 'red')::INT + contains(lower(name), 'ring')::INT + contains(lower(name), 'small')::INT AS n FROM nodes) WHERE n >= 2 ORDER BY score DESC, id LIMIT 200"),
+    ("r14_find", lambda g: search.find(g, "Customer supplier NATION_2 order201").select("id", F.round("score", 4).alias("score")), None),
+    ("r16_relevant", lambda g: search.relevant(g, "order201 redPlate")[1], None),
+    ("w1_first_match", lambda g: first_of(g.edges.where("kind = 'calls'"), ["source"], ["line", "target"]).select("source", "target"), "SELECT source, target FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY line, target) AS k FROM edges WHERE kind = 'calls') WHERE k = 1"),
+    ("w9_latest", lambda g: L.latest(g.edges.where("kind = 'implements'").groupBy("target").agg(F.max("source").alias("last"), F.count(F.lit(1)).alias("n")), "target", "n").select("target", "last"), "SELECT target, max(source) AS last FROM edges WHERE kind = 'implements' GROUP BY target"),
+)
+
+
+def _refs(g: PropertyGraph) -> DataFrame:
+    return g.nodes.where("kind = 'method' AND start_line <= 400").select(F.col("id").alias("ref_id"), F.element_at(F.array(*map(F.lit, ("red plate", "NATION_3", "small ring", "supplier#000000003", "nothing"))), (F.col("start_line") % 5 + 1).cast("int")).alias("reference_name"), "file_path")
+
+
+query("j11_by_name", """, refs AS (SELECT id AS ref_id, ['red plate', 'NATION_3', 'small ring', 'supplier#000000003', 'nothing'][start_line % 5 + 1] AS reference_name, file_path FROM nodes WHERE kind = 'method' AND start_line <= 400),
+ c AS (SELECT r.ref_id, n.id AS target, CASE WHEN n.qualified_name = r.reference_name THEN 0 WHEN n.name = r.reference_name THEN 1 ELSE 2 END AS level, (CASE WHEN n.is_exported THEN 10 ELSE 0 END) AS near FROM refs r JOIN nodes n ON n.kind NOT IN ('import', 'module') AND (n.qualified_name = r.reference_name OR n.name = r.reference_name OR lower(n.name) = lower(r.reference_name)))
+ SELECT ref_id, target, CAST(level AS INT) AS level FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY level, near DESC, target) AS k FROM c) WHERE k = 1""")(lambda g: resolve.by_name(_refs(g), g.nodes))
