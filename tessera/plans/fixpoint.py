@@ -7,13 +7,15 @@ executor costs one round at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.lineage import cut
 
-#: The order in which edges are followed.
-PRIORITY = F.when(F.col("kind") == "contains", 0).when(F.col("kind") == "calls", 1).otherwise(2)
+
+def priority() -> Column:
+    """The order in which edges are followed."""
+    return F.when(F.col("kind") == "contains", 0).when(F.col("kind") == "calls", 1).otherwise(2)
 
 
 def oriented(edges: DataFrame, direction: str = "outgoing") -> DataFrame:
@@ -55,7 +57,7 @@ def tree(steps: DataFrame, starts: DataFrame, depth: int | None = None, allowed:
             new = new.join(allowed.select("id"), "id", "left_semi")
         new = new.join(seen.select("id"), "id", "left_anti")
         # the least step of each node is a partial aggregate, so a node that many steps reach isn't gathered
-        new = cut(new.groupBy("id").agg(F.min(F.struct(PRIORITY.alias("p"), "incoming", "at", "kind")).alias("x")).select("id", F.lit(level).alias("level"), F.col("x.at").alias("parent"), F.col("x.kind").alias("kind")))
+        new = cut(new.groupBy("id").agg(F.min(F.struct(priority().alias("p"), "incoming", "at", "kind")).alias("x")).select("id", F.lit(level).alias("level"), F.col("x.at").alias("parent"), F.col("x.kind").alias("kind")))
         if new.isEmpty():
             break
         seen, frontier = cut(seen.unionByName(new)), new
