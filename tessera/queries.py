@@ -203,3 +203,78 @@ def _refs(g: PropertyGraph) -> DataFrame:
 query("j11_by_name", """, refs AS (SELECT id AS ref_id, ['red plate', 'NATION_3', 'small ring', 'supplier#000000003', 'nothing'][start_line % 5 + 1] AS reference_name, file_path FROM nodes WHERE kind = 'method' AND start_line <= 400),
  c AS (SELECT r.ref_id, n.id AS target, CASE WHEN n.qualified_name = r.reference_name THEN 0 WHEN n.name = r.reference_name THEN 1 ELSE 2 END AS level, (CASE WHEN n.is_exported THEN 10 ELSE 0 END) AS near FROM refs r JOIN nodes n ON n.kind NOT IN ('import', 'module') AND (n.qualified_name = r.reference_name OR n.name = r.reference_name OR lower(n.name) = lower(r.reference_name)))
  SELECT ref_id, target, CAST(level AS INT) AS level FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY level, near DESC, target) AS k FROM c) WHERE k = 1""")(lambda g: resolve.by_name(_refs(g), g.nodes))
+
+# sync, rendering, streams and ranking over the same tables
+from tessera.operators import rank, render  # noqa: E402
+from tessera.streaming import sync, watch  # noqa: E402
+
+
+def _snapshots(g: PropertyGraph) -> tuple[DataFrame, DataFrame]:
+    n = g.nodes.where("kind = 'class'")
+    old = n.where("start_line % 7 <> 0").select(F.col("id").alias("path"), F.sha2("name", 256).alias("content_hash"), F.length("name").cast("long").alias("size"), F.col("start_line").cast("long").alias("modified_at"))
+    new = n.where("start_line % 5 <> 0").select(F.col("id").alias("path"), F.sha2(F.when(F.expr("start_line % 3 = 0"), F.concat("name", F.lit("x"))).otherwise(F.col("name")), 256).alias("content_hash"), F.length("name").cast("long").alias("size"), (F.col("start_line") + F.expr("CAST(start_line % 2 AS INT)")).cast("long").alias("modified_at"))
+    return old, new
+
+
+_CHANGE_SQL = "SELECT id AS path, CASE WHEN start_line % 7 <> 0 AND start_line % 5 = 0 THEN 'removed' WHEN start_line % 7 = 0 THEN 'added' WHEN start_line % 2 = 0 THEN 'unchanged' WHEN start_line % 3 <> 0 THEN 'touched' ELSE 'modified' END AS change FROM nodes WHERE kind = 'class' AND (start_line % 7 <> 0 OR start_line % 5 <> 0)"
+query("d1_changes", _CHANGE_SQL)(lambda g: sync.changes(*_snapshots(g)))
+query("a24_sync_counters", f"SELECT change, count(*) AS n FROM ({_CHANGE_SQL}) GROUP BY change")(lambda g: sync.counters(sync.changes(*_snapshots(g))))
+
+
+def table_query(name: str, sql: str | None = None):
+    """Register a function of (spark, sf_dir) over the base tables."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+table_query("d3_bursts", "SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, burst")(
+    lambda spark, d: watch.bursts(spark.read.parquet(f"{d}/events.parquet"), "user_id", "ts", "30 minutes")
+)
+table_query("d4_pending", "SELECT CAST(user_id AS VARCHAR) AS path, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY user_id HAVING max(ts) > TIMESTAMP '2024-01-02 00:00:00'")(
+    lambda spark, d: watch.after_sync(watch.pending(spark.createDataFrame([], "path string, first_seen timestamp_ntz, last_seen timestamp_ntz"), spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp_ntz").alias("ts"))), __import__("datetime").datetime(2024, 1, 2))
+)
+table_query("s8_json_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")(lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", F.from_json("props", "k long")["k"].alias("k")))
+table_query("x15_page_links", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages")(lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.explode(F.expr("regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)")).alias("link")))
+
+
+def _ranges(g: PropertyGraph) -> DataFrame:
+    return g.nodes.where("kind = 'class'").select("file_path", F.col("start_line").alias("start"), (F.col("start_line") + F.length("name") % 9).cast("int").alias("end"), (F.length("name") % 10).cast("int").alias("importance"))
+
+
+query("w6_merged_ranges", """, r AS (SELECT file_path, start_line AS s, CAST(start_line + length(name) % 9 AS INT) AS e, CAST(length(name) % 10 AS INT) AS i FROM nodes WHERE kind = 'class'),
+ f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY file_path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 8 THEN 0 ELSE 1 END AS new FROM r),
+ k AS (SELECT *, sum(new) OVER (PARTITION BY file_path ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS grp FROM f)
+ SELECT file_path, min(s) AS start, max(e) AS "end", max(i) AS importance, count(*) AS n FROM k GROUP BY file_path, grp""")(lambda g: render.merged_ranges(_ranges(g), 8))
+query("w7_within_budget", """, i AS (SELECT file_path, id, length(name) AS size, row_number() OVER (PARTITION BY file_path ORDER BY id) AS rank FROM nodes WHERE kind = 'class' AND length(name) <= 60),
+ r AS (SELECT file_path, 1 AS rank, size AS used, true AS took FROM i WHERE rank = 1 UNION ALL SELECT r.file_path, r.rank + 1, CASE WHEN r.used + i.size <= 60 THEN r.used + i.size ELSE r.used END, r.used + i.size <= 60 FROM r JOIN i ON i.file_path = r.file_path AND i.rank = r.rank + 1 WHERE r.rank < 1000)
+ SELECT r.file_path, i.id FROM r JOIN i ON i.file_path = r.file_path AND i.rank = r.rank WHERE took""")(lambda g: render.within_budget(g.nodes.where("kind = 'class'").select("file_path", "id", F.length("name").alias("size")), "file_path", ["id"], "size", 60).select("file_path", "id"))
+
+
+def _ranked(g: PropertyGraph) -> DataFrame:
+    members = g.nodes.where("id IN ('order:201', 'order:202', 'nation:2') OR start_line <= 40")
+    named, entries = g.nodes.where("id = 'order:201'"), g.nodes.where("id IN ('order:202', 'nation:2')")
+    near = g.edges.where("source = 'order:201'").select(F.col("target").alias("id"))
+    files = rank.file_scores(members, named, entries, near)
+    hits = rank.term_hits(members, ["order", "nation", "building"])
+    return files.join(hits, "file_path").select("file_path", "score", "n", "hits")
+
+
+query("a15_file_scores", """, m AS (SELECT * FROM nodes WHERE id IN ('order:201', 'order:202', 'nation:2') OR start_line <= 40),
+ p AS (SELECT *, CASE WHEN id = 'order:201' THEN 50 WHEN id IN ('order:202', 'nation:2') THEN 10 WHEN id IN (SELECT target FROM edges WHERE source = 'order:201') THEN 3 ELSE 1 END AS points FROM m)
+ SELECT file_path, CAST(sum(points) AS BIGINT) AS score, count(*) AS n, CAST(max((contains(lower(name), 'order') OR contains(lower(file_path), 'order'))::INT) + max((contains(lower(name), 'nation') OR contains(lower(file_path), 'nation'))::INT) + max((contains(lower(name), 'building') OR contains(lower(file_path), 'building'))::INT) AS INT) AS hits FROM p GROUP BY file_path HAVING sum(points) >= 3""")(_ranked)
+query("t5_ranked_files")(lambda g: rank.ranked(_ranked(g).select("file_path", (F.col("score") >= 50).alias("named"), (F.col("hits") >= 2).alias("central"), "hits", (F.col("score") / 100).alias("graph_score"), "score", "n"), 8).select("file_path", "hits", "score", "n"))
+query("r20_render_modes", "SELECT file_path, CASE WHEN count(*) % 11 = 0 THEN 'skeleton' WHEN count(*) <= 220 AND count(*) * 80 <= 3 * 6500 THEN 'whole' ELSE 'clustered' END AS mode FROM nodes GROUP BY file_path")(lambda g: A.symbols_per_file(g.nodes).select("file_path", rank.render_mode(F.col("n"), F.lit(False), F.col("n") % 11 == 0, F.lit(False), 6_500).alias("mode")))
+query("r21_skeleton", "SELECT file_path, string_agg(name, chr(10) ORDER BY start_line, name) AS text FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY start_line, name) AS k FROM nodes WHERE kind = 'class') WHERE k <= 12 GROUP BY file_path")(lambda g: render.skeleton(g.nodes.where("kind = 'class'").select("file_path", F.col("start_line").alias("start"), F.col("name").alias("signature")), 12))
+
+# upserts and deletes
+from tessera.sources import store  # noqa: E402
+
+query("k1_upsert", "SELECT id, CASE WHEN start_line % 3 = 0 THEN concat(name, '!') ELSE name END AS name FROM nodes WHERE kind = 'class'")(lambda g: store.upserted(g.nodes.where("kind = 'class'").select("id", "name"), g.nodes.where("kind = 'class' AND start_line % 3 = 0").select("id", F.concat("name", F.lit("!")).alias("name"), F.lit(2).alias("seq")).unionByName(g.nodes.where("kind = 'class' AND start_line % 3 = 0").select("id", "name", F.lit(1).alias("seq"))), "id"))
+query("k5_deleted_files", "SELECT e.kind, count(*) AS n FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target WHERE a.file_path <> 'sales/orders/2-HIGH.java' AND b.file_path <> 'sales/orders/2-HIGH.java' GROUP BY e.kind")(lambda g: A.by_kind(store.deleted_files(g.nodes, g.edges, g.nodes.where("file_path = 'sales/orders/2-HIGH.java'").select(F.col("file_path").alias("path")))[1]))
+query("k6_without_edges_of", "SELECT kind, count(*) AS n FROM edges WHERE source <> 'supplier:1' AND target <> 'supplier:1' GROUP BY kind")(lambda g: A.by_kind(store.without_edges_of(g.edges, "supplier:1")))
