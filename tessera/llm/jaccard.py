@@ -29,8 +29,10 @@ from tessera.llm import common
 
 #: Words of a shingle.
 SHINGLE = 5
-#: Shingles are counted in 2^BUCKET_BITS buckets (a table of 2 MB) for the order from rare to common; any order gives the same links.
-BUCKET_BITS = 18
+#: Shingles are counted in 2^BUCKET_BITS buckets (a table of 16 MB) for the order from rare to common; any order gives the same links.
+BUCKET_BITS = 22
+#: Buckets of the table that travel together.
+BLOCK_BITS = 16
 #: Postings of a reducing task, about.
 POSTINGS = 1_000_000
 #: Postings that a task holds before it sends them on.
@@ -78,7 +80,24 @@ def prefix(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1 if n else 0
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("check", pa.int64()), ("bucket", pa.int32()), ("cnt", pa.int64())])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("check", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+
+
+def _shown(counts: np.ndarray) -> bytes:
+    """A block's counts in the fewest bytes: all of them, or places and counts of those that aren't zero."""
+    small = counts.max() < 256
+    at = np.flatnonzero(counts)
+    if 3 * len(at) < len(counts) and small:
+        return b"s" + at.astype(np.uint16).tobytes() + counts[at].astype(np.uint8).tobytes()
+    return b"1" + counts.astype(np.uint8).tobytes() if small else b"4" + counts.astype(np.uint32).tobytes()
+
+
+def _add(into: np.ndarray, shown: bytes) -> None:
+    if shown[:1] == b"s":
+        n = (len(shown) - 1) // 3
+        into[np.frombuffer(shown, np.uint16, n, 1)] += np.frombuffer(shown, np.uint8, n, 1 + 2 * n)
+    else:
+        into += np.frombuffer(shown, np.uint8 if shown[:1] == b"1" else np.uint32, -1, 1)
 
 
 def _sketch(batches):
@@ -99,14 +118,30 @@ def _sketch(batches):
         if waiting:
             table += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=len(table))
             waiting.clear()
-        n = len(cols["n"])
-        cols["bucket"], cols["cnt"] = [None] * n, [None] * n
+        cols["block"] = cols["counts"] = [None] * len(cols["n"])
         yield common.batch(_SKETCH, cols)
-    at = np.flatnonzero(table)
-    for a in range(0, len(at), 100_000):
-        part = at[a : a + 100_000]
-        none = [None] * len(part)
-        yield common.batch(_SKETCH, {"doc_id": none, "n": none, "cid": none, "check": none, "bucket": part.astype(np.int32), "cnt": table[part]})
+    for k, counts in enumerate(table.reshape(-1, 1 << BLOCK_BITS)):
+        if counts.any():
+            yield common.batch(_SKETCH, {"doc_id": [None], "n": [None], "cid": [None], "check": [None], "block": [k], "counts": [_shown(counts)]})
+
+
+def _table(sketch: DataFrame) -> np.ndarray:
+    """The counts of all tasks, added up block by block."""
+    blocks = 1 << (BUCKET_BITS - BLOCK_BITS)
+
+    def add_up(batches):
+        by: dict[int, np.ndarray] = {}
+        for rb in batches:
+            for k, shown in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
+                _add(by.setdefault(k, np.zeros(1 << BLOCK_BITS, np.int64)), shown)
+        for k, counts in by.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_shown(np.minimum(counts, 2**32 - 1))], pa.binary())], names=["block", "counts"])
+
+    table = np.zeros((blocks, 1 << BLOCK_BITS), np.uint32)
+    parts = sketch.where("block IS NOT NULL").select("block", "counts").repartition(blocks, "block")
+    for r in common.by_arrow(parts, add_up, "block int, counts binary").toLocalIterator():
+        _add(table[r.block], bytes(r.counts))
+    return table.reshape(-1)
 
 
 class _Ranks:
@@ -497,12 +532,10 @@ def joined(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     path = common.fresh_path(spark, "shingles")
-    common.by_arrow(d, _sketch, "doc_id long, n long, cid long, check long, bucket int, cnt long").write.parquet(path)
+    common.by_arrow(d, _sketch, "doc_id long, n long, cid long, check long, block int, counts binary").write.parquet(path)
     sketch = spark.read.parquet(path)
-    rows = sketch.where("bucket IS NULL").select("doc_id", "n", "cid", "check")
-    counts = sketch.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("cnt").alias("cnt")).toArrow()
-    table = np.zeros(1 << BUCKET_BITS, np.int64)
-    table[counts.column("bucket").to_numpy()] = counts.column("cnt").to_numpy()
+    rows = sketch.where("block IS NULL").select("doc_id", "n", "cid", "check")
+    table = _table(sketch)
     classes = common.cut(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("smallest"), F.min("n").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2")))
     sets, postings, clash = classes.agg(F.count(F.lit(1)), F.sum(F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1), F.sum((F.col("c1") != F.col("c2")).cast("int"))).first()
     if clash:
