@@ -278,3 +278,77 @@ from tessera.sources import store  # noqa: E402
 query("k1_upsert", "SELECT id, CASE WHEN start_line % 3 = 0 THEN concat(name, '!') ELSE name END AS name FROM nodes WHERE kind = 'class'")(lambda g: store.upserted(g.nodes.where("kind = 'class'").select("id", "name"), g.nodes.where("kind = 'class' AND start_line % 3 = 0").select("id", F.concat("name", F.lit("!")).alias("name"), F.lit(2).alias("seq")).unionByName(g.nodes.where("kind = 'class' AND start_line % 3 = 0").select("id", "name", F.lit(1).alias("seq"))), "id"))
 query("k5_deleted_files", "SELECT e.kind, count(*) AS n FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target WHERE a.file_path <> 'sales/orders/2-HIGH.java' AND b.file_path <> 'sales/orders/2-HIGH.java' GROUP BY e.kind")(lambda g: A.by_kind(store.deleted_files(g.nodes, g.edges, g.nodes.where("file_path = 'sales/orders/2-HIGH.java'").select(F.col("file_path").alias("path")))[1]))
 query("k6_without_edges_of", "SELECT kind, count(*) AS n FROM edges WHERE source <> 'supplier:1' AND target <> 'supplier:1' GROUP BY kind")(lambda g: A.by_kind(store.without_edges_of(g.edges, "supplier:1")))
+
+# extraction and resolution over Java texts made from the parts: a chain of classes and calls
+from tessera.functions import text as words  # noqa: E402
+from tessera.sources import frameworks, java  # noqa: E402
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 1000")
+    up = F.floor(F.col("p_partkey") / 2).cast("string")
+    k = F.col("p_partkey").cast("string")
+    body = F.concat(F.lit("package parts;\n\n/** A part. */\n@GetMapping(\"/p"), k, F.lit("\")\npublic class Part"), k, F.lit(" extends Part"), up, F.lit(" implements Item {\n  private int size"), k, F.lit(" = "), F.col("p_size"), F.lit(";\n  public int fn"), k, F.lit("(int x) { return fn"), up, F.lit("(x) + size"), k, F.lit("; }\n  void make"), k, F.lit("() { new Part"), up, F.lit("(); }\n}\n"))
+    return p.select(F.concat(F.lit("parts/Part"), k, F.lit(".java")).alias("path"), body.alias("text"))
+
+
+_KEYS = "k AS (SELECT p_partkey AS k, CAST(floor(p_partkey / 2) AS BIGINT) AS u FROM part WHERE p_partkey < 1000)"
+_JAVA: dict[str, str] = {
+    "x2_extracted_nodes": f"WITH {_KEYS} SELECT kind, name, qualified_name, start_line FROM (SELECT 'file' AS kind, concat('Part', k, '.java') AS name, concat('parts/Part', k, '.java') AS qualified_name, 1 AS start_line FROM k UNION ALL SELECT 'module', 'parts', 'parts', 1 FROM k UNION ALL SELECT 'class', concat('Part', k), concat('parts.Part', k), 4 FROM k UNION ALL SELECT 'field', concat('size', k), concat('parts.Part', k, '.size', k), 6 FROM k UNION ALL SELECT 'method', concat('fn', k), concat('parts.Part', k, '.fn', k), 7 FROM k UNION ALL SELECT 'method', concat('make', k), concat('parts.Part', k, '.make', k), 8 FROM k)",
+    "x21_resolved_edges": f"WITH {_KEYS} SELECT source, target, kind FROM (SELECT concat('parts.Part', k) AS source, concat('parts.Part', u) AS target, 'extends' AS kind FROM k UNION ALL SELECT concat('parts.Part', k, '.fn', k), concat('parts.Part', u, '.fn', u), 'calls' FROM k UNION ALL SELECT concat('parts.Part', k, '.make', k), concat('parts.Part', u), 'instantiates' FROM k UNION ALL SELECT concat('parts.Part', k, '.fn', k), concat('parts.Part', k, '.size', k), 'references' FROM k UNION ALL SELECT concat('parts.Part', k), concat('parts.Part', k, '.', m, k), 'contains' FROM k, (SELECT unnest(['size', 'fn', 'make']) AS m))",
+    "x12_docstrings": f"WITH {_KEYS} SELECT concat('parts.Part', k) AS qualified_name, 'A part.' AS docstring FROM k",
+    "x17_spring_routes": f"WITH {_KEYS} SELECT concat('GET /p', k) AS name, concat('parts/Part', k, '.java') AS file_path FROM k",
+}
+
+
+def _nodes_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from tessera.plans.lineage import cut
+
+    return java.graph_of(cut(java.extracted(_sources(spark, sf_dir))))
+
+
+def _named_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e = _nodes_edges(spark, sf_dir)
+    q = n.where("kind NOT IN ('file', 'module')").select("id", "qualified_name")
+    return e.join(q.select(F.col("id").alias("source"), F.col("qualified_name").alias("s")), "source").join(q.select(F.col("id").alias("target"), F.col("qualified_name").alias("t")), "target").select(F.col("s").alias("source"), F.col("t").alias("target"), "kind")
+
+
+table_query("x2_extracted_nodes", _JAVA["x2_extracted_nodes"])(lambda spark, d: _nodes_edges(spark, d)[0].select("kind", "name", "qualified_name", "start_line"))
+table_query("x21_resolved_edges", _JAVA["x21_resolved_edges"])(_named_edges)
+table_query("x12_docstrings", _JAVA["x12_docstrings"])(lambda spark, d: _nodes_edges(spark, d)[0].where("docstring IS NOT NULL").select("qualified_name", "docstring"))
+table_query("x17_spring_routes", _JAVA["x17_spring_routes"])(lambda spark, d: frameworks.spring_routes(_sources(spark, d)).select("name", "file_path"))
+
+# joins of resolution, set operations, top-k and the small aggregates
+many(
+    ("j10_by_import", lambda g: resolve.by_import(
+        g.nodes.where("kind = 'method' AND start_line <= 300").select(F.col("id").alias("ref_id"), F.lit("NATION_0").alias("reference_name"), "file_path"),
+        g.nodes.select("id", "kind", "name", "qualified_name", "file_path").unionByName(g.nodes.where("kind = 'method'").select(F.concat(F.lit("import:"), "file_path").alias("id"), F.lit("import").alias("kind"), F.lit("x").alias("name"), F.when(F.col("file_path").contains("HIGH"), "AFRICA.NATION_0").when(F.col("file_path").contains("LOW"), "AFRICA.*").otherwise("none.X").alias("qualified_name"), "file_path").distinct())),
+     ", t AS (SELECT id FROM nodes WHERE qualified_name = 'AFRICA.NATION_0') SELECT n.id AS ref_id, t.id AS target FROM nodes n, t WHERE n.kind = 'method' AND start_line <= 300 AND (contains(file_path, 'HIGH') OR contains(file_path, 'LOW'))"),
+    ("j12_calls_in_file", lambda g: resolve.calls_in_file(g.nodes.where("kind = 'class' AND start_line <= 200 AND id LIKE 'part:%'").select(F.col("id").alias("ref_id"), "file_path", "name", F.when(F.expr("start_line % 2 = 0"), "other").alias("receiver")), g.nodes.where("kind = 'class'").select("id", "file_path", "name", "is_exported", F.col("start_line").alias("ord"))),
+     "SELECT ref_id, target FROM (SELECT r.id AS ref_id, m.id AS target, row_number() OVER (PARTITION BY r.id ORDER BY CASE WHEN r.start_line % 2 = 0 AND m.is_exported THEN 0 ELSE 1 END, m.start_line, m.id) AS k FROM nodes r JOIN nodes m ON m.kind = 'class' AND m.file_path = r.file_path AND m.name = r.name WHERE r.kind = 'class' AND r.start_line <= 200 AND starts_with(r.id, 'part:')) WHERE k = 1"),
+    ("j13_field_references", lambda g: resolve.field_references(g.nodes.where("id LIKE 'part:%'").select(F.col("id").alias("source"), "file_path", "name"), g.nodes.where("id LIKE 'part:%' AND is_exported")), "SELECT DISTINCT a.id AS source, b.id AS target FROM nodes a JOIN nodes b ON b.file_path = a.file_path AND b.name = a.name WHERE starts_with(a.id, 'part:') AND starts_with(b.id, 'part:') AND b.is_exported"),
+    ("j14_super_calls", lambda g: resolve.super_calls(g.nodes.where("id LIKE 'part:%'").select(F.col("id").alias("ref_id"), F.col("id").alias("class_id"), F.lit("m").alias("name")), g.nodes.where("id LIKE 'part:%'").select(F.concat("id", F.lit(".m")).alias("id"), F.col("id").alias("class_id"), F.lit("m").alias("name")), g.edges.where("kind = 'extends'")), "SELECT source AS ref_id, concat(target, '.m') AS target FROM edges WHERE kind = 'extends'"),
+    ("j16_same_files", lambda g: slim(g.nodes.join(g.nodes.where("id IN ('part:3', 'order:201')").select("file_path"), "file_path", "left_semi")), f"SELECT {FEW} FROM nodes WHERE file_path IN (SELECT file_path FROM nodes WHERE id IN ('part:3', 'order:201'))"),
+    ("a8_modules", lambda g: A.files_by_directory(g.nodes.where("kind <> 'function'")), "SELECT dir, count(*) AS n, string_agg(file_path, ',' ORDER BY file_path) AS files FROM (SELECT DISTINCT file_path, regexp_extract(file_path, '^(.*)/', 1) AS dir FROM nodes WHERE kind <> 'function') GROUP BY dir"),
+    ("a16_graph_scores", lambda g: rank.graph_scores(g.nodes, g.nodes.where("kind = 'class'").select("id", F.col("start_line").cast("double").alias("score"))), "SELECT file_path, sum(CAST(start_line AS DOUBLE)) AS graph_score FROM nodes WHERE kind = 'class' GROUP BY file_path"),
+    ("a17_file_term_hits", lambda g: rank.term_hits(g.nodes, ["ring", "order", "xx", "BUILDING"]), "SELECT file_path, CAST(max((contains(lower(name), 'ring') OR contains(lower(file_path), 'ring'))::INT) + max((contains(lower(name), 'order') OR contains(lower(file_path), 'order'))::INT) + max((contains(lower(name), 'building') OR contains(lower(file_path), 'building'))::INT) AS INT) AS hits FROM nodes GROUP BY file_path"),
+    ("a19_colocated", lambda g: g.nodes.where("kind = 'class'").groupBy("file_path").agg(F.countDistinct(F.lower("name")).alias("n")), "SELECT file_path, count(DISTINCT lower(name)) AS n FROM nodes WHERE kind = 'class' GROUP BY file_path"),
+    ("a23_impact_by_file", lambda g: g.nodes.join(T.impact(g, "doc:7", 2), "id").groupBy("file_path").agg(F.count(F.lit(1)).alias("n")), ", r AS (SELECT 'doc:7' AS id, 0 AS level UNION SELECT e.source, level + 1 FROM r JOIN edges e ON e.target = r.id WHERE level < 2 AND e.kind <> 'contains') SELECT file_path, count(*) AS n FROM nodes WHERE id IN (SELECT id FROM r) GROUP BY file_path"),
+    ("w3_capped_by_kind", lambda g: first_of(g.edges, ["kind", "source"], ["target"]).groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "SELECT kind, count(DISTINCT source) AS n FROM edges GROUP BY kind"),
+    ("w10_line_of_offset", lambda g: g.nodes.where("kind = 'function'").select("id", F.size(F.split(F.substring("docstring", 1, 200), "\n")).alias("line")), "SELECT id, CAST(len(string_split(substr(docstring, 1, 200), chr(10))) AS INT) AS line FROM nodes WHERE kind = 'function'"),
+    ("t10_by_file_and_line", lambda g: slim(g.nodes.orderBy("file_path", "start_line", "id").limit(50)), f"SELECT {FEW} FROM nodes ORDER BY file_path, start_line, id LIMIT 50"),
+    ("u1_both_directions", lambda g: g.edges.where("source = 'part:3'").unionByName(g.edges.where("target = 'part:3'")), "SELECT * FROM edges WHERE source = 'part:3' UNION ALL SELECT * FROM edges WHERE target = 'part:3'"),
+    ("u3_difference", lambda g: g.nodes.select("file_path").subtract(g.nodes.where("is_exported").select("file_path")), "SELECT file_path FROM nodes EXCEPT SELECT file_path FROM nodes WHERE is_exported"),
+    ("u6_union", lambda g: g.edges.select(F.col("source").alias("id")).union(g.edges.select("target")).distinct(), "SELECT source AS id FROM edges UNION SELECT target FROM edges"),
+    ("u8_connected", lambda g: g.edges.where("source = 'order:201'").select(F.col("target").alias("id")).union(g.edges.where("target = 'order:201'").select("source")).distinct(), "SELECT target AS id FROM edges WHERE source = 'order:201' UNION SELECT source FROM edges WHERE target = 'order:201'"),
+    ("r4_path_relevance", lambda g: g.nodes.where("kind = 'class'").select("id", search.path_relevance(F.col("file_path"), "catalog economy").alias("score")), "SELECT id, CAST((CASE WHEN contains(lower(regexp_extract(file_path, '[^/]*$')), 'catalog') THEN 10 WHEN contains(lower(file_path), 'catalog') THEN 5 ELSE 0 END) + (CASE WHEN contains(lower(regexp_extract(file_path, '[^/]*$')), 'economy') THEN 10 WHEN contains(lower(file_path), 'economy') THEN 5 ELSE 0 END) + (CASE WHEN contains(file_path, '/test/') THEN -15 ELSE 0 END) AS INT) AS score FROM nodes WHERE kind = 'class'"),
+    ("r10_co_occurrence", lambda g: g.nodes.where("kind = 'class'").select("id", F.round(search.co_occurrence(F.lit(10.0), F.col("name"), F.col("file_path"), ["red", "catalog", "ring"], ["red ring"]), 6).alias("score")), "SELECT id, round(CASE WHEN n >= 2 THEN 10.0 * (1 + 0.5 * n) WHEN name = 'red ring' THEN 10.0 ELSE 6.0 END, 6)::DOUBLE AS score FROM (SELECT id, name, contains(lower(name), 'red')::INT + (contains(lower(name), 'catalog') OR contains(file_path, '/catalog/'))::INT + contains(lower(name), 'ring')::INT AS n FROM nodes WHERE kind = 'class')"),
+    ("r11_camel", lambda g: search.camel_hits(g.nodes, ["order"], "", 50), None),
+    ("r13_brevity", lambda g: g.nodes.select("id", F.round(search.brevity(F.col("name"), "ring", 10.0, 3.0), 6).alias("bonus")), "SELECT id, round(greatest(0.0, 10.0 - (length(name) - 4) / 3.0), 6)::DOUBLE AS bonus FROM nodes"),
+    ("r15_plain_search", lambda g: search.find(g, "42"), "SELECT id, 1.0::DOUBLE AS score FROM nodes WHERE contains(lower(name), '42') OR contains(lower(qualified_name), '42') OR contains(lower(docstring), '42') ORDER BY id LIMIT 10"),
+    ("r1_symbols", lambda g: g.nodes.sparkSession.createDataFrame([(x,) for x in words.symbols("UserService.java (get_user), a x.y")], "symbol string"), "SELECT unnest(['UserService', 'get_user', 'x.y']) AS symbol"),
+    ("r2_terms", lambda g: g.nodes.sparkSession.createDataFrame([(x,) for x in words.terms("where is UserService called")], "term string"), "SELECT unnest(['userservice', 'user', 'service']) AS term"),
+    ("r3_stems", lambda g: g.nodes.sparkSession.createDataFrame([(x,) for x in words.stems("running")], "stem string"), "SELECT unnest(['runn', 'runne', 'run']) AS stem"),
+    ("r23_numbered_lines", lambda g: render.numbered(g.nodes.where("kind = 'function' AND start_line <= 50").select(F.col("id").alias("file_path"), F.posexplode(F.split("docstring", "\n"))).select("file_path", (F.col("pos") + 1).alias("line"), F.col("col").alias("text")), g.nodes.where("kind = 'function' AND start_line <= 50").select(F.col("id").alias("file_path"), F.lit(1).alias("start"), F.lit(2).alias("end"))), "SELECT id AS file_path, 1 AS start, concat('1', chr(9), string_split(docstring, chr(10))[1], CASE WHEN len(string_split(docstring, chr(10))) > 1 THEN concat(chr(10), '2', chr(9), string_split(docstring, chr(10))[2]) ELSE '' END) AS text FROM nodes WHERE kind = 'function' AND start_line <= 50"),
+    ("e_explore", lambda g: __import__("tessera.api", fromlist=["Engine"]).Engine(g).explore("order201 redPlate customer").select("file_path", "hits", "score"), None),
+)
