@@ -15,7 +15,9 @@ import binascii
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -99,56 +101,105 @@ def _as_text(data: bytes) -> str | None:
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0e-\x1f\x7f]")
 
 
-def _url_layer(text: str) -> tuple[str, list[tuple[int, int]]] | None:
-    """The whole layer with percent escapes decoded, and each character's span."""
-    out: list[str] = []
-    at: list[tuple[int, int]] = []
-    end = 0
-    for m in _URL.finditer(text):
-        raw = bytes.fromhex(m[0].replace("%", ""))
-        s = raw.decode("utf-8", "replace")
-        out += (text[end : m.start()], s)
-        at += ((i, i + 1) for i in range(end, m.start()))
-        if "�" in s:
-            at += [(m.start(), m.end())] * len(s)
-        else:
-            p = m.start()
-            for ch in s:
-                q = p + 3 * len(ch.encode())
-                at.append((p, q))
-                p = q
-        end = m.end()
-    if not end:
-        return None
-    out.append(text[end:])
-    at += ((i, i + 1) for i in range(end, len(text)))
-    return "".join(out), at
+class Layer(NamedTuple):
+    """A decoded text, and where it comes from in the layer above.
+
+    A stretch (at, i, j, plain) says that the characters from at on come from [i, j) above:
+    one by one where plain, else all of them from the whole. Without stretches all comes
+    from [start, end) above.
+    """
+
+    text: str
+    above: Layer | None = None
+    stretches: list[tuple[int, int, int, bool]] | None = None
+    start: int = 0
+    end: int = 0
+
+    def origin(self, i: int, j: int) -> tuple[int, int]:
+        """The span of the document's text that [i, j) of this layer comes from."""
+        layer = self
+        while layer.above is not None:
+            if layer.stretches is None:
+                i, j = layer.start, layer.end
+            else:
+                at, a, _, plain = layer.stretches[bisect_right(layer.stretches, i, key=_place) - 1]
+                last, b, c, plain_last = layer.stretches[bisect_right(layer.stretches, j - 1, key=_place) - 1]
+                i, j = a + (i - at if plain else 0), b + (j - last) if plain_last else c
+            layer = layer.above
+        return i, j
+
+
+def _place(stretch: tuple[int, int, int, bool]) -> int:
+    return stretch[0]
+
+
+class _Builder:
+    """Puts a decoded layer together, stretch by stretch."""
+
+    def __init__(self, above: Layer) -> None:
+        self.above, self.parts, self.stretches, self.size, self.end = above, [], [], 0, 0
+
+    def put(self, s: str, i: int, j: int, plain: bool) -> None:
+        if s:
+            self.parts.append(s)
+            self.stretches.append((self.size, i, j, plain))
+            self.size += len(s)
+        self.end = j
+
+    def decoded(self, s: str, i: int, j: int) -> None:
+        """s in place of [i, j), after what stands before it as it is."""
+        self.put(self.above.text[self.end : i], self.end, i, True)
+        self.put(s, i, j, False)
+
+    def layer(self) -> Layer | None:
+        if not self.end:
+            return None
+        n = len(self.above.text)
+        self.put(self.above.text[self.end :], self.end, n, True)
+        return Layer("".join(self.parts), self.above, self.stretches)
+
+
+def _url_layer(above: Layer) -> Layer | None:
+    """The whole layer with percent escapes decoded."""
+    b = _Builder(above)
+    for m in _URL.finditer(above.text):
+        s = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace")
+        if "\ufffd" in s:
+            b.decoded(s, *m.span())
+            continue
+        p = m.start()
+        for ch in s:
+            q = p + 3 * len(ch.encode())
+            b.decoded(ch, p, q)
+            p = q
+    return b.layer()
+
 
+def _unicode_layer(above: Layer) -> Layer | None:
+    """The whole layer with Unicode escapes decoded; two escapes of a surrogate pair are one character."""
+    b = _Builder(above)
+    high: tuple[int, int, int] | None = None
 
-def _unicode_layer(text: str) -> tuple[str, list[tuple[int, int]]] | None:
-    """The whole layer with Unicode escapes decoded, and each character's span."""
-    out: list[str] = []
-    at: list[tuple[int, int]] = []
-    end = 0
-    for m in _UNICODE_ONE.finditer(text):
+    def lone() -> None:
+        if high is not None:
+            b.decoded(chr(high[0]), high[1], high[2])
+
+    for m in _UNICODE_ONE.finditer(above.text):
         code = next((int(g, 10 if i == 4 else 16) for i, g in enumerate(m.groups()) if g is not None), 0)
         if code > 0x10FFFF:
             continue
-        out.append(text[end : m.start()])
-        at += ((i, i + 1) for i in range(end, m.start()))
-        if 0xDC00 <= code < 0xE000 and out and len(out) > 1 and not out[-1] and 0xD800 <= ord(out[-2][-1:] or "a") < 0xDC00:
-            high = ord(out[-2])
-            out[-2] = chr(0x10000 + ((high - 0xD800) << 10) + code - 0xDC00)
-            at[-1] = (at[-1][0], m.end())
+        if high is not None and 0xDC00 <= code < 0xE000 and m.start() == high[2]:
+            b.decoded(chr(0x10000 + ((high[0] - 0xD800) << 10) + code - 0xDC00), high[1], m.end())
+            high = None
+            continue
+        lone()
+        high = None
+        if 0xD800 <= code < 0xDC00:
+            high = (code, *m.span())
         else:
-            out.append(chr(code))
-            at.append((m.start(), m.end()))
-        end = m.end()
-    if not end:
-        return None
-    out.append(text[end:])
-    at += ((i, i + 1) for i in range(end, len(text)))
-    return "".join(out), at
+            b.decoded(chr(code), *m.span())
+    lone()
+    return b.layer()
 
 
 def _base64_layers(text: str) -> Iterator[tuple[str, int, int]]:
@@ -191,43 +242,33 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     if not (_BASE64.search(text) or "%" in text or "\\" in text or "&#" in text):
         return base, base
     every = set(base)
-    seen = {(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), 0, len(text))}
-    work: list[tuple[str, list[tuple[int, int]] | tuple[int, int] | None]] = [(text, None)]
+    work = [Layer(text)]
+    seen = {_key(text, 0, len(text))}
     while work:
-        layer, at = work.pop()
-
-        def origin(i: int, j: int, at=at) -> tuple[int, int]:
-            if at is None:
-                return i, j
-            if isinstance(at, tuple):
-                return at
-            return at[i][0], at[j - 1][1]
-
-        if at is not None:
-            for kind, i, j in scan(layer):
-                every.add((kind, *origin(i, j)))
-
-        def push(content: str, where, i: int, j: int) -> None:
-            key = (hashlib.sha256(content.encode("utf-8", "surrogatepass")).digest(), i, j)
-            if key not in seen:
+        layer = work.pop()
+        if layer.above is not None:
+            every.update((kind, *layer.origin(i, j)) for kind, i, j in scan(layer.text))
+
+        def push(new: Layer, i: int, j: int) -> None:
+            if (key := _key(new.text, i, j)) not in seen:
                 seen.add(key)
-                work.append((content, where))
-
-        for decoded in (_url_layer(layer) if "%" in layer else None, _unicode_layer(layer) if "\\" in layer or "&#" in layer else None):
-            if decoded:
-                content, where = decoded
-                if at is None:
-                    push(content, where, 0, len(text))
-                elif isinstance(at, tuple):
-                    push(content, at, *at)
-                else:
-                    push(content, [(at[i][0], at[j - 1][1]) for i, j in where], 0, len(text))
-        for content, i, j in _base64_layers(layer):
-            span = origin(i, j)
-            push(content, span, *span)
+                work.append(new)
+
+        span = layer.origin(0, len(layer.text)) if layer.text else (0, 0)
+        if "%" in layer.text and (new := _url_layer(layer)):
+            push(new, *span)
+        if ("\\" in layer.text or "&#" in layer.text) and (new := _unicode_layer(layer)):
+            push(new, *span)
+        for content, i, j in _base64_layers(layer.text):
+            push(Layer(content, layer, None, i, j), *layer.origin(i, j))
     return base, sorted(every, key=_order)
 
 
+def _key(text: str, i: int, j: int) -> tuple[bytes, int, int]:
+    """What tells a layer apart: its content and the span that it comes from."""
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), i, j
+
+
 def listed(spans: list[Span]) -> str:
     return ",".join(f"{k}:{i}:{j}" for k, i, j in spans)
 
