@@ -29,8 +29,8 @@ _EDGE = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0           
 #: Places that leave the index of pairs together, at least.
 AT_ONCE = 20_000
 #: Characters encoded at a time, and entries each of a worker's two memories starts afresh beyond; both bound memory alone.
-PORTION = 8_000_000
-REMEMBERED = 300_000
+PORTION = 4_000_000
+REMEMBERED = 200_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -264,14 +264,18 @@ def _coded(docs: DataFrame, ranks_path: str, pattern: str, text: str, with_ids:
 
     def run(batches):
         c = codec(data.value, pattern)
-        for rb in batches:
-            ids = [x for part in portions(common.texts(rb, "__text")) for x in c.encode(part)]
-            cols = [rb.column(f"{i}") for i in range(len(keep))]
-            cols += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids])]
-            if with_ids:
-                flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32()), pa.array(flat, pa.int32())))
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, *added[:3], *added[3:]])
+        for whole in batches:
+            start = 0
+            for part in portions(common.texts(whole, "__text")):
+                # a portion goes out before the next is encoded, so a batch's ids are never held together
+                rb, ids = whole.slice(start, len(part)), c.encode(part)
+                start += len(part)
+                cols = [rb.column(f"{i}") for i in range(len(keep))]
+                cols += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids])]
+                if with_ids:
+                    flat = np.frombuffer(b"".join(ids), "<i4")
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32()), pa.array(flat, pa.int32())))
+                yield pa.RecordBatch.from_arrays(cols, names=[*keep, *added])
 
     src = docs.select(*(docs[c].alias(f"{i}") for i, c in enumerate(keep)), docs[text].alias("__text"))
     return common.by_arrow(src, run, schema)

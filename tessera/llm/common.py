@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a worker's word caches hold before they start afresh; bounds memory, never results.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
 
 _SHIPPED: set[str] = set()
 
