@@ -11,6 +11,7 @@ context, the bytes never seen are equally likely.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -22,12 +23,16 @@ from tessera.llm import common
 
 #: Bytes of context at most; with the byte that follows a key has six bytes.
 ORDER = 5
-#: Entries of each order's counts that the broadcast trie keeps at most: the bound of its size. Where there are more, the rarest go, all of a count together, as low-count nodes say least.
+#: Six-byte keys whose probabilities are broadcast at most, those of the highest counts; the others' come by a join, so the bound is one of memory alone.
 NODES = 1 << 21
+#: Six-byte keys in a partition of the trie, about.
+PART_KEYS = 1 << 18
 #: Words whose counts are broadcast at most; the counts of the others are joined.
 WORDS = 1 << 20
 #: Bytes and words counted at a time before they are summed up.
 PORTION = 1 << 22
+#: Bytes of texts scored at a time, where no text alone is longer.
+SCORED = 1 << 19
 TRAINING_FOLD_OUT = 1
 
 _U = np.uint64
@@ -188,6 +193,8 @@ class Trie:
             else:
                 at = self.contexts[k - 1].find(contexts & _U((1 << (8 * (k - 1))) - 1))
                 inner = self.entries[k - 1].find(keys & _U((1 << (8 * k)) - 1))
+                if (at < 0).any() or (inner < 0).any():
+                    raise ValueError(f"order {k} has keys whose suffixes order {k - 1} lacks")
                 ruled_out = np.add.reduceat(lower_counts[inner], first) if len(first) else np.zeros(0)
                 left_n, left_d = lower_n[at] - ruled_out, lower_d[at] - d
                 with np.errstate(divide="ignore", invalid="ignore"):
@@ -240,7 +247,7 @@ class Trie:
 
 
 def orders_of(keys: np.ndarray, counts: np.ndarray) -> list[Order]:
-    """All orders' counts from those of the longest keys; for tests and small corpora."""
+    """All orders' counts from those of the longest keys."""
     out = [Order(keys, counts)]
     for k in range(ORDER, 0, -1):
         low = out[0].keys & _U((1 << (8 * k)) - 1)
@@ -251,22 +258,55 @@ def orders_of(keys: np.ndarray, counts: np.ndarray) -> list[Order]:
     return out
 
 
-def train(counts: DataFrame, nodes: int = NODES) -> list[Order]:
-    """The orders of a trie from counts of six-byte keys, each of nodes entries at most."""
-    orders: list[Order] = []
-    for k in range(ORDER, -1, -1):
-        if k < ORDER:
-            counts = counts.groupBy((F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))).alias("key")).agg(F.sum("n").alias("n"))
-        if k:
-            counts = common.cut(counts)
-        t = at_most(counts, nodes).toArrow()
-        orders.insert(0, Order(t.column("key").to_numpy().view(_U), t.column("n").to_numpy()))
-    return orders
+def lowest(counts: DataFrame) -> list[Order]:
+    """The orders of no and of one byte of context, which have 65,536 entries at most, from counts of six-byte keys."""
+    t = counts.groupBy(F.col("key").bitwiseAND(F.lit((1 << 16) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    return orders_of(t.column("key").to_numpy().view(_U), t.column("n").to_numpy())[:2]
 
 
-_TRIES: dict[str, tuple[Trie, Table, np.ndarray]] = {}
+def predicted(rows: DataFrame, low: list[Order], n_rows: int) -> DataFrame:
+    """(key, value): the log10 probability, under the whole trie, of each key that is asked for.
 
-_PART = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+    rows (key, n, asked) have every six-byte key of the corpus with its count, and with
+    n = 0 whatever else is asked for. A key is predicted from contexts that end in the same
+    two bytes, so the trie is dealt out by these: a partition has all of them and their
+    counts. Of the orders beneath, which all partitions share, each has the lowest().
+    """
+    shared = rows.sparkSession.sparkContext.broadcast([tuple(o) for o in low])
+
+    def run(batches):
+        keys, counts, asked = [], [], []
+        for rb in batches:
+            key, n = rb.column(0).to_numpy().view(_U), rb.column(1).to_numpy()
+            keys.append(key[n > 0])
+            counts.append(n[n > 0])
+            asked.append(key[rb.column(2).to_numpy(zero_copy_only=False).astype(bool)])
+        if not any(map(len, asked)):
+            return
+        trie = Trie([Order(*o) for o in shared.value] + orders_of(np.concatenate(keys), np.concatenate(counts))[2:])
+        for a in asked:
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(trie.log10(a))], names=["key", "value"])
+
+    dealt = rows.select("key", "n", "asked").repartition(max(1, -(-n_rows // PART_KEYS)), F.shiftright("key", 8).bitwiseAND(F.lit((1 << 16) - 1)))
+    return common.by_arrow(dealt, run, "key long, value double")
+
+
+class Known:
+    """Values of some keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.table, self.values = Table(keys), np.r_[values, 0.0]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key's value, 0 where it isn't known, and whether it is."""
+        at = self.table.find(keys)
+        return self.values[at], at >= 0
+
+
+_HELD: dict[str, tuple[Known, Known]] = {}
+
+_PART = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("open", pa.list_(pa.int64())), ("open_times", pa.list_(pa.int64()))])
 
 
 def scores(docs: DataFrame, nodes: int = NODES, words: int = WORDS) -> DataFrame:
@@ -277,35 +317,39 @@ def scores(docs: DataFrame, nodes: int = NODES, words: int = WORDS) -> DataFrame
     rows are scored each, and counted each in training; a null doc_id is of the fold of
     empty text. Without training documents every byte is as likely as any other.
 
-    The trie and the counts of the commonest words are broadcast, both of bounded size;
-    the other words' counts come by a join, so that every count is exact. Rare words are
-    in few documents, so no key of that join is large, but for words of held-out
-    documents alone, where Spark splits a large key's rows.
+    The probabilities of the commonest six-byte keys (nodes at most) and the counts of the
+    commonest words are broadcast, both of bounded size; what the other keys and words
+    have comes by a join, so that every count is exact whatever the bounds. Rare keys and
+    words are in few documents, so no key of those joins is large, but for words of
+    held-out documents alone, where Spark splits a large key's rows.
     """
     spark = docs.sparkSession
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     training = d.where(common.fold_col() != TRAINING_FOLD_OUT)
     counts = common.cut(count(training.select("text")))
-    orders = train(counts.where("kind = 0").select("key", "n"), nodes)
+    grams = counts.where("kind = 0").select("key", "n")
+    n_grams, low = grams.count(), lowest(grams)
+    common_grams = at_most(grams, nodes)
+    least = 1 if n_grams <= nodes else common_grams.agg(F.min("n")).first()[0]
+    common_grams = predicted(grams.withColumn("asked", F.lit(False) if least is None else F.col("n") >= least), low, n_grams).toArrow()
     vocabulary = counts.where("kind = 1").select("key", "n")
     n_docs = training.count()
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = total + n_docs, distinct + (n_docs > 0)
     common_words = at_most(vocabulary, words).toArrow()
-    held = spark.sparkContext.broadcast((orders, common_words.column("key").to_numpy().view(_U), common_words.column("n").to_numpy()))
+    held = spark.sparkContext.broadcast((common_grams.column("key").to_numpy().view(_U), common_grams.column("value").to_numpy(), common_words.column("key").to_numpy().view(_U), common_words.column("n").to_numpy()))
     scale = total + 0.5 * (distinct + 1)
     key_of_model = uuid.uuid4().hex
 
     def run(batches):
         from pyspark import TaskContext
 
-        if key_of_model not in _TRIES:
-            _TRIES.clear()
-            orders, keys, n = held.value
-            _TRIES[key_of_model] = (Trie(orders), Table(keys), n)
-        trie, table, n_of = _TRIES[key_of_model]
+        if key_of_model not in _HELD:
+            _HELD.clear()
+            keys, values, word_keys, n = held.value
+            _HELD[key_of_model] = (Known(keys, values), Known(word_keys, np.log10((n + 0.5) / scale)))
+        of_grams, of_words = _HELD[key_of_model]
         end = float(np.log10((n_docs + 0.5) / scale))
-        value_of = np.log10((n_of + 0.5) / scale)
         rid = TaskContext.get().partitionId() << 40
         for rb in batches:
             cols: dict[str, list] = {f.name: [] for f in _PART}
@@ -316,43 +360,50 @@ def scores(docs: DataFrame, nodes: int = NODES, words: int = WORDS) -> DataFrame
             a = 0
             while a < len(every):
                 b, size = a, 0
-                while b < len(every) and (b == a or size < PORTION):
+                while b < len(every) and (b == a or size < SCORED):
                     size += len(every[b])
                     b += 1
-                cols["score"] += _by_text(trie, every[a:b])
+                for score, left, times in _known_by_text(of_grams, every[a:b]):
+                    cols["score"].append(score)
+                    cols["open"].append(left.view(np.int64))
+                    cols["open_times"].append(times)
                 a = b
             for t in every:
                 h, times = np.unique(common.word_hashes(t.lower().split()), return_counts=True)
-                at = table.find(h)
-                known = at >= 0
+                values, known = of_words.find(h)
                 cols["n_tokens"].append(int(times.sum()) + 1)
                 cols["n_known"].append(int(times[known].sum()) + (n_docs > 0))
-                cols["base"].append(float((times[known] * value_of[at[known]]).sum()) + end)
+                cols["base"].append(float((times * values).sum()) + end)
                 cols["rare"].append(h[~known].view(np.int64))
                 cols["times"].append(times[~known].astype(np.int32))
             yield common.batch(_PART, cols)
 
     path = common.fresh_path(spark, "ppm")
-    common.by_arrow(d, run, "rid long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>").write.parquet(path)
+    common.by_arrow(d, run, "rid long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>, open array<long>, open_times array<long>").write.parquet(path)
     part = spark.read.parquet(path)
     rare = part.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     joined = rare.join(vocabulary, "key", "left").select("rid", (F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / scale)).alias("base"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("known"))
     more = joined.groupBy("rid").agg(F.sum("base").alias("more_base"), F.sum("known").alias("more_known"))
-    return part.select("rid", "doc_id", "n_tokens", "n_known", "base", "score").join(more, "rid", "left").select(
+    left = part.select("rid", F.explode(F.arrays_zip("open", "open_times")).alias("x")).select("rid", F.col("x.open").alias("key"), F.col("x.open_times").alias("times"))
+    asked = common.cut(left.select("key").distinct())
+    rows = grams.withColumn("asked", F.lit(False)).unionByName(asked.select("key", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked")))
+    value = predicted(rows, low, n_grams + asked.count())
+    rest = left.join(value, "key").groupBy("rid").agg(F.sum(F.col("times") * F.col("value")).alias("more_score"))
+    return part.select("rid", "doc_id", "n_tokens", "n_known", "base", "score").join(more, "rid", "left").join(rest, "rid", "left").select(
         "doc_id",
         (common.fold_col() == TRAINING_FOLD_OUT).alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 
-def _by_text(trie: Trie, texts: list[bytes]) -> list[float]:
-    """Each text's score; a very long text is taken in portions, so that memory stays bounded."""
+def _portions(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of texts and how many each has; a very long text is taken alone and in portions, so that memory stays bounded."""
     if len(texts) == 1 and len(texts[0]) > 4 * PORTION:
-        t, total = texts[0], 0.0
+        t = texts[0]
         for a in range(0, len(t) + 1, PORTION):
             part = t[max(0, a - ORDER) : a + PORTION] + (b"\x00" if a + PORTION > len(t) else b"")
             part = b"\x00" * max(0, ORDER - a) + part
@@ -360,7 +411,30 @@ def _by_text(trie: Trie, texts: list[bytes]) -> list[float]:
             key = data.copy()
             for k in range(1, ORDER + 1):
                 key[k:] |= data[:-k] << _U(8 * k)
-            total += float(trie.log10(key[ORDER:]).sum())
-        return [total]
-    keys, lengths = keys_of(texts)
-    return np.add.reduceat(trie.log10(keys), np.cumsum(lengths) - lengths).tolist() if texts else []
+            yield key[ORDER:], np.array([len(key) - ORDER])
+    elif texts:
+        yield keys_of(texts)
+
+
+def _by_text(trie: Trie, texts: list[bytes]) -> list[float]:
+    """Each text's score under a whole trie."""
+    out = np.zeros(len(texts))
+    for keys, lengths in _portions(texts):
+        out += np.add.reduceat(trie.log10(keys), np.cumsum(lengths) - lengths)
+    return out.tolist()
+
+
+def _known_by_text(known: Known, texts: list[bytes]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Each text's score as far as its keys are known, the keys that aren't, and how often it has these."""
+    scores = np.zeros(len(texts))
+    left: list[list[np.ndarray]] = [[] for _ in texts]
+    for keys, lengths in _portions(texts):
+        values, hit = known.find(keys)
+        ends = np.cumsum(lengths)
+        scores += np.add.reduceat(values, ends - lengths)
+        at = np.flatnonzero(~hit)
+        cuts = np.searchsorted(at, np.r_[0, ends])
+        for i in np.flatnonzero(np.diff(cuts)).tolist():
+            left[i].append(keys[at[cuts[i] : cuts[i + 1]]])
+    empty = np.zeros(0, _U), np.zeros(0, np.int64)
+    return [(s, *(np.unique(np.concatenate(x), return_counts=True) if x else empty)) for s, x in zip(scores.tolist(), left, strict=True)]

@@ -80,3 +80,21 @@ def test_portions_of_a_long_text(monkeypatch):
     want = ppm._by_text(trie, [text])[0]
     monkeypatch.setattr(ppm, "PORTION", 50)
     assert ppm._by_text(trie, [text])[0] == pytest.approx(want)
+
+
+def test_scores_are_the_same_whatever_is_broadcast(spark, monkeypatch):
+    r = random.Random(7)
+    rows = [(i, "".join(r.choice("abcdé \n") for _ in range(r.randint(0, 80)))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = model_of([t.encode() for i, t in rows if common.fold(i) != 1])
+    want = {i: brute(counts, t.encode()) for i, t in rows}
+    monkeypatch.setattr(ppm, "PART_KEYS", 300)  # several partitions of the trie
+    for nodes in (0, 40, ppm.NODES):
+        assert {x.doc_id: x.score for x in ppm.scores(df, nodes=nodes).collect()} == pytest.approx(want)
+
+
+def test_a_trie_without_its_suffixes_fails():
+    orders = ppm.orders_of(*_counts([b"abracadabra"]))
+    orders[2] = ppm.Order(orders[2].keys[1:], orders[2].counts[1:])
+    with pytest.raises(ValueError):
+        ppm.Trie(orders)
