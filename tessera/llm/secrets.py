@@ -2,8 +2,9 @@
 
 The text itself is the first layer. Each layer is scanned for secrets and for
 encoded stretches (percent escapes, Unicode escapes, base64, and compressed bytes
-within base64); what those decode to are further layers, until nothing new comes
-up. A layer's content that was seen before in the same document at the same place
+within base64, percent escapes or each other); what those decode to are further
+layers, until nothing new comes up. Bytes that aren't UTF-8 are read with marks in
+place of what isn't, so that secrets between them are found. A layer's content that was seen before in the same document at the same place
 isn't taken up again, so a cycle ends. Each character of a layer knows the span of
 the document's text that it came from.
 """
@@ -12,11 +13,13 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
+import urllib.parse
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -35,6 +38,10 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u(?:[0-9A-Fa-f]{4}|\{[0-9A-Fa-f]{1,6}\})|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)+")
 _UNICODE_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A stretch that percent escapes and characters beside them may spell bytes in.
+_URL_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[!#$&-;=?-~])+")
+#: How a compressed stream may begin.
+_MAGIC = re.compile(rb"\x1f\x8b|\x28\xb5\x2f\xfd|[\x08\x18\x28\x38\x48\x58\x68\x78](?=.)", re.DOTALL)
 #: Bytes of a layer that a compressed stream may unfold into at a time; more follow as layers of their own.
 PIECE = 1 << 24
 #: Characters by which such layers overlap, so that a secret over an edge is found.
@@ -56,49 +63,119 @@ def _order(s: Span) -> tuple[int, int, int]:
     return s[1], KINDS.index(s[0]), s[2]
 
 
-def _inflate(data: bytes) -> Iterator[bytes] | None:
-    """The pieces that compressed bytes unfold into; None where they aren't compressed."""
-    if data[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
-    elif len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-        d = zlib.decompressobj(15)
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
-        return _unzstd(data)
-    else:
-        return None
-    return _unzlib(d, data)
-
+class _Zstd:
+    """A zstd frame's decoder, used as those of zlib are; input goes in by little, as output has no bound of its own."""
 
-def _unzlib(d: zlib._Decompress, data: bytes) -> Iterator[bytes]:
-    try:
-        while data and not d.eof:
-            piece = d.decompress(data, PIECE)
-            if piece:
-                yield piece
-            data = d.unconsumed_tail
-    except zlib.error:
-        return
+    unconsumed_tail = unused_data = b""
 
+    def __init__(self) -> None:
+        import zstandard
 
-def _unzstd(data: bytes) -> Iterator[bytes]:
-    import zstandard
+        self.error = zstandard.ZstdError
+        self.d = zstandard.ZstdDecompressor().decompressobj()
 
-    try:
-        yield from zstandard.ZstdDecompressor().read_to_iter(data, write_size=PIECE)
-    except zstandard.ZstdError:
-        return
+    @property
+    def eof(self) -> bool:
+        return self.d.eof
 
-
-def _as_text(data: bytes) -> str | None:
-    """Bytes as text if they are UTF-8 without control characters but tab and line ends."""
-    try:
-        s = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return s if s and not _CONTROL.search(s) else None
+    def decompress(self, data: bytes | memoryview, most: int) -> bytes:
+        data = memoryview(data)
+        try:
+            out = self.d.decompress(data[:1024])
+        except self.error as e:
+            raise zlib.error(str(e)) from e
+        self.unconsumed_tail = data[1024:]
+        if self.d.eof:
+            self.unused_data = self.d.unused_data + bytes(self.unconsumed_tail)
+        return out
 
 
-_CONTROL = re.compile(r"[\x00-\x08\x0b\x0e-\x1f\x7f]")
+def _decoder(data: bytes | memoryview) -> zlib._Decompress | _Zstd | None:
+    """What unfolds bytes that begin like these; None where they aren't compressed."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return _Zstd()
+    if len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0:
+        return zlib.decompressobj(15)
+    return None
+
+
+def _inflate(pieces: Iterable[bytes | memoryview]) -> Iterator[bytes]:
+    """What compressed bytes unfold into, all members and frames of them up to one that is broken; what follows them and isn't compressed comes as it is."""
+    source = iter(pieces)
+    rest: bytes | memoryview = b""
+    first = True
+    while True:
+        while len(rest) < 4 and (more := next(source, None)) is not None:
+            rest = bytes(rest) + more if len(rest) else more
+        d = _decoder(rest)
+        got = False
+        try:
+            while d is not None and not d.eof:
+                piece = d.decompress(rest, PIECE)
+                rest = d.unconsumed_tail
+                if piece:
+                    got = True
+                    yield piece
+                if not d.eof and not len(rest) and len(piece) < PIECE and not len(rest := next(source, b"")):
+                    return
+        except zlib.error:
+            if first or got:
+                return
+            d = None
+        if d is None:
+            if bytes(rest).strip(b"\x00"):
+                yield bytes(rest)
+                yield from source
+            return
+        rest = d.unused_data
+        first = False
+
+
+def _blocks(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """The same bytes in blocks of about PIECE."""
+    held, size = [], 0
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece)
+        if size >= PIECE:
+            yield b"".join(held)
+            held, size = [], 0
+    if held:
+        yield b"".join(held)
+
+
+def _texts(blocks: Iterable[bytes]) -> Iterator[str]:
+    """Blocks as texts that overlap."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    tail = ""
+    for block in blocks:
+        s = decoder.decode(block)
+        if s:
+            yield tail + s
+            tail = (tail + s)[-OVERLAP:]
+    if s := decoder.decode(b"", True):
+        yield tail + s
+
+
+def _unfolded(data: bytes | memoryview, new: Callable[[bytes], bool]) -> Iterator[str]:
+    """The texts of all that bytes unfold into, of what this unfolds into, and so on, as long as new() finds each layer's digest new."""
+    blocks: Callable[[], Iterable[bytes | memoryview]] = lambda: [data]
+    head = data
+    while _decoder(head) is not None:
+        above = blocks
+        blocks = lambda above=above: _blocks(_inflate(above()))
+        digest, head, n = hashlib.sha256(b"bytes"), b"", 0
+        for block in blocks():
+            digest.update(block)
+            head = head or block
+            n += 1
+        if not head or not new(digest.digest()):
+            return
+        if n == 1:
+            blocks = lambda only=head: [only]
+        yield from _texts(blocks())
 
 
 class Layer(NamedTuple):
@@ -202,8 +279,8 @@ def _unicode_layer(above: Layer) -> Layer | None:
     return b.layer()
 
 
-def _base64_layers(text: str) -> Iterator[tuple[str, int, int]]:
-    """What each base64 run decodes to, if that is text or unfolds into text, and the run's span."""
+def _base64_bytes(text: str) -> Iterator[tuple[bytes, int, int]]:
+    """What each base64 run decodes to, and the run's span."""
     for m in _BASE64.finditer(text):
         run = m[0].rstrip("=")
         if run.isalpha() and (run.islower() or run[1:].islower()):
@@ -212,28 +289,24 @@ def _base64_layers(text: str) -> Iterator[tuple[str, int, int]]:
         if len(body) % 4 == 1:
             continue
         try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+            yield base64.b64decode(body + "=" * (-len(body) % 4), validate=True), m.start(), m.end()
         except binascii.Error:
             continue
-        if (s := _as_text(data)) is not None:
-            yield s, m.start(), m.end()
-        elif (pieces := _inflate(data)) is not None:
-            tail = ""
-            held = b""
-            for piece in pieces:
-                held += piece
-                cut = len(held)
-                while cut and cut > len(held) - 4 and held[cut - 1] & 0xC0 == 0x80:
-                    cut -= 1
-                if cut and held[cut - 1] >= 0xC0:
-                    cut -= 1
-                else:
-                    cut = len(held)
-                s, held = _as_text(held[:cut]), held[cut:]
-                if s is None:
-                    break
-                yield tail + s, m.start(), m.end()
-                tail = (tail + s)[-OVERLAP:]
+
+
+def _url_bytes(text: str) -> Iterator[tuple[memoryview, int, int]]:
+    """Where percent escapes spell bytes that aren't UTF-8: what may be a compressed stream among them, and the stretch's span."""
+    for m in _URL_BYTES.finditer(text):
+        if "%" not in m[0]:
+            continue
+        data = urllib.parse.unquote_to_bytes(m[0])
+        try:
+            data.decode()
+        except UnicodeDecodeError:
+            view = memoryview(data)
+            for at in _MAGIC.finditer(data):
+                if _decoder(view[at.start() :]) is not None:
+                    yield view[at.start() :], m.start(), m.end()
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
@@ -254,13 +327,27 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
                 seen.add(key)
                 work.append(new)
 
+        def unfold(data: bytes | memoryview, above: Layer, i: int, j: int) -> None:
+            at = above.origin(i, j)
+
+            def new(digest: bytes) -> bool:
+                key = (digest, *at)
+                return key not in seen and not seen.add(key)
+
+            for content in _unfolded(data, new):
+                push(Layer(content, above, None, i, j), *at)
+
         span = layer.origin(0, len(layer.text)) if layer.text else (0, 0)
-        if "%" in layer.text and (new := _url_layer(layer)):
-            push(new, *span)
+        if "%" in layer.text:
+            if new := _url_layer(layer):
+                push(new, *span)
+            for data, i, j in _url_bytes(layer.text):
+                unfold(data, layer, i, j)
         if ("\\" in layer.text or "&#" in layer.text) and (new := _unicode_layer(layer)):
             push(new, *span)
-        for content, i, j in _base64_layers(layer.text):
-            push(Layer(content, layer, None, i, j), *layer.origin(i, j))
+        for data, i, j in _base64_bytes(layer.text):
+            push(Layer(data.decode("utf-8", "replace"), layer, None, i, j), *layer.origin(i, j))
+            unfold(data, layer, i, j)
     return base, sorted(every, key=_order)
 
 

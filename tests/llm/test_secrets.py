@@ -78,3 +78,40 @@ def test_frames(spark, odd, none):
     assert masked[1].text == "a [SECRET] b" and masked[1].n_chars == 12 and masked[2].text == "clean" and masked[3].text is None and masked[4].text == "é [SECRET]"
     assert S.redacted(odd).count() == odd.count() and S.redacted(odd).columns == odd.columns
     assert S.secrets(none).collect() == [] and S.secrets(odd).count() == odd.count()
+
+
+def test_members_frames_and_layers_without_base64_between():
+    import zstandard
+
+    z = lambda b: zstandard.ZstdCompressor().compress(b)
+    key = b"password=hunter2222"
+    noise = bytes(random.Random(3).randrange(256) for _ in range(3000))
+    for data in (
+        gzip.compress(b"first") + gzip.compress(key),
+        gzip.compress(b"first") + b"\0\0 " + key,
+        z(b"first") + z(key),
+        z(noise) + z(noise + b" " + key),
+        gzip.compress(gzip.compress(key)),
+        gzip.compress(z(zlib.compress(key))),
+        gzip.compress(b"\x00\xff " + key),
+        b"\x00\xff " + key,
+        gzip.compress(noise + b" " + key),
+    ):
+        t = f"a {b64(data)} b"
+        assert [(k, t[i:j].rstrip("=")) for k, i, j in S.find(t)[1]] == [("assign", b64(data).rstrip("="))], data[:30]
+    for data in (gzip.compress(key), zlib.compress(key), z(key), gzip.compress(gzip.compress(key))):
+        t = f"see q={urllib.parse.quote(data)} b"
+        assert ("assign", True) in [(k, i <= 6 and j == len(t) - 2) for k, i, j in S.find(t)[1]]  # a stream may also spell it out
+
+
+def test_all_pieces_of_a_stream_are_read(monkeypatch):
+    monkeypatch.setattr(S, "PIECE", 100)
+    body = b"\x01" + b"y " * 200 + "é".encode() * 100 + b" password=hunter22222 z"
+    for data in (zlib.compress(body), gzip.compress(zlib.compress(body))):
+        t = b64(data)
+        assert ("assign", 0, len(t)) in S.find(t)[1]
+
+
+def test_a_layer_that_unfolds_into_itself_ends(monkeypatch):
+    monkeypatch.setattr(S, "_inflate", lambda pieces: iter([b"".join(pieces)]))
+    S.find(b64(gzip.compress(b"anything")))
