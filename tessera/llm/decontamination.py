@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-#: Fixed masks; 1 reads a place and 0 ignores it. Any window of the first mask's length with a substitution misses one and may fit another.
-MASKS = ("11111111", "11101001101011", "1101100010110111", "110010111010001101")
+#: Fixed masks; 1 reads a place and 0 ignores it. Every overlap that counts has a hit: without five tokens in a row that agree, it has runs of four at most,
+#: and as four in five agree, two runs of four stand next to each other or one of the few shorter patterns is there, which the second mask fits all.
+MASKS = ("11111", "110111")
 #: Tokens of an overlap that must agree at least, and the share of them that must.
 LEAST_TOKENS, LEAST_SHARE = 13, 0.8
 #: Tokens on either side of a hit that are compared at most; a longer overlap has hits farther on.
@@ -99,6 +100,20 @@ def best_overlap(same: np.ndarray, least: int = LEAST_TOKENS, share: float = LEA
     return best
 
 
+def overlap(same: np.ndarray, least: int = LEAST_TOKENS, share: float = LEAST_SHARE) -> tuple[int, int] | None:
+    """The longest stretch as best_overlap has it in which also least places agree; the first of equals."""
+    span = best_overlap(same, least, share)
+    if span is None or same[span[0] : span[1]].sum() >= least:
+        return span
+    total = np.r_[0, np.cumsum(same)]
+    for n in range(span[1] - span[0], least - 1, -1):
+        agree = total[n:] - total[:-n]
+        fits = np.flatnonzero((agree >= max(least, share * n - 1e-9)) & same[: len(same) - n + 1] & same[n - 1 :])
+        if len(fits):
+            return int(fits[0]), int(fits[0]) + n
+    return None
+
+
 def contaminated(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, least: int = LEAST_TOKENS, share: float = LEAST_SHARE) -> DataFrame:
     """Overlaps of documents (doc_id, text) with benchmark items (item_id, text): a row for each pair and the longest of its overlaps.
 
@@ -181,8 +196,8 @@ def contaminated(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MAS
                 if length < least:
                     span = (0, length) if n >= length and same[:length].all() else None
                 else:
-                    span = best_overlap(same, least, share)
-                if span is not None and (length < least or same[span[0] : span[1]].sum() >= least):
+                    span = overlap(same, least, share)
+                if span is not None:
                     i, j = span
                     start = doc_at - back + i
                     seen[key] = (start, start + j - i)

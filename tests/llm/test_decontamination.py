@@ -56,3 +56,63 @@ def test_planted_passages_with_substitutions(spark, odd, none):
     assert D.contaminated(odd, it).collect() == []
     assert D.contaminated(none, it).collect() == []
     assert D.contaminated(df, it.limit(0)).collect() == []
+
+
+def patterns():
+    """Agreements of overlaps that count, without five in a row: runs of four at most between substitutions.
+
+    With ten runs or more two of four stand side by side, as four in five agree.
+    """
+
+    def runs_of(k, spare):
+        if not k:
+            yield ()
+            return
+        for r in range(max(0, 4 - spare), 5):
+            yield from ((r, *rest) for rest in runs_of(k - 1, spare - 4 + r))
+
+    for s in range(1, 9):
+        spare = 4 * (s + 1) - max(D.LEAST_TOKENS, 4 * s)
+        yield from ("0".join("1" * r for r in runs) for runs in (runs_of(s + 1, spare) if spare >= 0 else ()) if runs[0] and runs[-1])
+
+
+def test_masks_hit_every_overlap_that_counts():
+    hit = lambda p, m: any(all(p[i + j] == "1" for j, c in enumerate(m) if c == "1") for i in range(len(p) - len(m) + 1))
+    assert all(any(hit(p, m) for m in D.MASKS) for p in ["11111", "111101111", *patterns()])
+
+
+def brute_rows(docs, items):
+    """{(doc, item): length of the longest overlap}"""
+    out = {}
+    for d, a in docs:
+        for t, b in items:
+            best = 0
+            for diagonal in range(1 - len(b), len(a)):
+                same = [0 <= diagonal + k < len(a) and a[diagonal + k] == b[k] for k in range(len(b))]
+                for i in range(len(same)):
+                    for j in range(i + D.LEAST_TOKENS, len(same) + 1):
+                        n = sum(same[i:j]) if same[i] and same[j - 1] else 0
+                        if n >= D.LEAST_TOKENS and 5 * n >= 4 * (j - i):
+                            best = max(best, j - i)
+            if best:
+                out[d, t] = best
+    return out
+
+
+def test_random_substitutions_against_brute_force(spark):
+    r = random.Random(4)
+    items = [(i, sentence(r, r.randint(15, 30))) for i in range(12)]
+    docs = []
+    for d in range(240):
+        passage = [w if r.random() < 0.8 else "changed" for w in items[d % 12][1]]
+        docs.append((d, [*sentence(r, 3), *passage, *sentence(r, 3)]))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string").repartition(3)
+    it = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    want = brute_rows(docs, items)
+    assert len(want) > 80 and {(x.doc_id, x.item_id): x.n_tokens for x in D.contaminated(df, it).collect()} == want
+
+
+def test_a_shorter_overlap_counts_where_the_longest_has_too_few_that_agree():
+    same = np.array([c == "1" for c in "110111101111011" + "0" * 20 + "1111111111111"])
+    assert D.best_overlap(same, 13, 0.8) == (0, 15)
+    assert D.overlap(same) == (35, 48)
