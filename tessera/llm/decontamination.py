@@ -2,8 +2,8 @@
 
 A mask lays over a window of tokens and ignores some of its places, so a window
 hashes alike whatever stands there. Benchmark and training windows join on those
-hashes; a hit fixes how an item and a document lie against each other, and the
-tokens around it are compared place by place. An overlap counts if enough tokens in
+hashes; a hit fixes how an item and a document lie against each other, and all
+their tokens that lie against each other so are compared place by place. An overlap counts if enough tokens in
 a row agree but for some substitutions.
 """
 
@@ -24,8 +24,6 @@ from tessera.llm import common
 MASKS = ("11111", "110111")
 #: Tokens of an overlap that must agree at least, and the share of them that must.
 LEAST_TOKENS, LEAST_SHARE = 13, 0.8
-#: Tokens on either side of a hit that are compared at most; a longer overlap has hits farther on.
-REACH = 64
 #: Bits of the filter over benchmark hashes: 16 MB whatever the benchmark holds. More hashes only let more misses on to the join.
 FILTER_BITS = 27
 #: Benchmark windows that are broadcast at most; beyond that the join is a sort-merge join.
@@ -124,92 +122,132 @@ def contaminated(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MAS
     through as null. Rows that repeat a document's id are one document for the result.
     Overlaps of the same length: the first in the document, then in the item.
 
-    A window reaches at most REACH tokens from its hit, and a longer overlap is put
-    together from its hits only as far as its longest part: it is found whatever its length.
+    An item that has a hit in a document is compared over its whole length, so an overlap
+    is found whole. A small benchmark is broadcast as a sorted list of its windows, and the
+    documents' workers compare; of a larger one each hit brings the item's tokens, and as
+    many of the document's on either side as the longest item has.
     """
     spark = docs.sparkSession
-    longest = max(map(len, masks))
 
     def of_items(batches):
         for rb in batches:
-            out: dict[str, list] = {"seed": [], "item_id": [], "at": [], "length": [], "around": [], "lead": []}
+            out: dict[str, list] = {"seed": [], "item_id": [], "at": [], "length": [], "item": []}
             for item_id, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
                 h = tokens(text)
                 if not len(h):
                     continue
                 found = [(-1, 0, short_seed(h))] if len(h) < least else [(k, i, s) for k, ss in seeds(h, masks) for i, s in enumerate(ss)]
                 for _, i, s in found:
-                    a, b = max(0, i - REACH), min(len(h), i + longest + REACH)
                     out["seed"].append(np.int64(np.uint64(s).view(np.int64)) if isinstance(s, np.uint64) else s)
                     out["item_id"].append(item_id)
                     out["at"].append(i)
                     out["length"].append(len(h))
-                    out["around"].append(h[a:b].tobytes())
-                    out["lead"].append(i - a)
-            yield pa.RecordBatch.from_arrays([pa.array(out["seed"], pa.int64()), pa.array(out["item_id"], pa.int64()), pa.array(out["at"], pa.int64()), pa.array(out["length"], pa.int64()), pa.array(out["around"], pa.binary()), pa.array(out["lead"], pa.int32())], names=list(out))
+                    out["item"].append(h.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out["seed"], pa.int64()), pa.array(out["item_id"], pa.int64()), pa.array(out["at"], pa.int64()), pa.array(out["length"], pa.int64()), pa.array(out["item"], pa.binary())], names=list(out))
 
-    item_rows = common.cut(common.by_arrow(items.select(items["item_id"].cast("long"), items["text"]), of_items, "seed long, item_id long, at long, length long, around binary, lead int"))
+    item_rows = common.cut(common.by_arrow(items.select(items["item_id"].cast("long"), items["text"]), of_items, "seed long, item_id long, at long, length long, item binary"))
     n_items = item_rows.count()
     shorts = sorted(r.length for r in item_rows.where(F.col("length") < least).select("length").distinct().collect())
+    reach = item_rows.agg(F.max("length")).first()[0] or 0
     bitmap = spark.sparkContext.broadcast(_filter(item_rows))
 
-    def of_docs(batches):
+    def hits(h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of windows that the filter lets through, and their seeds."""
         bits = np.frombuffer(bitmap.value, np.uint8)
-        top = np.uint64(64 - FILTER_BITS)
-
-        def hits(s: np.ndarray) -> np.ndarray:
-            k = s >> top
-            return np.flatnonzero(bits[k >> np.uint64(3)] >> (k & np.uint64(7)).astype(np.uint8) & np.uint8(1))
-
-        for rb in batches:
-            ids, seed, at, around, lead = [], [], [], [], []
-            for doc_id, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
-                h = tokens(text)
-                for s in [*(s for _, s in seeds(h, masks)), *(short_windows(h, n) for n in shorts)]:
-                    for i in hits(s).tolist():
-                        a = max(0, i - REACH)
-                        ids.append(doc_id)
-                        seed.append(s[i])
-                        at.append(i)
-                        around.append(h[a : i + longest + REACH].tobytes())
-                        lead.append(i - a)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(seed, np.uint64).view(np.int64)), pa.array(at, pa.int64()), pa.array(around, pa.binary()), pa.array(lead, pa.int32())], names=["doc_id", "seed", "doc_at", "doc_around", "doc_lead"])
-
-    doc_rows = common.by_arrow(docs.select(docs["doc_id"].cast("long"), docs["text"]), of_docs, "doc_id long, seed long, doc_at long, doc_around binary, doc_lead int")
-    right = F.broadcast(item_rows) if n_items <= BROADCAST_ROWS else item_rows
-    pairs = doc_rows.join(right, "seed")
-
-    def verify(batches):
-        for rb in batches:
-            cols = rb.to_pydict()
-            out = []
-            seen: dict = {}
-            for doc_id, doc_at, da, dl, item_id, at, length, ia, il in zip(*(cols[c] for c in ("doc_id", "doc_at", "doc_around", "doc_lead", "item_id", "at", "length", "around", "lead")), strict=True):
-                key = (doc_id, item_id, doc_at - at)
-                if (got := seen.get(key)) is not None and got[0] <= doc_at < got[1]:
-                    continue  # this place is within an overlap that was found along the same diagonal
-                d, t = np.frombuffer(da, np.uint64), np.frombuffer(ia, np.uint64)
-                back = min(dl, il)
-                d, t = d[dl - back :], t[il - back :]
-                n = min(len(d), len(t))
-                same = d[:n] == t[:n]
-                if length < least:
-                    span = (0, length) if n >= length and same[:length].all() else None
-                else:
-                    span = overlap(same, least, share)
-                if span is not None:
-                    i, j = span
-                    start = doc_at - back + i
-                    seen[key] = (start, start + j - i)
-                    out.append((doc_id, item_id, start, at - back + i, j - i, int(same[i:j].sum())))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "item_id", "doc_start", "item_start", "n_tokens", "n_same"])
-
-    found = common.by_arrow(pairs, verify, "doc_id long, item_id long, doc_start long, item_start long, n_tokens long, n_same long")
+        for s in [*(s for _, s in seeds(h, masks)), *(short_windows(h, n) for n in shorts)]:
+            k = s >> np.uint64(64 - FILTER_BITS)
+            at = np.flatnonzero(bits[k >> np.uint64(3)] >> (k & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+            yield at, s[at]
+
+    def compare(d: np.ndarray, t: np.ndarray, diagonal: int) -> tuple[int, int, int, int] | None:
+        """Starts in d and t, length and agreeing tokens of the overlap where t's first token lies against d[diagonal]."""
+        a, b = max(0, diagonal), max(0, -diagonal)
+        n = min(len(d) - a, len(t) - b)
+        same = d[a : a + n] == t[b : b + n]
+        if len(t) < least:
+            span = (0, n) if n == len(t) and same.all() else None
+        else:
+            span = overlap(same, least, share)
+        return span and (a + span[0], b + span[0], span[1] - span[0], int(same[span[0] : span[1]].sum()))
+
+    def listed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(6)], names=["doc_id", "item_id", "doc_start", "item_start", "n_tokens", "n_same"])
+
+    plain = docs.select(docs["doc_id"].cast("long"), docs["text"])
+    result = "doc_id long, item_id long, doc_start long, item_start long, n_tokens long, n_same long"
+
+    if n_items <= BROADCAST_ROWS:
+        held = spark.sparkContext.broadcast(_index(item_rows))
+
+        def of_docs(batches):
+            seed, number, at, ids, texts = held.value
+            texts = [np.frombuffer(x, np.uint64) for x in texts]
+            for rb in batches:
+                out = []
+                for doc_id, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
+                    h = tokens(text)
+                    pairs = []
+                    for place, s in hits(h):
+                        first = np.searchsorted(seed, s)
+                        n = np.searchsorted(seed, s, "right") - first
+                        row = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+                        pairs.append((number[row] << 40) + np.repeat(place, n) - at[row] + (1 << 39))
+                    for pair in np.unique(np.concatenate(pairs)).tolist() if pairs else ():
+                        k = pair >> 40
+                        if (span := compare(h, texts[k], (pair & (1 << 40) - 1) - (1 << 39))) is not None:
+                            out.append((doc_id, ids[k], *span))
+                if out:
+                    yield listed(out)
+
+        found = common.by_arrow(plain, of_docs, result)
+    else:
+
+        def hits_of_docs(batches):
+            for rb in batches:
+                ids, seed, at, around, lead = [], [], [], [], []
+                for doc_id, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
+                    h = tokens(text)
+                    for place, s in hits(h):
+                        for i, x in zip(place.tolist(), s.view(np.int64).tolist(), strict=True):
+                            a = max(0, i - reach)
+                            ids.append(doc_id)
+                            seed.append(x)
+                            at.append(i)
+                            around.append(h[a : i + reach].tobytes())
+                            lead.append(i - a)
+                            if len(ids) == 1_000:
+                                yield of_hits(ids, seed, at, around, lead)
+                                ids, seed, at, around, lead = [], [], [], [], []
+                yield of_hits(ids, seed, at, around, lead)
+
+        def of_hits(ids, seed, at, around, lead):
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seed, pa.int64()), pa.array(at, pa.int64()), pa.array(around, pa.large_binary()).cast(pa.binary()), pa.array(lead, pa.int64())], names=["doc_id", "seed", "doc_at", "around", "lead"])
+
+        def verify(batches):
+            for rb in batches:
+                out = []
+                cols = rb.to_pydict()
+                for doc_id, doc_at, around, lead, item_id, at, item in zip(*(cols[c] for c in ("doc_id", "doc_at", "around", "lead", "item_id", "at", "item")), strict=True):
+                    if (span := compare(np.frombuffer(around, np.uint64), np.frombuffer(item, np.uint64), lead - at)) is not None:
+                        out.append((doc_id, item_id, span[0] + doc_at - lead, *span[1:]))
+                if out:
+                    yield listed(out)
+
+        pairs = common.by_arrow(plain, hits_of_docs, "doc_id long, seed long, doc_at long, around binary, lead long").join(item_rows, "seed")
+        found = common.by_arrow(pairs, verify, result)
     best = F.min(F.struct((-F.col("n_tokens")).alias("less"), "doc_start", "item_start", "n_tokens", "n_same"))
     return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.doc_start", "best.item_start", "best.n_tokens", "best.n_same")
 
 
+def _index(item_rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int | None], list[bytes]]:
+    """The windows' seeds in order, with item numbers and places, and the items' ids and tokens by number."""
+    numbers: dict[tuple[int | None, bytes], int] = {}
+    rows = [(r.seed, numbers.setdefault((r.item_id, bytes(r.item)), len(numbers)), r.at) for r in item_rows.toLocalIterator()]
+    seed, number, at = np.ascontiguousarray(np.array(rows, np.int64).reshape(-1, 3).T)
+    order = np.argsort(seed.view(np.uint64))
+    return seed.view(np.uint64)[order], number[order], at[order], [k[0] for k in numbers], [k[1] for k in numbers]
+
+
 def _filter(item_rows: DataFrame) -> bytes:
     """A bitmap over the highest FILTER_BITS bits of the seeds; of fixed size, put together from blocks of it."""
     block_bits = 16

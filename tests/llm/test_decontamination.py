@@ -116,3 +116,19 @@ def test_a_shorter_overlap_counts_where_the_longest_has_too_few_that_agree():
     same = np.array([c == "1" for c in "110111101111011" + "0" * 20 + "1111111111111"])
     assert D.best_overlap(same, 13, 0.8) == (0, 15)
     assert D.overlap(same) == (35, 48)
+
+
+def test_a_long_overlap_is_found_whole(spark, monkeypatch):
+    r = random.Random(6)
+    item = sentence(r, 500)
+    passage = [w if k % 10 else "changed" for k, w in enumerate(item, 5)]
+    passage[200:240] = ["other"] * 40  # a gap without hits
+    docs = [(1, " ".join([*sentence(r, 70), *passage, *sentence(r, 30)])), (None, " ".join(item)), (2, " ".join(sentence(r, 100)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    it = spark.createDataFrame([(7, " ".join(item)), (None, " ".join(item[100:130])), (8, "short item")], "item_id long, text string")
+    same = [a == b for a, b in zip(passage, item, strict=True)]
+    want = {(1, 7): (70, 0, 500, sum(same)), (None, 7): (0, 0, 500, 500), (1, None): (170, 0, 30, sum(same[100:130])), (None, None): (100, 0, 30, 30)}
+    assert same[0] and same[-1] and same[100] and same[129]
+    for rows in (D.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(D, "BROADCAST_ROWS", rows)
+        assert {(x.doc_id, x.item_id): tuple(x)[2:] for x in D.contaminated(df, it).collect()} == want
