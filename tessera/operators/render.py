@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def merged_ranges(ranges: DataFrame, gap: int, by: str = "file_path") -> DataFrame:
@@ -15,23 +17,33 @@ def merged_ranges(ranges: DataFrame, gap: int, by: str = "file_path") -> DataFra
     return r.groupBy(by, "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("importance").alias("importance"), F.count(F.lit(1)).alias("n")).drop("group")
 
 
-def within_budget(items: DataFrame, by: str, order: list[str], size: str, most: int, keep: int = 1_000) -> DataFrame:
-    """Items of each group taken in order while their sizes add up to at most most; the first is always taken, and one that doesn't fit is passed over.
+def within_budget(items: DataFrame, by: str, order: list[str], size: str, most: int) -> DataFrame:
+    """Items of each group taken in order while their sizes add up to at most most, with their rank among those that could fit; the first is always taken, and one that doesn't fit is passed over.
 
-    What is taken depends on what was, so each group is folded in order. Only the first
-    keep items that could fit take part: any beyond them would be shown last.
+    What is taken depends on what was, so each group is folded in order, over all of its
+    items as they stream by. Items without a group are left out.
     """
-    w = Window.partitionBy(by).orderBy(*order)
-    few = items.withColumn("rank", F.row_number().over(w)).where((F.col("rank") == 1) | (F.col(size) <= most)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
-    g = few.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(size).cast("long").alias("size")))).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("taken"))
-
-    def take(acc, x):
-        fits = (F.size(acc["taken"]) == 0) | (acc["used"] + x["size"] <= most)
-        return F.struct(F.when(fits, acc["used"] + x["size"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["taken"], F.array(x["rank"]))).otherwise(acc["taken"]).alias("taken"))
-
-    taken = g.select(by, F.explode(F.aggregate("all", start, take)["taken"]).alias("rank"))
-    return few.join(taken, [by, "rank"])
+    names = items.columns
+
+    def fold(batches):
+        group, used, rank = None, 0, 0
+        for rb in batches:
+            places, ranks = [], []
+            for i, (g, n) in enumerate(zip(rb.column(names.index(by)).to_pylist(), rb.column(names.index(size)).to_pylist(), strict=True)):
+                if g != group:
+                    group, used, rank = g, 0, 0
+                if rank and (n is None or n > most):
+                    continue
+                rank += 1
+                if rank == 1 or (used is not None and used + n <= most):
+                    used = None if n is None else used + n
+                    places.append(i)
+                    ranks.append(rank)
+            t = rb.take(pa.array(places, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(ranks, pa.int32())], names=[*names, "rank"])
+
+    dealt = items.where(F.col(by).isNotNull()).repartition(by).sortWithinPartitions(by, *order)
+    return dealt.mapInArrow(fold, T.StructType([*items.schema.fields, T.StructField("rank", T.IntegerType())]))
 
 
 def numbered(lines: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -98,3 +98,11 @@ def test_tools_and_guards(g):
     api.serve(e, ['{"jsonrpc":"2.0","id":1,"method":"tools/list"}', "nonsense", '{"jsonrpc":"2.0","id":2,"method":"tools/call","params":{"name":"search","arguments":{"query":"A1"}}}', '{"jsonrpc":"2.0","method":"ping"}'], out.append, ("search",))
     assert '"search"' in out[0] and "-32700" in out[1] and "pkg.a1" in out[2] and len(out) == 3
     assert "| kind |" in api.markdown(e.status().select("kind"), "Status")
+
+
+def test_a_small_item_after_a_thousand_larger_ones_still_fits(spark):
+    from tessera.operators import render
+
+    rows = [("a", 0, 50)] + [("a", k, 20) for k in range(1, 1_500)] + [("a", 1_500, 10), ("a", 1_501, 1), ("b", 1, 99), ("b", 2, 1), ("c", 1, 60), ("c", 2, 70)]
+    got = render.within_budget(spark.createDataFrame(rows, "file_path string, id long, size long").repartition(4), "file_path", ["id"], "size", 60)
+    assert sorted((r.file_path, r.id, r["rank"]) for r in got.collect()) == [("a", 0, 1), ("a", 1_500, 1_501), ("b", 1, 1), ("c", 1, 1)]
