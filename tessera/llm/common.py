@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -15,9 +17,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+#: Bytes of a batch that a Python function works on at a time.
+SLICE_BYTES = 2 << 20
 #: Entries a worker's word caches hold before they start afresh; bounds memory, never results.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 
 _SHIPPED: set[str] = set()
 
@@ -114,9 +119,38 @@ def fold_col(doc_id: str = "doc_id", n: int = 5) -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def by_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def slices(batches: Iterable[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about size bytes; a larger row comes alone."""
+    for rb in batches:
+        n = rb.num_rows
+        step = max(1, n * size // max(1, rb.nbytes))
+        if step >= n:
+            yield rb
+            continue
+        for a in range(0, n, step):
+            part = rb.slice(a, step)
+            yield from slices([part], size) if part.num_rows > 1 and part.nbytes > 4 * size else [part]
+
+
+def release() -> None:
+    """Give memory that a task no longer needs back to the system: a worker that waits for its next task keeps none."""
+    WORD_HASH.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def by_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow over batches of bounded bytes, by workers that are small again when a task ends."""
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches):
+        try:
+            yield from f(slices(batches))
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
 
 
 def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:

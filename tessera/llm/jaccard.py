@@ -35,6 +35,8 @@ SHINGLE = 5
 BUCKET_BITS = 22
 #: Buckets of the table that travel together.
 BLOCK_BITS = 16
+#: Sets that a task remembers to take equal ones once; with more, some are counted again, which changes no link.
+SEEN = 1 << 18
 #: Postings of a reducing task, about.
 POSTINGS = 1_000_000
 #: Postings that a task holds before it sends them on.
@@ -104,7 +106,7 @@ def _add(into: np.ndarray, shown: bytes) -> None:
 
 def _sketch(batches):
     """A row for each document, then the counts of shingle buckets over the task's different sets."""
-    table, seen, waiting = np.zeros(1 << BUCKET_BITS, np.int64), set(), []
+    table, seen = np.zeros(1 << BUCKET_BITS, np.uint32), set()
     for rb in batches:
         cols: dict[str, list] = {f.name: [] for f in _SKETCH}
         for doc_id, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
@@ -115,11 +117,13 @@ def _sketch(batches):
             cols["cid"].append(cid)
             cols["check"].append(check)
             if cid not in seen:
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(cid)
-                waiting.append(s >> _U(64 - BUCKET_BITS))
-        if waiting:
-            table += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=len(table))
-            waiting.clear()
+                # a set's hashes are sorted and differ, so buckets of two of them stand next to each other
+                at = s >> _U(64 - BUCKET_BITS)
+                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
+                table[at[first]] += np.diff(np.r_[first, len(at)]).astype(np.uint32)
         cols["block"] = cols["counts"] = [None] * len(cols["n"])
         yield common.batch(_SKETCH, cols)
     for k, counts in enumerate(table.reshape(-1, 1 << BLOCK_BITS)):
@@ -266,6 +270,8 @@ def candidates(docs: DataFrame, table: np.ndarray, sets: int, postings: int, red
                 if len(s):
                     cid, _ = class_of(s)
                     if cid not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
                         seen.add(cid)
                         of(cid, len(s), *r.prefix(s))
             yield
