@@ -81,8 +81,17 @@ def is_config_leaf(kind: Column, name: Column, qualified: Column) -> Column:
     return kind.isin("constant", "field") & (name.startswith("${") | qualified.contains(".properties") | qualified.contains(".yml") | qualified.contains(".yaml"))
 
 
-def mentions_tests(query: str) -> bool:
-    return any(w in query.lower() for w in ("test", "spec", "testing", "verify"))
+#: Words by which a query means tests, for ranking and for what is left out.
+RANKED_TEST_WORDS, TEST_WORDS = ("test", "spec"), ("test", "testing", "spec", "verify")
+
+
+def mentions_tests(query: str, words: tuple[str, ...] = TEST_WORDS) -> bool:
+    return any(w in query.lower() for w in words)
+
+
+def mentioning_tests(query: Column, words: tuple[str, ...] = TEST_WORDS) -> Column:
+    """mentions_tests() of a column; null as without."""
+    return F.coalesce(F.lower(query).rlike(any_of(words)), F.lit(False))
 
 
 #: Languages by extension.

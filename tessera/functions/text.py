@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Words that a search leaves out.
 STOP_WORDS = frozenset(
     "the a an and or but in on at to for of with by from is it that this are was be has had have do does did will would could should may might can shall not no all each "
@@ -29,33 +32,41 @@ def symbols(query: str) -> list[str]:
     return out[:MOST_SYMBOLS]
 
 
+# Endings, the least length of a term that each is taken off, and what comes in its place, one form after another; "~" is the stem with a doubled last letter made single.
+STEM_RULES = (
+    ("ing", 6, ("", "e", "~")),
+    ("tion", 6, ("t",)),
+    ("sion", 6, ("s",)),
+    ("ment", 7, ("",)),
+    ("ies", 5, ("y",)),
+    ("es", 5, ("",)),
+    ("s", 5, ("",)),
+    ("ed", 5, ("e", "")),
+    ("ied", 6, ("y",)),
+    ("er", 5, ("", "e", "~")),
+)
+#: Of these endings only the first that fits counts; and endings that look like another but aren't it.
+PLURALS, NOT_THESE = ("ies", "es", "s"), {"s": "ss", "ed": "eed"}
+
+
 def stems(term: str) -> list[str]:
     """Shorter forms of a term by its ending, each of three characters at least, in order and without the term."""
-    t, found = term.lower(), []
-
-    def undouble(base: str) -> list[str]:
-        return [base, base + "e", *[base[:-1]] * (len(base) >= 2 and base[-1] == base[-2])]
-
-    if t.endswith("ing") and len(t) > 5:
-        found += undouble(t[:-3])
-    if t.endswith(("tion", "sion")) and len(t) > 5:
-        found.append(t[:-3])
-    if t.endswith("ment") and len(t) > 6:
-        found.append(t[:-4])
-    if len(t) > 4:
-        if t.endswith("ies"):
-            found.append(t[:-3] + "y")
-        elif t.endswith("es"):
-            found.append(t[:-2])
-        elif t.endswith("s") and not t.endswith("ss"):
-            found.append(t[:-1])
-        if t.endswith("ed") and not t.endswith("eed"):
-            found += [t[:-1], t[:-2], *[t[:-3] + "y"] * (t.endswith("ied") and len(t) > 5)]
-        if t.endswith("er"):
-            found += undouble(t[:-2])
+    t, found, plural = term.lower(), [], False
+    for end, least, forms in STEM_RULES:
+        if not t.endswith(end) or len(t) < least or t.endswith(NOT_THESE.get(end, " ")) or (end in PLURALS and plural):
+            continue
+        plural = plural or end in PLURALS
+        base = t[: -len(end)]
+        doubled = len(base) >= 2 and base[-1] == base[-2]
+        found += [base[:-1] if form == "~" else base + form for form in forms if form != "~" or doubled]
     return list(dict.fromkeys(v for v in found if len(v) >= 3 and v != t))
 
 
+#: Humped words, and words joined by underscores, which terms takes whole as well.
+HUMPED = r"\b(?:[a-zA-Z][a-zA-Z0-9]*(?:[A-Z][a-z]+)+|[A-Z][a-z]+(?:[A-Z][a-z]*)+)\b"
+UNDERSCORED = r"\b[a-zA-Z][a-zA-Z0-9]*(?:_[a-zA-Z0-9]+)+\b"
+
+
 def split_camel(text: str) -> str:
     """text with a space before each new hump."""
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ", text)
@@ -64,8 +75,8 @@ def split_camel(text: str) -> str:
 def terms(query: str, with_stems: bool = False) -> list[str]:
     """Search terms of a query in order: compounds whole, then their words, without short and stop words."""
     query = query or ""
-    found = [m.lower() for m in re.findall(r"\b(?:[a-zA-Z][a-zA-Z0-9]*(?:[A-Z][a-z]+)+|[A-Z][a-z]+(?:[A-Z][a-z]*)+)\b", query)]
-    found += [m.lower() for m in re.findall(r"\b[a-zA-Z][a-zA-Z0-9]*(?:_[a-zA-Z0-9]+)+\b", query)]
+    found = [m.lower() for m in re.findall(HUMPED, query)]
+    found += [m.lower() for m in re.findall(UNDERSCORED, query)]
     found = [x for x in found if len(x) >= 3]
     for w in re.split(r"[^a-zA-Z0-9]+", split_camel(query).replace("_", " ").replace(".", " ")):
         if len(w) >= 3 and w.lower() not in STOP_WORDS:
@@ -82,5 +93,12 @@ def title_case(word: str) -> str:
     return word[:1].upper() + word[1:].lower()
 
 
-def truncated(text: str, most: int) -> str:
-    return text if len(text) <= most else text[: max(0, most - 3)] + "..."
+def line_of_offset(text: Column, offset: Column) -> Column:
+    """The line, from 1 on, of the character at offset, which counts from 0; beyond the end the last line."""
+    before = F.substring(text, F.lit(1), offset.cast("int"))
+    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+
+
+def distinctive(token: Column) -> Column:
+    """is_distinctive() of a column."""
+    return token.rlike("[_0-9]|.[A-Z]")

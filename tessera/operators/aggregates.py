@@ -8,13 +8,29 @@ from pyspark.sql import functions as F
 from tessera.functions.predicates import directory_of, is_plain_test
 
 #: Kinds with code worth a blast radius. Fixed values.
-MEANINGFUL_KINDS = ("function", "method", "class", "interface", "struct", "trait", "protocol", "enum", "type_alias", "component", "constant", "variable", "property", "route")
+MEANINGFUL_KINDS = ("function", "method", "class", "interface", "struct", "trait", "protocol", "enum", "type_alias", "component", "constant", "variable", "property", "field")
 
 
 def by_kind(rows: DataFrame) -> DataFrame:
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def kinds(rows: DataFrame) -> DataFrame:
+    """(kind): the kinds that are there."""
+    return rows.select("kind").distinct()
+
+
+def kinds_by_file(nodes: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """A row for each file with the number of its nodes of each kind."""
+    return nodes.groupBy("file_path").pivot("kind", list(kinds)).count().na.fill(0)
+
+
+def capped_by_kind(edges: DataFrame, cap: int) -> DataFrame:
+    """(kind, source, target, rank): the first cap edges of each kind by their ends. Each task cuts its rows down before the exchange."""
+    w = Window.partitionBy("kind").orderBy("source", "target", "line")
+    return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap).select("kind", "source", "target", "rank")
+
+
 def symbols_per_file(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
 
@@ -80,6 +96,11 @@ def relations_by_kind(edges: DataFrame, nodes: DataFrame, cap: int) -> DataFrame
     return first.join(F.broadcast(counts), "kind").select("kind", "rank", "source_name", "target_name", (F.col("total") - cap).alias("more"))
 
 
+def first_roots(nodes: DataFrame, roots: DataFrame, most: int = 5, order: str = "id") -> DataFrame:
+    """The first most of roots (id, ...) of a kind that a blast radius is shown for."""
+    return roots.join(nodes.where(F.col("kind").isin(*MEANINGFUL_KINDS)).select("id"), "id", "left_semi").orderBy(order).limit(most)
+
+
 def blast_radius(nodes: DataFrame, edges: DataFrame, roots: DataFrame, files: int = 4) -> DataFrame:
     """For each root (id) of a meaningful kind with callers: their number, and its first files with tests and without."""
     kinds = ("calls", "references", "imports", "instantiates")

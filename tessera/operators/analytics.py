@@ -13,12 +13,16 @@ from tessera.plans.schema import RANK_KINDS
 
 #: The chance of a restart, and the number of rounds.
 RESTART, ROUNDS = 0.25, 25
+# Points of a candidate's nearness to a reference, and the leading directories that count at most.
+SAME_FILE, SAME_DIRECTORY, STEP, LEADING, EXPORTED = 100, 30, 10, 8, 10
+#: Layers that are peeled in one job, and the share of edges that must go for another such job; what isn't peeled is found not to be on a cycle all the same.
+PEELED, PEELING_PAYS = 2, 0.999
 
 
 def cyclic_files(dependencies: DataFrame) -> DataFrame:
     """(file) of every file on a cycle of dependencies (from_file, to_file), with its cycle's least file.
 
-    Files with no way in or out are peeled off round by round. What is left is coloured
+    Files with no way in or out are peeled off while that takes off much. What is left is coloured
     with the least file that reaches each; the files that a colour's file reaches back
     from within its colour are one strongly connected part and leave, until none is left.
     """
@@ -26,12 +30,15 @@ def cyclic_files(dependencies: DataFrame) -> DataFrame:
     done: DataFrame | None = None
     while True:
         size = e.count()
-        while True:  # peel
-            e = cut(e.join(e.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(e.select(F.col("s").alias("t")).distinct(), "t", "left_semi").select("s", "t"))
+        while size:  # peel layers, several at a time, as long as that takes off much
+            for _ in range(PEELED):
+                e = e.join(e.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(e.select(F.col("s").alias("t")).distinct(), "t", "left_semi").select("s", "t")
+            e = cut(e)
             left = e.count()
-            if left == size or not left:
+            if left > PEELING_PAYS * size or not left:
                 break
             size = left
+        left = e.count()
         if not left:
             break
         colour = cut(e.select(F.col("s").alias("v")).union(e.select("t")).distinct().withColumn("c", F.col("v")))
@@ -54,6 +61,24 @@ def cyclic_files(dependencies: DataFrame) -> DataFrame:
     return done if done is not None else e.select(F.col("s").alias("file"), F.col("t").alias("cycle")).limit(0)
 
 
+def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, depth): how many containers stand above each node; null where the chain of them never ends.
+
+    Of several containers the least by id counts. Chains are halved in each round, by
+    what a node's farthest known container knows, so rounds grow with the logarithm of
+    the depth.
+    """
+    up = edges.where("kind = 'contains'").groupBy(F.col("target").alias("id")).agg(F.min("source").alias("top"))
+    known = cut(nodes.select("id").join(up, "id", "left").select("id", "top", F.when(F.col("top").isNull(), 0).otherwise(1).alias("depth")))
+    # containers that aren't nodes end a chain, too
+    open_, before = known.where("top IS NOT NULL").count(), -1
+    while open_ and open_ != before:
+        far = known.select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
+        known = cut(known.join(far, "top", "left").select("id", F.col("next").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        before, open_ = open_, known.where("top IS NOT NULL").count()
+    return known.select("id", F.when(F.col("top").isNull(), F.col("depth")).alias("depth"))
+
+
 def random_walk(edges: DataFrame, ids: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, restart: float = RESTART) -> DataFrame:
     """(id, score) of a random walk with restart over the nodes ids (id), by exactly so many rounds.
 
@@ -107,4 +132,4 @@ def proximity(ref_path: Column, path: Column, exported: Column) -> Column:
     pairs = F.zip_with(pa, pb, lambda x, y: F.coalesce(x == y, F.lit(False)))
     shared = F.aggregate(pairs, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda acc, same: F.struct((acc["n"] + F.when(acc["on"] & same, 1).otherwise(0)).alias("n"), (acc["on"] & same).alias("on")), lambda acc: acc["n"])
     shared = F.when((a == "") | (b == ""), 0).otherwise(shared)
-    return F.when(ref_path == path, 100).otherwise(0) + F.when(a == b, 30).otherwise(0) + F.least(10 * shared, F.lit(80)) + F.when(exported, 10).otherwise(0)
+    return F.when(ref_path == path, SAME_FILE).otherwise(0) + F.when(a == b, SAME_DIRECTORY).otherwise(0) + F.least(STEP * shared, F.lit(STEP * LEADING)) + F.when(exported, EXPORTED).otherwise(0)

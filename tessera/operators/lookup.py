@@ -123,3 +123,30 @@ def view_row(nodes: DataFrame) -> DataFrame:
 
 def is_callable(kind: Column) -> Column:
     return kind.isin("method", "function", "component", "constructor")
+
+
+def decoded_nodes(rows: DataFrame) -> DataFrame:
+    """Nodes from rows as a relational store has them: flags as 0 or 1, lists as JSON text, null for an empty list."""
+    flags, lists = [c for c in rows.columns if c.startswith("is_")], [c for c in ("decorators", "type_parameters") if c in rows.columns]
+    return rows.withColumns({c: F.col(c) == 1 for c in flags} | {c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>")) for c in lists})
+
+
+def encoded_nodes(nodes: DataFrame) -> DataFrame:
+    """What decoded_nodes reads."""
+    flags, lists = [c for c in nodes.columns if c.startswith("is_")], [c for c in ("decorators", "type_parameters") if c in nodes.columns]
+    return nodes.withColumns({c: F.col(c).cast("int") for c in flags} | {c: F.when(F.size(c) > 0, F.to_json(c)) for c in lists})
+
+
+def decoded_edges(rows: DataFrame) -> DataFrame:
+    """Edges whose metadata is JSON text."""
+    return rows.withColumn("metadata", F.from_json("metadata", "map<string,string>"))
+
+
+def of_known_kind(nodes: DataFrame, kind: str | None, known: tuple[str, ...]) -> DataFrame:
+    """Nodes of a kind; all for none or one that there isn't."""
+    return by_kind(nodes, kind) if kind in known else nodes
+
+
+def under(nodes: DataFrame, prefix: str | None) -> DataFrame:
+    """Nodes in files whose path begins so."""
+    return nodes.where(F.col("file_path").startswith(prefix)) if prefix else nodes

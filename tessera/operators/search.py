@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.predicates import directory_of, is_test, name_of
+from tessera.functions.predicates import RANKED_TEST_WORDS, directory_of, is_test, mentions_tests, name_of
 from tessera.functions.text import is_distinctive, split_camel, stems, symbols, terms, title_case
 from tessera.plans.fixpoint import levels, oriented
 from tessera.plans.graph import PropertyGraph
@@ -50,7 +50,7 @@ def path_relevance(path: Column, query: str) -> Column:
         parts = [p.lower() for p in split_camel(word).replace("_", " ").split() if len(p) >= 3] or [word.lower()]
         tier = lambda where, parts=parts: _any([where.contains(p) for p in parts])
         score.append(F.when(tier(name), 10).when(tier(dirs), 5).when(tier(low), 3).otherwise(0))
-    penalty = F.lit(0) if any(w in query.lower() for w in ("test", "spec")) else F.when(is_test(path), -15).otherwise(0)
+    penalty = F.lit(0) if mentions_tests(query, RANKED_TEST_WORDS) else F.when(is_test(path), -15).otherwise(0)
     return _sum(score) + penalty
 
 
@@ -59,9 +59,9 @@ def exact_hits(nodes: DataFrame, wanted: list[str], limit: int) -> DataFrame:
     if not wanted:
         return nodes.select("id", F.lit(0.0).alias("score")).limit(0)
     hit = nodes.select("id", F.lower("name").alias("low"), "file_path", F.when(F.col("qualified_name").isin(wanted), QUALIFIED_SCORE).when(F.col("name").isin(wanted), NAME_SCORE).alias("score")).where("score IS NOT NULL")
-    together = hit.groupBy("file_path").agg(F.countDistinct("low").alias("n"))
+    together = colocated(hit.withColumnRenamed("low", "name"))
     boosted = hit.join(together, "file_path").select("id", (F.col("score") + F.when(F.col("n") > 1, (F.col("n") - 1) * COLOCATED).otherwise(0.0)).alias("score"))
-    return boosted.orderBy(F.desc("score"), "id").limit(2 * limit)
+    return best_first(boosted, 2 * limit)
 
 
 def prefix_hits(nodes: DataFrame, wanted: list[str], limit: int) -> DataFrame:
@@ -71,16 +71,45 @@ def prefix_hits(nodes: DataFrame, wanted: list[str], limit: int) -> DataFrame:
         return nodes.select("id", F.lit(0.0).alias("score")).limit(0)
     best = F.greatest(F.lit(-1.0), *[F.when(F.col("name").startswith(h), PREFIX_SCORE + brevity(F.col("name"), h, 10.0, 3.0)).otherwise(-1.0) for h in heads])
     found = nodes.where(F.col("kind").isin(*PREFIX_KINDS)).select("id", best.alias("score")).where("score > 0")
-    return found.orderBy(F.desc("score"), "id").limit(3 * limit)
+    return best_first(found, 3 * limit)
+
+
+def term_counts(nodes: DataFrame, wanted: list[str]) -> DataFrame:
+    """(id, n): how many of the terms stand in each node's names or docstring, where any does."""
+    n = _sum([(matches(F.col("name"), t) | matches(F.col("qualified_name"), t) | matches(F.col("docstring"), t)).cast("int") for t in wanted])
+    return nodes.where(F.col("kind").isin(*TERM_KINDS)).select("id", n.alias("n")).where("n > 0")
+
+
+def colocated(hits: DataFrame) -> DataFrame:
+    """(file_path, n): how many different names are hit in each file (name, file_path)."""
+    return hits.groupBy("file_path").agg(F.countDistinct(F.lower("name")).alias("n"))
+
+
+def best_first(hits: DataFrame, most: int) -> DataFrame:
+    """The first most hits (id, score, ...) by score, then by id."""
+    return hits.orderBy(F.desc("score"), "id").limit(most)
+
+
+def penalized(score: Column, path: Column, query: str) -> Column:
+    """A score lowered for test files, unless the query means tests."""
+    return score if "test" in query.lower() else F.when(is_test(path), score * TEST_PENALTY).otherwise(score)
+
+
+def finalized(hits: DataFrame, limit: int = SEARCH_LIMIT, least: float = LEAST_SCORE) -> DataFrame:
+    """The best 3 * limit hits, of these the ones of a least score, of these the first limit."""
+    return best_first(best_first(hits, 3 * limit).where(F.col("score") >= least), limit)
+
+
+def first_channel(hits: DataFrame) -> DataFrame:
+    """(id, score) of hits (id, score, c) of several channels: the channel of least c has the say."""
+    return hits.groupBy("id").agg(F.min(F.struct("c", (-F.col("score")).alias("s"))).alias("x")).select("id", (-F.col("x.s")).alias("score"))
 
 
 def term_hits(nodes: DataFrame, wanted: list[str], limit: int) -> DataFrame:
     """(id, score) of nodes by how many terms their names or docstrings contain; the best 3 * limit."""
     if not wanted:
         return nodes.select("id", F.lit(0.0).alias("score")).limit(0)
-    n = _sum([(matches(F.col("name"), t) | matches(F.col("qualified_name"), t) | matches(F.col("docstring"), t)).cast("int") for t in wanted])
-    found = nodes.where(F.col("kind").isin(*TERM_KINDS)).select("id", n.alias("n")).where("n > 0")
-    return found.select("id", (TERM_SCORE + TERM_STEP * (F.col("n") - 1)).alias("score")).orderBy(F.desc("score"), "id").limit(3 * limit)
+    return best_first(term_counts(nodes, wanted).select("id", (TERM_SCORE + TERM_STEP * (F.col("n") - 1)).alias("score")), 3 * limit)
 
 
 def camel_hits(nodes: DataFrame, wanted: list[str], query: str, limit: int) -> DataFrame:
@@ -141,20 +170,19 @@ def find(g: PropertyGraph, query: str, limit: int = SEARCH_LIMIT) -> DataFrame:
         return search(nodes, query.strip(), limit=limit).select("id", F.lit(1.0).alias("score"))
     first = exact_hits(nodes, wanted, limit).withColumn("c", F.lit(0)).unionByName(prefix_hits(nodes, wanted, limit).withColumn("c", F.lit(1))).unionByName(term_hits(nodes, words, limit).withColumn("c", F.lit(2)))
     # the channel that comes first has the say; a few dozen rows by now
-    first = first.groupBy("id").agg(F.min(F.struct("c", "score")).alias("x")).select("id", F.col("x.score").alias("score"))
+    first = first_channel(first)
     scored = first.join(nodes.select("id", "name", "file_path"), "id")
-    if "test" not in query.lower():
-        scored = scored.withColumn("score", F.when(is_test(F.col("file_path")), F.col("score") * TEST_PENALTY).otherwise(F.col("score")))
+    scored = scored.withColumn("score", penalized(F.col("score"), F.col("file_path"), query))
     scored = scored.select("id", co_occurrence(F.col("score"), F.col("name"), F.col("file_path"), words, [s for s in wanted if is_distinctive(s)]).alias("score"))
     more = camel_hits(nodes, wanted, query, limit).unionByName(compound_hits(nodes, wanted, query, limit))
     every = scored.unionByName(more).groupBy("id").agg(F.max("score").alias("score"))
-    return every.orderBy(F.desc("score"), "id").limit(3 * limit).where(F.col("score") >= LEAST_SCORE).orderBy(F.desc("score"), "id").limit(limit)
+    return finalized(every, limit)
 
 
 def expand(g: PropertyGraph, roots: DataFrame, most: int = 100, depth: int = DEPTH) -> DataFrame:
     """(id, level) of what surrounds the roots (id): all of them at once, either way over relevant kinds; the nearest first, then by id."""
     e = g.steady_edges(RELEVANT_KINDS)
-    return levels(oriented(e, "both"), roots, depth).orderBy("level", "id").limit(most)
+    return levels(oriented(e, "both"), roots, depth, enough=most).orderBy("level", "id").limit(most)
 
 
 def relevant(g: PropertyGraph, query: str, limit: int = SEARCH_LIMIT, most: int = 100) -> tuple[DataFrame, DataFrame]:

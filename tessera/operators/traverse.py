@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.fixpoint import first_of, levels, oriented, tree
+from tessera.operators.subgraph import in_same_files
+from tessera.plans.fixpoint import first_of, levels, oriented, tree, tree_levels, union_all
 from tessera.plans.graph import PropertyGraph
 from tessera.plans.lineage import cut
 from tessera.plans.schema import CALL_KINDS, CONTAINER_KINDS, NOISY_KINDS, TYPE_KINDS
@@ -25,12 +26,17 @@ def bfs(g: PropertyGraph, start: str, depth: int | None = None, limit: int = 100
     depth = depth if depth and depth > 0 else None
     limit = limit if limit > 0 else 1000
     allowed = g.nodes.where(F.col("kind").isin(*node_kinds)) if node_kinds else None
-    found = tree(oriented(g.steady_edges(edge_kinds), direction), _one(g, start), depth, allowed)
+    found = tree(oriented(g.steady_edges(edge_kinds), direction), _one(g, start), depth, allowed, limit + (not include_start))
     if not include_start:
         found = found.where("level > 0")
     return found.orderBy("level", "id").limit(limit)
 
 
+def dfs(g: PropertyGraph, start: str, depth: int | None = None, limit: int = 1000, direction: str = "outgoing", edge_kinds: tuple[str, ...] = (), node_kinds: tuple[str, ...] = (), include_start: bool = True) -> DataFrame:
+    """The same nodes as bfs: a set of nodes has no order of visits, so there is one traversal for both."""
+    return bfs(g, start, depth, limit, direction, edge_kinds, node_kinds, include_start)
+
+
 def callers(g: PropertyGraph, node_id: str, depth: int = 1) -> DataFrame:
     """Edges of call kinds against which node_id is reached within depth: a row for each, with the level at which it is found."""
     return _calls(g, node_id, depth, "incoming")
@@ -66,21 +72,22 @@ def impact(g: PropertyGraph, node_id: str, depth: int) -> DataFrame:
     hit = levels(oriented(cut(uses.select("source", "target", "kind", "line")), "incoming"), _one(g, node_id), depth)
     containers = g.nodes.where(F.col("kind").isin(*CONTAINER_KINDS)).select("id")
     inside = g.steady_edges(("contains",))
+    # a container is opened when it is found before the last level, or in one that is open; again if a nearer one has it
+    frontier = opened = cut(hit.where(F.col("level") < depth).join(containers, "id", "left_semi"))
     found = [hit]
-    frontier = hit.where(F.col("level") < depth).join(containers, "id", "left_semi")
-    while True:
+    while not frontier.isEmpty():
         below = cut(inside.join(frontier.select(F.col("id").alias("source"), "level"), "source").groupBy(F.col("target").alias("id")).agg(F.min("level").alias("level")))
-        if below.isEmpty():
-            break
         found.append(below)
-        known = found[0]
-        for f in found[1:-1]:
-            known = known.unionByName(f)
-        frontier = below.join(containers, "id", "left_semi").join(known.select("id").distinct(), "id", "left_anti")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.groupBy("id").agg(F.min("level").alias("level"))
+        nearer = below.join(containers, "id", "left_semi").join(opened.select("id", F.col("level").alias("was")), "id", "left").where("was IS NULL OR level < was").select("id", "level")
+        frontier = cut(nearer)
+        opened = cut(opened.unionByName(frontier).groupBy("id").agg(F.min("level").alias("level")))
+    return union_all(found).groupBy("id").agg(F.min("level").alias("level"))
+
+
+def impact_by_file(g: PropertyGraph, node_id: str, depth: int) -> DataFrame:
+    """(file_path, n, level) of impact(): how many nodes of each file, and the least level."""
+    hit = g.nodes.select("id", "file_path").join(impact(g, node_id, depth), "id")
+    return hit.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.min("level").alias("level"))
 
 
 def type_ancestors(g: PropertyGraph, node_id: str) -> DataFrame:
@@ -111,20 +118,21 @@ def path(g: PropertyGraph, start: str, goal: str) -> list[tuple[str, str]] | Non
     """
     if start == goal:
         return []
-    found = tree(oriented(g.steady_edges(), "outgoing"), _one(g, start))
-    steps, at = [], goal
-    while at != start:
-        row = found.where(F.col("id") == at).select("parent", "kind").first()
-        if row is None:
-            return None
-        steps.append((at, row.kind))
-        at = row.parent
-    return steps[::-1]
+    found = tree_levels(oriented(g.steady_edges(), "outgoing"), _one(g, start), goal=goal)
+    if found[-1].where(F.col("id") == goal).isEmpty():
+        return None
+    # one plan walks up: from each level the parent of the one below
+    at = found[-1].where(F.col("id") == goal)
+    rows = [at]
+    for level in found[-2:0:-1]:
+        at = level.join(F.broadcast(at.select(F.col("parent").alias("id"))), "id").select(*level.columns)
+        rows.append(at)
+    return [(r.id, r.kind) for r in union_all(rows).orderBy("level").collect()]
 
 
 def distance(g: PropertyGraph, start: str, goal: str) -> DataFrame:
     """(hops) of a shortest way over outgoing edges; no row without one."""
-    found = levels(oriented(g.steady_edges(), "outgoing"), _one(g, start))
+    found = levels(oriented(g.steady_edges(), "outgoing"), _one(g, start), goal=goal)
     return found.where(F.col("id") == goal).select(F.col("level").alias("hops"))
 
 
@@ -138,7 +146,7 @@ def view(g: PropertyGraph, seeds: DataFrame, degree: int = 3, most: int = 250, i
 
     e = g.edges if include_imports else g.edges.where(~F.col("kind").isin(*NOISY_KINDS))
     e = cut(e.select("source", "target", "kind", "line"))
-    found = levels(oriented(e, "both"), seeds, degree).orderBy("level", "id").limit(most)
+    found = levels(oriented(e, "both"), seeds, degree, enough=most).orderBy("level", "id").limit(most)
     n = cut(g.nodes.where(~F.col("kind").isin("import", "export")).join(found, "id").select("id", "kind", "name", "qualified_name", "file_path", "start_line", "level"))
     drawn = induced(e, n).select("source", "target", "kind")
     d = F.coalesce("degree", F.lit(0))
@@ -164,6 +172,5 @@ def glue(g: PropertyGraph, roots: DataFrame, members: DataFrame, cap: int = 60)
     e = g.edges.where(F.col("kind").isin(*CALL_KINDS))
     r = roots.select("id")
     near = e.join(r.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("id")).union(e.join(r.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id"))).distinct()
-    files = g.nodes.join(members.select("id"), "id", "left_semi").select("file_path").distinct()
-    out = g.nodes.join(near, "id", "left_semi").join(members.select("id"), "id", "left_anti").join(files, "file_path", "left_semi")
+    out = in_same_files(g.nodes.join(near, "id", "left_semi").join(members.select("id"), "id", "left_anti"), members, g.nodes)
     return out.orderBy("id").limit(cap)

@@ -3,13 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where there is one machine alone, one of our own if it is unset."""
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not d:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = f"file://{tempfile.mkdtemp(prefix='tessera_')}"
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
+    return d.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/{what}_{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the reliable checkpoint folder, which executors share, and go on from there."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera_"))
+    shared_dir(df.sparkSession)
     return df.checkpoint()

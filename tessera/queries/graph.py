@@ -1,10 +1,8 @@
-"""One query for each operator over the derived graph, and SQL for the same rows."""
+"""Queries of lookups, joins, aggregates, traversals, search and resolution."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import predicates as P
@@ -12,49 +10,24 @@ from tessera.operators import aggregates as A
 from tessera.operators import analytics as N
 from tessera.operators import joins as J
 from tessera.operators import lookup as L
-from tessera.operators import resolve, search
+from tessera.functions import text as T_
+from tessera.operators import flow, rank, render, resolve, search
 from tessera.operators import traverse as T
-from tessera.plans.fixpoint import first_of
-from tessera.plans.fixtures import WITH
+from tessera.plans.fixpoint import first_of, oriented, priority
+from tessera.operators import subgraph as G
 from tessera.plans.graph import PropertyGraph
 from tessera.plans.schema import CALL_KINDS
+from tessera.sources import files
+from tessera.queries.base import ALL, COLS, FEW, SLIM, many, query, slim, sql_list
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a function of a graph as a query; sql goes on after the graph's tables."""
-
-    def put(f: Callable[[PropertyGraph], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(PropertyGraph.derived(spark, sf_dir))
-        if sql:
-            ORACLES[name] = f"{WITH} {sql}"
-        return f
-
-    return put
-
-
-def many(*rows: tuple[str, Callable[[PropertyGraph], DataFrame], str | None]) -> None:
-    for name, f, sql in rows:
-        query(name, sql)(f)
-
-
-COLS = ("id", "kind", "name", "qualified_name", "file_path", "start_line", "is_exported", "docstring")
-SLIM = ("id", "kind", "name", "file_path")
-ALL, FEW = ", ".join(COLS), ", ".join(SLIM)
-
-
-def slim(df: DataFrame) -> DataFrame:
-    return df.select(*SLIM)
-
+CALLS_SQL = sql_list(CALL_KINDS)
+DEPS_SQL = "('calls', 'references', 'extends', 'implements', 'instantiates')"
 
-def sql_list(values) -> str:
-    return ", ".join(f"'{v}'" for v in values)
 
+def _texts(g: PropertyGraph) -> DataFrame:
+    """Documents as files: path, text."""
+    return g.nodes.where("kind = 'function'").select(F.col("id").alias("path"), F.col("docstring").alias("text"))
 
-CALLS_SQL = sql_list(CALL_KINDS)
-DEPS_SQL = "('calls', 'references', 'extends', 'implements', 'instantiates')"
 
 # scans and lookups
 many(
@@ -68,8 +41,8 @@ many(
     ("s8_page", lambda g: slim(L.page(g.nodes, 20, 15)), f"SELECT {FEW} FROM nodes ORDER BY id LIMIT 15 OFFSET 20"),
     ("s10_source_files", lambda g: g.nodes.select("file_path", P.is_source(F.col("file_path")).alias("is_source")).distinct(), "SELECT DISTINCT file_path, regexp_matches(lower(file_path), '\\.(java|js|jsx|ts|tsx|mjs)$') AS is_source FROM nodes"),
     ("s11_kept_files", lambda g: g.nodes.select("file_path", P.is_kept(F.concat(F.lit("target/"), "file_path"), True).alias("compatible"), P.is_kept(F.concat(F.lit("targets/"), "file_path")).alias("kept")).distinct(), "SELECT DISTINCT file_path, false AS compatible, true AS kept FROM nodes"),
-    ("s13_lines", lambda g: g.nodes.where("kind = 'function'").select("id", F.posexplode(F.split("docstring", "\n"))).select("id", (F.col("pos") + 1).alias("line"), F.col("col").alias("text")), "SELECT id, CAST(generate_subscripts(string_split(docstring, chr(10)), 1) AS INT) AS line, unnest(string_split(docstring, chr(10))) AS text FROM nodes WHERE kind = 'function'"),
-    ("s14_hashes", lambda g: g.nodes.where("docstring IS NOT NULL").select("id", F.sha2("docstring", 256).alias("hash")), "SELECT id, sha256(docstring) AS hash FROM nodes WHERE docstring IS NOT NULL"),
+    ("s13_lines", lambda g: files.lines(_texts(g)).withColumnRenamed("file_path", "id"), "SELECT id, CAST(generate_subscripts(string_split(docstring, chr(10)), 1) AS INT) AS line, unnest(string_split(docstring, chr(10))) AS text FROM nodes WHERE kind = 'function'"),
+    ("s14_hashes", lambda g: g.nodes.where("docstring IS NOT NULL").select("id", files.hashed(F.col("docstring")).alias("hash")), "SELECT id, sha256(docstring) AS hash FROM nodes WHERE docstring IS NOT NULL"),
     ("f1_by_name", lambda g: slim(L.by_name(g.nodes, "red plate")), f"SELECT {FEW} FROM nodes WHERE name = 'red plate'"),
     ("f2_by_qualified_name", lambda g: slim(L.by_qualified_name(g.nodes, "ASIA.NATION_2")), f"SELECT {FEW} FROM nodes WHERE qualified_name = 'ASIA.NATION_2'"),
     ("f3_by_lower_name", lambda g: slim(L.by_lower_name(g.nodes, "NATION_2")), f"SELECT {FEW} FROM nodes WHERE lower(name) = 'nation_2'"),
@@ -93,7 +66,7 @@ many(
     ("f22_resolve_symbol", lambda g: L.resolve_symbol(g.nodes, "RED PLATE").select("id", "level"), "SELECT id, level FROM (SELECT id, level, min(level) OVER () AS best FROM (SELECT id, CASE WHEN qualified_name = 'RED PLATE' THEN 0 WHEN name = 'RED PLATE' THEN 1 WHEN lower(name) = 'red plate' THEN 2 END AS level FROM nodes) WHERE level IS NOT NULL) WHERE level = best"),
     ("f23_pick_by_file", lambda g: slim(L.pick_by_file(L.by_name(g.nodes, "red plate"), "src/test")), f"SELECT {FEW} FROM nodes WHERE name = 'red plate' ORDER BY contains(file_path, 'src/test') DESC, id LIMIT 1"),
     ("f24_without_noisy", lambda g: A.by_kind(L.without_kinds(g.edges, ("imports", "exports", "references"))), "SELECT kind, count(*) AS n FROM edges WHERE kind NOT IN ('imports', 'exports', 'references') GROUP BY kind"),
-    ("f26_path_prefix", lambda g: A.symbols_per_file(g.nodes.where(F.col("file_path").startswith("sales/n1"))), "SELECT file_path, count(*) AS n FROM nodes WHERE starts_with(file_path, 'sales/n1') GROUP BY file_path"),
+    ("f26_path_prefix", lambda g: A.symbols_per_file(L.under(g.nodes, "sales/n1")), "SELECT file_path, count(*) AS n FROM nodes WHERE starts_with(file_path, 'sales/n1') GROUP BY file_path"),
     ("p2_view_rows", lambda g: L.view_row(g.nodes), "SELECT id, kind, name, qualified_name, file_path, start_line FROM nodes WHERE kind NOT IN ('import', 'export')"),
 )
 
@@ -119,11 +92,11 @@ many(
     ("a5_edges_by_kind", lambda g: A.by_kind(g.edges), "SELECT kind, count(*) AS n FROM edges GROUP BY kind"),
     ("a6_symbols_per_file", lambda g: A.symbols_per_file(g.nodes), "SELECT file_path, count(*) AS n FROM nodes GROUP BY file_path"),
     ("a7_files_by_directory", lambda g: A.files_by_directory(g.nodes), "SELECT dir, count(*) AS n, string_agg(file_path, ',' ORDER BY file_path) AS files FROM (SELECT DISTINCT file_path, regexp_extract(file_path, '^(.*)/', 1) AS dir FROM nodes) GROUP BY dir"),
-    ("a9_metrics", lambda g: A.metrics(g.nodes, g.edges), "SELECT n.id, coalesce(i.d, 0) AS in_degree, coalesce(o.d, 0) AS out_degree, CAST(coalesce(o.c, 0) AS BIGINT) AS call_count, CAST(coalesce(i.c, 0) AS BIGINT) AS caller_count, CAST(coalesce(o.k, 0) AS BIGINT) AS child_count, coalesce(i.u, 0) = 0 AS is_dead_code FROM nodes n LEFT JOIN (SELECT source, count(*) AS d, sum((kind IN ('calls', 'instantiates'))::INT) AS c, sum((kind = 'contains')::INT) AS k FROM edges GROUP BY source) o ON o.source = n.id LEFT JOIN (SELECT target, count(*) AS d, sum((kind IN ('calls', 'instantiates'))::INT) AS c, sum((kind <> 'contains')::INT) AS u FROM edges GROUP BY target) i ON i.target = n.id"),
+    ("a9_metrics", lambda g: A.metrics(g.nodes, g.edges).join(N.depths(g.nodes, g.edges), "id"), ", up AS (SELECT target AS id, min(source) AS top FROM edges WHERE kind = 'contains' GROUP BY target), depths AS (SELECT id, 0 AS depth FROM nodes WHERE id NOT IN (SELECT id FROM up) UNION ALL SELECT up.id, depths.depth + 1 FROM depths JOIN up ON up.top = depths.id) SELECT n.id, t.depth, coalesce(i.d, 0) AS in_degree, coalesce(o.d, 0) AS out_degree, CAST(coalesce(o.c, 0) AS BIGINT) AS call_count, CAST(coalesce(i.c, 0) AS BIGINT) AS caller_count, CAST(coalesce(o.k, 0) AS BIGINT) AS child_count, coalesce(i.u, 0) = 0 AS is_dead_code FROM nodes n JOIN depths t ON t.id = n.id LEFT JOIN (SELECT source, count(*) AS d, sum((kind IN ('calls', 'instantiates'))::INT) AS c, sum((kind = 'contains')::INT) AS k FROM edges GROUP BY source) o ON o.source = n.id LEFT JOIN (SELECT target, count(*) AS d, sum((kind IN ('calls', 'instantiates'))::INT) AS c, sum((kind <> 'contains')::INT) AS u FROM edges GROUP BY target) i ON i.target = n.id"),
     ("a10_dead_code", lambda g: slim(A.dead_code(g.nodes, g.edges)), f"SELECT {FEW} FROM nodes n WHERE kind IN ('method', 'function', 'class') AND NOT is_exported AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target = n.id AND e.kind <> 'contains')"),
     ("a11_top_by_degree", lambda g: A.top_by_degree(g.nodes, g.edges, 20).select("id", "degree"), "SELECT n.id, coalesce(d.degree, 0) AS degree FROM nodes n LEFT JOIN (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges WHERE target <> source) GROUP BY id) d ON d.id = n.id ORDER BY degree DESC, n.id LIMIT 20"),
     ("a12_node_sizes", lambda g: A.degrees(g.edges).select("id", A.node_size(F.col("degree")).alias("size")), "SELECT id, least(greatest(5 + 3 * count(*), 5), 40) AS size FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges WHERE target <> source) GROUP BY id"),
-    ("a13_kinds", lambda g: g.nodes.select("kind").distinct(), "SELECT DISTINCT kind FROM nodes"),
+    ("a13_kinds", lambda g: A.kinds(g.nodes), "SELECT DISTINCT kind FROM nodes"),
     ("a14_siblings", lambda g: A.polymorphic_siblings(g.edges), "SELECT DISTINCT source AS id FROM edges WHERE kind IN ('extends', 'implements') AND target IN (SELECT target FROM edges WHERE kind IN ('extends', 'implements') GROUP BY target HAVING count(DISTINCT source) >= 3)"),
     ("a14_supertypes", lambda g: A.supertypes(g.edges), "SELECT target AS id, count(DISTINCT source) AS n FROM edges WHERE kind IN ('extends', 'implements') GROUP BY target HAVING count(DISTINCT source) >= 3"),
     ("a20_blast_radius", lambda g: A.blast_radius(g.nodes, g.edges, g.nodes.where("id IN ('part:3', 'supplier:1', 'order:201', 'doc:7')")), f"""
@@ -132,14 +105,32 @@ many(
      r AS (SELECT *, row_number() OVER (PARTITION BY target, test ORDER BY file_path) AS k FROM f),
      l AS (SELECT target, coalesce(string_agg(file_path, ',' ORDER BY file_path) FILTER (WHERE NOT test), '') AS files, coalesce(string_agg(file_path, ',' ORDER BY file_path) FILTER (WHERE test), '') AS tests FROM r WHERE k <= 4 GROUP BY target)
      SELECT l.target AS id, (SELECT count(*) FROM c WHERE c.target = l.target) AS callers, files, tests, tests = '' AS untested FROM l"""),
-    ("a21_kinds_by_file", lambda g: g.nodes.groupBy("file_path").pivot("kind", ["class", "function", "interface", "method", "module"]).count().na.fill(0), "SELECT file_path, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS \"{k}\"" for k in ("class", "function", "interface", "method", "module")) + " FROM nodes GROUP BY file_path"),
+    ("a21_kinds_by_file", lambda g: A.kinds_by_file(g.nodes, ("class", "function", "interface", "method", "module")), "SELECT file_path, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS \"{k}\"" for k in ("class", "function", "interface", "method", "module")) + " FROM nodes GROUP BY file_path"),
     ("a22_relations_by_kind", lambda g: A.relations_by_kind(g.edges, g.nodes, 5), "SELECT kind, CAST(rank AS INT) AS rank, source_name, target_name, total - 5 AS more FROM (SELECT e.kind, a.name AS source_name, b.name AS target_name, row_number() OVER (PARTITION BY e.kind ORDER BY a.name, b.name, e.source, e.target) AS rank, count(*) OVER (PARTITION BY e.kind) AS total FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target) WHERE rank <= 5"),
 )
 
 # traversals
+#: All rounds, one after another.
+WALK_SQL = """, b AS (SELECT source AS a, target AS t FROM edges WHERE kind <> 'contains' UNION ALL SELECT target, source FROM edges WHERE kind <> 'contains'), w AS (SELECT a, t, count(*) / sum(count(*)) OVER (PARTITION BY a) AS p FROM b WHERE a <> t GROUP BY a, t),
+     s0 AS (SELECT id, CASE WHEN id IN ('part:3', 'part:7') THEN 0.5::DOUBLE ELSE 0 END AS s FROM nodes)""" + "".join(f""",
+     s{k + 1} AS (SELECT s0.id, 0.75 * coalesce(sum(w.p * x.s), 0) + 0.25 * any_value(s0.s) AS s FROM s0 LEFT JOIN w ON w.t = s0.id LEFT JOIN s{k} x ON x.id = w.a GROUP BY s0.id)""" for k in range(N.ROUNDS)) + f" SELECT id, round(s, 9) AS score FROM s{N.ROUNDS} WHERE round(s, 9) > 0"
 REACH = """, r AS (SELECT '{start}' AS id, 0 AS level UNION SELECT {to}, level + 1 FROM r JOIN edges e ON {at} = r.id WHERE level < {depth} AND e.kind IN ({kinds}))
 SELECT id, CAST(min(level) AS INT) AS level FROM r GROUP BY id"""
 BOTH = "(SELECT source AS at, target AS go, kind FROM edges UNION ALL SELECT target, source, kind FROM edges)"
+#: Containers within containers that are all hit: customers hang on their nation, nations on a supplier.
+NESTED_SQL = "more AS (SELECT source, target, kind FROM edges UNION ALL SELECT concat('nation:', n_nationkey), concat('supplier:', n_nationkey), 'references' FROM nation UNION ALL SELECT concat('customer:', c_custkey), concat('nation:', c_nationkey), 'extends' FROM customer),"
+IMPACT_SQL = """r AS (SELECT '{start}' AS id, 0 AS level UNION SELECT e.source, level + 1 FROM r JOIN {edges} e ON e.target = r.id WHERE level < {depth} AND e.kind <> 'contains'),
+     h AS (SELECT id, min(level) AS level FROM r GROUP BY id),
+     c AS (SELECT h.id, h.level FROM h JOIN nodes n ON n.id = h.id WHERE h.level < {depth} AND n.kind IN ('class', 'interface', 'struct', 'enum', 'module', 'file') UNION SELECT e.target, c.level FROM c JOIN nodes n ON n.id = c.id JOIN {edges} e ON e.source = c.id AND e.kind = 'contains' WHERE n.kind IN ('class', 'interface', 'struct', 'enum', 'module', 'file'))"""
+
+
+def _nested(g: PropertyGraph) -> PropertyGraph:
+    own = g.edges.where("kind = 'contains' AND source LIKE 'nation:%' AND target LIKE 'customer:%'")
+    nations = g.nodes.where("id LIKE 'nation:%'").select(F.col("id").alias("source"), F.concat(F.lit("supplier:"), F.substring_index("id", ":", -1)).alias("target"))
+    more = nations.select("source", "target", F.lit("references").alias("kind"), F.lit(1).alias("line")).unionByName(own.select(F.col("target").alias("source"), F.col("source").alias("target"), F.lit("extends").alias("kind"), F.lit(1).alias("line")))
+    return PropertyGraph(g.nodes, g.edges.select("source", "target", "kind", "line").unionByName(more))
+
+
 EVERY = "'contains', 'calls', 'imports', 'extends', 'implements', 'references', 'instantiates'"
 many(
     ("g1_bfs", lambda g: T.bfs(g, "nation:2", 2, 100_000).select("id", "level"), REACH.format(start="nation:2", to="e.target", at="e.source", depth=2, kinds=EVERY)),
@@ -158,6 +149,8 @@ many(
      h AS (SELECT id, min(level) AS level FROM r GROUP BY id),
      c AS (SELECT h.id, h.level FROM h WHERE h.level < 2 UNION SELECT e.target, c.level FROM c JOIN nodes n ON n.id = c.id JOIN edges e ON e.source = c.id AND e.kind = 'contains' WHERE n.kind IN ('class', 'interface', 'struct', 'enum', 'module', 'file'))
      SELECT id, CAST(min(level) AS INT) AS level FROM (SELECT * FROM h UNION ALL SELECT * FROM c) GROUP BY id"""),
+    ("g6_impact_nested", lambda g: T.impact(_nested(g), "supplier:1", 2), f", {NESTED_SQL} {IMPACT_SQL.format(start='supplier:1', depth=2, edges='more')} SELECT id, CAST(min(level) AS INT) AS level FROM (SELECT * FROM h UNION ALL SELECT * FROM c) GROUP BY id"),
+    ("a23_impact_by_file", lambda g: T.impact_by_file(_nested(g), "supplier:1", 2), f", {NESTED_SQL} {IMPACT_SQL.format(start='supplier:1', depth=2, edges='more')} SELECT file_path, count(*) AS n, CAST(min(level) AS INT) AS level FROM nodes JOIN (SELECT id, min(level) AS level FROM (SELECT * FROM h UNION ALL SELECT * FROM c) GROUP BY id) i ON i.id = nodes.id GROUP BY file_path"),
     ("g7_type_ancestors", lambda g: T.type_ancestors(g, "part:201").select("id"), ", r AS (SELECT 'part:201' AS id UNION SELECT e.target FROM r JOIN edges e ON e.source = r.id WHERE e.kind IN ('extends', 'implements')) SELECT id FROM r WHERE id <> 'part:201'"),
     ("g8_type_descendants", lambda g: T.type_descendants(g, "part:3").select("id"), ", r AS (SELECT 'part:3' AS id UNION SELECT e.source FROM r JOIN edges e ON e.target = r.id WHERE e.kind IN ('extends', 'implements')) SELECT id FROM r WHERE id <> 'part:3'"),
     ("g8b_type_hierarchy", lambda g: T.type_hierarchy(g, "part:3")[1], ", u AS (SELECT 'part:3' AS id UNION SELECT e.target FROM u JOIN edges e ON e.source = u.id WHERE e.kind IN ('extends', 'implements')), d AS (SELECT 'part:3' AS id UNION SELECT e.source FROM d JOIN edges e ON e.target = d.id WHERE e.kind IN ('extends', 'implements')) SELECT source, target, kind FROM edges WHERE kind IN ('extends', 'implements') AND source IN (SELECT id FROM u UNION SELECT id FROM d)"),
@@ -170,18 +163,57 @@ many(
      n2 AS (SELECT * FROM n1 ORDER BY level, id LIMIT 250),
      d AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges WHERE kind NOT IN ('imports', 'exports', 'references') AND source IN (SELECT id FROM n2) AND target IN (SELECT id FROM n2) UNION ALL SELECT target FROM edges WHERE kind NOT IN ('imports', 'exports', 'references') AND source IN (SELECT id FROM n2) AND target IN (SELECT id FROM n2)) GROUP BY id)
      SELECT n2.id, CAST(level AS INT) AS level, coalesce(degree, 0) AS degree, least(greatest(5 + 3 * coalesce(degree, 0), 5), 40) AS size FROM n2 LEFT JOIN d ON d.id = n2.id"""),
-    ("g17_random_walk", lambda g: N.random_walk(g.edges.where("kind = 'extends'"), g.nodes.where("id LIKE 'part:%'"), g.nodes.where("id IN ('part:3', 'part:7')"), 3).select("id", F.round("score", 9).alias("score")).where("score > 0"), """
-     , b AS (SELECT source AS a, target AS t FROM edges WHERE kind = 'extends' UNION ALL SELECT target, source FROM edges WHERE kind = 'extends'), w AS (SELECT a, t, count(*) / sum(count(*)) OVER (PARTITION BY a) AS p FROM b WHERE a <> t GROUP BY a, t),
-     s0 AS (SELECT id, CASE WHEN id IN ('part:3', 'part:7') THEN 0.5::DOUBLE ELSE 0 END AS s FROM nodes WHERE id LIKE 'part:%'),
-     s1 AS (SELECT s0.id, 0.75 * coalesce(sum(w.p * x.s), 0) + 0.25 * any_value(s0.s) AS s FROM s0 LEFT JOIN w ON w.t = s0.id LEFT JOIN s0 x ON x.id = w.a GROUP BY s0.id),
-     s2 AS (SELECT s0.id, 0.75 * coalesce(sum(w.p * x.s), 0) + 0.25 * any_value(s0.s) AS s FROM s0 LEFT JOIN w ON w.t = s0.id LEFT JOIN s1 x ON x.id = w.a GROUP BY s0.id),
-     s3 AS (SELECT s0.id, 0.75 * coalesce(sum(w.p * x.s), 0) + 0.25 * any_value(s0.s) AS s FROM s0 LEFT JOIN w ON w.t = s0.id LEFT JOIN s2 x ON x.id = w.a GROUP BY s0.id)
-     SELECT id, round(s, 9) AS score FROM s3 WHERE round(s, 9) > 0"""),
+    ("g17_random_walk", lambda g: N.random_walk(g.edges, g.nodes.select("id"), g.nodes.where("id IN ('part:3', 'part:7')")).select("id", F.round("score", 9).alias("score")).where("score > 0"), WALK_SQL),
     ("g18_proximity", lambda g: g.nodes.where("kind = 'class'").select("id", N.proximity(F.lit("sales/n1/BUILDING.java"), F.col("file_path"), F.col("is_exported")).alias("near")), "SELECT id, CAST((CASE WHEN file_path = 'sales/n1/BUILDING.java' THEN 100 ELSE 0 END) + (CASE WHEN regexp_extract(file_path, '^(.*)/', 1) = 'sales/n1' THEN 30 ELSE 0 END) + least(10 * (CASE WHEN NOT starts_with(file_path, 'sales/') THEN 0 WHEN starts_with(file_path, 'sales/n1/') THEN 2 ELSE 1 END), 80) + (CASE WHEN is_exported THEN 10 ELSE 0 END) AS INT) AS near FROM nodes WHERE kind = 'class'"),
     ("g19_glue", lambda g: slim(T.glue(g, g.nodes.where("id IN ('order:201', 'order:202')"), g.nodes.where("id IN ('order:201', 'order:202', 'part:3', 'part:11', 'supplier:1', 'supplier:9')"))), f", m AS (SELECT unnest(['order:201', 'order:202', 'part:3', 'part:11', 'supplier:1', 'supplier:9']) AS id), x AS (SELECT source AS id FROM edges WHERE target IN ('order:201', 'order:202') AND kind IN ({CALLS_SQL}) UNION SELECT target FROM edges WHERE source IN ('order:201', 'order:202') AND kind IN ({CALLS_SQL})) SELECT {FEW} FROM nodes WHERE id IN (SELECT id FROM x) AND id NOT IN (SELECT id FROM m) AND file_path IN (SELECT file_path FROM nodes WHERE id IN (SELECT id FROM m)) ORDER BY id LIMIT 60"),
-    ("d_path_steps", lambda g: g.nodes.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(T.path(g, "order:201", "part:0") or [])], "step int, id string, kind string").select("step"), None),
+    ("d_path_steps", lambda g: g.nodes.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(T.path(g, "order:201", "part:0") or [])], "step int, id string, kind string").select("step"), ", r AS (SELECT 'order:201' AS id, 0 AS level UNION SELECT e.target, level + 1 FROM r JOIN edges e ON e.source = r.id WHERE level < 16 AND e.kind IN ('calls', 'extends')) SELECT CAST(unnest(range(0, (SELECT min(level) FROM r WHERE id = 'part:0'))) AS INT) AS step"),
+    ("g2_dfs", lambda g: T.dfs(g, "nation:2", 2, 100_000).select("id", "level"), REACH.format(start="nation:2", to="e.target", at="e.source", depth=2, kinds=EVERY)),
+    ("g10_children", lambda g: slim(J.children(g.nodes, g.edges, "customer:85")), f"SELECT {', '.join('n.' + c for c in SLIM)} FROM nodes n JOIN edges e ON e.target = n.id WHERE e.source = 'customer:85' AND e.kind = 'contains'"),
+    ("g11_usages", lambda g: J.usages(g.nodes, g.edges, "part:3").select("id", "edge_kind", "line"), "SELECT n.id, e.kind AS edge_kind, e.line FROM edges e JOIN nodes n ON n.id = e.source WHERE e.target = 'part:3' AND e.kind <> 'contains'"),
+    ("g14_dead_types", lambda g: slim(A.dead_code(g.nodes, g.edges, ("class", "interface", "module"))), f"SELECT {FEW} FROM nodes n WHERE kind IN ('class', 'interface', 'module') AND NOT is_exported AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target = n.id AND e.kind <> 'contains')"),
+    ("g20_flow", lambda g: flow.flow(g.nodes, g.edges, ["order201", "order202", "doc7", "order3", "NATION_2"]).select("id", "role", "is_unique", "place"), f""", h AS (SELECT id, file_path, start_line FROM nodes WHERE name IN ('order201', 'order202', 'doc7', 'order3') AND kind IN ('method', 'function')),
+     n AS (SELECT id, row_number() OVER (ORDER BY file_path, start_line, id) - 1 AS place FROM h),
+     x AS (SELECT e.target, min(e.source) AS id FROM edges e JOIN n ON n.id = e.target AND n.place > 0 WHERE e.kind IN ({CALLS_SQL}) AND e.source NOT IN (SELECT id FROM h) GROUP BY e.target)
+     SELECT id, 'named' AS role, true AS is_unique, CAST(place AS INT) AS place FROM n UNION ALL SELECT x.id, 'caller', false, CAST(min(n.place) AS INT) FROM x JOIN n ON n.id = x.target GROUP BY x.id"""),
+    ("g21_seeds", lambda g: flow.named_seeds(g.nodes, ["ASIA.NATION_2", "red plate", "tion_1", "nothing at all"]), ", h AS (SELECT id, 0 AS ord FROM nodes WHERE qualified_name = 'ASIA.NATION_2' UNION ALL SELECT id, 1 FROM nodes WHERE name = 'red plate' UNION ALL SELECT id, 2 FROM nodes WHERE contains(lower(name), 'tion_1') OR contains(lower(qualified_name), 'tion_1') OR contains(lower(docstring), 'tion_1')) SELECT id, CAST(min(ord) AS INT) AS ord FROM h GROUP BY id ORDER BY min(ord), id LIMIT 40"),
 )
 
+FIND = "Customer supplier NATION_2 order201"
+
+
+def find_sql(text: str) -> str:
+    """CTEs ending in found (id, score): what a search for text finds, from the rules of its channels in SQL."""
+    wanted, words = T_.symbols(text), T_.terms(text)
+    has = lambda c, t: f"coalesce(contains(lower({c}), '{t.lower()}'), false)"
+    anywhere = lambda t: f"({has('name', t)} OR {has('qualified_name', t)} OR {has('docstring', t)})"
+    heads = list(dict.fromkeys(T_.title_case(v) for s in wanted for v in (s, *T_.stems(s)) if T_.title_case(v) != v))
+    humps = list(dict.fromkeys(T_.title_case(s) for s in wanted))
+    last, dirs = "lower(regexp_extract(file_path, '[^/]*$'))", "lower(regexp_extract(file_path, '^(.*)/', 1))"
+    tests = "regexp_matches(lower(file_path), '/(test|tests)/')"
+    path = "0"
+    for word in [w for w in text.split() if len(w) >= 3]:
+        parts = [p.lower() for p in T_.split_camel(word).replace("_", " ").split() if len(p) >= 3] or [word.lower()]
+        tier = lambda where, parts=parts: "(" + " OR ".join(f"contains({where}, '{p}')" for p in parts) + ")"
+        path += f" + (CASE WHEN {tier(last)} THEN 10 WHEN {tier(dirs)} THEN 5 WHEN {tier('lower(file_path)')} THEN 3 ELSE 0 END)"
+    path += f" + (CASE WHEN {tests} THEN -15 ELSE 0 END)"
+    listed = sql_list(wanted)
+    groups = " + ".join("(" + " OR ".join(f"contains(lower(name), '{t}') OR list_contains(string_split({dirs}, '/'), '{t}')" for t in g) + ")::INT" for g in search.term_groups(words))
+    kept = sql_list(s for s in wanted if T_.is_distinctive(s)) or "''"
+    prefix = ", ".join(f"CASE WHEN starts_with(name, '{h}') THEN 15.0::DOUBLE + greatest(0.0, 10.0 - (length(name) - {len(h)}) / 3.0) ELSE -1 END" for h in heads) or "-1"
+    camel = [f"CASE WHEN regexp_matches(name, '[A-Za-z]{h}') THEN 8.0::DOUBLE + greatest(0.0, 6.0 - (length(name) - {len(h)}) / 4.0) + {path} END" for h in humps]
+    return f"""exact AS (SELECT id, lower(name) AS low, file_path, CASE WHEN qualified_name IN ({listed}) THEN 80.0::DOUBLE WHEN name IN ({listed}) THEN 70.0 END AS score FROM nodes),
+     ex AS (SELECT e.id, e.score + CASE WHEN y.n > 1 THEN (y.n - 1) * 20.0 ELSE 0 END AS score, 0 AS c FROM exact e JOIN (SELECT file_path, count(DISTINCT low) AS n FROM exact WHERE score IS NOT NULL GROUP BY file_path) y ON y.file_path = e.file_path WHERE e.score IS NOT NULL ORDER BY score DESC, e.id LIMIT 20),
+     pre AS (SELECT id, greatest(-1.0, {prefix}) AS score, 1 AS c FROM nodes WHERE kind IN ('class', 'interface', 'struct', 'enum') AND greatest(-1.0, {prefix}) > 0 ORDER BY score DESC, id LIMIT 30),
+     ter AS (SELECT id, 10.0::DOUBLE + 5.0 * (n - 1) AS score, 2 AS c FROM (SELECT id, {" + ".join(anywhere(t) + "::INT" for t in words)} AS n FROM nodes WHERE kind IN ({sql_list(search.TERM_KINDS)})) WHERE n > 0 ORDER BY score DESC, id LIMIT 30),
+     chan AS (SELECT id, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c, score DESC) AS k FROM (SELECT * FROM ex UNION ALL SELECT * FROM pre UNION ALL SELECT * FROM ter)) WHERE k = 1),
+     pen AS (SELECT n.id, n.name, n.file_path, c.score * CASE WHEN {tests} THEN 0.3 ELSE 1 END AS score FROM chan c JOIN nodes n ON n.id = c.id),
+     co AS (SELECT id, CASE WHEN {len(words)} < 2 THEN score WHEN ({groups}) >= 2 THEN score * (1 + 0.5 * ({groups})) WHEN name IN ({kept}) THEN score WHEN score >= 70 THEN score * 0.3 ELSE score * 0.6 END AS score FROM pen),
+     cam AS (SELECT id, best * (1 + n) + 30.0 * (n - 1) AS score FROM (SELECT id, {" + ".join(f"(({c}) IS NOT NULL)::INT" for c in camel)} AS n, greatest({", ".join(camel)}) AS best FROM nodes WHERE NOT {tests}) WHERE n > 0 ORDER BY score DESC, id LIMIT 10),
+     com AS (SELECT id, 10.0::DOUBLE + 20.0 * (n - 1) + {path} + greatest(0.0, 6.0 - length(name) / 8.0) AS score FROM (SELECT *, {" + ".join(has('name', s) + "::INT" for s in dict.fromkeys(wanted))} AS n FROM nodes) WHERE n >= 2 ORDER BY score DESC, id LIMIT 5),
+     every AS (SELECT id, max(score) AS score FROM (SELECT * FROM co UNION ALL SELECT * FROM cam UNION ALL SELECT * FROM com) GROUP BY id),
+     found AS (SELECT id, score FROM (SELECT * FROM every ORDER BY score DESC, id LIMIT 30) WHERE score >= 0.2 ORDER BY score DESC, id LIMIT 10)"""
+
+
 # search and resolution
 many(
     ("r6_exact", lambda g: search.exact_hits(g.nodes, ["red plate", "ASIA.NATION_2", "order201"], 1000), "SELECT x.id, score + CASE WHEN n > 1 THEN (n - 1) * 20.0 ELSE 0 END AS score FROM (SELECT id, lower(name) AS low, file_path, CASE WHEN qualified_name IN ('red plate', 'ASIA.NATION_2', 'order201') THEN 80.0::DOUBLE WHEN name IN ('red plate', 'ASIA.NATION_2', 'order201') THEN 70.0 END AS score FROM nodes) x JOIN (SELECT file_path, count(DISTINCT lower(name)) AS n FROM nodes WHERE qualified_name IN ('red plate', 'ASIA.NATION_2', 'order201') OR name IN ('red plate', 'ASIA.NATION_2', 'order201') GROUP BY file_path) y ON y.file_path = x.file_path WHERE score IS NOT NULL ORDER BY score DESC, x.id LIMIT 2000"),
@@ -189,60 +221,21 @@ many(
     ("r8_terms", lambda g: search.term_hits(g.nodes, ["nation", "supplier"], 200), "SELECT id, 10.0::DOUBLE + 5.0 * (n - 1) AS score FROM (SELECT id, (contains(lower(name), 'nation') OR contains(lower(qualified_name), 'nation') OR coalesce(contains(lower(docstring), 'nation'), false))::INT + (contains(lower(name), 'supplier') OR contains(lower(qualified_name), 'supplier') OR coalesce(contains(lower(docstring), 'supplier'), false))::INT AS n FROM nodes) WHERE n > 0 ORDER BY score DESC, id LIMIT 600"),
     ("r9_test_penalty", lambda g: g.nodes.select("id", F.round(F.when(P.is_test(F.col("file_path")), 0.3 * F.length("name")).otherwise(F.length("name").cast("double")), 6).alias("score")), "SELECT id, round(CASE WHEN contains(file_path, '/test/') THEN 0.3 * length(name) ELSE length(name) END, 6)::DOUBLE AS score FROM nodes"),
     ("r12_compound", lambda g: search.compound_hits(g.nodes, ["red", "ring", "small"], "red ring small", 400).select("id", F.round("score", 6).alias("score")), "SELECT id, round(10.0 + 20.0 * (n - 1) + (CASE WHEN contains(file_path, '/test/') THEN -15 ELSE 0 END) + (CASE WHEN contains(lower(file_path), 'small') THEN (CASE WHEN contains(lower(regexp_extract(file_path, '[^/]*$')), 'small') THEN 10 ELSE 5 END) ELSE 0 END) + greatest(0.0, 6.0 - length(name) / 8.0), 6)::DOUBLE AS score FROM (SELECT *, contains(lower(name), 'red')::INT + contains(lower(name), 'ring')::INT + contains(lower(name), 'small')::INT AS n FROM nodes) WHERE n >= 2 ORDER BY score DESC, id LIMIT 200"),
-    ("r14_find", lambda g: search.find(g, "Customer supplier NATION_2 order201").select("id", F.round("score", 4).alias("score")), None),
-    ("r16_relevant", lambda g: search.relevant(g, "order201 redPlate")[1], None),
+    ("r14_find", lambda g: search.find(g, FIND).select("id", F.round("score", 4).alias("score")), f", {find_sql(FIND)} SELECT id, round(score, 4) AS score FROM found"),
+    ("r16_relevant", lambda g: search.relevant(g, "order201 redPlate")[1], f", {find_sql('order201 redPlate')}, k AS (SELECT b.at, b.go FROM {BOTH} b WHERE b.kind IN ({sql_list(search.RELEVANT_KINDS)})), r AS (SELECT id, 0 AS level FROM found UNION SELECT k.go, level + 1 FROM r JOIN k ON k.at = r.id WHERE level < 3) SELECT id, CAST(min(level) AS INT) AS level FROM r GROUP BY id ORDER BY min(level), id LIMIT 100"),
     ("w1_first_match", lambda g: first_of(g.edges.where("kind = 'calls'"), ["source"], ["line", "target"]).select("source", "target"), "SELECT source, target FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY line, target) AS k FROM edges WHERE kind = 'calls') WHERE k = 1"),
     ("w9_latest", lambda g: L.latest(g.edges.where("kind = 'implements'").groupBy("target").agg(F.max("source").alias("last"), F.count(F.lit(1)).alias("n")), "target", "n").select("target", "last"), "SELECT target, max(source) AS last FROM edges WHERE kind = 'implements' GROUP BY target"),
 )
 
 
 def _refs(g: PropertyGraph) -> DataFrame:
-    return g.nodes.where("kind = 'method' AND start_line <= 400").select(F.col("id").alias("ref_id"), F.element_at(F.array(*map(F.lit, ("red plate", "NATION_3", "small ring", "supplier#000000003", "nothing"))), (F.col("start_line") % 5 + 1).cast("int")).alias("reference_name"), "file_path")
+    return g.nodes.where("kind = 'method'").select(F.col("id").alias("ref_id"), F.element_at(F.array(*map(F.lit, ("red plate", "NATION_3", "small ring", "supplier#000000003", "nothing"))), (F.col("start_line") % 5 + 1).cast("int")).alias("reference_name"), "file_path")
 
 
-query("j11_by_name", """, refs AS (SELECT id AS ref_id, ['red plate', 'NATION_3', 'small ring', 'supplier#000000003', 'nothing'][start_line % 5 + 1] AS reference_name, file_path FROM nodes WHERE kind = 'method' AND start_line <= 400),
+query("j11_by_name", """, refs AS (SELECT id AS ref_id, ['red plate', 'NATION_3', 'small ring', 'supplier#000000003', 'nothing'][start_line % 5 + 1] AS reference_name, file_path FROM nodes WHERE kind = 'method'),
  c AS (SELECT r.ref_id, n.id AS target, CASE WHEN n.qualified_name = r.reference_name THEN 0 WHEN n.name = r.reference_name THEN 1 ELSE 2 END AS level, (CASE WHEN n.is_exported THEN 10 ELSE 0 END) AS near FROM refs r JOIN nodes n ON n.kind NOT IN ('import', 'module') AND (n.qualified_name = r.reference_name OR n.name = r.reference_name OR lower(n.name) = lower(r.reference_name)))
  SELECT ref_id, target, CAST(level AS INT) AS level FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY level, near DESC, target) AS k FROM c) WHERE k = 1""")(lambda g: resolve.by_name(_refs(g), g.nodes))
 
-# sync, rendering, streams and ranking over the same tables
-from tessera.operators import rank, render  # noqa: E402
-from tessera.streaming import sync, watch  # noqa: E402
-
-
-def _snapshots(g: PropertyGraph) -> tuple[DataFrame, DataFrame]:
-    n = g.nodes.where("kind = 'class'")
-    old = n.where("start_line % 7 <> 0").select(F.col("id").alias("path"), F.sha2("name", 256).alias("content_hash"), F.length("name").cast("long").alias("size"), F.col("start_line").cast("long").alias("modified_at"))
-    new = n.where("start_line % 5 <> 0").select(F.col("id").alias("path"), F.sha2(F.when(F.expr("start_line % 3 = 0"), F.concat("name", F.lit("x"))).otherwise(F.col("name")), 256).alias("content_hash"), F.length("name").cast("long").alias("size"), (F.col("start_line") + F.expr("CAST(start_line % 2 AS INT)")).cast("long").alias("modified_at"))
-    return old, new
-
-
-_CHANGE_SQL = "SELECT id AS path, CASE WHEN start_line % 7 <> 0 AND start_line % 5 = 0 THEN 'removed' WHEN start_line % 7 = 0 THEN 'added' WHEN start_line % 2 = 0 THEN 'unchanged' WHEN start_line % 3 <> 0 THEN 'touched' ELSE 'modified' END AS change FROM nodes WHERE kind = 'class' AND (start_line % 7 <> 0 OR start_line % 5 <> 0)"
-query("d1_changes", _CHANGE_SQL)(lambda g: sync.changes(*_snapshots(g)))
-query("a24_sync_counters", f"SELECT change, count(*) AS n FROM ({_CHANGE_SQL}) GROUP BY change")(lambda g: sync.counters(sync.changes(*_snapshots(g))))
-
-
-def table_query(name: str, sql: str | None = None):
-    """Register a function of (spark, sf_dir) over the base tables."""
-
-    def put(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return put
-
-
-table_query("d3_bursts", "SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, burst")(
-    lambda spark, d: watch.bursts(spark.read.parquet(f"{d}/events.parquet"), "user_id", "ts", "30 minutes")
-)
-table_query("d4_pending", "SELECT CAST(user_id AS VARCHAR) AS path, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY user_id HAVING max(ts) > TIMESTAMP '2024-01-02 00:00:00'")(
-    lambda spark, d: watch.after_sync(watch.pending(spark.createDataFrame([], "path string, first_seen timestamp_ntz, last_seen timestamp_ntz"), spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp_ntz").alias("ts"))), __import__("datetime").datetime(2024, 1, 2))
-)
-table_query("s8_json_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")(lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", F.from_json("props", "k long")["k"].alias("k")))
-table_query("x15_page_links", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages")(lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.explode(F.expr("regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)")).alias("link")))
-
-
 def _ranges(g: PropertyGraph) -> DataFrame:
     return g.nodes.where("kind = 'class'").select("file_path", F.col("start_line").alias("start"), (F.col("start_line") + F.length("name") % 9).cast("int").alias("end"), (F.length("name") % 10).cast("int").alias("importance"))
 
@@ -255,100 +248,105 @@ query("w7_within_budget", """, i AS (SELECT file_path, id, length(name) AS size,
  r AS (SELECT file_path, 1 AS rank, size AS used, true AS took FROM i WHERE rank = 1 UNION ALL SELECT r.file_path, r.rank + 1, CASE WHEN r.used + i.size <= 60 THEN r.used + i.size ELSE r.used END, r.used + i.size <= 60 FROM r JOIN i ON i.file_path = r.file_path AND i.rank = r.rank + 1 WHERE r.rank < 1000)
  SELECT r.file_path, i.id FROM r JOIN i ON i.file_path = r.file_path AND i.rank = r.rank WHERE took""")(lambda g: render.within_budget(g.nodes.where("kind = 'class'").select("file_path", "id", F.length("name").alias("size")), "file_path", ["id"], "size", 60).select("file_path", "id"))
 
+def _paths(g: PropertyGraph) -> DataFrame:
+    own = g.nodes.select(F.col("file_path").alias("path"))
+    return own.unionByName(own.select(F.concat(F.lit("target/"), "path").alias("path"))).unionByName(own.select(F.concat(F.lit("targets/"), "path").alias("path"))).distinct()
+
+
+def _counted(s: G.Subgraph) -> DataFrame:
+    return s.nodes.agg(F.lit("node").alias("of"), F.count(F.lit(1)).alias("n")).unionByName(s.edges.agg(F.lit("edge").alias("of"), F.count(F.lit(1)).alias("n")))
+
 
 def _ranked(g: PropertyGraph) -> DataFrame:
-    members = g.nodes.where("id IN ('order:201', 'order:202', 'nation:2') OR start_line <= 40")
     named, entries = g.nodes.where("id = 'order:201'"), g.nodes.where("id IN ('order:202', 'nation:2')")
     near = g.edges.where("source = 'order:201'").select(F.col("target").alias("id"))
-    files = rank.file_scores(members, named, entries, near)
-    hits = rank.term_hits(members, ["order", "nation", "building"])
+    files = rank.file_scores(g.nodes, named, entries, near)
+    hits = rank.term_hits(g.nodes, ["order", "nation", "building"])
     return files.join(hits, "file_path").select("file_path", "score", "n", "hits")
 
 
-query("a15_file_scores", """, m AS (SELECT * FROM nodes WHERE id IN ('order:201', 'order:202', 'nation:2') OR start_line <= 40),
- p AS (SELECT *, CASE WHEN id = 'order:201' THEN 50 WHEN id IN ('order:202', 'nation:2') THEN 10 WHEN id IN (SELECT target FROM edges WHERE source = 'order:201') THEN 3 ELSE 1 END AS points FROM m)
- SELECT file_path, CAST(sum(points) AS BIGINT) AS score, count(*) AS n, CAST(max((contains(lower(name), 'order') OR contains(lower(file_path), 'order'))::INT) + max((contains(lower(name), 'nation') OR contains(lower(file_path), 'nation'))::INT) + max((contains(lower(name), 'building') OR contains(lower(file_path), 'building'))::INT) AS INT) AS hits FROM p GROUP BY file_path HAVING sum(points) >= 3""")(_ranked)
-query("t5_ranked_files")(lambda g: rank.ranked(_ranked(g).select("file_path", (F.col("score") >= 50).alias("named"), (F.col("hits") >= 2).alias("central"), "hits", (F.col("score") / 100).alias("graph_score"), "score", "n"), 8).select("file_path", "hits", "score", "n"))
-query("r20_render_modes", "SELECT file_path, CASE WHEN count(*) % 11 = 0 THEN 'skeleton' WHEN count(*) <= 220 AND count(*) * 80 <= 3 * 6500 THEN 'whole' ELSE 'clustered' END AS mode FROM nodes GROUP BY file_path")(lambda g: A.symbols_per_file(g.nodes).select("file_path", rank.render_mode(F.col("n"), F.lit(False), F.col("n") % 11 == 0, F.lit(False), 6_500).alias("mode")))
-query("r21_skeleton", "SELECT file_path, string_agg(name, chr(10) ORDER BY start_line, name) AS text FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY start_line, name) AS k FROM nodes WHERE kind = 'class') WHERE k <= 12 GROUP BY file_path")(lambda g: render.skeleton(g.nodes.where("kind = 'class'").select("file_path", F.col("start_line").alias("start"), F.col("name").alias("signature")), 12))
-
-# upserts and deletes
-from tessera.sources import store  # noqa: E402
-
-query("k1_upsert", "SELECT id, CASE WHEN start_line % 3 = 0 THEN concat(name, '!') ELSE name END AS name FROM nodes WHERE kind = 'class'")(lambda g: store.upserted(g.nodes.where("kind = 'class'").select("id", "name"), g.nodes.where("kind = 'class' AND start_line % 3 = 0").select("id", F.concat("name", F.lit("!")).alias("name"), F.lit(2).alias("seq")).unionByName(g.nodes.where("kind = 'class' AND start_line % 3 = 0").select("id", "name", F.lit(1).alias("seq"))), "id"))
-query("k5_deleted_files", "SELECT e.kind, count(*) AS n FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target WHERE a.file_path <> 'sales/orders/2-HIGH.java' AND b.file_path <> 'sales/orders/2-HIGH.java' GROUP BY e.kind")(lambda g: A.by_kind(store.deleted_files(g.nodes, g.edges, g.nodes.where("file_path = 'sales/orders/2-HIGH.java'").select(F.col("file_path").alias("path")))[1]))
-query("k6_without_edges_of", "SELECT kind, count(*) AS n FROM edges WHERE source <> 'supplier:1' AND target <> 'supplier:1' GROUP BY kind")(lambda g: A.by_kind(store.without_edges_of(g.edges, "supplier:1")))
-
-# extraction and resolution over Java texts made from the parts: a chain of classes and calls
-from tessera.functions import text as words  # noqa: E402
-from tessera.sources import frameworks, java  # noqa: E402
-
-
-def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 1000")
-    up = F.floor(F.col("p_partkey") / 2).cast("string")
-    k = F.col("p_partkey").cast("string")
-    body = F.concat(F.lit("package parts;\n\n/** A part. */\n@GetMapping(\"/p"), k, F.lit("\")\npublic class Part"), k, F.lit(" extends Part"), up, F.lit(" implements Item {\n  private int size"), k, F.lit(" = "), F.col("p_size"), F.lit(";\n  public int fn"), k, F.lit("(int x) { return fn"), up, F.lit("(x) + size"), k, F.lit("; }\n  void make"), k, F.lit("() { new Part"), up, F.lit("(); }\n}\n"))
-    return p.select(F.concat(F.lit("parts/Part"), k, F.lit(".java")).alias("path"), body.alias("text"))
-
-
-_KEYS = "k AS (SELECT p_partkey AS k, CAST(floor(p_partkey / 2) AS BIGINT) AS u FROM part WHERE p_partkey < 1000)"
-_JAVA: dict[str, str] = {
-    "x2_extracted_nodes": f"WITH {_KEYS} SELECT kind, name, qualified_name, start_line FROM (SELECT 'file' AS kind, concat('Part', k, '.java') AS name, concat('parts/Part', k, '.java') AS qualified_name, 1 AS start_line FROM k UNION ALL SELECT 'module', 'parts', 'parts', 1 FROM k UNION ALL SELECT 'class', concat('Part', k), concat('parts.Part', k), 4 FROM k UNION ALL SELECT 'field', concat('size', k), concat('parts.Part', k, '.size', k), 6 FROM k UNION ALL SELECT 'method', concat('fn', k), concat('parts.Part', k, '.fn', k), 7 FROM k UNION ALL SELECT 'method', concat('make', k), concat('parts.Part', k, '.make', k), 8 FROM k)",
-    "x21_resolved_edges": f"WITH {_KEYS} SELECT source, target, kind FROM (SELECT concat('parts.Part', k) AS source, concat('parts.Part', u) AS target, 'extends' AS kind FROM k UNION ALL SELECT concat('parts.Part', k, '.fn', k), concat('parts.Part', u, '.fn', u), 'calls' FROM k UNION ALL SELECT concat('parts.Part', k, '.make', k), concat('parts.Part', u), 'instantiates' FROM k UNION ALL SELECT concat('parts.Part', k, '.fn', k), concat('parts.Part', k, '.size', k), 'references' FROM k UNION ALL SELECT concat('parts.Part', k), concat('parts.Part', k, '.', m, k), 'contains' FROM k, (SELECT unnest(['size', 'fn', 'make']) AS m))",
-    "x12_docstrings": f"WITH {_KEYS} SELECT concat('parts.Part', k) AS qualified_name, 'A part.' AS docstring FROM k",
-    "x17_spring_routes": f"WITH {_KEYS} SELECT concat('GET /p', k) AS name, concat('parts/Part', k, '.java') AS file_path FROM k",
-}
+def _shown(g: PropertyGraph) -> DataFrame:
+    return _ranked(g).select("file_path", (F.col("score") >= 50).alias("named"), (F.col("hits") >= 2).alias("central"), "hits", (F.col("score") / 100).alias("graph_score"), "score", "n")
 
 
-def _nodes_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    from tessera.plans.lineage import cut
-
-    return java.graph_of(cut(java.extracted(_sources(spark, sf_dir))))
-
-
-def _named_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, e = _nodes_edges(spark, sf_dir)
-    q = n.where("kind NOT IN ('file', 'module')").select("id", "qualified_name")
-    return e.join(q.select(F.col("id").alias("source"), F.col("qualified_name").alias("s")), "source").join(q.select(F.col("id").alias("target"), F.col("qualified_name").alias("t")), "target").select(F.col("s").alias("source"), F.col("t").alias("target"), "kind")
-
-
-table_query("x2_extracted_nodes", _JAVA["x2_extracted_nodes"])(lambda spark, d: _nodes_edges(spark, d)[0].select("kind", "name", "qualified_name", "start_line"))
-table_query("x21_resolved_edges", _JAVA["x21_resolved_edges"])(_named_edges)
-table_query("x12_docstrings", _JAVA["x12_docstrings"])(lambda spark, d: _nodes_edges(spark, d)[0].where("docstring IS NOT NULL").select("qualified_name", "docstring"))
-table_query("x17_spring_routes", _JAVA["x17_spring_routes"])(lambda spark, d: frameworks.spring_routes(_sources(spark, d)).select("name", "file_path"))
+RANKED_SQL = """, p AS (SELECT *, CASE WHEN id = 'order:201' THEN 50 WHEN id IN ('order:202', 'nation:2') THEN 10 WHEN id IN (SELECT target FROM edges WHERE source = 'order:201') THEN 3 ELSE 1 END AS points FROM nodes),
+ files AS (SELECT file_path, CAST(sum(points) AS BIGINT) AS score, count(*) AS n, CAST(max((contains(lower(name), 'order') OR contains(lower(file_path), 'order'))::INT) + max((contains(lower(name), 'nation') OR contains(lower(file_path), 'nation'))::INT) + max((contains(lower(name), 'building') OR contains(lower(file_path), 'building'))::INT) AS INT) AS hits FROM p GROUP BY file_path HAVING sum(points) >= 3)"""
+query("a15_file_scores", f"{RANKED_SQL} SELECT file_path, score, n, hits FROM files")(_ranked)
+query("t5_ranked_files", f"""{RANKED_SQL}, top AS (SELECT max(score / 100) AS t FROM files)
+ SELECT file_path, hits, score, n FROM files, top WHERE score / 100 >= 0.06::DOUBLE * t OR score >= 50 OR hits >= 2
+ ORDER BY score >= 50 DESC, hits >= 2 DESC, floor((score / 100) / (0.01::DOUBLE * t)) DESC, hits DESC, contains(file_path, '/test/'), score DESC, n DESC, file_path LIMIT 8""")(lambda g: rank.ranked(_shown(g), 8).select("file_path", "hits", "score", "n"))
+query("r20_render_modes", "SELECT file_path, CASE WHEN count(*) % 11 = 0 THEN 'skeleton' WHEN count(*) <= 220 AND count(*) * 80 <= 3 * 6500 THEN 'whole' ELSE 'clustered' END AS mode FROM nodes GROUP BY file_path")(lambda g: A.symbols_per_file(g.nodes).select("file_path", rank.render_mode(F.col("n"), F.lit(False), F.col("n") % 11 == 0, F.lit(False), 6_500).alias("mode")))
+query("r21_skeleton", "SELECT file_path, string_agg(name, chr(10) ORDER BY start_line, name) AS text FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY start_line, name) AS k FROM nodes WHERE kind = 'class') WHERE k <= 12 GROUP BY file_path")(lambda g: render.skeleton(g.nodes.where("kind = 'class'").select("file_path", F.col("start_line").alias("start"), F.col("name").alias("signature")), 12))
 
-# joins of resolution, set operations, top-k and the small aggregates
+# the rest of resolution, windows, sorts, set operations and ranking
 many(
     ("j10_by_import", lambda g: resolve.by_import(
-        g.nodes.where("kind = 'method' AND start_line <= 300").select(F.col("id").alias("ref_id"), F.lit("NATION_0").alias("reference_name"), "file_path"),
+        g.nodes.where("kind = 'method'").select(F.col("id").alias("ref_id"), F.lit("NATION_0").alias("reference_name"), "file_path"),
         g.nodes.select("id", "kind", "name", "qualified_name", "file_path").unionByName(g.nodes.where("kind = 'method'").select(F.concat(F.lit("import:"), "file_path").alias("id"), F.lit("import").alias("kind"), F.lit("x").alias("name"), F.when(F.col("file_path").contains("HIGH"), "AFRICA.NATION_0").when(F.col("file_path").contains("LOW"), "AFRICA.*").otherwise("none.X").alias("qualified_name"), "file_path").distinct())),
-     ", t AS (SELECT id FROM nodes WHERE qualified_name = 'AFRICA.NATION_0') SELECT n.id AS ref_id, t.id AS target FROM nodes n, t WHERE n.kind = 'method' AND start_line <= 300 AND (contains(file_path, 'HIGH') OR contains(file_path, 'LOW'))"),
-    ("j12_calls_in_file", lambda g: resolve.calls_in_file(g.nodes.where("kind = 'class' AND start_line <= 200 AND id LIKE 'part:%'").select(F.col("id").alias("ref_id"), "file_path", "name", F.when(F.expr("start_line % 2 = 0"), "other").alias("receiver")), g.nodes.where("kind = 'class'").select("id", "file_path", "name", "is_exported", F.col("start_line").alias("ord"))),
-     "SELECT ref_id, target FROM (SELECT r.id AS ref_id, m.id AS target, row_number() OVER (PARTITION BY r.id ORDER BY CASE WHEN r.start_line % 2 = 0 AND m.is_exported THEN 0 ELSE 1 END, m.start_line, m.id) AS k FROM nodes r JOIN nodes m ON m.kind = 'class' AND m.file_path = r.file_path AND m.name = r.name WHERE r.kind = 'class' AND r.start_line <= 200 AND starts_with(r.id, 'part:')) WHERE k = 1"),
+     ", t AS (SELECT id FROM nodes WHERE qualified_name = 'AFRICA.NATION_0') SELECT n.id AS ref_id, t.id AS target FROM nodes n, t WHERE n.kind = 'method' AND (contains(file_path, 'HIGH') OR contains(file_path, 'LOW'))"),
+    ("j12_calls_in_file", lambda g: resolve.calls_in_file(g.nodes.where("id LIKE 'part:%'").select(F.col("id").alias("ref_id"), "file_path", "name", F.when(F.expr("start_line % 2 = 0"), "other").alias("receiver")), g.nodes.where("kind = 'class'").select("id", "file_path", "name", "is_exported", F.col("start_line").alias("ord"))),
+     "SELECT ref_id, target FROM (SELECT r.id AS ref_id, m.id AS target, row_number() OVER (PARTITION BY r.id ORDER BY CASE WHEN r.start_line % 2 = 0 AND m.is_exported THEN 0 ELSE 1 END, m.start_line, m.id) AS k FROM nodes r JOIN nodes m ON m.kind = 'class' AND m.file_path = r.file_path AND m.name = r.name WHERE r.kind = 'class' AND starts_with(r.id, 'part:')) WHERE k = 1"),
     ("j13_field_references", lambda g: resolve.field_references(g.nodes.where("id LIKE 'part:%'").select(F.col("id").alias("source"), "file_path", "name"), g.nodes.where("id LIKE 'part:%' AND is_exported")), "SELECT DISTINCT a.id AS source, b.id AS target FROM nodes a JOIN nodes b ON b.file_path = a.file_path AND b.name = a.name WHERE starts_with(a.id, 'part:') AND starts_with(b.id, 'part:') AND b.is_exported"),
     ("j14_super_calls", lambda g: resolve.super_calls(g.nodes.where("id LIKE 'part:%'").select(F.col("id").alias("ref_id"), F.col("id").alias("class_id"), F.lit("m").alias("name")), g.nodes.where("id LIKE 'part:%'").select(F.concat("id", F.lit(".m")).alias("id"), F.col("id").alias("class_id"), F.lit("m").alias("name")), g.edges.where("kind = 'extends'")), "SELECT source AS ref_id, concat(target, '.m') AS target FROM edges WHERE kind = 'extends'"),
-    ("j16_same_files", lambda g: slim(g.nodes.join(g.nodes.where("id IN ('part:3', 'order:201')").select("file_path"), "file_path", "left_semi")), f"SELECT {FEW} FROM nodes WHERE file_path IN (SELECT file_path FROM nodes WHERE id IN ('part:3', 'order:201'))"),
+    ("j16_same_files", lambda g: slim(G.in_same_files(g.nodes, g.nodes.where("id IN ('part:3', 'order:201')"))), f"SELECT {FEW} FROM nodes WHERE file_path IN (SELECT file_path FROM nodes WHERE id IN ('part:3', 'order:201'))"),
     ("a8_modules", lambda g: A.files_by_directory(g.nodes.where("kind <> 'function'")), "SELECT dir, count(*) AS n, string_agg(file_path, ',' ORDER BY file_path) AS files FROM (SELECT DISTINCT file_path, regexp_extract(file_path, '^(.*)/', 1) AS dir FROM nodes WHERE kind <> 'function') GROUP BY dir"),
     ("a16_graph_scores", lambda g: rank.graph_scores(g.nodes, g.nodes.where("kind = 'class'").select("id", F.col("start_line").cast("double").alias("score"))), "SELECT file_path, sum(CAST(start_line AS DOUBLE)) AS graph_score FROM nodes WHERE kind = 'class' GROUP BY file_path"),
     ("a17_file_term_hits", lambda g: rank.term_hits(g.nodes, ["ring", "order", "xx", "BUILDING"]), "SELECT file_path, CAST(max((contains(lower(name), 'ring') OR contains(lower(file_path), 'ring'))::INT) + max((contains(lower(name), 'order') OR contains(lower(file_path), 'order'))::INT) + max((contains(lower(name), 'building') OR contains(lower(file_path), 'building'))::INT) AS INT) AS hits FROM nodes GROUP BY file_path"),
-    ("a19_colocated", lambda g: g.nodes.where("kind = 'class'").groupBy("file_path").agg(F.countDistinct(F.lower("name")).alias("n")), "SELECT file_path, count(DISTINCT lower(name)) AS n FROM nodes WHERE kind = 'class' GROUP BY file_path"),
-    ("a23_impact_by_file", lambda g: g.nodes.join(T.impact(g, "doc:7", 2), "id").groupBy("file_path").agg(F.count(F.lit(1)).alias("n")), ", r AS (SELECT 'doc:7' AS id, 0 AS level UNION SELECT e.source, level + 1 FROM r JOIN edges e ON e.target = r.id WHERE level < 2 AND e.kind <> 'contains') SELECT file_path, count(*) AS n FROM nodes WHERE id IN (SELECT id FROM r) GROUP BY file_path"),
-    ("w3_capped_by_kind", lambda g: first_of(g.edges, ["kind", "source"], ["target"]).groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "SELECT kind, count(DISTINCT source) AS n FROM edges GROUP BY kind"),
-    ("w10_line_of_offset", lambda g: g.nodes.where("kind = 'function'").select("id", F.size(F.split(F.substring("docstring", 1, 200), "\n")).alias("line")), "SELECT id, CAST(len(string_split(substr(docstring, 1, 200), chr(10))) AS INT) AS line FROM nodes WHERE kind = 'function'"),
+    ("a19_colocated", lambda g: search.colocated(g.nodes.where("kind = 'class'")), "SELECT file_path, count(DISTINCT lower(name)) AS n FROM nodes WHERE kind = 'class' GROUP BY file_path"),
     ("t10_by_file_and_line", lambda g: slim(g.nodes.orderBy("file_path", "start_line", "id").limit(50)), f"SELECT {FEW} FROM nodes ORDER BY file_path, start_line, id LIMIT 50"),
-    ("u1_both_directions", lambda g: g.edges.where("source = 'part:3'").unionByName(g.edges.where("target = 'part:3'")), "SELECT * FROM edges WHERE source = 'part:3' UNION ALL SELECT * FROM edges WHERE target = 'part:3'"),
-    ("u3_difference", lambda g: g.nodes.select("file_path").subtract(g.nodes.where("is_exported").select("file_path")), "SELECT file_path FROM nodes EXCEPT SELECT file_path FROM nodes WHERE is_exported"),
-    ("u6_union", lambda g: g.edges.select(F.col("source").alias("id")).union(g.edges.select("target")).distinct(), "SELECT source AS id FROM edges UNION SELECT target FROM edges"),
-    ("u8_connected", lambda g: g.edges.where("source = 'order:201'").select(F.col("target").alias("id")).union(g.edges.where("target = 'order:201'").select("source")).distinct(), "SELECT target AS id FROM edges WHERE source = 'order:201' UNION SELECT source FROM edges WHERE target = 'order:201'"),
     ("r4_path_relevance", lambda g: g.nodes.where("kind = 'class'").select("id", search.path_relevance(F.col("file_path"), "catalog economy").alias("score")), "SELECT id, CAST((CASE WHEN contains(lower(regexp_extract(file_path, '[^/]*$')), 'catalog') THEN 10 WHEN contains(lower(file_path), 'catalog') THEN 5 ELSE 0 END) + (CASE WHEN contains(lower(regexp_extract(file_path, '[^/]*$')), 'economy') THEN 10 WHEN contains(lower(file_path), 'economy') THEN 5 ELSE 0 END) + (CASE WHEN contains(file_path, '/test/') THEN -15 ELSE 0 END) AS INT) AS score FROM nodes WHERE kind = 'class'"),
     ("r10_co_occurrence", lambda g: g.nodes.where("kind = 'class'").select("id", F.round(search.co_occurrence(F.lit(10.0), F.col("name"), F.col("file_path"), ["red", "catalog", "ring"], ["red ring"]), 6).alias("score")), "SELECT id, round(CASE WHEN n >= 2 THEN 10.0 * (1 + 0.5 * n) WHEN name = 'red ring' THEN 10.0 ELSE 6.0 END, 6)::DOUBLE AS score FROM (SELECT id, name, contains(lower(name), 'red')::INT + (contains(lower(name), 'catalog') OR contains(file_path, '/catalog/'))::INT + contains(lower(name), 'ring')::INT AS n FROM nodes WHERE kind = 'class')"),
-    ("r11_camel", lambda g: search.camel_hits(g.nodes, ["order"], "", 50), None),
     ("r13_brevity", lambda g: g.nodes.select("id", F.round(search.brevity(F.col("name"), "ring", 10.0, 3.0), 6).alias("bonus")), "SELECT id, round(greatest(0.0, 10.0 - (length(name) - 4) / 3.0), 6)::DOUBLE AS bonus FROM nodes"),
     ("r15_plain_search", lambda g: search.find(g, "42"), "SELECT id, 1.0::DOUBLE AS score FROM nodes WHERE contains(lower(name), '42') OR contains(lower(qualified_name), '42') OR contains(lower(docstring), '42') ORDER BY id LIMIT 10"),
-    ("r1_symbols", lambda g: g.nodes.sparkSession.createDataFrame([(x,) for x in words.symbols("UserService.java (get_user), a x.y")], "symbol string"), "SELECT unnest(['UserService', 'get_user', 'x.y']) AS symbol"),
-    ("r2_terms", lambda g: g.nodes.sparkSession.createDataFrame([(x,) for x in words.terms("where is UserService called")], "term string"), "SELECT unnest(['userservice', 'user', 'service']) AS term"),
-    ("r3_stems", lambda g: g.nodes.sparkSession.createDataFrame([(x,) for x in words.stems("running")], "stem string"), "SELECT unnest(['runn', 'runne', 'run']) AS stem"),
-    ("r23_numbered_lines", lambda g: render.numbered(g.nodes.where("kind = 'function' AND start_line <= 50").select(F.col("id").alias("file_path"), F.posexplode(F.split("docstring", "\n"))).select("file_path", (F.col("pos") + 1).alias("line"), F.col("col").alias("text")), g.nodes.where("kind = 'function' AND start_line <= 50").select(F.col("id").alias("file_path"), F.lit(1).alias("start"), F.lit(2).alias("end"))), "SELECT id AS file_path, 1 AS start, concat('1', chr(9), string_split(docstring, chr(10))[1], CASE WHEN len(string_split(docstring, chr(10))) > 1 THEN concat(chr(10), '2', chr(9), string_split(docstring, chr(10))[2]) ELSE '' END) AS text FROM nodes WHERE kind = 'function' AND start_line <= 50"),
-    ("e_explore", lambda g: __import__("tessera.api", fromlist=["Engine"]).Engine(g).explore("order201 redPlate customer").select("file_path", "hits", "score"), None),
+    ("s9_code_files", lambda g: files.code_files(_paths(g)), "SELECT DISTINCT file_path AS path FROM nodes WHERE ends_with(file_path, '.java') UNION SELECT concat('targets/', file_path) FROM nodes WHERE ends_with(file_path, '.java')"),
+    ("s12_read_file", lambda g: files.read(_texts(g), "doc:7"), "SELECT docstring AS text FROM nodes WHERE id = 'doc:7'"),
+    ("s16_java_project", lambda g: files.java_projects(g.nodes.select(F.col("file_path").alias("path"))).select("is_java", F.lit("all").alias("of")).unionByName(files.java_projects(g.nodes.where("id LIKE 'part:%'").select(F.col("file_path").alias("path"))).select("is_java", F.lit("parts").alias("of"))), "SELECT bool_or(ends_with(file_path, '.java') AND length(file_path) - length(replace(file_path, '/', '')) <= 2) AS is_java, 'all' AS of FROM nodes UNION ALL SELECT bool_or(ends_with(file_path, '.java') AND length(file_path) - length(replace(file_path, '/', '')) <= 2), 'parts' FROM nodes WHERE starts_with(id, 'part:')"),
+    ("j6b_resolution_files", lambda g: J.file_dependencies(g.nodes, g.edges, ("calls", "references", "extends", "implements")).where("from_file = 'sales/orders/2-HIGH.java'").select("to_file"), "SELECT DISTINCT b.file_path AS to_file FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target WHERE e.kind IN ('calls', 'references', 'extends', 'implements') AND a.file_path = 'sales/orders/2-HIGH.java' AND b.file_path <> a.file_path"),
+    ("a18_term_counts", lambda g: search.term_counts(g.nodes, ["nation", "supplier", "red"]), "SELECT id, n FROM (SELECT id, (contains(lower(name), 'nation') OR contains(lower(qualified_name), 'nation') OR coalesce(contains(lower(docstring), 'nation'), false))::INT + (contains(lower(name), 'supplier') OR contains(lower(qualified_name), 'supplier') OR coalesce(contains(lower(docstring), 'supplier'), false))::INT + (contains(lower(name), 'red') OR contains(lower(qualified_name), 'red') OR coalesce(contains(lower(docstring), 'red'), false))::INT AS n FROM nodes) WHERE n > 0"),
+    ("w2_best_candidate", lambda g: resolve.best_candidate(g.edges.select("source", priority().alias("level"), F.col("line").alias("near"), "target"), ["source"]).select("source", "target", "level"), "SELECT source, target, CAST(level AS INT) AS level FROM (SELECT source, target, CASE kind WHEN 'contains' THEN 0 WHEN 'calls' THEN 1 ELSE 2 END AS level, row_number() OVER (PARTITION BY source ORDER BY CASE kind WHEN 'contains' THEN 0 WHEN 'calls' THEN 1 ELSE 2 END, line DESC, target) AS k FROM edges) WHERE k = 1"),
+    ("w3_capped_by_kind", lambda g: A.capped_by_kind(g.edges, 7), "SELECT kind, source, target, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY source, target, line) AS rank FROM edges) WHERE rank <= 7"),
+    ("w4_capped_roots", lambda g: A.blast_radius(g.nodes, g.edges, A.first_roots(g.nodes, g.nodes.where("kind IN ('interface', 'module')").select("id"))).select("id", "callers", "files"), f""", roots AS (SELECT id FROM nodes WHERE kind = 'interface' ORDER BY id LIMIT 5), c AS (SELECT DISTINCT e.target, n.id, n.file_path FROM edges e JOIN nodes n ON n.id = e.source WHERE e.kind IN ({CALLS_SQL}) AND e.target IN (SELECT id FROM roots)),
+     f AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY file_path) AS k FROM (SELECT DISTINCT target, file_path FROM c WHERE NOT contains(file_path, '/test/')))
+     SELECT target AS id, (SELECT count(*) FROM c WHERE c.target = f.target) AS callers, string_agg(file_path, ',' ORDER BY file_path) AS files FROM f WHERE k <= 4 GROUP BY target"""),
+    ("r24_blast_lines", lambda g: A.first_roots(g.nodes, g.nodes.where("kind <> 'module'").select("id"), 9), "SELECT id FROM nodes WHERE kind IN ('class', 'interface', 'method', 'function') ORDER BY id LIMIT 9"),
+    ("w5_one_caller_each", lambda g: flow.one_caller_each(g.edges, g.nodes.where("id LIKE 'part:%' AND is_exported"), g.nodes.where("id LIKE 'order:1%'")), f"SELECT min(source) AS id, target FROM edges WHERE kind IN ({CALLS_SQL}) AND target IN (SELECT id FROM nodes WHERE starts_with(id, 'part:') AND is_exported) AND NOT starts_with(source, 'order:1') GROUP BY target"),
+    ("w8_uncovered", lambda g: render.uncovered(g.nodes.where("kind = 'class'").select("file_path", F.col("start_line").alias("start"), (F.col("start_line") + 40 * (F.length("name") % 9)).cast("int").alias("end"), F.expr("start_line % 3 = 0").alias("whole"), "id")).select("file_path", "id"), """, i AS (SELECT file_path, id, start_line AS s, start_line + 40 * (length(name) % 9) AS e, start_line % 3 = 0 AS whole, row_number() OVER (PARTITION BY file_path ORDER BY start_line, start_line + 40 * (length(name) % 9), start_line % 3 = 0, id) AS k FROM nodes WHERE kind = 'class'),
+     r AS (SELECT file_path, id, k, true AS shown, CASE WHEN whole THEN e ELSE 0 END AS until FROM i WHERE k = 1 UNION ALL SELECT i.file_path, i.id, i.k, i.s > r.until, CASE WHEN i.s > r.until AND i.whole THEN greatest(r.until, i.e) ELSE r.until END FROM r JOIN i ON i.file_path = r.file_path AND i.k = r.k + 1)
+     SELECT file_path, id FROM r WHERE shown"""),
+    ("w10_line_of_offset", lambda g: _texts(g).select(F.col("path").alias("id"), T_.line_of_offset(F.col("text"), F.floor(F.length("text") / 2)).alias("line")), "SELECT id, CAST(len(string_split(substr(docstring, 1, CAST(floor(length(docstring) / 2) AS INT)), chr(10))) AS INT) AS line FROM nodes WHERE kind = 'function'"),
+    ("t1_best_first", lambda g: search.best_first(g.nodes.select("id", F.length("name").cast("double").alias("score")), 60), "SELECT id, CAST(length(name) AS DOUBLE) AS score FROM nodes ORDER BY score DESC, id LIMIT 60"),
+    ("t2_top_exact", lambda g: search.exact_hits(g.nodes, ["red plate"], 3).select("id"), "SELECT id FROM nodes WHERE name = 'red plate' ORDER BY id LIMIT 6"),
+    ("t3_finalized", lambda g: search.finalized(g.nodes.select("id", (F.length("name") % 13 / 10.0).cast("double").alias("score")), 10, 1.2), "SELECT id, score FROM (SELECT id, CAST(length(name) % 13 / 10.0 AS DOUBLE) AS score FROM nodes ORDER BY score DESC, id LIMIT 30) WHERE score >= 1.2 ORDER BY score DESC, id LIMIT 10"),
+    ("t4_top_compound", lambda g: search.compound_hits(g.nodes, ["red", "ring"], "", 9).select("id"), "SELECT id FROM nodes WHERE contains(lower(name), 'red') AND contains(lower(name), 'ring') ORDER BY 30.0 + (CASE WHEN contains(file_path, '/test/') THEN -15 ELSE 0 END) + greatest(0.0, 6.0 - length(name) / 8.0) DESC, id LIMIT 5"),
+    ("t6_edge_priority", lambda g: g.edges.groupBy(priority().alias("p")).agg(F.count(F.lit(1)).alias("n")), "SELECT CASE kind WHEN 'contains' THEN 0 WHEN 'calls' THEN 1 ELSE 2 END AS p, count(*) AS n FROM edges GROUP BY 1"),
+    ("t7_top_degrees", lambda g: A.top_by_degree(g.nodes.where("kind = 'class'"), g.edges, 7).select("id", "degree"), "SELECT n.id, coalesce(d.degree, 0) AS degree FROM nodes n LEFT JOIN (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges WHERE target <> source) GROUP BY id) d ON d.id = n.id WHERE n.kind = 'class' ORDER BY degree DESC, n.id LIMIT 7"),
+    ("t9_page", lambda g: L.page(g.edges.where("kind = 'extends'"), 100, 25, "source").select("source", "target"), "SELECT source, target FROM edges WHERE kind = 'extends' ORDER BY source LIMIT 25 OFFSET 100"),
+    ("t11_by_line", lambda g: render.skeleton(g.nodes.where("kind = 'class'").select("file_path", (F.col("start_line") - 50).alias("start"), F.col("name").alias("signature")), 6), "SELECT file_path, string_agg(name, chr(10) ORDER BY CASE WHEN start_line > 50 THEN start_line ELSE 2147483697 END, name) AS text FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY CASE WHEN start_line > 50 THEN start_line ELSE 2147483697 END, name) AS k FROM nodes WHERE kind = 'class') WHERE k <= 6 GROUP BY file_path"),
+    ("t12_term_groups", lambda g: g.nodes.sparkSession.createDataFrame([(i, t) for i, x in enumerate(search.term_groups(["user", "userservice", "find", "service", "finder"])) for t in x], "grp int, term string"), "SELECT * FROM (VALUES (0, 'userservice'), (0, 'service'), (0, 'user'), (1, 'finder'), (1, 'find')) AS t(grp, term)"),
+    ("t13_central", lambda g: rank.central(_ranked(g).select("file_path", F.col("score").cast("double").alias("graph_score"), "hits")), f"{RANKED_SQL} SELECT file_path FROM files WHERE hits >= 1 ORDER BY score DESC, file_path LIMIT 2"),
+    ("u1_both_directions", lambda g: oriented(g.edges, "both").groupBy("kind", "incoming").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")), "SELECT kind, false AS incoming, count(*) AS n, min(source) AS first FROM edges GROUP BY kind UNION ALL SELECT kind, true, count(*), min(target) FROM edges GROUP BY kind"),
+    ("u2_first_channel", lambda g: search.first_channel(g.nodes.where("kind = 'class'").select("id", F.lit(1.0).alias("score"), F.lit(0).alias("c")).unionByName(g.nodes.where("is_exported").select("id", F.lit(5.0).alias("score"), F.lit(1).alias("c")))), "SELECT id, CASE WHEN kind = 'class' THEN 1.0::DOUBLE ELSE 5.0 END AS score FROM nodes WHERE kind = 'class' OR is_exported"),
+    ("u3_difference", lambda g: J.vanished(g.nodes.select("file_path").distinct(), g.nodes.where("is_exported"), "file_path"), "SELECT file_path FROM nodes EXCEPT SELECT file_path FROM nodes WHERE is_exported"),
+    ("u4_merged", lambda g: _counted(G.Subgraph(g.nodes.where("kind = 'class'"), g.edges.where("kind = 'extends'")).merged(G.Subgraph(g.nodes.where("is_exported"), g.edges.where("kind IN ('extends', 'imports')")))), "SELECT 'node' AS of, count(*) AS n FROM nodes WHERE kind = 'class' OR is_exported UNION ALL SELECT 'edge', sum(CASE kind WHEN 'extends' THEN 2 ELSE 1 END)::BIGINT FROM edges WHERE kind IN ('extends', 'imports')"),
+    ("u6_hierarchy_nodes", lambda g: T.type_hierarchy(g, "part:5")[0], ", u AS (SELECT 'part:5' AS id UNION SELECT e.target FROM u JOIN edges e ON e.source = u.id WHERE e.kind IN ('extends', 'implements')), d AS (SELECT 'part:5' AS id UNION SELECT e.source FROM d JOIN edges e ON e.target = d.id WHERE e.kind IN ('extends', 'implements')) SELECT id FROM u UNION SELECT id FROM d"),
+    ("u7_entries", lambda g: G.entries(g.nodes.where("kind = 'interface'"), flow.named_seeds(g.nodes, ["NATION_2", "red plate"])), ", named AS (SELECT id FROM (SELECT id, 0 AS o FROM nodes WHERE name = 'NATION_2' UNION ALL SELECT id, 1 FROM nodes WHERE name = 'red plate') ORDER BY o, id LIMIT 40) SELECT id FROM nodes WHERE kind = 'interface' UNION SELECT id FROM named"),
+    ("u8_connected", lambda g: G.connected(g.edges, g.nodes.where("id IN ('order:201', 'part:3')")), "SELECT target AS id FROM edges WHERE source IN ('order:201', 'part:3') UNION SELECT source FROM edges WHERE target IN ('order:201', 'part:3')"),
+    ("r5_distinctive", lambda g: g.nodes.select("id", T_.distinctive(F.col("name")).alias("is_distinctive")), "SELECT id, regexp_matches(name, '[_0-9]|.[A-Z]') AS is_distinctive FROM nodes"),
+    ("r11_camel", lambda g: search.camel_hits(g.nodes.withColumn("name", F.replace(F.initcap("name"), F.lit(" "), F.lit(""))), ["plate", "ring"], "plate ring", 50).select("id", F.round("score", 6).alias("score")), """, n AS (SELECT id, file_path, array_to_string(list_transform(string_split(name, ' '), lambda w: concat(upper(w[1]), lower(substr(w, 2)))), '') AS name FROM nodes),
+     p AS (SELECT *, (CASE WHEN contains(lower(regexp_extract(file_path, '[^/]*$')), 'plate') THEN 10 WHEN contains(lower(file_path), 'plate') THEN 5 ELSE 0 END) + (CASE WHEN contains(lower(regexp_extract(file_path, '[^/]*$')), 'ring') THEN 10 WHEN contains(lower(file_path), 'ring') THEN 5 ELSE 0 END) AS path FROM n WHERE NOT contains(file_path, '/test/')),
+     h AS (SELECT id, CASE WHEN regexp_matches(name, '[A-Za-z]Plate') THEN 8.0::DOUBLE + greatest(0.0, 6.0 - (length(name) - 5) / 4.0) + path END AS a, CASE WHEN regexp_matches(name, '[A-Za-z]Ring') THEN 8.0::DOUBLE + greatest(0.0, 6.0 - (length(name) - 4) / 4.0) + path END AS b FROM p)
+     SELECT id, round(greatest(a, b) * (1 + (a IS NOT NULL)::INT + (b IS NOT NULL)::INT) + 30.0 * ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT - 1), 6)::DOUBLE AS score FROM h WHERE a IS NOT NULL OR b IS NOT NULL ORDER BY score DESC, id LIMIT 50"""),
+    ("r17_gate", lambda g: rank.gated(_shown(g)).select("file_path"), f"{RANKED_SQL} SELECT file_path FROM files WHERE score / 100 >= 0.06 * (SELECT max(score / 100) FROM files) OR score >= 50 OR hits >= 2"),
+    ("r18_without_low_value", lambda g: rank.without_low_value(g.nodes.select("file_path").distinct()), "SELECT DISTINCT file_path FROM nodes WHERE NOT contains(file_path, '/test/')"),
+    ("r19_budgets", lambda g: A.files_by_directory(g.nodes).select("dir", *(c.alias(k) for k, c in rank.budget_columns(F.col("n") * 100).items())), "SELECT dir, " + ", ".join(f"CAST(CASE WHEN n < 150 THEN {a} WHEN n < 500 THEN {b} WHEN n < 5000 THEN {c} ELSE {d} END AS INT) AS {k}" for k, a, b, c, d in (("chars", 13000, 18000, 24000, 24000), ("files", 4, 5, 8, 8), ("chars_per_file", 3800, 3800, 6500, 7000), ("gap", 7, 8, 12, 15), ("header_symbols", 5, 6, 10, 15), ("relations_per_kind", 4, 6, 10, 15))) + " FROM (SELECT dir, count(*) * 100 AS n FROM (SELECT DISTINCT file_path, regexp_extract(file_path, '^(.*)/', 1) AS dir FROM nodes) GROUP BY dir)"),
+    ("r22_clusters", lambda g: render.clusters(_texts(g).select(F.col("path").alias("file_path"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("file_path", F.when(F.col("k") == 3, "class").otherwise("method").alias("kind"), (5 * F.col("k") * F.col("k") + 1).alias("start"), F.when(F.col("k") == 3, 10_000).otherwise(5 * F.col("k") * F.col("k") + 4).alias("end"), (4 * F.col("k") + 1).alias("importance")), render.line_sizes(_texts(g)), 3, 400).select("file_path", "start", "end"), """, t AS (SELECT id AS file_path, string_split(docstring, chr(10)) AS l FROM nodes WHERE kind = 'function'),
+     m AS (SELECT file_path, 1 AS start, 9 AS "end", 5 AS importance FROM t UNION ALL SELECT file_path, 21, 24, 9 FROM t),
+     z AS (SELECT m.file_path, m.start, m."end", length(array_to_string(l[m.start:m."end"], chr(10))) AS size, row_number() OVER (PARTITION BY m.file_path ORDER BY m.start) AS k FROM m JOIN t ON t.file_path = m.file_path WHERE m.start <= len(l)),
+     f AS (SELECT file_path, max(size) FILTER (WHERE k = 1) AS one FROM z GROUP BY file_path)
+     SELECT z.file_path, z.start, z."end" FROM z JOIN f ON f.file_path = z.file_path WHERE z.k = 1 OR f.one + z.size <= 400"""),
+    ("r23_whole", lambda g: render.whole(_texts(g)), "SELECT id AS file_path, array_to_string(list_transform(range(1, len(string_split(docstring, chr(10))) + 1), lambda i: concat(i, chr(9), string_split(docstring, chr(10))[i])), chr(10)) AS text FROM nodes WHERE kind = 'function'"),
+    ("r1_symbols", lambda g: g.nodes.sparkSession.createDataFrame([(x,) for x in T_.symbols("UserService.java (get_user), a x.y")], "symbol string"), "SELECT unnest(['UserService', 'get_user', 'x.y']) AS symbol"),
+    ("r2_terms", lambda g: g.nodes.sparkSession.createDataFrame([(x,) for x in T_.terms("where is UserService called")], "term string"), "SELECT unnest(['userservice', 'user', 'service']) AS term"),
+    ("r3_stems", lambda g: g.nodes.sparkSession.createDataFrame([(x,) for x in T_.stems("running")], "stem string"), "SELECT unnest(['runn', 'runne', 'run']) AS stem"),
+    ("r23_numbered_lines", lambda g: render.numbered(files.lines(_texts(g)), g.nodes.where("kind = 'function'").select(F.col("id").alias("file_path"), F.lit(1).alias("start"), F.lit(2).alias("end"))), "SELECT id AS file_path, 1 AS start, concat('1', chr(9), string_split(docstring, chr(10))[1], CASE WHEN len(string_split(docstring, chr(10))) > 1 THEN concat(chr(10), '2', chr(9), string_split(docstring, chr(10))[2]) ELSE '' END) AS text FROM nodes WHERE kind = 'function'"),
 )

@@ -1,4 +1,4 @@
-"""Symbols and references of Java and JavaScript files, by a tolerant tokenizer.
+"""Symbols and references of Java, JavaScript and TypeScript files, by a tolerant tokenizer.
 
 Files are independent, so extraction is one pass of a Python function over their
 rows (Spark has no parser); what it finds is resolved by joins. A file that can't be
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
 import pandas as pd
@@ -219,7 +220,7 @@ class _Reader:
         fields = len(self.nodes)
         while at < end:
             at = max(at + 1, self._member(at, end, n, qualified, name))
-        self._lombok(n, qualified, [f for f in self.nodes[fields:] if f.kind == "field" and (n.id, f.id, "contains", f.start_line) in self.edges], decorators)
+        self._lombok(n, qualified, [f for f in self.nodes[fields:] if f.kind in ("field", "constant") and (n.id, f.id, "contains", f.start_line) in self.edges], decorators)
         return end + 1
 
     def _constants(self, at, end, owner, scope) -> int:
@@ -281,46 +282,118 @@ class _Reader:
         return at + 1
 
     def _lombok(self, n, scope, fields, decorators) -> None:
-        """Accessors that annotations on the class, or on a field of it, bring about."""
-        flags = {d.split("(")[0] for d in decorators}
+        """Accessors that annotations bring about: on the class for all its fields, or on a field of a class that has one of them."""
+        flags = _annotations(decorators)
+        if not flags & (GETTERS | SETTERS | BUILDERS):
+            return
         for f in fields:
-            own = flags | {d.split("(")[0] for d in f.decorators}
-            if f.is_static:
-                continue
-            up = f.name[:1].upper() + f.name[1:]
-            if own & {"Getter", "Data", "Value"}:
-                name = ("is" if f.return_type == "boolean" else "get") + up
-                self._add("method", name, f"{scope}.{name}", f.start_line, f.start_line, n, None, f"{name}()", ("public",), ("lombok",), f.return_type)
-            if own & {"Setter", "Data"}:
-                name = "set" + up
-                self._add("method", name, f"{scope}.{name}", f.start_line, f.start_line, n, None, f"{name}({f.return_type} {f.name})", ("public",), ("lombok",), "void")
-
-
-_JS = (
-    ("class", re.compile(r"(?P<x>export\s+(?:default\s+)?)?class\s+(?P<n>[A-Za-z_$][\w$]*)")),
-    ("function", re.compile(r"(?P<x>export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*(?P<n>[A-Za-z_$][\w$]*)\s*\(")),
-    ("function", re.compile(r"(?P<x>export\s+)?(?:const|let|var)\s+(?P<n>[A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>")),
-    ("method", re.compile(r"(?m)^\s+(?P<x>)(?:static\s+|async\s+|get\s+|set\s+)*(?P<n>[A-Za-z_$][\w$]*)\s*\([^)\n]*\)\s*\{")),
-)
+            own = flags | _annotations(f.decorators)
+            typed = f.return_type or "Object"
+            if own & GETTERS:
+                name = "is" + _up(f.name[2:]) if typed == "boolean" and f.name.startswith("is") else "get" + _up(f.name)
+                self._add("method", name, f"{scope}.{name}", f.start_line, f.start_line, n, "Synthesized by Lombok @Getter", f"{name}()", ("public",), (), typed)
+            if own & SETTERS:
+                name = "set" + _up(f.name)
+                self._add("method", name, f"{scope}.{name}", f.start_line, f.start_line, n, "Synthesized by Lombok @Setter", f"{name}({typed})", ("public",), (), "void")
+
+
+# Annotations by what they bring about.
+GETTERS, SETTERS, BUILDERS = {"Getter", "Data", "Value"}, {"Setter", "Data", "Value"}, {"Builder", "SuperBuilder"}
+
+
+def _annotations(decorators: list[str]) -> set[str]:
+    return {d.split("(")[0].split(".")[-1] for d in decorators}
+
+
+def _up(name: str) -> str:
+    return name[:1].upper() + name[1:]
 
 
-def javascript(path: str, text: str) -> list[Node]:
-    out = []
-    for kind, pattern in _JS:
-        for m in pattern.finditer(text):
-            if m["n"] in _NO_CALLS | {"function", "constructor"}:
+_SKIPPED = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`', re.S)
+_SCRIPT = (
+    ("class", re.compile(r"\bclass\s+(?P<n>[A-Za-z_$][\w$]*)(?:\s*<[^{>]*>)?(?:\s+extends\s+(?P<up>[\w$.]+)(?:<[^{]*?>)?)?(?:\s+implements\s+(?P<of>[^{]+))?")),
+    ("function", re.compile(r"\bfunction\s*\*?\s*(?P<n>[A-Za-z_$][\w$]*)\s*(?:<[^(]*>)?\(")),
+    ("function", re.compile(r"\b(?:const|let|var)\s+(?P<n>[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s+)?(?:function\b|(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=>)")),
+    ("method", re.compile(r"(?:^|(?<=[\s;{}]))(?P<n>[A-Za-z_$][\w$]*)\s*\([^(){}]*\)\s*(?::\s*[^{};=]+)?\{")),
+)
+_TYPED = (
+    ("interface", re.compile(r"\binterface\s+(?P<n>[A-Za-z_$][\w$]*)(?:\s*<[^{>]*>)?(?:\s+extends\s+(?P<of>[^{]+))?(?=\s*\{)")),
+    ("type_alias", re.compile(r"\btype\s+(?P<n>[A-Za-z_$][\w$]*)\s*(?:<[^=]*>)?=(?!=)")),
+    ("enum", re.compile(r"\benum\s+(?P<n>[A-Za-z_$][\w$]*)(?=\s*\{)")),
+)
+_IMPORTED = re.compile(r"""\bimport\s+(?:[^'";]*?\bfrom\s*)?['"](?P<a>[^'"\n]+)['"]|\brequire\s*\(\s*['"](?P<b>[^'"\n]+)['"]\s*\)""")
+_CALL = re.compile(r"(?P<new>\bnew\s+)?(?:(?P<on>[A-Za-z_$][\w$]*)\s*\.\s*)?(?P<n>[A-Za-z_$][\w$]*)\s*\(")
+_NO_METHODS = _NO_CALLS | {"function", "constructor", "class", "with", "await", "typeof", "async", "import", "require"}
+
+
+def script(path: str, text: str) -> tuple[list[Node], list[tuple[str, str, str, int]], list[Ref]]:
+    """Symbols of a JavaScript or TypeScript file, their containment, and what they import, extend, call and create. One walk over the text for each pattern."""
+    language = "typescript" if path.endswith((".ts", ".tsx")) else "javascript"
+    plain = _SKIPPED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    breaks = [i for i, c in enumerate(plain) if c == "\n"]
+    line_of = lambda at: bisect_left(breaks, at) + 1
+    closes, opened = {}, []
+    for m in re.finditer(r"[{}]", plain):
+        if m[0] == "{":
+            opened.append(m.start())
+        elif opened:
+            closes[opened.pop()] = m.start()
+    opens = sorted(closes)
+
+    def block(at: int, stop: int | None = None) -> int:
+        """Where the block that opens next from at on, and before stop, closes; at without one."""
+        k = bisect_left(opens, at)
+        return closes[opens[k]] if k < len(opens) and (stop is None or opens[k] < stop) else at
+
+    exported = {x for m in re.finditer(r"\bexport\s+(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(?:class|function\s*\*?|const|let|var|interface|type|enum)\s+([A-Za-z_$][\w$]*)", plain) for x in m.groups()}
+    exported |= {x for m in re.finditer(r"\bmodule\.exports([^\n]*)|\bexport\s*\{([^}]*)\}", plain) for g in m.groups() if g for x in re.findall(r"[A-Za-z_$][\w$]*", g)}
+    nodes, edges, refs = [], [], []
+
+    def put(kind, name, line, end, shown=None) -> Node:
+        n = Node(node_id(path, kind, name, line), kind, name, shown or f"{path}.{name}", path, language, line, end, None, None, "PUBLIC", name in exported, False, False, [], None)
+        nodes.append(n)
+        return n
+
+    file = put("file", path.rsplit("/", 1)[-1], 1, len(breaks) + 1, path)
+    for m in _IMPORTED.finditer(text):
+        if plain[m.start() : m.start() + 6].strip():  # not within a comment
+            name = m["a"] or m["b"]
+            n = put("import", name, line_of(m.start()), line_of(m.start()), name)
+            edges += [(file.id, n.id, "contains", n.start_line), (file.id, n.id, "imports", n.start_line)]
+    spans: list[tuple[int, int, Node, re.Match]] = []
+    taken: set[int] = set()
+    for kind, pattern in _SCRIPT + (_TYPED if language == "typescript" else ()):
+        for m in pattern.finditer(plain):
+            if m["n"] in _NO_METHODS or (kind == "method" and (m.start("n") in taken or plain[max(0, m.start("n") - 10) : m.start("n")].rstrip().endswith(("function", "new", ".")))):
                 continue
-            line = text.count("\n", 0, m.start("n")) + 1
-            open_ = text.find("{", m.end() - 1)
-            depth, at = 0, open_
-            while 0 <= at < len(text):
-                depth += (text[at] == "{") - (text[at] == "}")
-                if not depth:
-                    break
-                at += 1
-            end = text.count("\n", 0, at) + 1 if open_ >= 0 else line
-            out.append(Node(node_id(path, kind, m["n"], line), kind, m["n"], f"{path}.{m['n']}", path, "javascript", line, end, None, None, "PUBLIC" if m["x"] else "INTERNAL", bool(m["x"]), False, False, [], None))
-    return out
+            taken.add(m.start("n"))
+            line = line_of(m.start("n"))
+            tail = plain[m.end() - 1 :].split("\n", 1)[0] if kind == "function" and m[0].endswith(">") else "{"
+            # an arrow without a block ends with its line
+            end = block(m.end() - 1) if tail.rstrip().endswith("{") else m.end() - 1 + len(tail)
+            spans.append((m.start("n"), max(end, m.end()), put(kind, m["n"], line, line_of(max(end, m.end() - 1))), m))
+    spans.sort(key=lambda s: (s[0], -s[1]))
+    stack: list[tuple[int, Node]] = []
+    for start, end, n, m in spans:
+        while stack and stack[-1][0] < start:
+            stack.pop()
+        edges.append((stack[-1][1].id if stack else file.id, n.id, "contains", n.start_line))
+        stack.append((end, n))
+        groups = m.groupdict()
+        for what, names in (("extends", groups.get("up")), ("extends" if n.kind == "interface" else "implements", groups.get("of"))):
+            refs += [Ref(n.id, x.strip().split("<")[0].split(".")[-1], what, None, n.start_line, path) for x in re.sub(r"<[^<>]*>", "", names or "").split(",") if x.strip()]
+    stack, k = [], 0
+    bodies = [s for s in spans if s[2].kind in ("function", "method")]
+    heads = {s[0] for s in spans}
+    for m in _CALL.finditer(plain):
+        while k < len(bodies) and bodies[k][0] < m.start("n"):
+            stack.append((bodies[k][1], bodies[k][2]))
+            k += 1
+        while stack and stack[-1][0] < m.start("n"):
+            stack.pop()
+        if stack and m["n"] not in _NO_METHODS and m.start("n") not in heads:
+            refs.append(Ref(stack[-1][1].id, m["n"], "instantiates" if m["new"] else "calls", m["on"], line_of(m.start("n")), path))
+    return nodes, edges, refs
 
 
 NODE = "id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, end_line int, docstring string, signature string, visibility string, is_exported boolean, is_static boolean, is_abstract boolean, decorators array<string>, return_type string"
@@ -337,8 +410,8 @@ def extract_one(path: str, text: str | None) -> tuple[list[Node], list[tuple[str
         except (IndexError, RecursionError) as e:
             r.errors = str(e) or type(e).__name__
         return r.nodes, r.edges, r.refs, r.errors
-    if path.endswith((".js", ".jsx", ".mjs")):
-        return javascript(path, text), [], [], None
+    if path.endswith((".js", ".jsx", ".mjs", ".ts", ".tsx")):
+        return *script(path, text), None
     return [], [], [], "no parser"
 
 
@@ -353,19 +426,47 @@ def extracted(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, _SCHEMA)
 
 
-def graph_of(extracts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of extracts with references resolved: calls within the file, types and creations by name."""
-    from tessera.operators import resolve
+def found_refs(extracts: DataFrame) -> DataFrame:
+    """References of extracts, each once, with an id of their own."""
+    r = extracts.select(F.explode("refs").alias("r")).select("r.*")
+    return r.withColumn("ref_id", F.sha2(F.concat_ws("|", "from_node_id", "reference_name", "reference_kind", "receiver", "line"), 256)).dropDuplicates(["ref_id"])
 
+
+def merged(extracts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and references of all extracts together."""
     nodes = extracts.select(F.explode("nodes").alias("n")).select("n.*")
     edges = extracts.select(F.explode("edges").alias("e")).select("e.*")
-    refs = extracts.select(F.explode("refs").alias("r")).select("r.*").withColumn("ref_id", F.sha2(F.concat_ws("|", "from_node_id", "reference_name", "reference_kind", "receiver", "line"), 256)).dropDuplicates(["ref_id"])
-    methods = nodes.where("kind = 'method'").select("id", "file_path", "name", "is_exported", F.col("start_line").alias("ord"))
+    return nodes, edges, found_refs(extracts)
+
+
+def super_classes(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source, target) of what classes extend, by import and name."""
+    from tessera.operators import resolve
+
+    up = resolve.resolved(refs.where("reference_kind = 'extends'"), nodes)
+    return up.where("target IS NOT NULL").select(F.col("from_node_id").alias("source"), "target")
+
+
+def resolved_edges(nodes: DataFrame, structure: DataFrame, refs: DataFrame, framework: DataFrame | None = None) -> DataFrame:
+    """Edges (source, target, kind, line) of references: calls within the file, then of the class extended where they name super, then by framework, import and name; and what methods read of their file's members. structure has the containment."""
+    from tessera.operators import resolve
+
+    methods = nodes.where("kind IN ('method', 'function')").select("id", "file_path", "name", "is_exported", F.col("start_line").alias("ord"))
     calls = refs.where("reference_kind = 'calls'").withColumnRenamed("reference_name", "name")
-    inside = resolve.calls_in_file(calls.select("ref_id", "file_path", "name", "receiver"), methods)
-    called = calls.join(inside, "ref_id").select(F.col("from_node_id").alias("source"), "target", F.lit("calls").alias("kind"), "line")
-    left = refs.where("reference_kind <> 'reads'").join(inside.select("ref_id"), "ref_id", "left_anti")
-    found = resolve.as_edges(resolve.resolved(left, nodes)).drop("metadata")
+    inside = resolve.calls_in_file(calls.where("receiver IS NULL OR receiver <> 'super'").select("ref_id", "file_path", "name", "receiver"), methods)
+    owners = structure.where("kind = 'contains'").select(F.col("source").alias("class_id"), F.col("target").alias("id"))
+    upward = calls.where("receiver = 'super'").join(owners.withColumnRenamed("id", "from_node_id"), "from_node_id").select("ref_id", "class_id", "name")
+    above = resolve.super_calls(upward, methods.join(owners, "id").select("id", "class_id", "name"), super_classes(refs, nodes))
+    near = inside.unionByName(above)
+    called = calls.join(near, "ref_id").select(F.col("from_node_id").alias("source"), "target", F.lit("calls").alias("kind"), "line")
+    left = refs.where("reference_kind <> 'reads'").join(near.select("ref_id"), "ref_id", "left_anti")
+    by_name = resolve.as_edges(resolve.resolved(left, nodes, framework)).select("source", "target", "kind", "line")
     members = nodes.where("kind IN ('field', 'constant', 'enum_member')").select("id", "file_path", "name")
     reads = resolve.field_references(refs.where("reference_kind = 'reads'").select(F.col("from_node_id").alias("source"), "file_path", F.col("reference_name").alias("name")), members)
-    return nodes, edges.unionByName(called).unionByName(found.select("source", "target", "kind", "line")).unionByName(reads.select("source", "target", F.lit("references").alias("kind"), F.lit(None).cast("int").alias("line")))
+    return called.unionByName(by_name).unionByName(reads.select("source", "target", F.lit("references").alias("kind"), F.lit(None).cast("int").alias("line")))
+
+
+def graph_of(extracts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of extracts with references resolved."""
+    nodes, edges, refs = merged(extracts)
+    return nodes, edges.unionByName(resolved_edges(nodes, edges, refs))
