@@ -42,12 +42,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where there is one machine alone, one of our own if it is unset."""
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = f"file://{tempfile.mkdtemp(prefix='tessera_shared_')}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d.rstrip("/")
 
 
@@ -61,6 +64,46 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Nodes of a physical plan that give the same rows in the same partitions whenever they run.
+_STEADY = {"FileSourceScanExec", "BatchScanExec", "ProjectExec", "FilterExec", "ColumnarToRowExec", "WholeStageCodegenExec", "InputAdapter"}
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether df only reads files, filters and projects, so that reading it twice gives the same partitions in the same order."""
+
+    def steady(node) -> bool:
+        children = node.children()
+        return node.getClass().getSimpleName() in _STEADY and all(steady(children.apply(i)) for i in range(children.size()))
+
+    return steady(df._jdf.queryExecution().executedPlan())
+
+
+def steady(df: DataFrame, what: str) -> DataFrame:
+    """df if it is a scan, else what it gives, written to the shared folder and read from there."""
+    if is_scan(df):
+        return df
+    path = fresh_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A key with a larger share of all rows than one in so many is hot; there are at most so many of them.
+HOT_KEYS = 4_096
+
+
+def join_unique(rows: DataFrame, found: DataFrame, keys: list[str], copies: str, total: int) -> DataFrame:
+    """rows, left-joined with found by keys, of which found has each once, with the number of its rows in copies.
+
+    What is found for hot keys, at most HOT_KEYS of them, is broadcast, so that their rows
+    stay where they are; the others meet in an exchange, where no key is large.
+    """
+    hot = found.where(F.col(copies) > max(1, total // HOT_KEYS)).drop(copies)
+    cold = found.where(F.col(copies) <= max(1, total // HOT_KEYS)).drop(copies)
+    here = rows.join(F.broadcast(hot), keys)
+    there = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left")
+    return here.unionByName(there.select(*here.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -2,7 +2,8 @@
 
 A record's payload travels as rows (record, chunk number, bytes), each row with the
 digest of the payload so far, so neither writing nor reading ever holds a whole
-large payload. Archives are gzip members, one for each record, in one file for each
+large payload. The digests of all records come first, in a pass of their own, and decide
+what is a revisit. Archives are gzip members, one for each record, in one file for each
 task, in a folder that all executors reach.
 """
 
@@ -17,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,63 +31,77 @@ FETCH = 1 << 20
 #: No date but this: archives of the same rows are the same bytes.
 DATE = "1970-01-01T00:00:00Z"
 
-_CHUNKS = "page_id long, url string, record_type string, refers_to long, chunk_no long, n_chunks long, data binary"
+#: Payload bytes in an archive, about.
+ARCHIVE = 256 << 20
 
 
 def digest32(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
-def classified(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """pages (page_id, url, html) with payload_sha1, record_type and refers_to.
+def numbered(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html) as records (record, page_id, url, payload): each row has a number of its own; a null html is an empty payload.
 
-    Of records with equal payloads of at least least_bytes bytes the one with the
-    smallest page_id is the response and the others are revisits of it; smaller
-    payloads are all responses. A null html is an empty payload. Rows that repeat a
-    page_id with its payload: one of them is the response, and none points to itself
-    but by that id. A null page_id is never the smallest if there is another.
-
-    The join carries digests and ids alone: pages stay where they are until one
-    exchange by page_id.
+    The numbers are those of rows in their partitions, so pages that aren't a scan of
+    files are first written to the shared folder: every pass must number them alike.
     """
-    p = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"))
-    sha = F.sha1(F.col("html").cast("binary"))
-    first = p.select("page_id", sha.alias("sha1"), F.octet_length("html").alias("n")).where(F.col("n") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("sha1", "first_id")
-    p = p.withColumn("payload_sha1", sha)
-    joined = p.join(first, (F.col("payload_sha1") == F.col("sha1")) & (F.octet_length("html") >= least_bytes), "left")
-    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return joined.select("page_id", "url", "html", "payload_sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
+    p = common.steady(pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html")), "pages")
+    return p.select(F.monotonically_increasing_id().alias("record"), "page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
 
 
 def chunked(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Records (page_id, url, html, record_type, refers_to) as rows of at most chunk payload bytes; an empty payload has one empty row."""
-    schema = _CHUNKS
+    """The chunk table of records (record, page_id, url, payload): rows (record, page_id, url, chunk_no, last, data) of at most chunk bytes each, a record's in order; an empty payload has one empty row.
+
+    Payloads are cut up where they are, so that nothing after this sees a whole one.
+    """
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length("payload") / chunk)).cast("int")
+    rows = records.withColumn("n", n).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk_no"))
+    return rows.select("record", "page_id", "url", "chunk_no", (F.col("chunk_no") == F.col("n") - 1).alias("last"), F.expr(f"substring(payload, chunk_no * {chunk} + 1, {chunk})").alias("data"))
+
+
+_HEAD = pa.schema([("record", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("bytes", pa.int64()), ("sha1", pa.binary()), ("check", pa.binary())])
+
+
+def digested(chunks: DataFrame) -> DataFrame:
+    """(record, page_id, url, bytes, sha1, check) of each record of a chunk table, by digests that run along its rows; check is another digest beside SHA-1."""
 
     def run(batches):
+        sha, other, size = hashlib.sha1(), xxhash.xxh3_128(), 0
         for rb in batches:
-            out: list[tuple] = []
-            size = 0
-            for page_id, url, html, kind, refers in zip(*(rb.column(i).to_pylist() for i in range(5)), strict=True):
-                data = memoryview(html.encode("utf-8", "surrogatepass"))
-                n = max(1, -(-len(data) // chunk))
-                for k in range(n):
-                    part = bytes(data[k * chunk : (k + 1) * chunk])
-                    out.append((page_id, url, kind, refers, k, n, part))
-                    size += len(part)
-                    if size >= 16 * chunk:
-                        yield _rows(out)
-                        out, size = [], 0
-            if out:
-                yield _rows(out)
+            rows: list[tuple] = []
+            for record, page_id, url, no, last, data in zip(*(rb.column(i).to_pylist() for i in range(6)), strict=True):
+                if no == 0:
+                    sha, other, size = hashlib.sha1(), xxhash.xxh3_128(), 0
+                sha.update(data)
+                other.update(data)
+                size += len(data)
+                if last:
+                    rows.append((record, page_id, url, size, sha.digest(), other.digest()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _HEAD, strict=True)], schema=_HEAD)
 
-    return common.by_arrow(records.select("page_id", "url", "html", "record_type", "refers_to"), run, schema)
+    return common.by_arrow(chunks.select("record", "page_id", "url", "chunk_no", "last", "data"), run, "record long, page_id long, url string, bytes long, sha1 binary, check binary")
 
 
-_ROWS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("chunk_no", pa.int64()), ("n_chunks", pa.int64()), ("data", pa.binary())])
+def classified(heads: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """heads (record, page_id, url, bytes, sha1, check) with record_type and refers_to.
 
+    Of records with equal payloads of at least least_bytes bytes the one with the
+    smallest page_id is the response and the others are revisits of it; smaller payloads
+    are all responses. Of rows that repeat that page_id with its payload the first is the
+    response, and the others revisit it by the same id. A null page_id is never the
+    smallest if there is another.
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROWS, strict=True)], schema=_ROWS)
+    Records are joined by digests alone, those of a payload with many copies in place.
+    """
+    heads = common.cut(heads)
+    payload = ["sha1", "check", "bytes"]
+    first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "record"))
+    groups = heads.where(F.col("bytes") >= least_bytes).groupBy(*payload).agg(first.alias("x"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    groups = groups.select(*payload, "copies", F.col("x.page_id").alias("first_id"), F.col("x.record").alias("first_record"))
+    joined = common.join_unique(heads, groups, payload, "copies", heads.count())
+    revisit = F.col("first_record").isNotNull() & (F.col("record") != F.col("first_record"))
+    return joined.select(*heads.columns, F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
 
 
 def _line(value: str | None) -> str:
@@ -99,33 +115,52 @@ def _head(page_id, url, kind, refers, length: int, sha1: bytes) -> bytes:
     block = block or b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page {page_id}')}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_line(url)}", f"X-Page-Id: {'' if page_id is None else page_id}", f"WARC-Payload-Digest: sha1:{digest32(sha1)}", f"X-Payload-Length: {length}"]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page {refers}')}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {'' if refers is None else refers}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page {refers}')}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block) + (0 if kind == 'revisit' else length)}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + block
 
 
-class _Member:
-    """Writes one gzip member piece by piece."""
+class _Record:
+    """Writes one record as a gzip member, chunk by chunk; of a revisit the head alone."""
 
-    def __init__(self, sink) -> None:
-        self.sink, self.z = sink, zlib.compressobj(1, zlib.DEFLATED, 31)
+    def __init__(self, sink, head: bytes, bare: bool, size: int, sha1: bytes) -> None:
+        self.sink, self.z, self.bare, self.size, self.sha1 = sink, zlib.compressobj(1, zlib.DEFLATED, 31), bare, size, sha1
+        self.seen, self.digest = 0, hashlib.sha1()
+        self._put(head)
 
-    def write(self, data: bytes) -> None:
+    def _put(self, data: bytes) -> None:
         if x := self.z.compress(data):
             self.sink.write(x)
 
+    def write(self, data: bytes) -> None:
+        self.seen += len(data)
+        self.digest.update(data)
+        if not self.bare:
+            self._put(data)
+
     def close(self) -> None:
+        if self.seen != self.size or self.digest.digest() != self.sha1:
+            raise RuntimeError("a payload isn't the one that its head was made for: the pages were numbered anew")
+        self._put(b"\r\n\r\n")
         self.sink.write(self.z.flush())
 
 
-def write(records: DataFrame, folder: str) -> DataFrame:
-    """Write classified records as archives in folder; a row for each file: path, records.
+def write(chunks: DataFrame, heads: DataFrame, folder: str) -> DataFrame:
+    """Write a chunk table as archives in folder, with heads as classified has them; a row for each file: path, records.
 
-    Rows come as pages (whole), are cut into chunk rows and streamed into gzip members.
-    The digest stands in the head, before the payload, so it comes from classified().
-    A file gets its final name only once it is whole, by a name that depends on the
-    task alone: a task that runs again writes the same file.
+    A record's head comes before its rows in the order of records and chunk numbers, so a
+    task streams them into a gzip member as they come and holds one row at a time. The
+    digest stands in the head, before the payload; the one that runs along the rows must
+    agree with it in the end. A file gets its final name only once it is whole, by a name
+    that depends on the task alone: a task that runs again writes the same file.
     """
+    spark = heads.sparkSession
+    size = heads.agg(F.sum("bytes")).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // ARCHIVE))
+    none = lambda t: F.lit(None).cast(t)
+    first = heads.select("record", F.lit(-1).alias("chunk_no"), "page_id", "url", "record_type", "refers_to", "sha1", "bytes", none("binary").alias("data"))
+    rest = chunks.select("record", "chunk_no", none("long").alias("page_id"), none("string").alias("url"), none("string").alias("record_type"), none("long").alias("refers_to"), none("binary").alias("sha1"), none("long").alias("bytes"), "data")
+    rows = first.unionByName(rest).repartition(n, "record").sortWithinPartitions("record", "chunk_no")
 
     def run(batches):
         from pyspark import TaskContext
@@ -135,26 +170,27 @@ def write(records: DataFrame, folder: str) -> DataFrame:
         fs.create_dir(path, recursive=True)
         name, n = f"part-{task.partitionId():06d}.warc.gz", 0
         tmp = f"{path}/_{name}.{task.taskAttemptId()}"
-        sink = None
+        sink = member = None
         for rb in batches:
-            for page_id, url, html, sha1, kind, refers in zip(*(rb.column(i).to_pylist() for i in range(6)), strict=True):
-                if sink is None:
-                    sink = fs.open_output_stream(tmp)
-                m = _Member(sink)
-                data = memoryview(html.encode("utf-8", "surrogatepass"))
-                m.write(_head(page_id, url, kind, refers, len(data), bytes.fromhex(sha1)))
-                if kind != "revisit":
-                    for k in range(0, len(data), CHUNK):
-                        m.write(bytes(data[k : k + CHUNK]))
-                m.write(b"\r\n\r\n")
-                m.close()
-                n += 1
+            for _, no, page_id, url, kind, refers, sha1, size, data in zip(*(rb.column(i).to_pylist() for i in range(9)), strict=True):
+                if no < 0:
+                    if member is not None:
+                        member.close()
+                    if sink is None:
+                        sink = fs.open_output_stream(tmp)
+                    member = _Record(sink, _head(page_id, url, kind, refers, size, sha1), kind == "revisit", size, sha1)
+                    n += 1
+                elif member is None:
+                    raise RuntimeError("chunk rows without a head: the pages were numbered anew")
+                else:
+                    member.write(data)
         if sink is not None:
+            member.close()
             sink.close()
             fs.move(tmp, f"{path}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64())], names=["path", "records"])
 
-    return common.by_arrow(records.select("page_id", "url", "html", "payload_sha1", "record_type", "refers_to"), run, "path string, records long")
+    return common.by_arrow(rows, run, "path string, records long")
 
 
 class _Reader(io.RawIOBase):
@@ -261,7 +297,8 @@ def roundtrip(spark: SparkSession, pages: DataFrame, least_bytes: int = 0) -> Da
     which carries none, they are those its head states.
     """
     folder = common.fresh_path(spark, "warc")
-    files = common.cut(write(classified(pages, least_bytes), folder))
+    chunks = chunked(numbered(pages))
+    files = common.cut(write(chunks, common.cut(classified(digested(chunks), least_bytes)), folder))
     n = max(1, files.count())
     rows = read(files.repartition(n, "path"), with_data=False).where("last")
     whole = (F.col("record_type") == "revisit") | ((F.col("bytes_so_far") == F.col("stated_bytes")) & (F.col("digest_so_far") == F.col("stated_digest")))
