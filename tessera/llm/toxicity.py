@@ -5,38 +5,39 @@ windows of a document are compressed with either; a window that the toxic dictio
 shortens more is evidence. Logistic regression calibrates the largest differences
 and how many pass each threshold into a score.
 
-Both dictionaries share what is common in the language, which else drowns what sets
-toxic text apart: the ordinary one is trained on windows of ordinary text, and the
-toxic one adds words that toxic text has in many different contexts and ordinary
-text hardly at all. Contexts are counted, not occurrences, as copies of one document
-would make any of its words look typical.
+Most of toxic text is ordinary, and what a trainer finds most often in it is what it
+finds in any text. So the toxic dictionary is trained on the stretches of toxic text
+whose short strings stand there in many more contexts than in ordinary text. Contexts
+are counted, not occurrences, as copies of one document would make any of its strings
+look typical. When windows are compressed, either dictionary stands beside a large one
+of ordinary text, which takes care of what is common in the language.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-#: Labelled documents of each class that are learned from at most, and code points of each at most.
-SAMPLE, SAMPLE_CHARS = 4_000, 65_536
-#: Bytes of a window and of the dictionaries' parts.
-WINDOW, BASE_BYTES, TOXIC_BYTES = 64, 8_192, 8_192
-#: A toxic word's least share of toxic documents in contexts, and how much likelier it must be than in ordinary ones.
-LEAST_CONTEXTS, LEAST_RATIO = 0.01, 8.0
-#: Windows of ordinary text that the ordinary dictionary is trained on at most; then so many rounds add bytes of words that look toxic without being it.
-TRAINING_WINDOWS, HARD_ROUNDS, HARD_BYTES = 200_000, 4, 24_000
+#: Labelled documents of each class that are learned from at most, and code points of each at most: of longer texts as many slices from all over.
+SAMPLE, SAMPLE_CHARS, SLICES = 4_000, 65_536, 16
+#: Bytes of a window, of the ordinary and of the toxic dictionary.
+WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 64, 32_768, 2_048
+#: Bytes of the strings that are counted; in how many contexts one must stand in toxic text, by number and by toxic documents, and how much likelier than in ordinary text.
+STRING, LEAST_CONTEXTS, LEAST_SHARE, LEAST_RATIO = 6, 5, 0.05, 8.0
+#: Windows of ordinary text that the ordinary dictionary is trained on at most, those of the lowest hashes.
+TRAINING_WINDOWS = 100_000
 #: Thresholds in bytes whose passing windows are counted.
 THRESHOLDS = (3, 4, 5, 6, 8)
-_STRIP = b".,;:!?\"'()[]{}<>*-_"
 
 
 class Model(NamedTuple):
@@ -93,50 +94,53 @@ class Distance:
         return np.r_[top, passing, n, d.mean(), top[0] / (1 + n)]
 
 
-def toxic_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Words that toxic texts have in many contexts and ordinary ones hardly have, the most typical last."""
-    before: dict[bytes, set[bytes]] = defaultdict(set)
-    for t in toxic:
-        ws = [w.strip(_STRIP) for w in common.words(t)]
-        for a, b in zip([b"", *ws], ws, strict=False):
-            before[b].add(a)
-    seen = Counter(w.strip(_STRIP) for t in ordinary for w in common.words(t))
-    least = max(5, LEAST_CONTEXTS * len(toxic))
-    shares = {w: len(c) for w, c in before.items() if w and len(c) >= least and len(c) / len(toxic) >= LEAST_RATIO * (seen[w] + 0.5) / len(ordinary)}
-    return sorted(shares, key=lambda w: (shares[w], w))
-
-
-def hard_words(base: bytes, extra: bytes, windows: list[bytes]) -> bytes:
-    """Words of the ordinary windows that the toxic dictionary shortens most, as long as they add up to HARD_BYTES.
-
-    Of a window the words count whose beginnings or ends stand in a toxic word: they
-    are why it looks toxic, and once both dictionaries have them it doesn't.
-    """
-    d = Distance(base, base + extra).differences(windows)
-    pieces = {extra[i : i + 5] for i in range(max(0, len(extra) - 4))}
-    had = set(base.split())
-    hard: Counter[bytes] = Counter()
-    for i in np.flatnonzero(d >= 2).tolist():
-        for w in windows[i].split():
-            if w not in had and any(w[k : k + 5] in pieces for k in range(len(w) - 4)):
-                hard[w] += int(d[i])
-    out, size = [], 0
-    for w, _ in hard.most_common():
-        size += len(w) + 1
-        if size > HARD_BYTES:
-            break
-        out.append(b" " + w)
-    return b"".join([*reversed(out), b" "]) if out else b""
-
-
-def _dictionary(size: int, samples: list[bytes]) -> bytes:
-    """A trained dictionary; what samples there are where they are too few to train on."""
+def _strings(texts: list[str]) -> tuple[bytes, np.ndarray]:
+    """All texts as lower-case bytes behind each other, and the string of STRING bytes that begins at each place, as a number."""
+    gap = b" " * (STRING + 2)
+    data = b"".join([gap + t.encode("utf-8", "surrogatepass").lower().replace(b"\n", b" ") for t in texts] + [gap])
+    raw = np.frombuffer(data, np.uint8).astype(np.uint64)
+    key = np.zeros(len(raw) - STRING + 1, np.uint64)
+    for j in range(STRING):
+        key = key << np.uint64(8) | raw[j : j + len(key)]
+    return data, key
+
+
+def typical(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """Stretches of toxic texts, in order, made of strings that these have in many contexts and ordinary ones hardly have."""
+    data, key = _strings(toxic)
+    before = np.r_[np.zeros(STRING, np.uint64), key[:-STRING]]
+    order = np.lexsort((before, key))
+    k, c = key[order], before[order]
+    k = k[np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]]
+    strings, contexts = np.unique(k, return_counts=True)
+    often = contexts >= max(LEAST_CONTEXTS, LEAST_SHARE * len(toxic))
+    strings, contexts = strings[often], contexts[often]
+    if not len(strings):
+        return []
+    _, other = _strings(ordinary)
+    at = np.minimum(np.searchsorted(strings, other), len(strings) - 1)
+    seen = np.bincount(at[strings[at] == other], minlength=len(strings))
+    strings = strings[contexts / len(key) >= LEAST_RATIO * (seen + 0.5) / len(other)]
+    if not len(strings):
+        return []
+    places = np.flatnonzero(strings[np.minimum(np.searchsorted(strings, key), len(strings) - 1)] == key)
+    ends = np.flatnonzero(np.diff(places) > 1)
+    return [data[i : j + STRING] for i, j in zip(places[np.r_[0, ends + 1]].tolist(), places[np.r_[ends, len(places) - 1]].tolist(), strict=True)]
+
+
+def _dictionary(size: int, samples: list[bytes], segment: int, string: int) -> bytes:
+    """A trained dictionary, of segments of so many bytes by how often their strings come; what samples there are where they are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()
+        return zstandard.train_dictionary(size, [x.center(8) for x in samples], k=segment, d=string).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
 
+def _by_hash(windows: list[bytes], most: int) -> list[bytes]:
+    """At most so many windows, those of the lowest hashes, whatever their order."""
+    return windows if len(windows) <= most else sorted(windows, key=lambda w: (xxhash.xxh3_64_intdigest(w), w))[:most]
+
+
 def train(rows: list[tuple[str, int]]) -> Model | None:
     """A model from texts and labels; None without both labels. Every third text by hash calibrates, the others make the dictionaries."""
     parts: dict[tuple[bool, int], list[str]] = defaultdict(list)
@@ -144,17 +148,14 @@ def train(rows: list[tuple[str, int]]) -> Model | None:
         parts[zlib.crc32(text.encode("utf-8", "surrogatepass")[::-1]) % 3 == 0, label].append(text)
     if not all(parts[False, x] for x in (0, 1)):
         return None
-    ordinary = [w for t in parts[False, 0] for w in cut_windows(t)][:TRAINING_WINDOWS]
-    base = _dictionary(BASE_BYTES, ordinary)
-    extra = b"".join(b" " + w + b" " for w in toxic_words(parts[False, 1], parts[False, 0]))[-TOXIC_BYTES:]
-    for _ in range(HARD_ROUNDS):
-        base = hard_words(base, extra, ordinary) + base
-    distance = Distance(base, base + extra)
+    ordinary = _dictionary(ORDINARY_BYTES, _by_hash([w for t in parts[False, 0] for w in cut_windows(t)], TRAINING_WINDOWS), 64, 8)
+    toxic = _dictionary(TOXIC_BYTES, typical(parts[False, 1], parts[False, 0]), 16, 6)
+    distance = Distance(ordinary, ordinary + toxic)
     held = [(t, y) for y in (0, 1) for t in (parts[True, y] or parts[False, y])]
     x = np.array([distance.features(t) for t, _ in held])
     y = np.array([y for _, y in held], float)
     centre, scale = x.mean(0), x.std(0) + 1e-9
-    return Model(base, base + extra, _logistic((x - centre) / scale, y), centre, scale)
+    return Model(ordinary, ordinary + toxic, _logistic((x - centre) / scale, y), centre, scale)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -189,13 +190,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     """Learn from labelled documents whose fold isn't 0: of each class at most sample ids, those with the lowest hashes.
 
     Ids are chosen first, from labels alone, so documents' texts aren't exchanged; the
-    chosen ones are at most 2 * sample rows of SAMPLE_CHARS code points. A label that is
-    null or neither 0 nor 1 isn't learned from; of an id with several labels the largest counts.
+    chosen ones are at most 2 * sample rows of SAMPLE_CHARS code points, and of a longer
+    text slices from its beginning to its end. A label that is null or neither 0 nor 1
+    isn't learned from; of an id with several labels the largest counts.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (common.fold_col() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select(F.col("doc_id").cast("long").alias("__id"), "toxic")
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("__id")).select(F.substring(F.coalesce(docs["text"], F.lit("")), 1, SAMPLE_CHARS).alias("text"), "toxic").distinct().orderBy(F.xxhash64("text")).limit(4 * sample)
+    first = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
+    chosen = first[0].unionByName(first[1]).select(F.col("doc_id").cast("long").alias("__id"), "toxic")
+    text = F.coalesce(docs["text"], F.lit(""))
+    part = SAMPLE_CHARS // SLICES
+    slices = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substring(text, (F.floor(i * (F.length(text) - part) / (SLICES - 1)) + 1).cast("int"), F.lit(part))), " ")
+    shown = F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(slices)
+    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("__id")).select(shown.alias("text"), "toxic").distinct().orderBy(F.xxhash64("text")).limit(4 * sample)
     return train([(r.text, r.toxic) for r in rows.collect()])
 
 
