@@ -1,6 +1,8 @@
 """Secret scans with a worklist of decoded layers.
 
-The text itself is the first layer. Each layer is scanned for secrets and for
+The text itself is the first layer. The worklist is a stack of layers that are begun:
+the layers within one come up one at a time and are worked off before the next, so of a
+stream that unfolds into gigabytes one piece is held at each depth. Each layer is scanned for secrets and for
 encoded stretches (percent escapes, Unicode escapes, base64, and compressed bytes
 within base64, percent escapes or each other); what those decode to are further
 layers, until nothing new comes up. Bytes that aren't UTF-8 are read with marks in
@@ -314,43 +316,47 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     base = scan(text)
     if not (_BASE64.search(text) or "%" in text or "\\" in text or "&#" in text):
         return base, base
-    every = set(base)
-    work = [Layer(text)]
-    seen = {_key(text, 0, len(text))}
-    while work:
-        layer = work.pop()
-        if layer.above is not None:
-            every.update((kind, *layer.origin(i, j)) for kind, i, j in scan(layer.text))
-
-        def push(new: Layer, i: int, j: int) -> None:
-            if (key := _key(new.text, i, j)) not in seen:
-                seen.add(key)
-                work.append(new)
-
-        def unfold(data: bytes | memoryview, above: Layer, i: int, j: int) -> None:
-            at = above.origin(i, j)
-
-            def new(digest: bytes) -> bool:
-                key = (digest, *at)
-                return key not in seen and not seen.add(key)
-
-            for content in _unfolded(data, new):
-                push(Layer(content, above, None, i, j), *at)
-
-        span = layer.origin(0, len(layer.text)) if layer.text else (0, 0)
-        if "%" in layer.text:
-            if new := _url_layer(layer):
-                push(new, *span)
-            for data, i, j in _url_bytes(layer.text):
-                unfold(data, layer, i, j)
-        if ("\\" in layer.text or "&#" in layer.text) and (new := _unicode_layer(layer)):
-            push(new, *span)
-        for data, i, j in _base64_bytes(layer.text):
-            push(Layer(data.decode("utf-8", "replace"), layer, None, i, j), *layer.origin(i, j))
-            unfold(data, layer, i, j)
+    every, seen = set(base), {_key(text, 0, len(text))}
+    # layers that are begun: what each unfolds into comes one by one, and is done with before the next of them is made
+    begun = [_inner(Layer(text), seen)]
+    while begun:
+        layer = next(begun[-1], None)
+        if layer is None:
+            begun.pop()
+            continue
+        every.update((kind, *layer.origin(i, j)) for kind, i, j in scan(layer.text))
+        begun.append(_inner(layer, seen))
     return base, sorted(every, key=_order)
 
 
+def _inner(layer: Layer, seen: set[tuple[bytes, int, int]]) -> Iterator[Layer]:
+    """The layers that one holds, as far as they are new at their place; a stream's content piece by piece as it unfolds."""
+
+    def new(key: tuple[bytes, int, int]) -> bool:
+        return key not in seen and not seen.add(key)
+
+    def unfolded(data: bytes | memoryview, i: int, j: int) -> Iterator[Layer]:
+        at = layer.origin(i, j)
+        for content in _unfolded(data, lambda digest: new((digest, *at))):
+            if new(_key(content, *at)):
+                yield Layer(content, layer, None, i, j)
+
+    text = layer.text
+    span = layer.origin(0, len(text)) if text else (0, 0)
+    if "%" in text:
+        if (found := _url_layer(layer)) and new(_key(found.text, *span)):
+            yield found
+        for data, i, j in _url_bytes(text):
+            yield from unfolded(data, i, j)
+    if ("\\" in text or "&#" in text) and (found := _unicode_layer(layer)) and new(_key(found.text, *span)):
+        yield found
+    for data, i, j in _base64_bytes(text):
+        plain = Layer(data.decode("utf-8", "replace"), layer, None, i, j)
+        if new(_key(plain.text, *layer.origin(i, j))):
+            yield plain
+        yield from unfolded(data, i, j)
+
+
 def _key(text: str, i: int, j: int) -> tuple[bytes, int, int]:
     """What tells a layer apart: its content and the span that it comes from."""
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), i, j

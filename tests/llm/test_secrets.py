@@ -115,3 +115,59 @@ def test_all_pieces_of_a_stream_are_read(monkeypatch):
 def test_a_layer_that_unfolds_into_itself_ends(monkeypatch):
     monkeypatch.setattr(S, "_inflate", lambda pieces: iter([b"".join(pieces)]))
     S.find(b64(gzip.compress(b"anything")))
+
+
+def peeled(text):
+    """All that a text holds after one decoding of one run of it, by the plainest means."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/]{16,}={0,2}", text):
+        try:
+            out.append((m.start(), m.end(), base64.b64decode(m[0] + "=" * (-len(m[0]) % 4), validate=True)))
+        except ValueError:
+            continue
+    return [(i, j, d) for i, j, d in out]
+
+
+def brute(text):
+    """Spans of base64 runs that hold, however deep, a base secret; and the base spans."""
+    found = {("base", *s[1:]) for s in S.scan(text)}
+    for i, j, data in peeled(text):
+        work = [data]
+        while work:
+            d = work.pop()
+            if d[:2] == b"\x1f\x8b":
+                d = gzip.decompress(d)
+            t = d.decode("utf-8", "replace")
+            if S.scan(t):
+                found.add(("deep", i, j))
+            work += [x for _, _, x in peeled(t)]
+    return found
+
+
+def test_added_spans_against_brute_force():
+    r = random.Random(5)
+    plain = ["password=hunter2222", "nothing to see here", "AKIA" + "Q" * 20, "a token: abcdef123", "just prose, no more"]
+    for _ in range(150):
+        t = r.choice(plain)
+        for _ in range(r.randint(1, 3)):
+            b = t.encode()
+            b = gzip.compress(b, mtime=0) if r.random() < 0.3 else b
+            t = r.choice(["see ", "x: ", ""]) + base64.b64encode(b).decode().rstrip("=") + r.choice([" end", ".", ""])
+        t = f"{r.choice(plain)} | {t} | {r.choice(plain)}"
+        base, every = S.find(t)
+        want = brute(t)
+        assert {s[1:] for s in base} == {s[1:] for s in want if s[0] == "base"}
+        deep = [s[1:] for s in want if s[0] == "deep"]
+        added = {s[1:] for s in every} - {s[1:] for s in base}
+        assert all(any(a <= i and j <= b for a, b in deep) for i, j in added) and all(any(a <= i and j <= b for i, j in {s[1:] for s in every}) for a, b in deep)
+
+
+def test_a_stream_unfolds_piece_by_piece(monkeypatch):
+    held = []
+    real = S.scan
+    monkeypatch.setattr(S, "PIECE", 1 << 12)
+    monkeypatch.setattr(S, "scan", lambda t: held.append(len(t)) or real(t))
+    big = ("x" * 50 + " ") * 20_000 + "password=hunter2222"
+    text = base64.b64encode(gzip.compress(big.encode(), mtime=0)).decode()
+    base, every = S.find(text)
+    assert not base and [s[0] for s in every] == ["assign"] and max(held) <= len(text) + 4 * S.OVERLAP
