@@ -27,6 +27,8 @@ ORDER = 5
 NODES = 1 << 21
 #: Six-byte keys in a partition of the trie, about.
 PART_KEYS = 1 << 18
+#: Bytes of context by which the trie is dealt out; what shorter contexts predict all partitions have.
+SHARED = 3
 #: Words whose counts are broadcast at most; the counts of the others are joined.
 WORDS = 1 << 20
 #: Bytes and words counted at a time before they are summed up.
@@ -259,9 +261,9 @@ def orders_of(keys: np.ndarray, counts: np.ndarray) -> list[Order]:
 
 
 def lowest(counts: DataFrame) -> list[Order]:
-    """The orders of no and of one byte of context, which have 65,536 entries at most, from counts of six-byte keys."""
-    t = counts.groupBy(F.col("key").bitwiseAND(F.lit((1 << 16) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    return orders_of(t.column("key").to_numpy().view(_U), t.column("n").to_numpy())[:2]
+    """The orders of fewer bytes of context than SHARED, from counts of six-byte keys. The last of them has a key for each different string of SHARED bytes, far fewer than the 16 million there could be."""
+    t = counts.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * SHARED)) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    return orders_of(t.column("key").to_numpy().view(_U), t.column("n").to_numpy())[:SHARED]
 
 
 def predicted(rows: DataFrame, low: list[Order], n_rows: int) -> DataFrame:
@@ -269,7 +271,7 @@ def predicted(rows: DataFrame, low: list[Order], n_rows: int) -> DataFrame:
 
     rows (key, n, asked) have every six-byte key of the corpus with its count, and with
     n = 0 whatever else is asked for. A key is predicted from contexts that end in the same
-    two bytes, so the trie is dealt out by these: a partition has all of them and their
+    SHARED bytes, so the trie is dealt out by these: a partition has all of them and their
     counts. Of the orders beneath, which all partitions share, each has the lowest().
     """
     shared = rows.sparkSession.sparkContext.broadcast([tuple(o) for o in low])
@@ -283,12 +285,12 @@ def predicted(rows: DataFrame, low: list[Order], n_rows: int) -> DataFrame:
             asked.append(key[rb.column(2).to_numpy(zero_copy_only=False).astype(bool)])
         if not any(map(len, asked)):
             return
-        trie = Trie([Order(*o) for o in shared.value] + orders_of(np.concatenate(keys), np.concatenate(counts))[2:])
+        trie = Trie([Order(*o) for o in shared.value] + orders_of(np.concatenate(keys), np.concatenate(counts))[SHARED:])
         for a in asked:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(trie.log10(a))], names=["key", "value"])
 
-    dealt = rows.select("key", "n", "asked").repartition(max(1, -(-n_rows // PART_KEYS)), F.shiftright("key", 8).bitwiseAND(F.lit((1 << 16) - 1)))
+    dealt = rows.select("key", "n", "asked").repartition(max(1, -(-n_rows // PART_KEYS)), F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * SHARED)) - 1)))
     return common.by_arrow(dealt, run, "key long, value double")
 
 
