@@ -42,3 +42,17 @@ def test_large_classes_are_drawn_exactly_in_sum():
     rng = np.random.default_rng(0)
     out = sharding._draw(rng, np.array([3 * 10**9, 10**9, 5], np.int64), 2 * 10**6)
     assert out.sum() == 2 * 10**6 and abs(out[0] / out[1] - 3) < 0.05
+
+
+def test_draws_beyond_numpys_own():
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((4 * 10**9, 6 * 10**9, 10**9), (10**12, 10**13, 7 * 10**9), (10**10, 3, 10**10), (10**6, 10**13, 10**12), (5, 10**10, 10**10 - 1)):
+        draws = np.array([sharding._hypergeometric(rng, good, bad, n) for _ in range(12)], float)
+        total = good + bad
+        mean, var = n * good / total, n * (good / total) * (bad / total) * (total - n) / (total - 1)
+        assert (draws >= max(0, n - bad)).all() and (draws <= min(n, good)).all()
+        assert abs(draws.mean() - mean) <= 6 * (var / len(draws)) ** 0.5 + 1
+    # the inversion has numpy's distribution where both can draw
+    own = np.array([sharding._by_mode(rng, 300, 900, 200) for _ in range(4000)])
+    theirs = rng.hypergeometric(300, 900, 200, 4000)
+    assert abs(own.mean() - theirs.mean()) < 0.6 and 0.9 < own.var() / theirs.var() < 1.1
