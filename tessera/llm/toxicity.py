@@ -34,6 +34,8 @@ SAMPLE, SAMPLE_CHARS, SLICES = 4_000, 65_536, 16
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 64, 32_768, 2_048
 #: Bytes of the strings that are counted; in how many contexts one must stand in toxic text, by number and by toxic documents, and how much likelier than in ordinary text.
 STRING, LEAST_CONTEXTS, LEAST_SHARE, LEAST_RATIO = 6, 5, 0.05, 8.0
+#: Strings that are held before equal ones are dropped.
+COUNTED = 4_000_000
 #: Windows of ordinary text that the ordinary dictionary is trained on at most, those of the lowest hashes.
 TRAINING_WINDOWS = 100_000
 #: Thresholds in bytes whose passing windows are counted.
@@ -94,10 +96,9 @@ class Distance:
         return np.r_[top, passing, n, d.mean(), top[0] / (1 + n)]
 
 
-def _strings(texts: list[str]) -> tuple[bytes, np.ndarray]:
-    """All texts as lower-case bytes behind each other, and the string of STRING bytes that begins at each place, as a number."""
-    gap = b" " * (STRING + 2)
-    data = b"".join([gap + t.encode("utf-8", "surrogatepass").lower().replace(b"\n", b" ") for t in texts] + [gap])
+def _strings(text: str) -> tuple[bytes, np.ndarray]:
+    """A text as lower-case bytes between spaces, and the string of STRING bytes that begins at each place, as a number."""
+    data = b" " * (STRING + 2) + text.encode("utf-8", "surrogatepass").lower().replace(b"\n", b" ") + b" "
     raw = np.frombuffer(data, np.uint8).astype(np.uint64)
     key = np.zeros(len(raw) - STRING + 1, np.uint64)
     for j in range(STRING):
@@ -105,27 +106,43 @@ def _strings(texts: list[str]) -> tuple[bytes, np.ndarray]:
     return data, key
 
 
+def _places(strings: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which of the sorted strings each key is, or -1."""
+    at = np.minimum(np.searchsorted(strings, key), len(strings) - 1)
+    return np.where(strings[at] == key, at, -1)
+
+
 def typical(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Stretches of toxic texts, in order, made of strings that these have in many contexts and ordinary ones hardly have."""
-    data, key = _strings(toxic)
-    before = np.r_[np.zeros(STRING, np.uint64), key[:-STRING]]
-    order = np.lexsort((before, key))
-    k, c = key[order], before[order]
-    k = k[np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]]
-    strings, contexts = np.unique(k, return_counts=True)
+    """Stretches of toxic texts, in order, made of strings that these have in many contexts and ordinary ones hardly have. A string's context is a hash of 16 bits of what stands before it."""
+    seen, waiting, size, total = np.zeros(0, np.uint64), [], 0, 0
+    for n, text in enumerate(toxic, 1):
+        _, key = _strings(text)
+        before = common.mix(np.r_[np.zeros(STRING, np.uint64), key[:-STRING]]) >> np.uint64(48)
+        waiting.append(np.unique(key << np.uint64(16) | before))
+        size += len(waiting[-1])
+        total += len(key)
+        if size > COUNTED or n == len(toxic):
+            seen, waiting, size = np.unique(np.concatenate([seen, *waiting])), [], 0
+    strings, contexts = np.unique(seen >> np.uint64(16), return_counts=True)
     often = contexts >= max(LEAST_CONTEXTS, LEAST_SHARE * len(toxic))
     strings, contexts = strings[often], contexts[often]
     if not len(strings):
         return []
-    _, other = _strings(ordinary)
-    at = np.minimum(np.searchsorted(strings, other), len(strings) - 1)
-    seen = np.bincount(at[strings[at] == other], minlength=len(strings))
-    strings = strings[contexts / len(key) >= LEAST_RATIO * (seen + 0.5) / len(other)]
-    if not len(strings):
-        return []
-    places = np.flatnonzero(strings[np.minimum(np.searchsorted(strings, key), len(strings) - 1)] == key)
-    ends = np.flatnonzero(np.diff(places) > 1)
-    return [data[i : j + STRING] for i, j in zip(places[np.r_[0, ends + 1]].tolist(), places[np.r_[ends, len(places) - 1]].tolist(), strict=True)]
+    other, times = 0, np.zeros(len(strings), np.int64)
+    for text in ordinary:
+        _, key = _strings(text)
+        other += len(key)
+        at = _places(strings, key)
+        times += np.bincount(at[at >= 0], minlength=len(strings))
+    strings = strings[contexts / total >= LEAST_RATIO * (times + 0.5) / max(1, other)]
+    out: list[bytes] = []
+    for text in toxic if len(strings) else []:
+        data, key = _strings(text)
+        at = np.flatnonzero(_places(strings, key) >= 0)
+        if len(at):
+            ends = np.flatnonzero(np.diff(at) > 1)
+            out += [data[i : j + STRING] for i, j in zip(at[np.r_[0, ends + 1]].tolist(), at[np.r_[ends, len(at) - 1]].tolist(), strict=True)]
+    return out
 
 
 def _dictionary(size: int, samples: list[bytes], segment: int, string: int) -> bytes:
