@@ -1,9 +1,12 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The distinct pieces of a batch of documents are laid out as one array of byte
-tokens. An inverted index leads from the rank of a token pair to the positions
-where that pair stands; merges are applied in rank order, and after each one
-only the neighbours of merged positions are looked up and indexed again.
+Texts are split into pieces, which merges don't cross, and each task gives its
+different pieces numbers of its own. One exchange brings equal pieces of the whole
+corpus together, so that merges are replayed on each of them once: the pieces are laid
+out as one array of byte tokens, an inverted index leads from the rank of a token pair
+to the positions where that pair stands, merges are applied in rank order, and after
+each one only the neighbours of merged positions are looked up and indexed again. The
+ids of pieces go back to the tasks that have them, and numbers become ids in place.
 """
 
 from __future__ import annotations
@@ -17,7 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm import common
 
@@ -28,9 +33,16 @@ _EDGE = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0           
 
 #: Places that leave the index of pairs together, at least.
 AT_ONCE = 20_000
-#: Characters encoded at a time, and entries each of a worker's two memories starts afresh beyond; both bound memory alone.
-PORTION = 4_000_000
-REMEMBERED = 200_000
+#: Bytes of pieces that are replayed together.
+PORTION = 2_000_000
+#: Texts between spaces that a worker remembers, and pieces that a task numbers before it starts afresh; both bound memory alone.
+REMEMBERED, NUMBERED = 300_000, 1_000_000
+#: Bytes beyond which a piece is replayed alone.
+LONG = 1_000
+#: Ids that are decoded at a time.
+DECODED = 1 << 20
+#: Characters of many kinds, by which a pattern is tried.
+_PROBES = ("a", "Z", "é", "ß", "7", "٣", "日", "本", "😀", ".", "'", "-", "_", "(", "$", "\u0301", "न", "\x00", "\u200d")
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -41,35 +53,33 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 class Codec:
     """Encodes and decodes by ranks; one per worker, since building it takes a moment."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         if len(self.bytes_of) != len(ranks):
             raise ValueError("two tokens have one rank")
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"no rank for bytes {missing[:5]}")
-        self.byte_rank = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_rank = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = {}
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = rank
+        self.pairs = pairs
         keys = np.fromiter(pairs, np.int64, len(pairs))
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
-        #: Ids of a space and the text up to the next, and of single pieces, as little-endian 32-bit integers.
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.keys, self.values = keys[order], np.fromiter(pairs.values(), np.int32, len(pairs))[order]
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of what each pair merges into, or -1."""
         if not len(self.keys):
-            return np.full(len(left), -1, np.int64)
-        k = left << 32 | right
+            return np.full(len(left), -1, np.int32)
+        k = left.astype(np.int64) << 32 | right
         i = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-        return np.where(self.keys[i] == k, self.values[i], -1)
+        return np.where(self.keys[i] == k, self.values[i], np.int32(-1))
 
     def replay(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece, by applying merges in rank order over all of them.
@@ -87,14 +97,14 @@ class Codec:
         if not n:
             return [b""] * len(pieces)
         tok = self.byte_rank[np.frombuffer(b"".join(pieces), np.uint8)]
-        word = np.repeat(np.arange(len(pieces)), lengths)
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        word = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         last = np.zeros(n, bool)
         last[ends[lengths > 0] - 1] = True
         nxt[last] = -1
         prv[1:][last[:-1]] = -1
-        rank = np.full(n, -1, np.int64)
-        inner = np.flatnonzero(~last)
+        rank = np.full(n, -1, np.int32)
+        inner = np.flatnonzero(~last).astype(np.int32)
         rank[inner] = self.pair_ranks(tok[inner], tok[inner + 1])
         alive = np.ones(n, bool)
         index: dict[int, list[np.ndarray]] = {}
@@ -162,79 +172,93 @@ class Codec:
         edges = (counts[np.r_[0, ends]] * 4).tolist()
         return [kept[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
-    def learn(self, found: list[list[str]]) -> None:
-        """Put the ids of every piece in found into self.pieces."""
-        new: dict[str, bytes] = {}
-        for pieces in found:
-            for p in pieces:
-                if p not in self.pieces and p not in new:
-                    new[p] = p.encode("utf-8", "surrogatepass")
-        hard = []
-        for p, b in new.items():
-            if (r := self.ranks.get(b)) is not None:
-                self.pieces[p] = r.to_bytes(4, "little")
-            else:
-                hard.append(p)
-        self.pieces.update(zip(hard, self.replay([new[p] for p in hard]), strict=True))
+    def ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece as little-endian 32-bit integers; a piece that is a token is that token."""
+        known = [self.ranks.get(p) for p in pieces]
+        hard = iter(self.replay([p for p, r in zip(pieces, known, strict=True) if r is None and len(p) <= LONG]))
+        return [r.to_bytes(4, "little") if r is not None else next(hard) if len(p) <= LONG else self.alone(p) for p, r in zip(pieces, known, strict=True)]
+
+    def alone(self, piece: bytes) -> bytes:
+        """Ids of one long piece, merge by merge: of one piece merges can't be made together, so its index of pairs is a heap of ranks and places."""
+        tok: list[int] = self.byte_rank[np.frombuffer(piece, np.uint8)].tolist()
+        n, of = len(tok), self.pairs.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << 40 | i for i in range(n - 1) if (r := of(tok[i] << 32 | tok[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            x = heapq.heappop(heap)
+            r, i = x >> 40, x & ((1 << 40) - 1)
+            j = after[i]
+            if tok[i] < 0 or j >= n or of(tok[i] << 32 | tok[j]) != r:
+                continue  # one of the two was merged since
+            tok[i], tok[j] = r, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := of(tok[i] << 32 | tok[k])) is not None:
+                    heapq.heappush(heap, r << 40 | i)
+            if (k := before[i]) >= 0 and (r := of(tok[k] << 32 | tok[i])) is not None:
+                heapq.heappush(heap, r << 40 | k)
+        return np.array([t for t in tok if t >= 0], "<u4").tobytes()
 
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian 32-bit integers.
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(self.decoded(ids))
 
-        A single space between two characters that aren't white space always begins
-        a piece, so a text without runs of white space is cut there, and what stands
-        between such spaces is encoded once.
-        """
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        parts: list[list[str] | None] = []
-        new: dict[str, list[str]] = {}
-        whole: list[list[str]] = []
-        known = set(self.chunks)
-        for text in batch:
-            if text and text[0] not in _EDGE and text[-1] not in _EDGE and text[-1] != " " and not _RUN.search(text):
-                cut = text.split(" ")
-                for c in set(cut).difference(known):
-                    new[c] = self.pattern.findall(" " + c)
-                known.update(cut)
-                parts.append(cut)
-                whole.append(self.pattern.findall(cut[0]))
-            else:
-                parts.append(None)
-                whole.append(self.pattern.findall(text))
-        self.learn([*new.values(), *whole])
-        of = self.pieces.__getitem__
-        for c, pieces in new.items():
-            self.chunks[c] = b"".join(map(of, pieces))
-        chunk = self.chunks.__getitem__
-        return [b"".join((*map(of, w), *map(chunk, p[1:]))) if p is not None else b"".join(map(of, w)) for p, w in zip(parts, whole, strict=True)]
+    def decoded(self, ids: bytes) -> Iterator[bytes]:
+        """What ids stand for, DECODED of them at a time."""
+        every = np.frombuffer(ids, "<u4")
+        for a in range(0, len(every), DECODED):
+            yield b"".join(map(self.bytes_of.__getitem__, every[a : a + DECODED].tolist()))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+class _Numbers(dict):
+    """Pieces by number, in the order in which they come up."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
+class Splitter:
+    """Splits texts into pieces, as numbers of this splitter's own."""
+
+    def __init__(self, pattern: str) -> None:
+        self.pattern = regex.compile(pattern)
+        self.numbers, self.units = _Numbers(), {}
+        #: Whether a single space between two characters that aren't white space always begins a piece under this pattern.
+        self.cuts = all(self.pattern.findall(f"{a} {b}") == [*self.pattern.findall(a), *self.pattern.findall(f" {b}")] for a in _PROBES for b in _PROBES)
+
+    def _numbered(self, pieces: list[str]) -> bytes:
+        return np.array([self.numbers[p] for p in pieces], "<i4").tobytes()
+
+    def split(self, text: str) -> bytes:
+        """The numbers of a text's pieces, as little-endian 32-bit integers.
 
-def portions(texts: list[str]) -> Iterator[list[str]]:
-    """texts in lists of about PORTION characters each."""
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= PORTION:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+        Where a single space begins a piece, a text without runs of white space is cut
+        there, and what stands between such spaces is split once.
+        """
+        if not self.cuts or not text or text[0] in _EDGE or text[-1] in _EDGE or text[-1] == " " or _RUN.search(text):
+            return self._numbered(self.pattern.findall(text))
+        cut = text.split(" ")
+        units = self.units
+        for c in set(cut).difference(units):
+            units[c] = self._numbered(self.pattern.findall(" " + c))
+        return b"".join((self._numbered(self.pattern.findall(cut[0])), *map(units.__getitem__, cut[1:])))
+
+    def trim(self) -> None:
+        """Forget texts between spaces, when they are many; numbers stay."""
+        if len(self.units) > REMEMBERED:
+            self.units.clear()
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[str, Codec] = {}
 
 
-def codec(data: bytes, pattern: str) -> Codec:
-    key = (hashlib.sha256(data).hexdigest(), pattern)
+def codec(data: bytes) -> Codec:
+    key = hashlib.sha256(data).hexdigest()
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(load_ranks(data), pattern)
+        _CODECS[key] = Codec(load_ranks(data))
     return _CODECS[key]
 
 
@@ -254,28 +278,139 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text")
     return _coded(docs, ranks_path, pattern, text, False)
 
 
+def _split(docs: DataFrame, pattern: str, schema: str, keep: list[str]) -> DataFrame:
+    """Rows of docs with numbers for their texts, each with the task (part) and the run of numbers (run) that they belong to; after each run its pieces, by number."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, k = TaskContext.get().partitionId(), 0
+        splitter = Splitter(pattern)
+
+        def pieces(batch: pa.RecordBatch):
+            every = list(splitter.numbers)
+            for a in range(0, len(every), 100_000):
+                some = every[a : a + 100_000]
+                m = len(some)
+                none = [pa.nulls(m, batch.schema.field(i).type) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(np.full(m, part, np.int32)), pa.array(np.full(m, k, np.int32)), pa.array(np.arange(a, a + m, dtype=np.int32)), pa.array([p.encode("utf-8", "surrogatepass") for p in some], pa.binary()), pa.nulls(m, pa.binary())], names=names)
+
+        rb = None
+        for rb in batches:
+            numbers = [splitter.split(t) for t in common.texts(rb, "__text")]
+            m = rb.num_rows
+            yield pa.RecordBatch.from_arrays([*(rb.column(i) for i in range(len(keep))), pa.array(np.full(m, part, np.int32)), pa.array(np.full(m, k, np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(numbers, pa.binary())], names=names)
+            splitter.trim()
+            if len(splitter.numbers) > NUMBERED:
+                yield from pieces(rb)
+                splitter, k = Splitter(pattern), k + 1
+        if rb is not None:
+            yield from pieces(rb)
+
+    names = [*(f"{i}" for i in range(len(keep))), "part", "run", "number", "piece", "numbers"]
+    return common.by_arrow(docs, run, f"{schema}part int, run int, number int, piece binary, numbers binary")
+
+
+def _replayed(pieces: DataFrame, data: Broadcast) -> DataFrame:
+    """(part, run, number, ids) of numbered pieces: equal pieces come together, and merges are replayed on each once."""
+
+    def run(batches):
+        c = codec(data.value)
+        last: bytes | None = None
+        pieces: list[bytes] = []
+        of: list[int] = []
+        where: list[list[int]] = [[], [], []]
+        size = 0
+
+        def done() -> pa.RecordBatch:
+            ids = c.ids(pieces)
+            return pa.RecordBatch.from_arrays([*(pa.array(w, pa.int32()) for w in where), pa.array([ids[k] for k in of], pa.binary())], names=["part", "run", "number", "ids"])
+
+        for rb in batches:
+            for piece, *place in zip(*(rb.column(i).to_pylist() for i in range(4)), strict=True):
+                if piece != last:
+                    if size >= PORTION or len(of) >= PORTION:
+                        yield done()
+                        pieces, of, where, size = [], [], [[], [], []], 0
+                    pieces.append(piece)
+                    size += len(piece)
+                    last = piece
+                of.append(len(pieces) - 1)
+                for w, x in zip(where, place, strict=True):
+                    w.append(x)
+                if len(of) >= PORTION:  # one piece of very many tasks
+                    yield done()
+                    pieces, of, where, size, last = [], [], [[], [], []], 0, None
+        if of:
+            yield done()
+
+    dealt = pieces.select("piece", "part", "run", "number").repartition("piece").sortWithinPartitions("piece")
+    return common.by_arrow(dealt, run, "part int, run int, number int, ids binary")
+
+
 def _coded(docs: DataFrame, ranks_path: str, pattern: str, text: str, with_ids: bool) -> DataFrame:
+    spark = docs.sparkSession
     with open(ranks_path, "rb") as f:
-        data = docs.sparkSession.sparkContext.broadcast(f.read())
+        data = spark.sparkContext.broadcast(f.read())
     added = ["n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids]
     keep = [c for c in docs.columns if c not in added and c != text]
-    fields = docs.select(*keep).schema if keep else None
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in (fields or [])), "n_tokens long, ids_sha256 string, decoded_sha256 string", *["token_ids array<int>"] * with_ids])
+    fields = list(docs.select(*keep).schema) if keep else []
+    own = "".join(f"`{i}` {f.dataType.simpleString()}, " for i, f in enumerate(fields))
+    src = docs.select(*(docs[c].alias(f"{i}") for i, c in enumerate(keep)), docs[text].alias("__text"))
+    path = common.fresh_path(spark, "pieces")
+    _split(src, pattern, own, keep).write.parquet(path)
+    split = spark.read.parquet(path)
+    parts = (split.agg(F.max("part")).first()[0] or 0) + 1
+    ids = _replayed(split.where("piece IS NOT NULL").select("piece", "part", "run", "number"), data)
+    none = [F.lit(None).cast(f.dataType).alias(f"{i}") for i, f in enumerate(fields)]
+    rows = split.where("numbers IS NOT NULL").select(*(f"{i}" for i in range(len(keep))), "part", "run", F.lit(None).cast("int").alias("number"), "numbers")
+    rows = rows.unionByName(ids.select(*none, "part", "run", "number", F.col("ids").alias("numbers")))
+    # a part's pieces come before its documents
+    dealt = rows.repartitionById(parts, "part").sortWithinPartitions("part", "run", F.col("number").asc_nulls_last())
 
     def run(batches):
-        c = codec(data.value, pattern)
-        for whole in batches:
-            start = 0
-            for part in portions(common.texts(whole, "__text")):
-                # a portion goes out before the next is encoded, so a batch's ids are never held together
-                rb, ids = whole.slice(start, len(part)), c.encode(part)
-                start += len(part)
-                cols = [rb.column(f"{i}") for i in range(len(keep))]
-                cols += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids])]
-                if with_ids:
-                    flat = np.frombuffer(b"".join(ids), "<i4")
-                    cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32()), pa.array(flat, pa.int32())))
-                yield pa.RecordBatch.from_arrays(cols, names=[*keep, *added])
-
-    src = docs.select(*(docs[c].alias(f"{i}") for i, c in enumerate(keep)), docs[text].alias("__text"))
-    return common.by_arrow(src, run, schema)
+        c = codec(data.value)
+        key, held, flat, lengths, starts = None, [], None, None, None
+        k = len(keep)
+        for rb in batches:
+            number = rb.column(k + 2)
+            cols = [rb.column(k + i).to_pylist() for i in range(4)]
+            is_doc = number.is_null().to_numpy(zero_copy_only=False)
+            found: list[bytes] = []
+            for part, run_, no, x in zip(*cols, strict=True):
+                if (part, run_) != key:
+                    key, held, flat = (part, run_), [], None
+                if no is not None:
+                    if no != len(held):
+                        raise RuntimeError(f"piece {len(held)} of part {part} is missing")
+                    held.append(x)
+                    continue
+                if flat is None:
+                    flat = np.frombuffer(b"".join(held), "<u4")
+                    lengths = np.fromiter(map(len, held), np.int64, len(held)) // 4
+                    starts = np.cumsum(lengths) - lengths
+                    held = [b""] * len(held)
+                numbers = np.frombuffer(x, "<i4")
+                n = lengths[numbers]
+                ends = np.cumsum(n)
+                found.append(flat[np.repeat(starts[numbers] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes())
+            if not found:
+                continue
+            own = rb.filter(pa.array(is_doc))
+            out = [own.column(i) for i in range(k)]
+            out += [pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in found]), pa.array([_digest(c.decoded(x)) for x in found])]
+            if with_ids:
+                ids = np.frombuffer(b"".join(found), "<i4")
+                out.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in found)]), pa.int32()), pa.array(ids, pa.int32())))
+            yield pa.RecordBatch.from_arrays(out, names=[*(f"{i}" for i in range(k)), *added])
+
+    schema = own + "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
+    coded = common.by_arrow(dealt, run, schema)
+    return coded.select(*(F.col(f"`{i}`").alias(c) for i, c in enumerate(keep)), *added)
+
+
+def _digest(parts: Iterator[bytes]) -> str:
+    sha = hashlib.sha256()
+    for p in parts:
+        sha.update(p)
+    return sha.hexdigest()
