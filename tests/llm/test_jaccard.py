@@ -80,7 +80,7 @@ def test_hot_lists(spark, monkeypatch):
     r = random.Random(1)
     base = [f"b{i}" for i in range(80)]
     rows = [(i, edits(r, base, 8)) for i in range(120)] + [(1000 + i, " ".join(f"x{r.randrange(10**6)}" for _ in range(50))) for i in range(60)]
-    monkeypatch.setattr(jaccard, "HOT_LEAST", 20)
+    monkeypatch.setattr(jaccard, "HOT", 20)
     monkeypatch.setattr(jaccard, "BLOCK", 32)
     assert got(spark, rows) == brute(rows)
 
@@ -96,3 +96,47 @@ def test_need_and_prefix():
 def test_packed_sets_come_back():
     s = np.unique(np.random.default_rng(0).integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2))
     assert (jaccard.unpacked(jaccard.packed(s)) == s >> np.uint64(16)).all()
+
+
+def test_blocks_by_position_lose_no_pair_that_may_be_linked():
+    r = np.random.default_rng(2)
+    for _ in range(60):
+        m = int(r.integers(2, 90))
+        n = np.sort(r.integers(5, int(r.choice([9, 40, 200])), m))
+        rest = np.maximum(1, n - r.integers(0, np.maximum(1, n // 3)))
+        parts = jaccard._by_position(np.arange(m), n, rest)
+        home = {int(x): k for k, p in enumerate(parts) for x in p}
+        for i in range(m):
+            for j in range(i):
+                if min(rest[i], rest[j]) >= jaccard.need(n[i], n[j]) and 4 * n[j] >= 3 * n[i]:
+                    assert i in home and home[i] == home.get(j)
+    # a passage that stands far back in all sets makes no pairs at all
+    assert jaccard._by_position(np.arange(500), np.full(500, 100), np.full(500, 76)) == []
+
+
+def test_bands_lose_no_pair_that_may_be_linked(spark):
+    r = np.random.default_rng(3)
+    rows = []
+    for _ in range(3000):
+        size, c = int(r.integers(20, 400)), int(r.integers(0, 1500))
+        d = int(r.integers(0, c + 1))
+        if 3 * c <= 4 * d + 3 * size:
+            rows.append((jaccard.band(c, size), jaccard.band(d, size)))
+    df = spark.createDataFrame(rows, "i int, j int")
+    assert rows and df.where(~((df["j"] <= df["i"]) & jaccard.near_bands(df["i"], df["j"]))).count() == 0
+
+
+def test_two_sets_with_one_first_number(spark, monkeypatch):
+    """Where a class's first number is another's, too, both are told apart by their second."""
+    s = [jaccard.shingles(f"one two three four five {x}") for x in ("six", "seven")]
+    assert jaccard.number_of(s[0], frozenset()) == jaccard.class_of(s[0])[0]
+    clash = frozenset(jaccard.class_of(x)[0] for x in s)
+    assert len({jaccard.number_of(x, clash) for x in s} | clash) == 4
+
+
+def test_counts_stay_at_the_largest_number():
+    a = np.array([0, 2**32 - 2], np.uint32)
+    jaccard._add(a, b"4" + np.array([7, 9], np.uint32).tobytes())
+    assert a.tolist() == [7, 2**32 - 1]
+    assert jaccard.bucket_bits(0) == jaccard.LEAST_BITS and jaccard.bucket_bits(1 << 60) == jaccard.MOST_BITS
+    assert (np.diff(jaccard.scale(np.arange(1000)).astype(int)) >= 0).all()
