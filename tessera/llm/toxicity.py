@@ -34,8 +34,8 @@ SAMPLE, SAMPLE_CHARS, SLICES = 4_000, 65_536, 16
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 64, 32_768, 2_048
 #: Bytes of the strings that are counted; in how many contexts one must stand in toxic text, by number and by toxic documents, and how much likelier than in ordinary text.
 STRING, LEAST_CONTEXTS, LEAST_SHARE, LEAST_RATIO = 6, 5, 0.05, 8.0
-#: Strings that are held before equal ones are dropped.
-COUNTED = 4_000_000
+#: Bits of the table in which strings are counted first.
+BUCKET_BITS = 18
 #: Windows of ordinary text that the ordinary dictionary is trained on at most, those of the lowest hashes.
 TRAINING_WINDOWS = 100_000
 #: Thresholds in bytes whose passing windows are counted.
@@ -114,18 +114,21 @@ def _places(strings: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 def typical(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     """Stretches of toxic texts, in order, made of strings that these have in many contexts and ordinary ones hardly have. A string's context is a hash of 16 bits of what stands before it."""
-    seen, waiting, size, total = np.zeros(0, np.uint64), [], 0, 0
-    for n, text in enumerate(toxic, 1):
+    least = max(LEAST_CONTEXTS, LEAST_SHARE * len(toxic))
+    # how often strings come at all, in buckets: nearly all come too seldom, and only the others' contexts are kept
+    buckets, total = np.zeros(1 << BUCKET_BITS, np.int32), 0
+    for text in toxic:
         _, key = _strings(text)
-        before = common.mix(np.r_[np.zeros(STRING, np.uint64), key[:-STRING]]) >> np.uint64(48)
-        waiting.append(np.unique(key << np.uint64(16) | before))
-        size += len(waiting[-1])
         total += len(key)
-        if size > COUNTED or n == len(toxic):
-            seen, waiting, size = np.unique(np.concatenate([seen, *waiting])), [], 0
-    strings, contexts = np.unique(seen >> np.uint64(16), return_counts=True)
-    often = contexts >= max(LEAST_CONTEXTS, LEAST_SHARE * len(toxic))
-    strings, contexts = strings[often], contexts[often]
+        buckets += np.bincount((common.mix(key) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(buckets)).astype(np.int32)
+    seen: list[np.ndarray] = []
+    for text in toxic:
+        _, key = _strings(text)
+        before = common.mix(np.r_[np.zeros(STRING, np.uint64), key[:-STRING]]) >> np.uint64(48)
+        often = buckets[(common.mix(key) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] >= least
+        seen.append(np.unique((key << np.uint64(16) | before)[often]))
+    strings, contexts = np.unique(np.unique(np.concatenate(seen or [np.zeros(0, np.uint64)])) >> np.uint64(16), return_counts=True)
+    strings, contexts = strings[contexts >= least], contexts[contexts >= least]
     if not len(strings):
         return []
     other, times = 0, np.zeros(len(strings), np.int64)
