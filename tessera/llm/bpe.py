@@ -19,7 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import regex
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -278,8 +280,21 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text")
     return _coded(docs, ranks_path, pattern, text, False)
 
 
-def _split(docs: DataFrame, pattern: str, schema: str, keep: list[str]) -> DataFrame:
-    """Rows of docs with numbers for their texts, each with the task (part) and the run of numbers (run) that they belong to; after each run its pieces, by number."""
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers in few bytes: how many need more than 16 bits, where these stand and what is above, and the lower 16 bits of all. Small numbers are of pieces that came early, so most are small."""
+    high = np.flatnonzero(numbers >> 16)
+    return b"".join((len(high).to_bytes(4, "little"), high.astype("<u4").tobytes(), (numbers[high] >> 16).astype("<u2").tobytes(), (numbers & 0xFFFF).astype("<u2").tobytes()))
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    k = int.from_bytes(packed[:4], "little")
+    out = np.frombuffer(packed, "<u2", -1, 4 + 6 * k).astype(np.int64)
+    out[np.frombuffer(packed, "<u4", k, 4)] |= np.frombuffer(packed, "<u2", k, 4 + 4 * k).astype(np.int64) << 16
+    return out
+
+
+def _split(docs: DataFrame, pattern: str, schema: str, keep: list[str], slices: int) -> DataFrame:
+    """Rows of docs with packed numbers for their texts, each with the task (part) and the run of numbers (run) that they belong to; after each run its pieces, by slices of the pieces' hashes."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -287,19 +302,24 @@ def _split(docs: DataFrame, pattern: str, schema: str, keep: list[str]) -> DataF
         part, k = TaskContext.get().partitionId(), 0
         splitter = Splitter(pattern)
 
-        def pieces(batch: pa.RecordBatch):
-            every = list(splitter.numbers)
-            for a in range(0, len(every), 100_000):
-                some = every[a : a + 100_000]
-                m = len(some)
-                none = [pa.nulls(m, batch.schema.field(i).type) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(np.full(m, part, np.int32)), pa.array(np.full(m, k, np.int32)), pa.array(np.arange(a, a + m, dtype=np.int32)), pa.array([p.encode("utf-8", "surrogatepass") for p in some], pa.binary()), pa.nulls(m, pa.binary())], names=names)
+        def pieces(like: pa.RecordBatch):
+            every = [p.encode("utf-8", "surrogatepass") for p in splitter.numbers]
+            to = np.fromiter(map(xxhash.xxh3_64_intdigest, every), np.uint64, len(every)) % np.uint64(slices)
+            order = np.argsort(to, kind="stable")
+            cuts = np.searchsorted(to[order], np.arange(slices + 1, dtype=np.uint64))
+            for x in range(slices):
+                at = order[cuts[x] : cuts[x + 1]]
+                if len(at):
+                    some = [every[i] for i in at.tolist()]
+                    lengths = np.fromiter(map(len, some), "<u4", len(some))
+                    none = [pa.nulls(1, like.schema.field(i).type) for i in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays([*none, *(pa.array([v], pa.int32()) for v in (part, k, x)), *(pa.array([v], pa.binary()) for v in (at.astype("<u4").tobytes(), lengths.tobytes(), b"".join(some)))], names=names)
 
         rb = None
         for rb in batches:
-            numbers = [splitter.split(t) for t in common.texts(rb, "__text")]
+            numbers = [pack(np.frombuffer(splitter.split(t), "<i4")) for t in common.texts(rb, "__text")]
             m = rb.num_rows
-            yield pa.RecordBatch.from_arrays([*(rb.column(i) for i in range(len(keep))), pa.array(np.full(m, part, np.int32)), pa.array(np.full(m, k, np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(numbers, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(rb.column(i) for i in range(len(keep))), *(pa.array(np.full(m, v, np.int32)) for v in (part, k)), pa.nulls(m, pa.int32()), pa.array(numbers, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
             splitter.trim()
             if len(splitter.numbers) > NUMBERED:
                 yield from pieces(rb)
@@ -307,45 +327,97 @@ def _split(docs: DataFrame, pattern: str, schema: str, keep: list[str]) -> DataF
         if rb is not None:
             yield from pieces(rb)
 
-    names = [*(f"{i}" for i in range(len(keep))), "part", "run", "number", "piece", "numbers"]
-    return common.by_arrow(docs, run, f"{schema}part int, run int, number int, piece binary, numbers binary")
+    names = [*(f"{i}" for i in range(len(keep))), "part", "run", "slice", "numbers", "lengths", "pieces"]
+    return common.by_arrow(docs, run, f"{schema}part int, run int, slice int, numbers binary, lengths binary, pieces binary")
 
 
-def _replayed(pieces: DataFrame, data: Broadcast) -> DataFrame:
-    """(part, run, number, ids) of numbered pieces: equal pieces come together, and merges are replayed on each once."""
+def _replayed(pieces: DataFrame, data: Broadcast, slices: int) -> DataFrame:
+    """(part, run, numbers, lengths, ids) of pieces by slices: equal pieces of all parts come together, and merges are replayed on each once."""
 
     def run(batches):
         c = codec(data.value)
-        last: bytes | None = None
-        pieces: list[bytes] = []
-        of: list[int] = []
-        where: list[list[int]] = [[], [], []]
-        size = 0
+        key, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            of: dict[bytes, int] = {}
+            each = []
+            for part, run_, numbers, lengths, joined in held:
+                n = np.frombuffer(lengths, "<u4").astype(np.int64)
+                ends = np.cumsum(n).tolist()
+                each.append((part, run_, numbers, np.array([of.setdefault(joined[a:b], len(of)) for a, b in zip([0, *ends[:-1]], ends, strict=True)])))
+            ids: list[bytes] = []
+            every, some, size = list(of), [], 0
+            for p in every:
+                some.append(p)
+                size += len(p)
+                if size >= PORTION:
+                    ids += c.ids(some)
+                    some, size = [], 0
+            ids += c.ids(some)
+            for part, run_, numbers, at in each:
+                own = [ids[i] for i in at.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([run_], pa.int32()), pa.array([numbers], pa.binary()), pa.array([np.fromiter(map(len, own), "<u4", len(own)).tobytes()], pa.binary()), pa.array([pack(np.frombuffer(b"".join(own), "<u4").astype(np.int64))], pa.binary())], names=["part", "run", "numbers", "lengths", "ids"])
+
+        for rb in batches:
+            for k, *row in zip(*(rb.column(i).to_pylist() for i in range(6)), strict=True):
+                if k != key:
+                    yield from done()
+                    key, held = k, []
+                held.append(row)
+        yield from done()
+
+    dealt = pieces.select("slice", "part", "run", "numbers", "lengths", "pieces").repartition(slices, "slice").sortWithinPartitions("slice", "part", "run")
+    return common.by_arrow(dealt, run, "part int, run int, numbers binary, lengths binary, ids binary")
+
+
+def _gathered(replayed: DataFrame, parts: int, folder: str) -> DataFrame:
+    """Write a file in folder for each part that has pieces, with the lengths and ids of each run's pieces by number; (part) of the files. A task that runs again writes the same file."""
+
+    def run(batches):
+        from pyspark import TaskContext
 
-        def done() -> pa.RecordBatch:
-            ids = c.ids(pieces)
-            return pa.RecordBatch.from_arrays([*(pa.array(w, pa.int32()) for w in where), pa.array([ids[k] for k in of], pa.binary())], names=["part", "run", "number", "ids"])
+        fs, path = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(path, recursive=True)
+        key, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if key is None:
+                return
+            rows = []
+            for run_ in sorted({r for r, *_ in held}):
+                own = [(np.frombuffer(n, "<u4").astype(np.int64), np.frombuffer(le, "<u4").astype(np.int64), unpack(ids)) for r, n, le, ids in held if r == run_]
+                number, lengths = np.concatenate([x for x, _, _ in own]), np.concatenate([x for _, x, _ in own]) // 4
+                flat = np.concatenate([x for _, _, x in own]).astype("<u4")
+                order = np.argsort(number)
+                if not (number[order] == np.arange(len(number))).all():
+                    raise RuntimeError(f"pieces of part {key} are missing")
+                rows.append((run_, lengths[order].astype("<u4").tobytes(), _taken(flat, np.cumsum(lengths) - lengths, lengths, order).tobytes()))
+            tmp = f"{path}/_{key:08d}.{TaskContext.get().taskAttemptId()}"
+            with fs.open_output_stream(tmp) as sink, pa.ipc.new_stream(sink, _FILE) as w:
+                for r in rows:
+                    w.write_batch(pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(r, _FILE, strict=True)], schema=_FILE))
+            common.put_in_place(fs, tmp, f"{path}/{key:08d}")
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32())], names=["part"])
 
         for rb in batches:
-            for piece, *place in zip(*(rb.column(i).to_pylist() for i in range(4)), strict=True):
-                if piece != last:
-                    if size >= PORTION or len(of) >= PORTION:
-                        yield done()
-                        pieces, of, where, size = [], [], [[], [], []], 0
-                    pieces.append(piece)
-                    size += len(piece)
-                    last = piece
-                of.append(len(pieces) - 1)
-                for w, x in zip(where, place, strict=True):
-                    w.append(x)
-                if len(of) >= PORTION:  # one piece of very many tasks
-                    yield done()
-                    pieces, of, where, size, last = [], [], [[], [], []], 0, None
-        if of:
-            yield done()
-
-    dealt = pieces.select("piece", "part", "run", "number").repartition("piece").sortWithinPartitions("piece")
-    return common.by_arrow(dealt, run, "part int, run int, number int, ids binary")
+            for part, *row in zip(*(rb.column(i).to_pylist() for i in range(5)), strict=True):
+                if part != key:
+                    yield from done()
+                    key, held = part, []
+                held.append(row)
+        yield from done()
+
+    return common.by_arrow(replayed.repartitionById(parts, "part").sortWithinPartitions("part", "run"), run, "part int")
+
+
+_FILE = pa.schema([("run", pa.int32()), ("lengths", pa.large_binary()), ("ids", pa.large_binary())])
+
+
+def _taken(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The stretches of flat that at says, one after another."""
+    n = lengths[at]
+    ends = np.cumsum(n)
+    return flat[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def _coded(docs: DataFrame, ranks_path: str, pattern: str, text: str, with_ids: bool) -> DataFrame:
@@ -357,47 +429,32 @@ def _coded(docs: DataFrame, ranks_path: str, pattern: str, text: str, with_ids:
     fields = list(docs.select(*keep).schema) if keep else []
     own = "".join(f"`{i}` {f.dataType.simpleString()}, " for i, f in enumerate(fields))
     src = docs.select(*(docs[c].alias(f"{i}") for i, c in enumerate(keep)), docs[text].alias("__text"))
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = common.fresh_path(spark, "pieces")
-    _split(src, pattern, own, keep).write.parquet(path)
+    _split(src, pattern, own, keep, slices).write.option("compression", "zstd").parquet(path)
     split = spark.read.parquet(path)
     parts = (split.agg(F.max("part")).first()[0] or 0) + 1
-    ids = _replayed(split.where("piece IS NOT NULL").select("piece", "part", "run", "number"), data)
-    none = [F.lit(None).cast(f.dataType).alias(f"{i}") for i, f in enumerate(fields)]
-    rows = split.where("numbers IS NOT NULL").select(*(f"{i}" for i in range(len(keep))), "part", "run", F.lit(None).cast("int").alias("number"), "numbers")
-    rows = rows.unionByName(ids.select(*none, "part", "run", "number", F.col("ids").alias("numbers")))
-    # a part's pieces come before its documents
-    dealt = rows.repartitionById(parts, "part").sortWithinPartitions("part", "run", F.col("number").asc_nulls_last())
+    folder = common.fresh_path(spark, "ids")
+    _gathered(_replayed(split.where("pieces IS NOT NULL"), data, slices), parts, folder).count()
+    k = len(keep)
 
     def run(batches):
         c = codec(data.value)
-        key, held, flat, lengths, starts = None, [], None, None, None
-        k = len(keep)
+        fs, base = pafs.FileSystem.from_uri(folder)
+        part, runs, key = None, {}, None
+        flat = lengths = starts = None
         for rb in batches:
-            number = rb.column(k + 2)
-            cols = [rb.column(k + i).to_pylist() for i in range(4)]
-            is_doc = number.is_null().to_numpy(zero_copy_only=False)
             found: list[bytes] = []
-            for part, run_, no, x in zip(*cols, strict=True):
-                if (part, run_) != key:
-                    key, held, flat = (part, run_), [], None
-                if no is not None:
-                    if no != len(held):
-                        raise RuntimeError(f"piece {len(held)} of part {part} is missing")
-                    held.append(x)
-                    continue
-                if flat is None:
-                    flat = np.frombuffer(b"".join(held), "<u4")
-                    lengths = np.fromiter(map(len, held), np.int64, len(held)) // 4
-                    starts = np.cumsum(lengths) - lengths
-                    held = [b""] * len(held)
-                numbers = np.frombuffer(x, "<i4")
-                n = lengths[numbers]
-                ends = np.cumsum(n)
-                found.append(flat[np.repeat(starts[numbers] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes())
-            if not found:
-                continue
-            own = rb.filter(pa.array(is_doc))
-            out = [own.column(i) for i in range(k)]
+            for part_, run_, x in zip(*(rb.column(k + i).to_pylist() for i in range(3)), strict=True):
+                if part_ != part:
+                    with fs.open_input_stream(f"{base}/{part_:08d}") as source, pa.ipc.open_stream(source) as r:
+                        runs = {a: (b, i) for m in r for a, b, i in zip(*(m.column(j).to_pylist() for j in range(3)), strict=True)}
+                    part, key = part_, None
+                if run_ != key:
+                    lengths, flat = np.frombuffer(runs[run_][0], "<u4").astype(np.int64), np.frombuffer(runs[run_][1], "<u4")
+                    starts, key = np.cumsum(lengths) - lengths, run_
+                found.append(_taken(flat, starts, lengths, unpack(x)).tobytes())
+            out = [rb.column(i) for i in range(k)]
             out += [pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in found]), pa.array([_digest(c.decoded(x)) for x in found])]
             if with_ids:
                 ids = np.frombuffer(b"".join(found), "<i4")
@@ -405,7 +462,8 @@ def _coded(docs: DataFrame, ranks_path: str, pattern: str, text: str, with_ids:
             yield pa.RecordBatch.from_arrays(out, names=[*(f"{i}" for i in range(k)), *added])
 
     schema = own + "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
-    coded = common.by_arrow(dealt, run, schema)
+    rows = split.where("pieces IS NULL").select(*(f"{i}" for i in range(k)), "part", "run", "numbers")
+    coded = common.by_arrow(rows, run, schema)
     return coded.select(*(F.col(f"`{i}`").alias(c) for i, c in enumerate(keep)), *added)
 
 

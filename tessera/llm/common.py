@@ -14,6 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -203,3 +204,13 @@ def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
 def texts(rb: pa.RecordBatch, name: str = "text") -> list[str]:
     """A batch's texts, null ones as empty."""
     return [x or "" for x in rb.column(name).to_pylist()]
+
+
+def put_in_place(fs: pafs.FileSystem, tmp: str, final: str) -> None:
+    """Give a file that is whole its final name; another attempt of the same task may have done so before, with the same bytes."""
+    try:
+        fs.move(tmp, final)
+    except OSError:
+        if fs.get_file_info(final).type != pafs.FileType.File:
+            raise
+        fs.delete_file(tmp)

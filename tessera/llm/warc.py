@@ -187,7 +187,7 @@ def write(chunks: DataFrame, heads: DataFrame, folder: str) -> DataFrame:
         if sink is not None:
             member.close()
             sink.close()
-            fs.move(tmp, f"{path}/{name}")
+            common.put_in_place(fs, tmp, f"{path}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64())], names=["path", "records"])
 
     return common.by_arrow(rows, run, "path string, records long")
