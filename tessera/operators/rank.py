@@ -116,7 +116,7 @@ def ranked(files: DataFrame, limit: int) -> DataFrame:
     files = cut(files)
     top = files.agg(F.max("graph_score")).first()[0] or 0.0
     f = gated(files)
-    step = F.floor(F.col("graph_score") / (0.01 * top)) if top > 0 else F.lit(0)
+    step = F.floor(F.col("graph_score") / (0.01 * top)) if top > 0 else F.floor(F.col("graph_score"))
     middle = F.col("central") | F.col("entry") if "entry" in files.columns else F.col("central")
     order = [F.desc("named"), (middle & (F.col("hits") >= 2)).desc(), step.desc(), F.desc("hits"), is_low_value(F.col("file_path")).asc(), is_generated(F.col("file_path")).asc(), F.desc("score"), F.desc("n"), "file_path"]
     return f.orderBy(*order).limit(limit)

@@ -115,7 +115,7 @@ def watch(spark: SparkSession, root: str, schema: str, apply: Callable[[DataFram
 
 def file_events(spark: SparkSession, root: str, most_files: int | None = None) -> DataFrame:
     """A stream of (path, ts, size) of source files that appear or change under root, by their modification times; excluded ones stay out."""
-    r = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+    r = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true")
     raw = (r.option("maxFilesPerTrigger", most_files) if most_files else r).load(root)
     e = raw.select(relative(F.col("path"), root).alias("path"), F.col("modificationTime").alias("ts"), F.col("length").alias("size"))
     return relevant(e)

@@ -42,6 +42,21 @@ def test_impact_takes_what_containers_hold(g):
     assert pairs(traverse.impact(g, "a", 2), "id", "level") == [("a", 0), ("a1", 0), ("a2", 0), ("b", 1), ("b1", 1), ("c", 2)]
 
 
+def test_impact_opens_a_container_within_a_container_that_is_hit_late(spark):
+    kinds = {"f": "function", "x": "class", "y": "class", "z": "method", "w": "class", "v": "method"}
+    n = spark.createDataFrame([(i, k, i, i, "p.java", 1, True, None) for i, k in kinds.items()], "id string, kind string, name string, qualified_name string, file_path string, start_line int, is_exported boolean, docstring string")
+    e = spark.createDataFrame([("x", "f", "calls", 1), ("x", "y", "contains", 1), ("y", "z", "contains", 1), ("y", "x", "references", 1), ("y", "w", "contains", 1), ("w", "x", "contains", 1), ("w", "v", "contains", 1)], "source string, target string, kind string, line int")
+    assert pairs(traverse.impact(PropertyGraph(n, e), "f", 2), "id", "level") == [("f", 0), ("v", 1), ("w", 1), ("x", 1), ("y", 1), ("z", 1)]
+
+
+def test_depths_and_limits(g, spark):
+    assert pairs(analytics.depths(g.nodes, g.edges), "id", "depth") == [("a", 1), ("a1", 2), ("a2", 2), ("b", 1), ("b1", 2), ("c", 0), ("lone", 0), ("m", 0)]
+    loop = spark.createDataFrame([("a", "b", "contains", 1), ("b", "a", "contains", 1), ("m", "c", "contains", 1)], "source string, target string, kind string, line int")
+    assert {r.id: r.depth for r in analytics.depths(g.nodes, loop).collect() if r.id in "abc"} == {"a": None, "b": None, "c": 1}
+    assert pairs(traverse.bfs(g, "m", limit=3, include_start=False), "id") == [("a",), ("a1",), ("b",)]
+    assert pairs(traverse.dfs(g, "m", 1), "id", "level") == [("a", 1), ("b", 1), ("m", 0)]
+
+
 def test_hierarchy_ancestors_path(g):
     assert pairs(traverse.type_ancestors(g, "c"), "id") == [("a",), ("b",)] and pairs(traverse.type_descendants(g, "a"), "id") == [("b",), ("c",)]
     assert pairs(traverse.ancestors(g, "a1"), "id", "level") == [("a", 1), ("m", 2)]
@@ -96,7 +111,7 @@ def test_tools_and_guards(g):
             call()
     out = []
     api.serve(e, ['{"jsonrpc":"2.0","id":1,"method":"tools/list"}', "nonsense", '{"jsonrpc":"2.0","id":2,"method":"tools/call","params":{"name":"search","arguments":{"query":"A1"}}}', '{"jsonrpc":"2.0","method":"ping"}'], out.append, ("search",))
-    assert '"search"' in out[0] and "-32700" in out[1] and "pkg.a1" in out[2] and len(out) == 3
+    assert '"search"' in out[0] and "inputSchema" in out[0] and "-32700" in out[1] and "pkg.a1" in out[2] and len(out) == 3
     assert "| kind |" in api.markdown(e.status().select("kind"), "Status")
 
 

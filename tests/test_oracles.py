@@ -11,7 +11,7 @@ import pytest
 from tessera import queries
 
 DIR = "/root/testdata/sf0.001"
-NAMES = ("a9_metrics", "a11_top_by_degree", "a20_blast_radius", "d1_changes", "d3_bursts", "f22_resolve_symbol", "f6_search", "g1_bfs_tree", "g3_callers_deep", "g6_impact_1", "g17_random_walk", "j11_by_name", "j5_dependency_files", "k5_deleted_files", "r12_compound", "w6_merged_ranges", "w7_within_budget", "x21_resolved_edges")
+NAMES = ("a9_metrics", "a20_blast_radius", "a23_impact_by_file", "d1_changes", "d2_streamed", "d3_bursts", "e11_replies", "f22_resolve_symbol", "g1_bfs_tree", "g3_callers_deep", "g6_impact_nested", "g17_random_walk", "g20_flow", "g21_seeds", "j11_by_name", "j5_dependency_files", "k4_appended_refs", "k5_deleted_files", "k10_index", "r11_camel", "r14_find", "r22_clusters", "t5_ranked_files", "w7_within_budget", "w8_uncovered", "x15_script_edges", "x19_client_uses", "x21_resolved_edges")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="the tables aren't here")
 
 
