@@ -33,7 +33,7 @@ from tessera.llm import common
 #: Words of a shingle.
 SHINGLE = 5
 #: Shingles are counted in buckets for the order from rare to common; any order gives the same links. There is a bucket for so many bytes of text, between the least and most bits: 2^25 buckets take 64 MB of a worker while counting, 32 MB afterwards.
-BYTES_A_BUCKET, LEAST_BITS, MOST_BITS = 128, 18, 25
+BYTES_A_BUCKET, LEAST_BITS, MOST_BITS = 256, 18, 25
 #: Buckets of the table that travel together.
 BLOCK_BITS = 16
 #: Steps of the scale by which bucket counts are told apart, for each doubling.
@@ -490,7 +490,11 @@ def links(docs: DataFrame, pairs: DataFrame, stands: DataFrame, clashes: frozens
     path = common.fresh_path(spark, "sets")
     made.write.parquet(path)
     sets = spark.read.parquet(path)
-    whole = pairs.join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")).hint("merge"), "b").join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
+    # of the second exchange of sets only those take part that others are compared with
+    firsts = common.cut(pairs.select("a").distinct())
+    heads = sets.select(F.col("cid").alias("a"), F.col("s").alias("sa"))
+    heads = heads.join(F.broadcast(firsts), "a", "left_semi") if firsts.count() <= BROADCAST_ROWS else heads
+    whole = pairs.join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")).hint("merge"), "b").join(heads.hint("merge"), "a")
 
     def compare(batches):
         for rb in batches:
@@ -629,17 +633,26 @@ def _forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(cid, part) of every class with an edge: part is the smallest class reachable. Labels spread along edges and jump to their labels' labels."""
+    """(cid, part) of every class with an edge: part is the smallest class reachable.
+
+    Labels spread along edges and jump to their labels' labels. A pivot has an edge to
+    each of its sets, and a component's label comes to stand at all of its classes; what
+    such hubs and labels say is broadcast, so that their rows stay where they are.
+    """
     both = common.cut(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct())
-    labels = common.cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("cid"), F.least("a", "low").alias("part")))
+    labels = common.cut(both.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("degree")).select(F.col("a").alias("cid"), F.least("a", "low").alias("part"), "degree"))
+    n_edges, n = both.count(), labels.count()
     while True:
-        near = both.join(labels, both["b"] == labels["cid"]).groupBy("a").agg(F.min("part").alias("low"))
-        spread = labels.join(near, labels["cid"] == near["a"]).select("cid", F.least("part", "low").alias("next"), F.col("part").alias("was"))
-        jump = spread.select(F.col("cid").alias("via"), F.col("next").alias("far"))
-        new = common.cut(spread.join(jump, F.col("next") == F.col("via"), "left").select("cid", F.least("next", "far").alias("part"), (F.least("next", "far") < F.col("was")).alias("moved")))
-        labels = new.select("cid", "part")
+        told = common.join_unique(both.withColumnRenamed("b", "cid"), labels.select("cid", "part", "degree"), ["cid"], "degree", n_edges)
+        near = told.groupBy("a").agg(F.min("part").alias("low"))
+        spread = common.cut(labels.join(near, labels["cid"] == near["a"]).select("cid", F.least("part", "low").alias("next"), F.col("part").alias("was"), "degree"))
+        asked = spread.groupBy("next").agg(F.count(F.lit(1)).alias("copies"))
+        far = asked.join(spread.select(F.col("cid").alias("next"), F.col("next").alias("far")), "next")
+        new = common.join_unique(spread, far, ["next"], "copies", n)
+        new = common.cut(new.select("cid", F.least("next", "far").alias("part"), (F.least("next", "far") < F.col("was")).alias("moved"), "degree"))
+        labels = new.select("cid", "part", "degree")
         if new.where("moved").isEmpty():
-            return labels
+            return labels.select("cid", "part")
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -654,7 +667,7 @@ def joined(docs: DataFrame) -> DataFrame:
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     bits = bucket_bits(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     path = common.fresh_path(spark, "shingles")
-    common.by_arrow(d, _sketch(bits), "doc_id long, n long, cid long, check long, block int, counts binary").write.parquet(path)
+    common.by_arrow(d, _sketch(bits), "doc_id long, n long, cid long, check long, block int, counts binary").write.option("compression", "zstd").parquet(path)
     sketch = spark.read.parquet(path)
     rows = sketch.where("block IS NULL").select("doc_id", "n", "cid", "check")
     table, mean = _table(sketch, bits)
