@@ -115,10 +115,10 @@ def words(text: str | None) -> list[bytes]:
 
 
 class WordHash(dict):
-    """64-bit hash of a word, remembered up to CACHE_ENTRIES words."""
+    """64-bit hash of a word's bytes (of a string, its UTF-8), remembered up to CACHE_ENTRIES words."""
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
+    def __missing__(self, word: bytes | str) -> int:
+        h = xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         self[word] = h
@@ -128,7 +128,7 @@ class WordHash(dict):
 WORD_HASH = WordHash()
 
 
-def word_hashes(ws: list[bytes]) -> np.ndarray:
+def word_hashes(ws: list[bytes] | list[str]) -> np.ndarray:
     return np.fromiter(map(WORD_HASH.__getitem__, ws), np.uint64, len(ws))
 
 

@@ -29,12 +29,14 @@ FILTER_BITS = 27
 #: Benchmark windows that are broadcast at most; beyond that the join is a sort-merge join.
 BROADCAST_ROWS = 200_000
 
-_TOKEN = re.compile(rb"[0-9a-z_\x80-\xff]+")
+#: Characters of scripts without spaces between words: each is a token of its own.
+_ALONE = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+_TOKEN = re.compile(rf"[{_ALONE}]|[^\W{_ALONE}]+")
 
 
 def tokens(text: str | None) -> np.ndarray:
-    """Hashes of a text's tokens: runs of letters and digits, without A-Z's case and without punctuation."""
-    return common.word_hashes(_TOKEN.findall(text.encode("utf-8", "surrogatepass").lower())) if text else np.zeros(0, np.uint64)
+    """Hashes of a text's tokens: runs of letters and digits of any script, in lower case, without punctuation of any script; single characters where words aren't set apart."""
+    return common.word_hashes(_TOKEN.findall(text.lower())) if text else np.zeros(0, np.uint64)
 
 
 def _mask_places(masks: tuple[str, ...]) -> list[list[int]]:

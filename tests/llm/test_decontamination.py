@@ -132,3 +132,9 @@ def test_a_long_overlap_is_found_whole(spark, monkeypatch):
     for rows in (D.BROADCAST_ROWS, 0):
         monkeypatch.setattr(D, "BROADCAST_ROWS", rows)
         assert {(x.doc_id, x.item_id): tuple(x)[2:] for x in D.contaminated(df, it).collect()} == want
+
+
+def test_tokens_of_other_scripts_and_punctuation():
+    same = lambda a, b: D.tokens(a).tolist() == D.tokens(b).tolist()
+    assert same("“Große” — ÄRGER…", '"große" - ärger...') and same("it’s", "it's")
+    assert len(D.tokens("今天天气很好。")) == 6 and len(D.tokens("Привет, мир!")) == 2 and len(D.tokens("カタカナ word")) == 5
