@@ -11,6 +11,17 @@ from tessera.plans import fixtures, lineage
 from tessera.plans.schema import EDGE_KINDS, NODE_KINDS
 
 
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files at path, which is a file or a folder of files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
+#: Where graphs are stored, by application, folder and the state of its files.
+_STORED: dict[tuple, str] = {}
+
+
 @dataclass
 class PropertyGraph:
     """Nodes (id, kind, name, qualified_name, file_path, ...) and edges (source, target, kind, line, ...)."""
@@ -24,6 +35,16 @@ class PropertyGraph:
         """The graph over the relational tables of sf_dir."""
         return cls(fixtures.nodes(spark, sf_dir), fixtures.edges(spark, sf_dir))
 
+    @classmethod
+    def kept(cls, spark: SparkSession, sf_dir: str) -> PropertyGraph:
+        """The graph over the relational tables of sf_dir, derived and stored once for each state of their files in this application; questions to it read what they need of the stored one."""
+        key = (spark.sparkContext.applicationId, sf_dir, *(_state(spark, f"{sf_dir}/{t}.parquet") for t in fixtures.TABLES))
+        if key not in _STORED:
+            path = lineage.fresh_path(spark, "graph")
+            cls.derived(spark, sf_dir).save(path)
+            _STORED[key] = path
+        return cls.stored(spark, _STORED[key])
+
     @classmethod
     def stored(cls, spark: SparkSession, path: str) -> PropertyGraph:
         """The graph that save() wrote."""

@@ -17,7 +17,7 @@ def query(name: str, sql: str | None = None):
     """Register a function of a graph as a query; sql goes on after the graph's tables."""
 
     def put(f: Callable[[PropertyGraph], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(PropertyGraph.derived(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(PropertyGraph.kept(spark, sf_dir))
         if sql:
             ORACLES[name] = f"{WITH} {sql}"
         return f
