@@ -293,6 +293,17 @@ def unpack(packed: bytes) -> np.ndarray:
     return out
 
 
+def narrow(numbers: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes that hold the largest, and how many these are."""
+    top = int(numbers.max()) if len(numbers) else 0
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", -1, 1).astype(np.int64)
+
+
 def _split(docs: DataFrame, pattern: str, schema: str, keep: list[str], slices: int) -> DataFrame:
     """Rows of docs with packed numbers for their texts, each with the task (part) and the run of numbers (run) that they belong to; after each run its pieces, by slices of the pieces' hashes."""
 
@@ -311,9 +322,9 @@ def _split(docs: DataFrame, pattern: str, schema: str, keep: list[str], slices:
                 at = order[cuts[x] : cuts[x + 1]]
                 if len(at):
                     some = [every[i] for i in at.tolist()]
-                    lengths = np.fromiter(map(len, some), "<u4", len(some))
+                    lengths = np.fromiter(map(len, some), np.int64, len(some))
                     none = [pa.nulls(1, like.schema.field(i).type) for i in range(len(keep))]
-                    yield pa.RecordBatch.from_arrays([*none, *(pa.array([v], pa.int32()) for v in (part, k, x)), *(pa.array([v], pa.binary()) for v in (at.astype("<u4").tobytes(), lengths.tobytes(), b"".join(some)))], names=names)
+                    yield pa.RecordBatch.from_arrays([*none, *(pa.array([v], pa.int32()) for v in (part, k, x)), *(pa.array([v], pa.binary()) for v in (narrow(np.diff(at, prepend=0)), narrow(lengths), b"".join(some)))], names=names)
 
         rb = None
         for rb in batches:
@@ -342,8 +353,7 @@ def _replayed(pieces: DataFrame, data: Broadcast, slices: int) -> DataFrame:
             of: dict[bytes, int] = {}
             each = []
             for part, run_, numbers, lengths, joined in held:
-                n = np.frombuffer(lengths, "<u4").astype(np.int64)
-                ends = np.cumsum(n).tolist()
+                ends = np.cumsum(wide(lengths)).tolist()
                 each.append((part, run_, numbers, np.array([of.setdefault(joined[a:b], len(of)) for a, b in zip([0, *ends[:-1]], ends, strict=True)])))
             ids: list[bytes] = []
             every, some, size = list(of), [], 0
@@ -356,7 +366,7 @@ def _replayed(pieces: DataFrame, data: Broadcast, slices: int) -> DataFrame:
             ids += c.ids(some)
             for part, run_, numbers, at in each:
                 own = [ids[i] for i in at.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([run_], pa.int32()), pa.array([numbers], pa.binary()), pa.array([np.fromiter(map(len, own), "<u4", len(own)).tobytes()], pa.binary()), pa.array([pack(np.frombuffer(b"".join(own), "<u4").astype(np.int64))], pa.binary())], names=["part", "run", "numbers", "lengths", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([run_], pa.int32()), pa.array([numbers], pa.binary()), pa.array([narrow(np.fromiter(map(len, own), np.int64, len(own)) // 4)], pa.binary()), pa.array([narrow(np.frombuffer(b"".join(own), "<u4"))], pa.binary())], names=["part", "run", "numbers", "lengths", "ids"])
 
         for rb in batches:
             for k, *row in zip(*(rb.column(i).to_pylist() for i in range(6)), strict=True):
@@ -385,15 +395,14 @@ def _gathered(replayed: DataFrame, parts: int, folder: str) -> DataFrame:
                 return
             rows = []
             for run_ in sorted({r for r, *_ in held}):
-                own = [(np.frombuffer(n, "<u4").astype(np.int64), np.frombuffer(le, "<u4").astype(np.int64), unpack(ids)) for r, n, le, ids in held if r == run_]
-                number, lengths = np.concatenate([x for x, _, _ in own]), np.concatenate([x for _, x, _ in own]) // 4
-                flat = np.concatenate([x for _, _, x in own]).astype("<u4")
+                own = [(np.cumsum(wide(n)), wide(le), wide(ids)) for r, n, le, ids in held if r == run_]
+                number, lengths, flat = (np.concatenate(x) for x in zip(*own, strict=True))
                 order = np.argsort(number)
                 if not (number[order] == np.arange(len(number))).all():
                     raise RuntimeError(f"pieces of part {key} are missing")
-                rows.append((run_, lengths[order].astype("<u4").tobytes(), _taken(flat, np.cumsum(lengths) - lengths, lengths, order).tobytes()))
+                rows.append((run_, narrow(lengths[order]), narrow(_taken(flat, np.cumsum(lengths) - lengths, lengths, order))))
             tmp = f"{path}/_{key:08d}.{TaskContext.get().taskAttemptId()}"
-            with fs.open_output_stream(tmp) as sink, pa.ipc.new_stream(sink, _FILE) as w:
+            with fs.open_output_stream(tmp) as sink, pa.ipc.new_stream(sink, _FILE, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 for r in rows:
                     w.write_batch(pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(r, _FILE, strict=True)], schema=_FILE))
             common.put_in_place(fs, tmp, f"{path}/{key:08d}")
@@ -451,7 +460,7 @@ def _coded(docs: DataFrame, ranks_path: str, pattern: str, text: str, with_ids:
                         runs = {a: (b, i) for m in r for a, b, i in zip(*(m.column(j).to_pylist() for j in range(3)), strict=True)}
                     part, key = part_, None
                 if run_ != key:
-                    lengths, flat = np.frombuffer(runs[run_][0], "<u4").astype(np.int64), np.frombuffer(runs[run_][1], "<u4")
+                    lengths, flat = wide(runs[run_][0]), wide(runs[run_][1]).astype("<u4")
                     starts, key = np.cumsum(lengths) - lengths, run_
                 found.append(_taken(flat, starts, lengths, unpack(x)).tobytes())
             out = [rb.column(i) for i in range(k)]

@@ -79,3 +79,11 @@ def test_the_corpus_in_many_runs_of_numbers(spark, monkeypatch, reference):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {x.doc_id: np.array(x.token_ids, "<u4").tobytes() for x in bpe.encode(df, PATH, P.PATTERN).collect()}
     assert got == {i: reference(t) for i, t in rows}
+
+
+def test_numbers_in_few_bytes_come_back():
+    r = np.random.default_rng(1)
+    for top in (1, 200, 60_000, 70_000, 2**31 - 1):
+        for n in (0, 1, 50):
+            a = r.integers(0, top, n)
+            assert bpe.unpack(bpe.pack(a)).tolist() == a.tolist() == bpe.wide(bpe.narrow(a)).tolist()
