@@ -15,10 +15,15 @@ BROADCAST_IDS = 1 << 20
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def counted(ids: DataFrame) -> DataFrame:
+    """ids, written, and to be broadcast where they are few."""
+    ids = common.cut(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The documents whose id isn't in gone (doc_id, each once); those without an id stay."""
-    gone = common.cut(gone)
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(counted(gone), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +44,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     twice = found.where("n_shingles > 0 AND component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept
-    again = kept.join(F.broadcast(twice), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*")
-    return kept.join(F.broadcast(twice), "doc_id", "left_anti").select(*COLUMNS).unionByName(again.select(*COLUMNS))
+    twice = counted(twice)
+    again = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*")
+    return kept.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(again.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
