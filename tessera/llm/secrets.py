@@ -285,8 +285,6 @@ def _base64_bytes(text: str) -> Iterator[tuple[bytes, int, int]]:
     """What each base64 run decodes to, and the run's span."""
     for m in _BASE64.finditer(text):
         run = m[0].rstrip("=")
-        if run.isalpha() and (run.islower() or run[1:].islower()):
-            continue  # a word: all its letters are of one case
         body = run.replace("-", "+").replace("_", "/")
         if len(body) % 4 == 1:
             continue
