@@ -280,19 +280,6 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text")
     return _coded(docs, ranks_path, pattern, text, False)
 
 
-def pack(numbers: np.ndarray) -> bytes:
-    """Numbers in few bytes: how many need more than 16 bits, where these stand and what is above, and the lower 16 bits of all. Small numbers are of pieces that came early, so most are small."""
-    high = np.flatnonzero(numbers >> 16)
-    return b"".join((len(high).to_bytes(4, "little"), high.astype("<u4").tobytes(), (numbers[high] >> 16).astype("<u2").tobytes(), (numbers & 0xFFFF).astype("<u2").tobytes()))
-
-
-def unpack(packed: bytes) -> np.ndarray:
-    k = int.from_bytes(packed[:4], "little")
-    out = np.frombuffer(packed, "<u2", -1, 4 + 6 * k).astype(np.int64)
-    out[np.frombuffer(packed, "<u4", k, 4)] |= np.frombuffer(packed, "<u2", k, 4 + 4 * k).astype(np.int64) << 16
-    return out
-
-
 def narrow(numbers: np.ndarray) -> bytes:
     """Whole numbers in the fewest bytes that hold the largest, and how many these are."""
     top = int(numbers.max()) if len(numbers) else 0
@@ -304,8 +291,17 @@ def wide(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", -1, 1).astype(np.int64)
 
 
+def planes(numbers: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """The lowest and second lowest bytes of numbers, and what is above. Numbers of pieces that come often are small, so apart from each other these compress well."""
+    return (numbers & 0xFF).astype(np.uint8).tobytes(), (numbers >> 8 & 0xFF).astype(np.uint8).tobytes(), narrow(numbers >> 16)
+
+
+def joined(low: bytes, middle: bytes, above: bytes) -> np.ndarray:
+    return np.frombuffer(low, np.uint8) | np.frombuffer(middle, np.uint8).astype(np.int64) << 8 | wide(above) << 16
+
+
 def _split(docs: DataFrame, pattern: str, schema: str, keep: list[str], slices: int) -> DataFrame:
-    """Rows of docs with packed numbers for their texts, each with the task (part) and the run of numbers (run) that they belong to; after each run its pieces, by slices of the pieces' hashes."""
+    """Rows of docs with numbers for their texts (low, middle, above), each with the task (part) and the run of numbers (run) that they belong to; after each run its pieces, by slices of the pieces' hashes, with numbers in low and lengths in middle."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -324,13 +320,13 @@ def _split(docs: DataFrame, pattern: str, schema: str, keep: list[str], slices:
                     some = [every[i] for i in at.tolist()]
                     lengths = np.fromiter(map(len, some), np.int64, len(some))
                     none = [pa.nulls(1, like.schema.field(i).type) for i in range(len(keep))]
-                    yield pa.RecordBatch.from_arrays([*none, *(pa.array([v], pa.int32()) for v in (part, k, x)), *(pa.array([v], pa.binary()) for v in (narrow(np.diff(at, prepend=0)), narrow(lengths), b"".join(some)))], names=names)
+                    yield pa.RecordBatch.from_arrays([*none, *(pa.array([v], pa.int32()) for v in (part, k, x)), *(pa.array([v], pa.binary()) for v in (narrow(np.diff(at, prepend=0)), narrow(lengths), None, b"".join(some)))], names=names)
 
         rb = None
         for rb in batches:
-            numbers = [pack(np.frombuffer(splitter.split(t), "<i4")) for t in common.texts(rb, "__text")]
+            numbers = [planes(np.frombuffer(splitter.split(t), "<i4")) for t in common.texts(rb, "__text")]
             m = rb.num_rows
-            yield pa.RecordBatch.from_arrays([*(rb.column(i) for i in range(len(keep))), *(pa.array(np.full(m, v, np.int32)) for v in (part, k)), pa.nulls(m, pa.int32()), pa.array(numbers, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(rb.column(i) for i in range(len(keep))), *(pa.array(np.full(m, v, np.int32)) for v in (part, k)), pa.nulls(m, pa.int32()), *(pa.array(p, pa.binary()) for p in (zip(*numbers, strict=True) if m else [[]] * 3)), pa.nulls(m, pa.binary())], names=names)
             splitter.trim()
             if len(splitter.numbers) > NUMBERED:
                 yield from pieces(rb)
@@ -338,8 +334,8 @@ def _split(docs: DataFrame, pattern: str, schema: str, keep: list[str], slices:
         if rb is not None:
             yield from pieces(rb)
 
-    names = [*(f"{i}" for i in range(len(keep))), "part", "run", "slice", "numbers", "lengths", "pieces"]
-    return common.by_arrow(docs, run, f"{schema}part int, run int, slice int, numbers binary, lengths binary, pieces binary")
+    names = [*(f"{i}" for i in range(len(keep))), "part", "run", "slice", "low", "middle", "above", "pieces"]
+    return common.by_arrow(docs, run, f"{schema}part int, run int, slice int, low binary, middle binary, above binary, pieces binary")
 
 
 def _replayed(pieces: DataFrame, data: Broadcast, slices: int) -> DataFrame:
@@ -376,7 +372,7 @@ def _replayed(pieces: DataFrame, data: Broadcast, slices: int) -> DataFrame:
                 held.append(row)
         yield from done()
 
-    dealt = pieces.select("slice", "part", "run", "numbers", "lengths", "pieces").repartition(slices, "slice").sortWithinPartitions("slice", "part", "run")
+    dealt = pieces.select("slice", "part", "run", "low", "middle", "pieces").repartition(slices, "slice").sortWithinPartitions("slice", "part", "run")
     return common.by_arrow(dealt, run, "part int, run int, numbers binary, lengths binary, ids binary")
 
 
@@ -454,7 +450,7 @@ def _coded(docs: DataFrame, ranks_path: str, pattern: str, text: str, with_ids:
         flat = lengths = starts = None
         for rb in batches:
             found: list[bytes] = []
-            for part_, run_, x in zip(*(rb.column(k + i).to_pylist() for i in range(3)), strict=True):
+            for part_, run_, *x in zip(*(rb.column(k + i).to_pylist() for i in range(5)), strict=True):
                 if part_ != part:
                     with fs.open_input_stream(f"{base}/{part_:08d}") as source, pa.ipc.open_stream(source) as r:
                         runs = {a: (b, i) for m in r for a, b, i in zip(*(m.column(j).to_pylist() for j in range(3)), strict=True)}
@@ -462,7 +458,7 @@ def _coded(docs: DataFrame, ranks_path: str, pattern: str, text: str, with_ids:
                 if run_ != key:
                     lengths, flat = wide(runs[run_][0]), wide(runs[run_][1]).astype("<u4")
                     starts, key = np.cumsum(lengths) - lengths, run_
-                found.append(_taken(flat, starts, lengths, unpack(x)).tobytes())
+                found.append(_taken(flat, starts, lengths, joined(*x)).tobytes())
             out = [rb.column(i) for i in range(k)]
             out += [pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in found]), pa.array([_digest(c.decoded(x)) for x in found])]
             if with_ids:
@@ -471,7 +467,7 @@ def _coded(docs: DataFrame, ranks_path: str, pattern: str, text: str, with_ids:
             yield pa.RecordBatch.from_arrays(out, names=[*(f"{i}" for i in range(k)), *added])
 
     schema = own + "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
-    rows = split.where("pieces IS NULL").select(*(f"{i}" for i in range(k)), "part", "run", "numbers")
+    rows = split.where("pieces IS NULL").select(*(f"{i}" for i in range(k)), "part", "run", "low", "middle", "above")
     coded = common.by_arrow(rows, run, schema)
     return coded.select(*(F.col(f"`{i}`").alias(c) for i, c in enumerate(keep)), *added)
 

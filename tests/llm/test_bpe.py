@@ -86,4 +86,4 @@ def test_numbers_in_few_bytes_come_back():
     for top in (1, 200, 60_000, 70_000, 2**31 - 1):
         for n in (0, 1, 50):
             a = r.integers(0, top, n)
-            assert bpe.unpack(bpe.pack(a)).tolist() == a.tolist() == bpe.wide(bpe.narrow(a)).tolist()
+            assert bpe.joined(*bpe.planes(a)).tolist() == a.tolist() == bpe.wide(bpe.narrow(a)).tolist()
