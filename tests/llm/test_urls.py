@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import urls as U
@@ -68,3 +70,49 @@ def test_nothing_to_learn_from(spark):
     assert [x.verdict for x in U.judged(rows).collect()] == ["allow"] * 3
     assert U.fit(rows.select("url", F.lit("x").alias("verdict")))[1] == math.inf
     assert U.judged(spark.createDataFrame([], "page_id long, url string")).collect() == []
+
+
+def chance(counts, context, byte):
+    """The interpolated chance of a byte after a context, straight from the counts."""
+    lower = chance(counts, context[1:], byte) if context else 1 / 257
+    follow = counts.get(context)
+    return (follow[byte] + len(follow) * lower) / (sum(follow.values()) + len(follow)) if follow else lower
+
+
+def counted(urls):
+    counts = defaultdict(Counter)
+    for u in urls:
+        p = bytes(U.ORDER) + u + b"\0"
+        for i in range(U.ORDER, len(p)):
+            for k in range(U.ORDER + 1):
+                counts[p[i - k : i]][p[i]] += 1
+    return counts
+
+
+def score_of(models, url):
+    p = bytes(U.ORDER) + url + b"\0"
+    each = [sum(math.log2(chance(m, p[i - U.ORDER : i], p[i])) for i in range(U.ORDER, len(p))) for m in models]
+    return (each[1] - each[0]) / (len(url) + 1)
+
+
+def test_whole_query_against_brute_force(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 6)))
+    rows = [(i, r.choice([f"http://{word()}.com/en/{word()}", f"https://{word()}.net/de/{word()}?q", f"http://{word()}.org/es/{word()}#x", f"http://{word()}.info/{word()}", word(), "", None])) for i in range(260)]
+    rows += [(7, rows[7][1]), (None, "http://a.info/b"), (None, None)]
+    ruled = {u: brute(u)[3] for _, u in rows if brute(u)[3] is not None}
+    split = {u: xxhash.xxh3_64_intdigest(u.encode()) % 5 == 0 for u in ruled}
+    models = [counted([u.encode() for u, v in ruled.items() if v == which and not split[u]]) for which in U.VERDICTS]
+    held = sorted((score_of(models, u.encode()), v == "block") for u, v in ruled.items() if split[u])
+    bad, good = [x for x, b in held if b], [x for x, b in held if not b]
+    errors = [sum(b for _, b in held[:i]) / len(bad) + sum(not b for _, b in held[i:]) / len(good) for i in range(len(held) + 1)]
+    best = [i for i, e in enumerate(errors) if e <= min(errors) + 1e-12]
+    cut = best[len(best) // 2]
+    threshold = held[0][0] - 1 if cut == 0 else held[-1][0] + 1 if cut == len(held) else (held[cut - 1][0] + held[cut][0]) / 2
+    df = spark.createDataFrame([(*x, "clash", 1.0, "h") for x in rows], "page_id long, url string, rule string, score double, host string").repartition(3)
+    out = U.judged(df).collect()
+    got = sorted(((x.page_id, x.host, x.path, x.rule, x.verdict) for x in out), key=repr)
+    said = lambda u: brute(u)[3] or U.VERDICTS[score_of(models, (u or "").encode()) > threshold]
+    assert got == sorted(((i, *brute(u)[:3], said(u)) for i, u in rows), key=repr)
+    scores = {x.page_id: x.score for x in out if x.page_id is not None and x.score is not None}
+    assert scores and all(scores[i] == pytest.approx(score_of(models, (u or "").encode())) for i, u in rows if i in scores)
