@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -88,8 +89,8 @@ def steady(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: A key with a larger share of all rows than one in so many is hot; there are at most so many of them.
-HOT_KEYS = 4_096
+#: A key with a larger share of all rows than one in so many is hot, if it has some rows at all; there are at most so many of them.
+HOT_KEYS, HOT_LEAST = 4_096, 1_000
 
 
 def join_unique(rows: DataFrame, found: DataFrame, keys: list[str], copies: str, total: int) -> DataFrame:
@@ -98,8 +99,11 @@ def join_unique(rows: DataFrame, found: DataFrame, keys: list[str], copies: str,
     What is found for hot keys, at most HOT_KEYS of them, is broadcast, so that their rows
     stay where they are; the others meet in an exchange, where no key is large.
     """
-    hot = found.where(F.col(copies) > max(1, total // HOT_KEYS)).drop(copies)
-    cold = found.where(F.col(copies) <= max(1, total // HOT_KEYS)).drop(copies)
+    least = max(HOT_LEAST, total // HOT_KEYS)
+    hot = found.where(F.col(copies) > least).drop(copies)
+    if total <= least or hot.isEmpty():
+        return rows.join(found.drop(copies), keys, "left")
+    cold = found.where(F.col(copies) <= least).drop(copies)
     here = rows.join(F.broadcast(hot), keys)
     there = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left")
     return here.unionByName(there.select(*here.columns))
@@ -177,8 +181,9 @@ def slices(batches: Iterable[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterat
 
 
 def release() -> None:
-    """Give memory that a task no longer needs back to the system: a worker that waits for its next task keeps none."""
+    """Give memory that a task, or a step on the driver, no longer needs back to the system: a worker that waits for its next task keeps none."""
     WORD_HASH.clear()
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

@@ -186,6 +186,7 @@ def _table(sketch: DataFrame, bits: int) -> tuple[np.ndarray, float]:
         _add(counts, bytes(r.counts))
         table[r.block] = scale(counts)
         total += int(counts.sum(dtype=np.int64))
+    common.release()
     return table.reshape(-1), total / table.size
 
 

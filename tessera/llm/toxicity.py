@@ -222,7 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     slices = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substring(text, (F.floor(i * (F.length(text) - part) / (SLICES - 1)) + 1).cast("int"), F.lit(part))), " ")
     shown = F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(slices)
     rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("__id")).select(shown.alias("text"), "toxic").distinct().orderBy(F.xxhash64("text")).limit(4 * sample)
-    return train([(r.text, r.toxic) for r in rows.collect()])
+    model = train([(r.text, r.toxic) for r in rows.toLocalIterator()])
+    common.release()
+    return model
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -26,6 +26,7 @@ def test_scans_are_told_by_their_plans(spark, tmp_path):
 @pytest.mark.parametrize("keys", [1, 1000])
 def test_hot_keys_join_like_others(spark, monkeypatch, keys):
     monkeypatch.setattr(common, "HOT_KEYS", keys)
+    monkeypatch.setattr(common, "HOT_LEAST", 10)
     rows = spark.range(300).select(F.when(F.col("id") < 200, 0).when(F.col("id") == 299, None).otherwise(F.col("id") % 7).alias("k"), "id")
     found = rows.groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("low")).where("k <> 3")
     got = common.join_unique(rows, found, ["k"], "copies", 300)

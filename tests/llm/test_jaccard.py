@@ -76,6 +76,16 @@ def test_every_text_alike(spark):
     assert {c for _, _, c in got(spark, rows)} == {0}
 
 
+def test_large_classes_and_hubs_stay_in_place(spark, monkeypatch):
+    from tessera.llm import common
+
+    r = random.Random(6)
+    monkeypatch.setattr(common, "HOT_LEAST", 10)
+    base = [f"b{i}" for i in range(90)]
+    rows = [(i, edits(r, base, 4)) for i in range(70)] + [(100 + i, " ".join(base)) for i in range(40)] + [(200 + i, " ".join(f"x{r.randrange(10**6)}" for _ in range(30))) for i in range(20)]
+    assert got(spark, rows) == brute(rows)
+
+
 def test_hot_lists(spark, monkeypatch):
     r = random.Random(1)
     base = [f"b{i}" for i in range(80)]

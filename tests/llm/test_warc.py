@@ -57,6 +57,7 @@ def test_a_payload_with_many_copies_stays_in_place(spark, monkeypatch):
     from tessera.llm import common
 
     monkeypatch.setattr(common, "HOT_KEYS", 4)
+    monkeypatch.setattr(common, "HOT_LEAST", 10)
     rows = [(i, "u", "same" if i % 3 else f"own {i}") for i in range(90)]
     assert got(spark, rows) == expected(rows)
 
