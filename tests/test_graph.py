@@ -121,3 +121,22 @@ def test_a_small_item_after_a_thousand_larger_ones_still_fits(spark):
     rows = [("a", 0, 50)] + [("a", k, 20) for k in range(1, 1_500)] + [("a", 1_500, 10), ("a", 1_501, 1), ("b", 1, 99), ("b", 2, 1), ("c", 1, 60), ("c", 2, 70)]
     got = render.within_budget(spark.createDataFrame(rows, "file_path string, id long, size long").repartition(4), "file_path", ["id"], "size", 60)
     assert sorted((r.file_path, r.id, r["rank"]) for r in got.collect()) == [("a", 0, 1), ("a", 1_500, 1_501), ("b", 1, 1), ("c", 1, 1)]
+
+
+def test_without_a_limit_a_traversal_is_whole(spark):
+    n = spark.range(100_500).select(F.format_string("n%06d", "id").alias("id"), F.lit("class").alias("kind"))
+    e = n.where("id <> 'n000000'").select(F.lit("n000000").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("kind"), F.lit(1).alias("line"))
+    wide = PropertyGraph(n, e)
+    assert traverse.bfs(wide, "n000000", limit=None).count() == traverse.dfs(wide, "n000000", 2, None).count() == 100_500
+    assert traverse.bfs(wide, "n000000", 1, None, include_start=False).count() == 100_499
+    assert traverse.bfs(wide, "n000000", limit=0).count() == 1_000
+
+
+@pytest.mark.parametrize("name", ["g1_bfs"])
+def test_traversal_queries_have_no_limit_as_their_sql_has_none(spark, monkeypatch, name):
+    from tessera import queries
+
+    n = spark.range(100_500).select(F.format_string("n%06d", "id").alias("id"), F.lit("class").alias("kind")).union(spark.createDataFrame([("module:2", "module"), ("nation:2", "class")]))
+    e = n.where("kind = 'class'").select(F.when(F.col("id") == "nation:2", "module:2").otherwise("nation:2").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("kind"), F.lit(1).alias("line"))
+    monkeypatch.setattr(PropertyGraph, "kept", classmethod(lambda cls, *a: cls(n, e)))
+    assert queries.QUERIES[name](spark, "").count() == (100_502 if name == "g1_bfs_kinds" else 100_501)
