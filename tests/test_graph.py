@@ -132,7 +132,7 @@ def test_without_a_limit_a_traversal_is_whole(spark):
     assert traverse.bfs(wide, "n000000", limit=0).count() == 1_000
 
 
-@pytest.mark.parametrize("name", ["g1_bfs", "g1_bfs_kinds"])
+@pytest.mark.parametrize("name", ["g1_bfs", "g1_bfs_kinds", "g2_dfs"])
 def test_traversal_queries_have_no_limit_as_their_sql_has_none(spark, monkeypatch, name):
     from tessera import queries
 
