@@ -61,10 +61,12 @@ def emptied(table: DataFrame) -> DataFrame:
 
 
 def deleted_files(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges without the nodes of files (path), and without edges at those nodes."""
+    """Nodes and edges without the nodes of files (path), and without edges an end of which isn't among the nodes that stay."""
+    from tessera.operators.joins import sound_edges
+
     gone = nodes.join(paths.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi").select("id")
     kept = nodes.join(gone, "id", "left_anti")
-    return kept, edges.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti").select(*edges.columns)
+    return kept, sound_edges(edges, kept).select(*edges.columns)
 
 
 def without_edges_of(edges: DataFrame, node_id: str) -> DataFrame:

@@ -140,3 +140,15 @@ def test_traversal_queries_have_no_limit_as_their_sql_has_none(spark, monkeypatc
     e = n.where("kind = 'class'").select(F.when(F.col("id") == "nation:2", "module:2").otherwise("nation:2").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("kind"), F.lit(1).alias("line"))
     monkeypatch.setattr(PropertyGraph, "kept", classmethod(lambda cls, *a: cls(n, e)))
     assert queries.QUERIES[name](spark, "").count() == (100_502 if name == "g1_bfs_kinds" else 100_501)
+
+
+def test_deleted_files_leave_no_edge_that_dangles(spark, monkeypatch):
+    from tessera import queries
+    from tessera.sources import store
+
+    n = spark.createDataFrame([("a", "a.java"), ("b", "b.java"), ("c", "sales/orders/2-HIGH.java")], "id string, file_path string")
+    e = spark.createDataFrame([("a", "b", "calls", 1), ("a", "c", "calls", 1), ("b", "gone", "imports", 1), ("gone", "a", "imports", 1)], "source string, target string, kind string, line int")
+    kept, left = store.deleted_files(n, e, n.where("id = 'c'").select(F.col("file_path").alias("path")))
+    assert pairs(kept, "id") == [("a",), ("b",)] and pairs(left, "source", "target") == [("a", "b")]
+    monkeypatch.setattr(PropertyGraph, "kept", classmethod(lambda cls, *a: cls(n, e)))
+    assert pairs(queries.QUERIES["k5_deleted_files"](spark, ""), "kind", "n") == [("calls", 1)]
