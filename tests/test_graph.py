@@ -152,3 +152,12 @@ def test_deleted_files_leave_no_edge_that_dangles(spark, monkeypatch):
     assert pairs(kept, "id") == [("a",), ("b",)] and pairs(left, "source", "target") == [("a", "b")]
     monkeypatch.setattr(PropertyGraph, "kept", classmethod(lambda cls, *a: cls(n, e)))
     assert pairs(queries.QUERIES["k5_deleted_files"](spark, ""), "kind", "n") == [("calls", 1)]
+
+
+def test_edges_are_checked_before_they_are_added(g, spark, monkeypatch):
+    from tessera import queries
+
+    e = spark.createDataFrame([(*x, 1) for x in [*EDGES, ("b", "nowhere", "imports")]], "source string, target string, kind string, line int")
+    monkeypatch.setattr(PropertyGraph, "kept", classmethod(lambda cls, *a: cls(g.nodes, e)))
+    got = dict(pairs(queries.QUERIES["j8_sound_edges"](spark, ""), "kind", "n"))
+    assert got["imports"] == 1 and got["extends"] == 2 and sum(got.values()) == len(EDGES) + 1
