@@ -135,7 +135,7 @@ def _script(spark: SparkSession, d: str) -> DataFrame:
 
 def _script_edges(spark: SparkSession, d: str) -> DataFrame:
     n, e = java.graph_of(_script(spark, d))
-    q = n.select("id", "name")
+    q = n.select("id", "name").hint("merge")
     return e.where("kind <> 'contains'").join(q.select(F.col("id").alias("source"), F.col("name").alias("s")), "source").join(q.select(F.col("id").alias("target"), F.col("name").alias("t")), "target").select(F.col("s").alias("source"), F.col("t").alias("target"), "kind")
 
 

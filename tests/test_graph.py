@@ -161,3 +161,15 @@ def test_edges_are_checked_before_they_are_added(g, spark, monkeypatch):
     monkeypatch.setattr(PropertyGraph, "kept", classmethod(lambda cls, *a: cls(g.nodes, e)))
     got = dict(pairs(queries.QUERIES["j8_sound_edges"](spark, ""), "kind", "n"))
     assert got["imports"] == 1 and got["extends"] == 2 and sum(got.values()) == len(EDGES) + 1
+
+
+def test_resolution_broadcasts_nothing_by_its_compressed_size(spark):
+    from tessera.operators import resolve
+
+    n = spark.createDataFrame([("t", "class", "A", "p.A", "p/A.java", True)], "id string, kind string, name string, qualified_name string, file_path string, is_exported boolean")
+    r = spark.createDataFrame([("r", "A", "p/B.java")], "ref_id string, reference_name string, file_path string")
+    for f in (resolve.by_name, resolve.by_import):
+        found = f(r, n)
+        found.collect()
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert pairs(resolve.by_name(r, n), "ref_id", "target") == [("r", "t")]
