@@ -42,7 +42,7 @@ def _nodes_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 def _named_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = _nodes_edges(spark, sf_dir)
-    q = n.where("kind NOT IN ('file', 'module')").select("id", "qualified_name")
+    q = n.where("kind NOT IN ('file', 'module')").select("id", "qualified_name").hint("merge")
     return e.join(q.select(F.col("id").alias("source"), F.col("qualified_name").alias("s")), "source").join(q.select(F.col("id").alias("target"), F.col("qualified_name").alias("t")), "target").select(F.col("s").alias("source"), F.col("t").alias("target"), "kind")
 
 
